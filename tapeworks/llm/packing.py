@@ -9,6 +9,8 @@ again, for as long as that saves sequences.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 
 import numpy as np
@@ -24,7 +26,6 @@ PART_ITEMS = 1 << 16
 ROUNDS = 4
 #: Token ids remembered by a worker, as distinct words; forgotten as a whole when full.
 REMEMBERED = 150_000
-_GROUP_BYTES = 2 << 20
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
@@ -79,6 +80,66 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offsets, opened
 
 
+class _WordIds:
+    """Token ids of words between spaces, as little-endian bytes, each distinct word encoded once.
+
+    The tokenizer cuts words into runs of letters, single digits and runs of other signs, and merges only
+    inside such a run. A word of letters with signs around it is therefore the ids of its parts, and the
+    model is asked for the folded letters alone, already mapped to the byte alphabet; every other word
+    (digits, apostrophes, `<`, letters beyond Latin-1) goes through the whole tokenizer.
+    """
+
+    _PLAIN = re.compile(r"([!\"#$%&()*+,\-./:;=>?@\[\\\]^_`{|}~]*)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!\"#$%&()*+,\-./:;=>?@\[\\\]^_`{|}~]*)")
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        shown = [b for b in range(256) if 33 <= b < 127 or 161 <= b < 173 or b > 173]
+        self.alphabet = {b: b for b in shown} | {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(shown)))}
+        self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _signs(self, text: str) -> bytes:
+        if not text:
+            return b""
+        got = self.parts.get(text)
+        if got is None:
+            got = self.parts[text] = self._whole(text)
+        return got
+
+    def _letters(self, text: str) -> bytes:
+        got = self.parts.get(text)
+        if got is None:
+            seen = text if text.isascii() else text.encode().decode("latin-1").translate(self.alphabet)
+            got = self.parts[text] = np.array([t.id for t in self.model.tokenize(seen)], "<u4").tobytes()
+        return got
+
+    def _encode(self, word: str) -> bytes:
+        m = self._PLAIN.fullmatch(word)
+        if m is None or len(word) > 200:
+            return self._whole(word) if word else b""
+        return self._signs(m[1]) + self._letters(m[2].lower()) + self._signs(m[3])
+
+    def document(self, text: str) -> bytes:
+        if len(self.words) > REMEMBERED:
+            self.words.clear()
+        if len(self.parts) > REMEMBERED:
+            self.parts.clear()
+        words, known = text.replace("\n", " ").split(" "), self.words
+        try:
+            return b"".join(map(known.__getitem__, words))
+        except KeyError:
+            for w in words:
+                if w not in known:
+                    known[w] = self._encode(w)
+            return b"".join(map(known.__getitem__, words))
+
+
 def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each document's token pieces.
 
@@ -87,41 +148,18 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     """
 
     def run(batches):
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(tokenizer_path)
-        end = np.array([end_id], "<u4").tobytes()
-        known: dict[str, bytes] = {"": b""}
-
-        def ids_of(words: list[list[str]]):
-            if len(known) > REMEMBERED:
-                known.clear()
-                known[""] = b""
-            new = list(set().union(*words) - known.keys())
-            for w, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-            get = known.__getitem__
-            return [b"".join(map(get, ws)) for ws in words]
-
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        ids_of, end = _WordIds(tokenizer_path).document, np.array([end_id], "<u4").tobytes()
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            lo = 0
-            while lo < len(batch):
-                words, weight, hi = [], 0, lo
-                while hi < len(batch) and weight < _GROUP_BYTES:
-                    text = texts[hi].as_py() or ""
-                    words.append(text.replace("\n", " ").split(" "))
-                    weight += len(text) + 1
-                    hi += 1
-                rows = []
-                for doc_id, data in zip(ids.slice(lo, hi - lo).to_pylist(), ids_of(words)):
-                    data += end
-                    for piece, at in enumerate(range(0, len(data), 4 * capacity)):
-                        part = data[at : at + 4 * capacity]
-                        rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+            rows = []
+            for i in range(len(batch)):
+                doc_id, data = batch.column(0)[i].as_py(), ids_of(batch.column(1)[i].as_py() or "") + end
+                for piece, at in enumerate(range(0, len(data), 4 * capacity)):
+                    part = data[at : at + 4 * capacity]
+                    rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
+            if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
-                lo = hi
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return slim.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
