@@ -1,9 +1,20 @@
 """Registered queries of the order-book engine."""
 
+from tapeworks.plans import statistics, windows
+from tapeworks.plans.registry import QUERIES, SQL
+
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(SQL)
+
+
+def flagship(spark, sf_dir):
+    """Rolling VWAP over event time."""
+    return QUERIES["WIN06_rolling_vwap"](spark, sf_dir)
+
+
+__all__ = ["flagship", "oracle_sql", "queries", "statistics", "windows"]
