@@ -1,0 +1,61 @@
+"""The update rule by example: a small book, one message each, and the book afterwards (bids +, asks -)."""
+
+from __future__ import annotations
+
+from tapeworks.operators.matching import Book
+from tapeworks.schema import BUY, MARKET_BUY_PRICE, MARKET_SELL_PRICE, SELL, SUBMIT, WITHDRAW
+
+# The baseline book and the expected states.
+BASE = {1000: 100, 999: 200, 998: 150, 1002: -120, 1003: -180}
+CENTRE = 1001
+EXAMPLES = [
+    ("joins a level", BASE, (75, 999, BUY, SUBMIT), {1000: 100, 999: 275, 998: 150, 1002: -120, 1003: -180}, 0),
+    ("improves the touch", BASE, (50, 1001, BUY, SUBMIT), {1001: 50, 1000: 100, 999: 200, 998: 150, 1002: -120, 1003: -180}, 0),
+    ("takes part of the touch", BASE, (50, 1000, SELL, SUBMIT), {1000: 50, 999: 200, 998: 150, 1002: -120, 1003: -180}, 0),
+    ("takes the touch", BASE, (100, 1000, SELL, SUBMIT), {999: 200, 998: 150, 1002: -120, 1003: -180}, 0),
+    ("takes part of the second level", BASE, (250, 999, SELL, SUBMIT), {999: 50, 998: 150, 1002: -120, 1003: -180}, 0),
+    ("rests what is left", BASE, (400, 999, SELL, SUBMIT), {998: 150, 999: -100, 1002: -120, 1003: -180}, 0),
+    ("empties the side and rests", BASE, (500, 998, SELL, SUBMIT), {998: -50, 1002: -120, 1003: -180}, 0),
+    ("market order rests at its last price", BASE, (1000, MARKET_SELL_PRICE, SELL, SUBMIT), {998: -550, 1002: -120, 1003: -180}, 0),
+    ("market order without a counterpart", {1000: 100}, (60, MARKET_BUY_PRICE, BUY, SUBMIT), {1000: 100}, 60),
+    ("withdraws part of a level", BASE, (60, 999, BUY, WITHDRAW), {1000: 100, 999: 140, 998: 150, 1002: -120, 1003: -180}, 0),
+    ("withdraws the touch", BASE, (100, 1000, BUY, WITHDRAW), {999: 200, 998: 150, 1002: -120, 1003: -180}, 0),
+]
+
+
+def mirrored(example: tuple, centre: int = CENTRE) -> tuple:
+    """The same example with both sides exchanged about a price."""
+    name, book, (size, price, direction, kind), after, unfilled = example
+    turn = lambda b: {2 * centre - p: -s for p, s in b.items()}
+    at = {MARKET_SELL_PRICE: MARKET_BUY_PRICE, MARKET_BUY_PRICE: MARKET_SELL_PRICE}.get(price, 2 * centre - price)
+    return name + ", mirrored", turn(book), (size, at, -direction, kind), turn(after), unfilled
+
+
+def book_of(signed: dict[int, int]) -> Book:
+    return Book.of({p: s for p, s in signed.items() if s > 0}, {p: -s for p, s in signed.items() if s < 0})
+
+
+def signed_state(book: Book) -> dict[int, int]:
+    return dict(book.levels(BUY)) | {p: -s for p, s in book.levels(SELL)}
+
+
+def all_examples() -> list[tuple]:
+    return EXAMPLES + [mirrored(e) for e in EXAMPLES]
+
+
+def as_markdown() -> str:
+    rows = ["| case | message | after | unfilled |", "| --- | --- | --- | --- |"]
+    for name, _, (size, price, direction, kind), after, unfilled in EXAMPLES:
+        what = ("withdraw " if kind == WITHDRAW else "") + ("buy" if direction == BUY else "sell")
+        at = "market" if price in (MARKET_SELL_PRICE, MARKET_BUY_PRICE) else str(price)
+        rows.append(f"| {name} | {what} {size} @ {at} | {', '.join(f'{p}: {s:+d}' for p, s in sorted(after.items(), reverse=True))} | {unfilled} |")
+    return "\n".join(rows)
+
+
+def ladder(book: Book, depth: int = 5, width: int = 20) -> str:
+    """A text drawing of a book, asks above bids, bars in proportion to size."""
+    asks, bids = book.levels(SELL, depth), book.levels(BUY, depth)
+    most = max((s for _, s in asks + bids), default=1)
+    bar = lambda s: "#" * max(1, round(width * s / most))
+    lines = [f"{'':>{width}} {p:>8} {bar(s)} {s}" for p, s in reversed(asks)]
+    return "\n".join(lines + [f"{s} {bar(s)}".rjust(width) + f" {p:>8}" for p, s in bids])

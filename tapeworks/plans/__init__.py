@@ -1,6 +1,6 @@
 """Registered queries of the order-book engine."""
 
-from tapeworks.plans import statistics, windows
+from tapeworks.plans import census, models, statistics, windows
 from tapeworks.plans.registry import QUERIES, SQL
 
 
@@ -17,4 +17,4 @@ def flagship(spark, sf_dir):
     return QUERIES["WIN06_rolling_vwap"](spark, sf_dir)
 
 
-__all__ = ["flagship", "oracle_sql", "queries", "statistics", "windows"]
+__all__ = ["census", "flagship", "models", "oracle_sql", "queries", "statistics", "windows"]
