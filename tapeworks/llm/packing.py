@@ -9,23 +9,29 @@ again, for as long as that saves sequences.
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
+import sys
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tapeworks.llm._tokens import slices
 from tapeworks.llm._util import Stash, partitions
 
 CAPACITY = 2048
 #: About so many pieces are packed together.
 PART_ITEMS = 1 << 16
 ROUNDS = 4
-#: Token ids remembered by a worker, as distinct words; forgotten as a whole when full.
-REMEMBERED = 150_000
+#: Token ids remembered by a worker, as runs of letters or signs; forgotten as a whole when full.
+REMEMBERED = 300_000
+_GROUP_BYTES = 12 << 20
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
@@ -89,6 +95,7 @@ class _WordIds:
     (digits, apostrophes, `<`, letters beyond Latin-1) goes through the whole tokenizer.
     """
 
+    _SIGNS = frozenset("!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~")
     _PLAIN = re.compile(r"([!\"#$%&()*+,\-./:;=>?@\[\\\]^_`{|}~]*)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!\"#$%&()*+,\-./:;=>?@\[\\\]^_`{|}~]*)")
 
     def __init__(self, path: str):
@@ -96,48 +103,57 @@ class _WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        if array("I").itemsize != 4 or sys.byteorder != "little":
+            raise RuntimeError("token ids are written as little-endian 32-bit numbers")
         shown = [b for b in range(256) if 33 <= b < 127 or 161 <= b < 173 or b > 173]
         self.alphabet = {b: b for b in shown} | {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(shown)))}
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.parts = _Remembered(self._part)
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _signs(self, text: str) -> bytes:
+    def _part(self, text: str) -> bytes:
+        """The ids of a run of signs or of folded letters."""
         if not text:
             return b""
-        got = self.parts.get(text)
-        if got is None:
-            got = self.parts[text] = self._whole(text)
-        return got
-
-    def _letters(self, text: str) -> bytes:
-        got = self.parts.get(text)
-        if got is None:
-            seen = text if text.isascii() else text.encode().decode("latin-1").translate(self.alphabet)
-            got = self.parts[text] = np.array([t.id for t in self.model.tokenize(seen)], "<u4").tobytes()
-        return got
+        if text[0] in self._SIGNS:
+            return self._whole(text)
+        seen = text if text.isascii() else text.encode().decode("latin-1").translate(self.alphabet)
+        return array("I", [t.id for t in self.model.tokenize(seen)]).tobytes()
 
     def _encode(self, word: str) -> bytes:
+        if not word:
+            return b""
+        part = self.parts
+        if word.isascii() and word.isalpha() and len(word) <= 200:
+            return part[word.lower()]
         m = self._PLAIN.fullmatch(word)
         if m is None or len(word) > 200:
-            return self._whole(word) if word else b""
-        return self._signs(m[1]) + self._letters(m[2].lower()) + self._signs(m[3])
-
-    def document(self, text: str) -> bytes:
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
-        if len(self.parts) > REMEMBERED:
-            self.parts.clear()
-        words, known = text.replace("\n", " ").split(" "), self.words
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            for w in words:
-                if w not in known:
-                    known[w] = self._encode(w)
-            return b"".join(map(known.__getitem__, words))
+            return self._whole(word)
+        return part[m[1]] + part[m[2].lower()] + part[m[3]]
+
+    def documents(self, texts: pa.Array) -> list[memoryview]:
+        """The ids of each text; a batch's distinct words are encoded once, the rest is array work."""
+        words = pc.split_pattern(pc.replace_substring(texts.cast(pa.large_string()).fill_null(""), "\n", " "), " ")
+        coded = words.flatten().dictionary_encode()
+        ids = pa.array([self._encode(w) for w in coded.dictionary.to_pylist()], pa.large_binary()).take(coded.indices)
+        _, at, data = ids.buffers()
+        ends = np.frombuffer(at, np.int64, len(ids) + 1)[np.asarray(words.offsets) - words.offsets[0].as_py()]
+        whole = memoryview(data) if data is not None else memoryview(b"")
+        return [whole[a:b] for a, b in itertools.pairwise(ends.tolist())]
+
+
+class _Remembered(dict):
+    """A bounded memory of a function's results; forgotten as a whole when full."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, key):
+        if len(self) >= REMEMBERED:
+            self.clear()
+        got = self[key] = self.make(key)
+        return got
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
@@ -149,16 +165,19 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
 
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        ids_of, end = _WordIds(tokenizer_path).document, np.array([end_id], "<u4").tobytes()
+        ids_of, end = _WordIds(tokenizer_path).documents, np.array([end_id], "<u4").tobytes()
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
         for batch in batches:
-            rows = []
-            for i in range(len(batch)):
-                doc_id, data = batch.column(0)[i].as_py(), ids_of(batch.column(1)[i].as_py() or "") + end
-                for piece, at in enumerate(range(0, len(data), 4 * capacity)):
-                    part = data[at : at + 4 * capacity]
-                    rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
-            if rows:
+            for lo, hi in slices(batch.column(1), _GROUP_BYTES):
+                rows = []
+                for doc_id, data in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), ids_of(batch.column(1).slice(lo, hi - lo))):
+                    size, step = len(data) + len(end), 4 * capacity
+                    for piece, at in enumerate(range(0, size, step)):
+                        crc = zlib.crc32(data[at : at + step])
+                        stop = min(at + step, size)
+                        if stop == size:  # the end token, or what of it is in this piece
+                            crc = zlib.crc32(end, crc)
+                        rows.append((doc_id, piece, at // 4, (stop - at) // 4, crc))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
