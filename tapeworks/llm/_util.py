@@ -61,9 +61,13 @@ def delete_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def size_in_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of a frame's size; for files, their length."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def text_bytes(df: DataFrame, text_col: str) -> int:
+    """About how many bytes of text a frame holds: the optimizer's estimate where it has one (files), else
+    one aggregate over the column."""
+    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if known < 1 << 55:
+        return known
+    return int(df.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0)
 
 
 def ascii_lower(col):
