@@ -22,10 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeworks.llm import _tokens
-from tapeworks.llm._util import Stash, partitions, size_in_bytes
+from tapeworks.llm._util import partitions, text_bytes
 
 #: Bytes of text that settle their own repeats before anything is sent.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 8 << 20
 #: About how many windows a bucket should hold.
 BUCKET_WINDOWS = 1 << 19
 #: Documents are dealt to so many bytes of text a part.
@@ -256,9 +256,9 @@ def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col:
     An empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
-    total = size_in_bytes(docs)
+    total = text_bytes(docs, text_col)
     bits = 8
-    while (1 << bits) < total / 3 / BUCKET_WINDOWS:
+    while (1 << bits) < total / 3 / BUCKET_WINDOWS and bits < 24:
         bits += 1
     ways = partitions(spark)
     parts = max(ways, int(total * 2 / PART_BYTES))
