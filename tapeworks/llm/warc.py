@@ -223,8 +223,10 @@ def archive_pages(pages: DataFrame, folder: str | None = None, id_col: str = "pa
     groups = places.groupBy(*key).agg(F.max("page_id").alias("keep"), F.count("*").alias("n")).where(F.col("n") > 1).where(F.col("length") >= least_bytes).drop("n")
     again = places.join(groups, key).where("keep is not null and not (page_id <=> keep)")
     per_file = again.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("ordinal", "keep"))).alias("revisits"))
-    files = places.select("file").distinct().join(per_file, "file", "left").repartition("file")
+    files = places.select("file").distinct()
+    ways = max(1, files.count())
+    files = files.join(per_file, "file", "left").repartition(ways)
     archives = stash.write(files.mapInArrow(_normalise(raw, kept), "file string, records long"), "archives")
     delete_path(spark, raw)
     stash.drop(places)
-    return archives.repartition("file").mapInArrow(_read_back(kept), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, file string, at long, size long")
+    return archives.repartition(ways).mapInArrow(_read_back(kept), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, file string, at long, size long")
