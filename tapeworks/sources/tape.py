@@ -36,10 +36,11 @@ def tape(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("event_type") == "purchase", F.when(F.col("event_id") % 7 == 0, 5).otherwise(4))
         .otherwise(1)
     )
-    session = F.col("user_id") % SESSIONS
+    # The session comes first, so that numbering and every later window share one partitioning.
+    e = e.withColumn("session_id", F.col("user_id") % SESSIONS)
     return e.select(
-        session.alias("session_id"),
-        F.row_number().over(Window.partitionBy(session).orderBy("ts", "event_id")).cast("long").alias("seq"),
+        "session_id",
+        F.row_number().over(Window.partitionBy("session_id").orderBy("ts", "event_id")).cast("long").alias("seq"),
         (F.floor(micros(F.col("ts")) / 3_600_000_000).cast("long") * HOUR_NS).alias("ts_ns"),
         "event_id",
         kind.cast("int").alias("type"),
@@ -78,12 +79,12 @@ def tape_with_book(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(session_id, seq, ts_ns, volume, signed, value) from line items; value in cents."""
-    li = table(spark, sf_dir, "lineitem")
+    li = table(spark, sf_dir, "lineitem").withColumnRenamed("l_suppkey", "session_id")
     order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
     volume = F.col("l_quantity").cast("long")
     return li.select(
-        F.col("l_suppkey").alias("session_id"),
-        F.row_number().over(Window.partitionBy("l_suppkey").orderBy(*order)).cast("long").alias("seq"),
+        "session_id",
+        F.row_number().over(Window.partitionBy("session_id").orderBy(*order)).cast("long").alias("seq"),
         (micros(F.col("l_shipdate")) * 1000).alias("ts_ns"),
         volume.alias("volume"),
         F.when(F.col("l_returnflag") == "R", -volume).otherwise(volume).alias("signed"),
