@@ -85,11 +85,14 @@ def to_ticks(price: Column, tick_size: float) -> Column:
 
 def _read(spark: SparkSession, path: str | list[str], kind) -> DataFrame:
     rows = spark.read.schema(kind).option("mode", "FAILFAST").option("header", False).csv(path)
-    return rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), "*")
+    path = F.col("_metadata.file_path")
+    # A file, or a folder of part files in order that Spark wrote under a file's name.
+    file = F.regexp_extract(path, r"^(.*?[.]csv)(/|$)", 1)
+    return rows.select(F.when(file == "", path).otherwise(file).alias("file"), F.struct(path.alias("path"), F.col("_metadata.file_block_start").alias("start")).alias("_block"), F.monotonically_increasing_id().alias("_id"), "*")
 
 
 def numbered(rows: DataFrame) -> DataFrame:
-    """Adds `row_no`, 0-based within each file. One small row a split is aggregated and joined back."""
+    """Adds `row_no`, 0-based within each file or folder. One small row a split is aggregated and joined back."""
     splits = rows.groupBy("file", "_block").agg(F.min("_id").alias("_first"), F.count("*").alias("_rows"))
     before = F.coalesce(F.sum("_rows").over(Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = splits.select("file", "_block", "_first", before.alias("_before"))
@@ -179,6 +182,19 @@ def touch_prices(spark: SparkSession, pair: FilePair) -> DataFrame:
     return read_messages(spark, pair.messages_path).select("row_no", "Time").join(book, "row_no")
 
 
+def padding_census(book: DataFrame, depth: int) -> DataFrame:
+    """(side, level, rows, first_row, last_row) of the levels of a book file that are padded somewhere."""
+    pads = F.array_compact(F.array(*(F.when(F.col(f"{s}Price{k}") == p, F.struct(F.lit(s).alias("side"), F.lit(k).alias("level"))) for s, p in (("Ask", ASK_PADDING), ("Bid", BID_PADDING)) for k in range(1, depth + 1))))
+    rows = book.select("row_no", F.explode(pads).alias("x"))
+    return rows.groupBy("x.side", "x.level").agg(F.count("*").alias("rows"), F.min("row_no").alias("first_row"), F.max("row_no").alias("last_row"))
+
+
+def clock(spark: SparkSession, path: str) -> DataFrame:
+    """(row_no, Time, TimeNanoseconds) alone; other columns are not parsed."""
+    rows = numbered(_read(spark, path, schema.FILE_MESSAGES))
+    return rows.select("row_no", F.col("Time").cast("double").alias("Time"), clock_ns(F.col("Time")).alias("TimeNanoseconds"))
+
+
 def count_rows(spark: SparkSession, path: str) -> int:
     return spark.read.text(path).count()
 
@@ -187,7 +203,8 @@ def file_census(spark: SparkSession, pairs: list[FilePair]) -> DataFrame:
     """Names, bytes and line counts of pairs."""
     paths = [p for pair in pairs for p in (pair.messages_path, pair.orderbook_path)]
     lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes"))
-    got = lines.groupBy("path").agg(F.count("*").alias("rows"), F.max("bytes").alias("bytes"))
+    parts = lines.groupBy("path").agg(F.count("*").alias("rows"), F.max("bytes").alias("bytes"))
+    got = parts.groupBy(F.regexp_extract("path", r"^(.*?[.]csv)(/|$)", 1).alias("path")).agg(F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"))
     return got.select(*(c.alias(n) for n, c in name_columns(F.col("path")).items()), "rows", "bytes")
 
 
