@@ -65,7 +65,8 @@ def exact_duplicates(
         piece = F.when(F.col("pos").isNotNull(), F.struct("pos", F.struct("h", F.coalesce("ordinal", F.lit(0)).alias("ordinal")).alias("id")))
         lists = pieces.groupBy("row", "doc_id", "text_sha256").agg(F.sort_array(F.collect_list(piece)).alias("l"))
         recipes = stash.write(lists.select("doc_id", "text_sha256", F.transform("l", lambda x: x["id"]).alias("recipe")), "lists")
-    groups = recipes.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    # Written, so that both sides of the join are exchanges and a hot recipe's rows can be split between tasks.
+    groups = stash.write(recipes.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "groups")
     joined = recipes.join(groups, "recipe")
     return joined.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
