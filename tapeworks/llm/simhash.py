@@ -310,8 +310,9 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     marked = stash.write(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     reps = stash.write(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
     labels = connected_components(link_fingerprints(reps, radius, stash=stash))
-    rooted = reps.join(labels.toDF("fp", "root"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
+    # Written, so that a large class or a hot fingerprint meets its name in rows that can be split between tasks.
+    rooted = stash.write(reps.join(labels.toDF("fp", "root"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")), "rooted")
+    named = stash.write(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "named")
     classes = stash.write(rooted.join(named, "root").select("fp", "component_id"), "classes")
     return marked.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
