@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeworks.llm._util import Stash, delete_path, shared_path
+from tapeworks.llm._util import Stash
+from tapeworks.sources.shared import delete_path, shared_path
 
 #: A file is closed when its records reach this many bytes before compression.
 ROLL_BYTES = 8 << 20
@@ -221,6 +222,7 @@ def archive_pages(pages: DataFrame, folder: str | None = None, id_col: str = "pa
     places = stash.write(slim.mapInArrow(_write_raw(raw, roll_bytes), "file string, ordinal long, page_id long, length long, sha1 string, sha256 string"), "places")
     key = ["length", "sha1", "sha256"]
     groups = places.groupBy(*key).agg(F.max("page_id").alias("keep"), F.count("*").alias("n")).where(F.col("n") > 1).where(F.col("length") >= least_bytes).drop("n")
+    groups = stash.write(groups, "groups")  # so that the rows of a hot payload can be split between tasks
     again = places.join(groups, key).where("keep is not null and not (page_id <=> keep)")
     per_file = again.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("ordinal", "keep"))).alias("revisits"))
     files = places.select("file").distinct()
