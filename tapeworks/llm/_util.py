@@ -1,35 +1,16 @@
-"""Shared plumbing of the training-data operators: the shared folder, written intermediates, skew-safe helpers."""
+"""Shared plumbing of the training-data operators: written intermediates and small helpers."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapeworks.sources.shared import delete_path, shared_path
+
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    The cluster names it in ``spark.checkpoint.dir``; only where nothing is set (tests on one
-    machine) is a temporary folder made and set as the checkpoint folder.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="tapeworks-")
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def shared_path(spark: SparkSession, tag: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_root(spark)}/tapeworks/{tag}-{uuid.uuid4().hex}"
-
-
 class Stash:
     """Intermediate tables written to the shared folder; lineage ends at each of them.
 
@@ -39,28 +20,20 @@ class Stash:
 
     def __init__(self, spark: SparkSession, tag: str):
         self.spark, self.tag = spark, tag
-        self.paths: dict[int, str] = {}
 
-    def write(self, df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+    def write(self, df: DataFrame, name: str) -> DataFrame:
         path = shared_path(self.spark, f"{self.tag}-{name}")
-        writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-        writer.parquet(path)
+        df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
+        out.stash_path = path
         return out
 
     def drop(self, *frames: DataFrame) -> None:
         for df in frames:
-            if path := self.paths.pop(id(df), None):
+            if path := getattr(df, "stash_path", None):
                 delete_path(self.spark, path)
 
 
-def delete_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def text_bytes(df: DataFrame, text_col: str) -> int:
     """About how many bytes of text a frame holds: the optimizer's estimate where it has one (files), else
     one aggregate over the column."""

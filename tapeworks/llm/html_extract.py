@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -76,6 +77,9 @@ def split_blocks(page: str) -> list[Block]:
     stack: list[tuple[str, bool, bool]] = []  # name, bad, content
     bad = content = False
     links, at, n = 0, 0, len(page)
+    last_close = page.rfind(">")
+    opened: Counter[str] = Counter()
+    unclosed: set[str] = set()  # skipped elements of which no end tag follows any more
     now = Block(False, False, False)
 
     def close(heading: bool = False):
@@ -96,7 +100,7 @@ def split_blocks(page: str) -> list[Block]:
                 now.linked += lt - at
         if lt == n:
             break
-        m = _TAG.match(page, lt)
+        m = _TAG.match(page, lt) if lt < last_close or page.startswith("<!", lt) else None
         if not m:
             now.parts.append("<")
             at = lt + 1
@@ -112,8 +116,13 @@ def split_blocks(page: str) -> list[Block]:
             continue
         if name in SKIPPED:
             if not ending and not m[3].endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-                at = end.end() if end else (n if name in ("script", "style") else at)
+                end = None if name in unclosed else re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+                if end:
+                    at = end.end()
+                elif name in ("script", "style"):
+                    at = n
+                else:
+                    unclosed.add(name)
             continue
         if name == "a":
             links = max(0, links + (-1 if ending else 1 - links))
@@ -122,17 +131,20 @@ def split_blocks(page: str) -> list[Block]:
             if block and name == "p" or name in ("li", "dd", "dt", "td", "th", "tr", "option"):
                 while stack and stack[-1][0] in LOOSE and stack[-1][0] not in ("tr", "table") and stack[-1][0] != "td":
                     gone = stack.pop()
+                    opened[gone[0]] -= 1
                     bad, content = gone[1], gone[2]
                     if gone[0] == name:
                         break
             if name not in VOID and not m[3].endswith("/"):
                 stack.append((name, bad, content))
+                opened[name] += 1
                 bad = bad or _furniture(name, m[3])
                 content = content or name in CONTENT
-        else:
+        elif opened[name]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
                     _, bad, content = stack[k]
+                    opened.subtract(x[0] for x in stack[k:])
                     del stack[k:]
                     break
                 if stack[k][0] not in LOOSE and name in LOOSE:

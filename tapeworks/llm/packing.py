@@ -246,7 +246,7 @@ def pack_documents(
             break
         parts = max(1, -(-n // part_items))
         dealt = pool.select(F.pmod(F.xxhash64("uid", F.lit(round_)), F.lit(parts)).alias("part"), "uid", "length")
-        dealt = dealt.repartition(min(parts, ways) if parts < ways else ways, "part").sortWithinPartitions("part")
+        dealt = dealt.repartition(min(parts, ways), "part").sortWithinPartitions("part")
         packed = stash.write(dealt.mapInArrow(_pack_parts(capacity, round_), "uid long, length long, sequence_id long, offset long, released boolean"), f"round{round_}")
         used = packed.agg(F.count_if(F.col("offset") == 0)).first()[0]
         if before is not None and used >= before[0]:

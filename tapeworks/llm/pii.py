@@ -8,7 +8,9 @@ All scans take time in proportion to the text.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -96,8 +98,10 @@ def find_spans(text: str | None) -> list[tuple[str, int, int, float]]:
         base = len(out)
         out += [("iban", m.start(), m.end()) for m in _IBAN.finditer(text) if mod97(m[0])]
         taken = sorted((a, b) for _, a, b in out[:base])
+        starts, reach = [a for a, _ in taken], list(itertools.accumulate((b for _, b in taken), max))
         for m in _LOCAL_PHONE.finditer(text):
-            if not any(a < m.end() and m.start() < b for a, b in taken):
+            k = bisect_left(starts, m.end())
+            if not k or reach[k - 1] <= m.start():
                 out.append(("local_phone", m.start(), m.end()))
     scored = [(k, a, b, _score(k, text, a, b)) for k, a, b in out]
     return [x for x in scored if x[0] in BASE or x[3] >= THRESHOLD]

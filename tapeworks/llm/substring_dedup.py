@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -237,9 +238,13 @@ def _texts(parts: int):
             for lo in range(0, len(batch), 512):
                 piece = batch.slice(lo, 512)
                 ids = piece.column(0)
-                key = _part_of(np.ascontiguousarray(ids.fill_null(NO_ID).to_numpy(zero_copy_only=False)), parts)
                 n = len(piece)
                 packed = [zstandard.ZstdCompressor(level=3).compress(t.encode()) if t else b"" for t in piece.column(1).to_pylist()]
+                known = np.array(ids.fill_null(NO_ID).to_numpy(zero_copy_only=False))
+                if ids.null_count:  # such texts lose nothing, so any part will do
+                    none = np.asarray(ids.is_null())
+                    known[none] = [zlib.crc32(d) for d, x in zip(packed, none) if x]
+                key = _part_of(known, parts)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.ones(n, np.int8)), ids, pa.array([b""] * n), pa.array(packed)], ["part", "kind", "doc_id", "ids", "data"])
 
     return run
