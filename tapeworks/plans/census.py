@@ -13,8 +13,8 @@ from tapeworks.operators import hawkes as hk
 from tapeworks.operators import windows as win
 from tapeworks.operators.session import statistics_frame
 from tapeworks.plans.registry import query
-from tapeworks.plans.statistics import sides
-from tapeworks.plans.windows import DELTAS, FLOW, ORDERS, delta_log
+from tapeworks.plans.statistics import FLOW, sides
+from tapeworks.plans.windows import DELTAS, ORDERS, delta_log
 from tapeworks.schema import ASK_PADDING, BID_PADDING, SessionStatistics
 from tapeworks.sources import files
 from tapeworks.sources.tape import DEPTH, HOUR_NS, book, paths, sql, table, tape, tape_with_book, trades

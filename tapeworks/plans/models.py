@@ -15,8 +15,8 @@ from tapeworks.operators import hawkes as hk
 from tapeworks.operators import windows as win
 from tapeworks.operators import worked_examples as we
 from tapeworks.plans.registry import query
-from tapeworks.plans.statistics import sides
-from tapeworks.plans.windows import FLOW, _AHEAD, flow_rows, mid_series
+from tapeworks.plans.statistics import FLOW, sides
+from tapeworks.plans.windows import _AHEAD, flow_rows, mid_series
 from tapeworks.schema import BUY, SELL
 from tapeworks.sources import parameters as par
 from tapeworks.sources.tape import DEPTH, HOUR_NS, book, paths, sql, tape
@@ -130,11 +130,18 @@ def est02(spark, sf_dir):
     return one_row(spark, variance=round(float(est.hac_variance(rows, fit, "y", 3, ORDER, ["session_id"])[0, 0]), 12))
 
 
-@query("EST03_effective_sample")
+@query(
+    "EST03_effective_sample",
+    sql(
+        "SELECT round(c0 / (n - 1) * sxx * n / (c0s + 2 * (0.75 * c1 + 0.5 * c2 + 0.25 * c3)), 6) AS effective_sample FROM (SELECT count(*) AS n, sum(e * e) AS c0, sum(s * s) AS c0s, sum(s * l1) AS c1, sum(s * l2) AS c2, sum(s * l3) AS c3, sum(x * x) AS sxx FROM (SELECT x, e, s, lag(s, 1) OVER o AS l1, lag(s, 2) OVER o AS l2, lag(s, 3) OVER o AS l3 FROM (SELECT *, x * e AS s FROM (SELECT *, y - x * (SELECT sum(x * y) / sum(x * x) FROM st) AS e FROM st)) WINDOW o AS (PARTITION BY session_id ORDER BY ts_ns, seq)))",
+        "bk",
+        more=STUDY,
+    ),
+)
 def est03(spark, sf_dir):
     rows = study(spark, sf_dir)
     fit = est.ols(rows, ["x"], "y")
-    return one_row(spark, effective_sample=est.effective_sample(fit, est.hac_variance(rows, fit, "y", 5, ORDER, ["session_id"]), 0))
+    return one_row(spark, effective_sample=round(est.effective_sample(fit, est.hac_variance(rows, fit, "y", 3, ORDER, ["session_id"]), 0), 6))
 
 
 @query("EST04_block_length")
@@ -159,14 +166,6 @@ def est06(spark, sf_dir):
 _SPLIT = "seq % 2"
 
 
-@query("EST07_three_class_model")
-def est07(spark, sf_dir):
-    """The bins' class probabilities, learned on odd rows."""
-    train = study(spark, sf_dir).where(f"{_SPLIT} = 1")
-    model = est.ThreeClassModel.fit(train, "x", "class", 5, 30.0)
-    return spark.createDataFrame([(b, c, float(p)) for b, row in enumerate(model.probabilities) for c, p in enumerate(row)], "bin int, class int, probability double")
-
-
 _MODEL = """tr AS (SELECT *, CAST(x AS DOUBLE) AS v FROM st WHERE seq % 2 = 1), te AS (SELECT *, CAST(x AS DOUBLE) AS v FROM st WHERE seq % 2 = 0),
     ed AS (SELECT DISTINCT unnest(quantile_cont(v, [0.2, 0.4, 0.6, 0.8])) AS e FROM tr),
     ov AS (SELECT c, (SELECT count(*) FROM tr WHERE class = c) AS n, (SELECT count(*) FROM tr) AS t FROM range(3) r(c)),
@@ -176,6 +175,14 @@ _MODEL = """tr AS (SELECT *, CAST(x AS DOUBLE) AS v FROM st WHERE seq % 2 = 1),
     pr AS (SELECT g.b, tg.c, ((SELECT count(*) FROM bt WHERE bt.b = g.b AND class = tg.c) + 30 * target) / ((SELECT count(*) FROM bt WHERE bt.b = g.b) + 30.0) AS p FROM (SELECT DISTINCT b FROM (SELECT b FROM bt UNION SELECT b FROM bs)) g, tg)"""
 
 
+@query("EST07_three_class_model", sql("SELECT CAST(b AS INTEGER) AS bin, CAST(c AS INTEGER) AS class, round(p, 9) AS probability FROM pr", "bk", more=STUDY + ", " + _MODEL))
+def est07(spark, sf_dir):
+    """The bins' class probabilities, learned on odd rows."""
+    train = study(spark, sf_dir).where(f"{_SPLIT} = 1")
+    model = est.ThreeClassModel.fit(train, "x", "class", 5, 30.0)
+    return spark.createDataFrame([(b, c, round(float(p), 9)) for b, row in enumerate(model.probabilities) for c, p in enumerate(row)], "bin int, class int, probability double")
+
+
 @query("EST08_log_score_skill", sql("SELECT round(1 - avg(-ln(pr.p)) / avg(-ln((tg.n + 30 * tg.target) / (tg.t + 30.0))), 9) AS skill FROM bs JOIN pr ON pr.b = bs.b AND pr.c = bs.class JOIN tg ON tg.c = bs.class", "bk", more=STUDY + ", " + _MODEL))
 def est08(spark, sf_dir):
     rows = study(spark, sf_dir)

@@ -17,6 +17,13 @@ from tapeworks.sources.tape import DEPTH, book, sql, table, tape
 KEYS = ["session_id", "seq"]
 LEVELS, SWEEPS, TRUNCATED = (1, 2, 5), (100, 400), True
 
+#: The touches before each row, the order flow contribution, the mid and its segments, in SQL.
+FLOW = """fl AS (SELECT *, lag(bp1) OVER o AS pbp, lag(bs1) OVER o AS pbs, lag(ap1) OVER o AS pap, lag(as1) OVER o AS pas FROM bk WINDOW o AS (PARTITION BY session_id ORDER BY ts_ns, seq)),
+    fw AS (SELECT *, CASE WHEN bp1 IS NOT NULL AND pbp IS NOT NULL AND ap1 IS NOT NULL AND pap IS NOT NULL THEN
+        (CASE WHEN bp1 >= pbp THEN bs1 ELSE 0 END) - (CASE WHEN bp1 <= pbp THEN pbs ELSE 0 END) - (CASE WHEN ap1 <= pap THEN as1 ELSE 0 END) + (CASE WHEN ap1 >= pap THEN pas ELSE 0 END) END AS flow,
+        (ap1 + bp1) / 2.0 AS mid, as1 + bs1 AS depth FROM fl),
+    sg AS (SELECT *, CAST(sum(CASE WHEN mid IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY ts_ns, seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS segment FROM fw)"""
+
 
 def sides() -> tuple[Column, Column]:
     return F.col("asks"), F.col("bids")
@@ -144,10 +151,52 @@ _book_query(
 )
 
 
-@query("STA19_statistics_frame")
+def _double(x: str) -> str:
+    return f"CAST({x} AS DOUBLE)"
+
+
+def _bit(x: str) -> str:
+    return f"CASE WHEN {x} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"
+
+
+def _frame_columns(spec: SessionStatistics) -> dict[str, str]:
+    """Every declared statistic over the wide view `fw` and the window sums w<seconds>."""
+    out = {"Spread": "ap1 - bp1", "MidPrice": MID, "MicroPrice": "CAST(ap1 * bs1 + bp1 * as1 AS DOUBLE) / (as1 + bs1)"}
+    for n in spec.imbalance_levels:
+        out |= {f"QueueImbalance{n}": f"CASE WHEN {_covered(n)} THEN {_imbalance(n)} END", f"QueueImbalance{n}Covered": _bit(_covered(n))}
+    for q in spec.sweep_sizes:
+        for side, s, d in (("Buy", "a", 1), ("Sell", "b", -1)):
+            out |= {f"SweepCost{side}{q}": _sweep(s, q, d), f"SweepCost{side}{q}Covered": _bit(f"ap1 IS NOT NULL AND bp1 IS NOT NULL AND {_filled(s, q)}")}
+    out |= {"OrderFlowContribution": "flow", "TouchDepth": "as1 + bs1"}
+    for name, s in (("Bid", "b"), ("Ask", "a")):
+        out |= {
+            f"{name}OccupiedLevels": _occupied(s), f"{name}GapCount": f"(CASE WHEN {_hole(s, 1)} > 0 THEN 1 ELSE 0 END + CASE WHEN {_hole(s, 2)} > 0 THEN 1 ELSE 0 END)", f"{name}LargestGap": _largest(s),
+            f"{name}FirstGapDistance": _first_distance(s), f"{name}FirstGapSize": _first_size(s), f"{name}LargestGapDistance": _largest_distance(s),
+        }
+    for w in spec.windows:
+        out |= {f"OrderFlowImbalance{w}": f"w{w}.ofi", f"OrderFlowImbalance{w}Covered": _bit(f"w{w}.ofi IS NOT NULL"), f"AverageDepth{w}": f"w{w}.depth"}
+    return {n: _double(x) if "Covered" not in n else x for n, x in out.items()}
+
+
+FRAME = SessionStatistics(windows=(7200, 86400))
+_SUMS = ", ".join(
+    f"w{w} AS (SELECT a.session_id, a.seq, CASE WHEN count(*) = count(b.flow) THEN sum(b.flow) END AS ofi, CAST(sum(b.depth) AS DOUBLE) / nullif(2 * count(b.depth), 0) AS depth "
+    f"FROM fw a JOIN fw b ON b.session_id = a.session_id AND b.ts_ns > a.ts_ns - {w}000000000 AND b.ts_ns <= a.ts_ns AND b.seq <= a.seq GROUP BY ALL)"
+    for w in FRAME.windows
+)
+
+
+@query(
+    "STA19_statistics_frame",
+    sql(
+        "SELECT fw.session_id, fw.seq, fw.ts_ns, " + ", ".join(f'{x} AS "{n}"' for n, x in _frame_columns(FRAME).items()) + " FROM fw " + " ".join(f"JOIN w{w} ON w{w}.session_id = fw.session_id AND w{w}.seq = fw.seq" for w in FRAME.windows),
+        "bk",
+        more=FLOW + ", " + _SUMS,
+    ),
+)
 def statistics(spark, sf_dir):
     """Every declared statistic of a session, by the same functions as the single queries."""
-    return statistics_frame(book(spark, sf_dir), SessionStatistics(windows=(7200, 86400)), DEPTH, TRUNCATED)
+    return statistics_frame(book(spark, sf_dir), FRAME, DEPTH, TRUNCATED)
 
 
 @query(

@@ -8,18 +8,12 @@ from pyspark.sql import functions as F
 from tapeworks.functions import levels as lv
 from tapeworks.operators import windows as win
 from tapeworks.plans.registry import query
-from tapeworks.plans.statistics import sides
+from tapeworks.plans.statistics import FLOW, sides
 from tapeworks.sources.tape import HOUR_NS, book, sql, tape, tape_with_book, trades
 
 W2, W24 = 2 * HOUR_NS, 24 * HOUR_NS
 DAY = 24 * HOUR_NS
 
-FLOW = """fl AS (SELECT *, lag(bp1) OVER o AS pbp, lag(bs1) OVER o AS pbs, lag(ap1) OVER o AS pap, lag(as1) OVER o AS pas FROM bk WINDOW o AS (PARTITION BY session_id ORDER BY ts_ns, seq)),
-    fw AS (SELECT *, CASE WHEN bp1 IS NOT NULL AND pbp IS NOT NULL AND ap1 IS NOT NULL AND pap IS NOT NULL THEN
-        (CASE WHEN bp1 >= pbp THEN bs1 ELSE 0 END) - (CASE WHEN bp1 <= pbp THEN pbs ELSE 0 END) - (CASE WHEN ap1 <= pap THEN as1 ELSE 0 END) + (CASE WHEN ap1 >= pap THEN pas ELSE 0 END) END AS flow,
-        (ap1 + bp1) / 2.0 AS mid, as1 + bs1 AS depth FROM fl),
-    sg AS (SELECT *, CAST(sum(CASE WHEN mid IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY ts_ns, seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS segment FROM fw)"""
-
 
 def _join(select: str, w: int, source: str = "fw", more: str = "") -> str:
     """An aggregate over each row's window (t - w, t], as a self-join."""
