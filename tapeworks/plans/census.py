@@ -85,7 +85,7 @@ def delta_table(spark, sf_dir):
     return delta_log(spark, sf_dir)
 
 
-@query("SRC12_parameter_pivot", "SELECT r AS component, CASE WHEN r = 0 THEN 0.2 ELSE 0.6 END AS base, CASE WHEN r = 0 THEN 1.2 ELSE 0.4 END AS cause_0, CASE WHEN r = 0 THEN 4.8 ELSE 0.8 END AS cause_1 FROM range(2) t(r)")
+@query("SRC12_parameter_pivot", "SELECT r AS component, CAST(CASE WHEN r = 0 THEN 0.2 ELSE 0.6 END AS DOUBLE) AS base, CAST(CASE WHEN r = 0 THEN 1.2 ELSE 0.4 END AS DOUBLE) AS cause_0, CAST(CASE WHEN r = 0 THEN 4.8 ELSE 0.8 END AS DOUBLE) AS cause_1 FROM range(2) t(r)")
 def parameter_pivot(spark, sf_dir):
     from tapeworks.sources.parameters import flow
 
@@ -372,7 +372,7 @@ def agg19(spark, sf_dir):
     return got.select("session_id", F.round("m_mean", 6).alias("mean"), F.round("m_error", 6).alias("error"))
 
 
-@query("AGG20_sample_means", sql("SELECT w, round(avg(n), 6) AS mean, round(stddev_samp(n) / sqrt(count(*)), 6) AS error, CAST(count(*) AS BIGINT) AS paths FROM (SELECT g.path_id, g.w, count(p.n) AS n FROM (SELECT DISTINCT path_id, w FROM paths, (VALUES (100.0), (300.0), (500.0)) v(w)) g LEFT JOIN paths p ON p.path_id = g.path_id AND p.t <= g.w GROUP BY ALL) GROUP BY w", "paths"))
+@query("AGG20_sample_means", sql("SELECT w, round(avg(n), 6) AS mean, round(stddev_samp(n) / sqrt(count(*)), 6) AS error, CAST(count(*) AS BIGINT) AS paths FROM (SELECT g.path_id, g.w, count(p.n) AS n FROM (SELECT DISTINCT path_id, w FROM paths, (VALUES (CAST(100.0 AS DOUBLE)), (300.0), (500.0)) v(w)) g LEFT JOIN paths p ON p.path_id = g.path_id AND p.t <= g.w GROUP BY ALL) GROUP BY w", "paths"))
 def agg20(spark, sf_dir):
     counts = hk.counts_on_clock(paths(spark, sf_dir), 5, [100.0, 300.0, 500.0]).select("path_id", F.col("t").alias("w"), sum((F.col(f"n{k}") for k in range(5)), F.lit(0)).alias("n"))
     return counts.groupBy("w").agg(F.round(F.avg("n"), 6).alias("mean"), F.round(F.stddev_samp("n") / F.sqrt(F.count("n")), 6).alias("error"), F.count("*").alias("paths"))

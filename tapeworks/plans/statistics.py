@@ -275,7 +275,7 @@ def invariants(spark, sf_dir):
     return book(spark, sf_dir).groupBy("session_id").agg(F.count("*").alias("states"), F.count_if(lv.best(A)["price"] <= lv.best(B)["price"]).alias("crossed"), F.count_if(empty).alias("empty_levels"))
 
 
-@query("FLD18_idealised_book", "SELECT n_nationkey, k AS level, 1000 - k + 1 AS bid, 1000 + n_nationkey % 3 + k AS ask, CAST(5 AS BIGINT) AS size FROM nation, range(1, 6) r(k)")
+@query("FLD18_idealised_book", "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, k AS level, 1000 - k + 1 AS bid, 1000 + n_nationkey % 3 + k AS ask, CAST(5 AS BIGINT) AS size FROM nation, range(1, 6) r(k)")
 def idealised(spark, sf_dir):
     from tapeworks.operators.session import idealised_sides
 

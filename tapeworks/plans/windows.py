@@ -286,7 +286,7 @@ def survivors(spark, sf_dir):
 
 @query(
     "JON09_depth_matrix",
-    sql("SELECT g.session_id, g.seq, g.price, coalesce((SELECT arg_max(d.side * d.resting, d.seq) FROM dl d WHERE d.session_id = g.session_id AND d.price = g.price AND d.seq <= g.seq), 0) AS signed_size FROM (SELECT session_id, seq, p AS price FROM tape, (VALUES (1000), (1001), (1002)) v(p)) g", "tape", more=DELTAS),
+    sql("SELECT g.session_id, g.seq, g.price, coalesce((SELECT arg_max(d.side * d.resting, d.seq) FROM dl d WHERE d.session_id = g.session_id AND d.price = g.price AND d.seq <= g.seq), 0) AS signed_size FROM (SELECT session_id, seq, CAST(p AS BIGINT) AS price FROM tape, (VALUES (1000), (1001), (1002)) v(p)) g", "tape", more=DELTAS),
 )
 def depth_matrix(spark, sf_dir):
     from tapeworks.operators.replay import depth_matrix as fill
