@@ -419,10 +419,10 @@ def srt03(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(100)
 
 
-@query("SRT04_after", sql("SELECT path_id, n - 20 AS n, round(t - cut, 9) AS t, type FROM (SELECT *, max(t) FILTER (WHERE n = 20) OVER (PARTITION BY path_id) AS cut FROM paths) WHERE n > 20", "paths"))
+@query("SRT04_after", sql("SELECT path_id, n - 20 AS n, round(t - cut, 6) AS t, type FROM (SELECT *, max(t) FILTER (WHERE n = 20) OVER (PARTITION BY path_id) AS cut FROM paths) WHERE n > 20", "paths"))
 def srt04(spark, sf_dir):
     cut = F.max(F.when(F.col("n") == 20, F.col("t"))).over(Window.partitionBy("path_id"))
-    return paths(spark, sf_dir).withColumn("cut", cut).where("n > 20").select("path_id", (F.col("n") - 20).alias("n"), F.round(F.col("t") - F.col("cut"), 9).alias("t"), "type")
+    return paths(spark, sf_dir).withColumn("cut", cut).where("n > 20").select("path_id", (F.col("n") - 20).alias("n"), F.round(F.col("t") - F.col("cut"), 6).alias("t"), "type")
 
 
 @query("SRT05_first_with", sql("SELECT session_id, min(seq) AS seq, arg_min(size, seq) AS size FROM tape WHERE type = 4 AND price > 101500 GROUP BY session_id", "tape"))

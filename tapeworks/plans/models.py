@@ -212,9 +212,9 @@ def est11(spark, sf_dir):
     return one_row(spark, index=round(est.hill_tail_index(study(spark, sf_dir), "x", 50), 9))
 
 
-@query("EST12_clark_west", sql("SELECT session_id, seq, y * y - power(y - x / 1000, 2) + power(x / 1000, 2) AS adjusted FROM st", "bk", more=STUDY))
+@query("EST12_clark_west", sql("SELECT session_id, seq, round(y * y - power(y - x / 1000, 2) + power(x / 1000, 2), 9) AS adjusted FROM st", "bk", more=STUDY))
 def est12(spark, sf_dir):
-    return study(spark, sf_dir).select(*KEYS, est.clark_west(F.col("y"), F.lit(0.0), F.col("x") / 1000).alias("adjusted"))
+    return study(spark, sf_dir).select(*KEYS, F.round(est.clark_west(F.col("y"), F.lit(0.0), F.col("x") / 1000), 9).alias("adjusted"))
 
 
 @query("EST13_purged_folds", sql(f"SELECT fold, CAST(count(*) AS BIGINT) AS rows, CAST(count(*) FILTER (WHERE ts_ns < (SELECT quantile_cont(CAST(ts_ns AS DOUBLE), 0.25) FROM tape) - {W24} OR ts_ns > (SELECT quantile_cont(CAST(ts_ns AS DOUBLE), 0.5) FROM tape) + {W24}) AS BIGINT) AS trains_for_1 FROM (SELECT *, CAST((SELECT count(*) FROM (SELECT unnest(quantile_cont(CAST(ts_ns AS DOUBLE), [0.25, 0.5, 0.75])) AS b FROM tape) WHERE b <= t.ts_ns) AS INTEGER) AS fold FROM tape t) GROUP BY fold", "tape"))
