@@ -406,10 +406,10 @@ def agg24(spark, sf_dir):
 # Sorts, limits, set operations.
 
 
-@query("SRT01_best_levels", sql("SELECT session_id, price, size FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY price DESC) AS k FROM (SELECT session_id, price, CAST(sum(size) AS BIGINT) AS size FROM tape WHERE direction = 1 GROUP BY ALL)) WHERE k <= 3", "tape"))
+@query("SRT01_best_levels", sql("SELECT session_id, direction, price, size FROM (SELECT *, row_number() OVER (PARTITION BY session_id, direction ORDER BY direction * price DESC) AS k FROM (SELECT session_id, direction, price, CAST(sum(size) AS BIGINT) AS size FROM tape GROUP BY ALL)) WHERE k <= 3", "tape"))
 def srt01(spark, sf_dir):
-    per = tape(spark, sf_dir).where("direction = 1").groupBy("session_id", "price").agg(F.sum("size").alias("size"))
-    k = F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("price")))
+    per = tape(spark, sf_dir).groupBy("session_id", "direction", "price").agg(F.sum("size").alias("size"))
+    k = F.row_number().over(Window.partitionBy("session_id", "direction").orderBy(F.desc(F.col("direction") * F.col("price"))))
     return per.withColumn("k", k).where("k <= 3").drop("k")
 
 

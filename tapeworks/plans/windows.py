@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeworks.functions import levels as lv
@@ -253,12 +255,12 @@ def before_clock(spark, sf_dir):
     return win.on_clock(tape(spark, sf_dir), _clock(spark, sf_dir), "price", strict=True)
 
 
-@query("JON06_counts_on_clock", sql("SELECT c.session_id, c.ts_ns, " + ", ".join(f"(SELECT count(*) FROM tape b WHERE b.session_id = c.session_id AND b.ts_ns <= c.ts_ns AND b.type = {k}) AS n{k}" for k in (1, 2, 3)) + " FROM ck c", "tape", more=CLOCK))
+@query("JON06_counts_on_clock", sql("SELECT c.session_id, c.ts_ns, " + ", ".join(f"(SELECT count(*) FROM tape b WHERE b.session_id = c.session_id AND b.ts_ns <= c.ts_ns AND b.type = {k}) AS n{k}" for k in range(1, 6)) + " FROM ck c", "tape", more=CLOCK))
 def counts(spark, sf_dir):
     rows = tape(spark, sf_dir)
-    kept = rows.select("session_id", "seq", "ts_ns", F.struct(*(win.running((F.col("type") == k).cast("long")).alias(f"n{k}") for k in (1, 2, 3))).alias("n"))
+    kept = rows.select("session_id", "seq", "ts_ns", F.struct(*(win.running((F.col("type") == k).cast("long")).alias(f"n{k}") for k in range(1, 6))).alias("n"))
     out = win.on_clock(kept, _clock(spark, sf_dir), "n")
-    return out.select("session_id", "ts_ns", *(F.coalesce(F.col(f"n.n{k}"), F.lit(0)).alias(f"n{k}") for k in (1, 2, 3)))
+    return out.select("session_id", "ts_ns", *(F.coalesce(F.col(f"n.n{k}"), F.lit(0)).alias(f"n{k}") for k in range(1, 6)))
 
 
 DELTAS = "dl AS (SELECT session_id, seq, ts_ns, CASE WHEN e % 2 = 0 THEN 1 ELSE -1 END AS side, price // 100 AS price, CASE WHEN type IN (2, 3) THEN 0 ELSE size END AS resting FROM tape), iv AS (SELECT *, coalesce(lead(seq) OVER (PARTITION BY session_id, side, price ORDER BY seq), 9223372036854775807) AS until FROM dl)"
@@ -286,12 +288,12 @@ def survivors(spark, sf_dir):
 
 @query(
     "JON09_depth_matrix",
-    sql("SELECT g.session_id, g.seq, g.price, coalesce((SELECT arg_max(d.side * d.resting, d.seq) FROM dl d WHERE d.session_id = g.session_id AND d.price = g.price AND d.seq <= g.seq), 0) AS signed_size FROM (SELECT session_id, seq, CAST(p AS BIGINT) AS price FROM tape, (VALUES (1000), (1001), (1002)) v(p)) g", "tape", more=DELTAS),
+    sql("SELECT g.session_id, g.seq, g.price, coalesce((SELECT arg_max(d.side * d.resting, d.seq) FROM dl d WHERE d.session_id = g.session_id AND d.price = g.price AND d.seq <= g.seq), 0) AS signed_size FROM (SELECT session_id, seq, CAST(p AS BIGINT) AS price FROM tape, range(1000, 1020) v(p)) g", "tape", more=DELTAS),
 )
 def depth_matrix(spark, sf_dir):
     from tapeworks.operators.replay import depth_matrix as fill
 
-    return fill(delta_log(spark, sf_dir), tape(spark, sf_dir).select("session_id", "seq"), [1000, 1001, 1002])
+    return fill(delta_log(spark, sf_dir), tape(spark, sf_dir).select("session_id", "seq"), list(range(1000, 1020)))
 
 
 @query("JON10_fine_and_coarse", sql("SELECT m.session_id, m.seq, m.price, t.total FROM mo m JOIN (SELECT session_id, max(seq) AS seq, CAST(sum(size) AS BIGINT) AS total FROM mo WHERE order_no >= 0 GROUP BY session_id, order_no) t USING (session_id, seq)", "tape", more=ORDERS))
@@ -316,11 +318,11 @@ def state_at(spark, sf_dir):
     return got.select("session_id", F.explode(F.array(*(F.struct(F.lit(x).alias("at"), F.col(f"p{k}").alias("price")) for k, x in enumerate(at)))).alias("s")).select("session_id", "s.at", "s.price")
 
 
-@query("SRT02_merged_streams", sql("SELECT session_id, type, row_number() OVER (PARTITION BY session_id ORDER BY ts_ns, type, seq) AS place, seq FROM tape WHERE type IN (1, 2, 3)", "tape"))
+@query("SRT02_merged_streams", sql("SELECT session_id, type, row_number() OVER (PARTITION BY session_id ORDER BY ts_ns, type, seq) AS place, seq FROM tape", "tape"))
 def merged(spark, sf_dir):
     """Streams of single types united and put in order of time."""
     t = tape(spark, sf_dir)
-    parts = [t.where(F.col("type") == k).select("session_id", "type", "ts_ns", "seq") for k in (1, 2, 3)]
-    both = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    parts = [t.where(F.col("type") == k).select("session_id", "type", "ts_ns", "seq") for k in range(1, 6)]
+    both = reduce(DataFrame.unionByName, parts)
     place = F.row_number().over(Window.partitionBy("session_id").orderBy("ts_ns", "type", "seq"))
     return both.select("session_id", "type", place.cast("long").alias("place"), "seq")
