@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeworks.operators.matching import Book
-from tapeworks.schema import BUY, FOLDED, SELL
+from tapeworks.schema import BUY, FOLDED, SELL, WITHDRAW
 
 COLUMNS = ["session_id", "seq", "ts_ns", "size", "price", "direction", "kind"]
 NAMES = FOLDED.fieldNames()
@@ -22,8 +22,7 @@ NAMES = FOLDED.fieldNames()
 
 def fold_row(book: Book, depth: int, session_id, seq, ts_ns, size, price, direction, kind) -> tuple:
     """Applies a message and gives the row that FOLDED describes."""
-    if direction not in (BUY, SELL) or size < 0 or price < 0 or kind not in (1, 2):
-        raise ValueError(f"message {session_id}/{seq} is malformed: size {size}, price {price}, direction {direction}, kind {kind}")
+    _check(session_id, seq, size, price, direction, kind)
     out = book.apply(size, price, direction, kind)
     level = lambda xs: [{"price": p, "size": q} for p, q in xs]
     return (
@@ -33,6 +32,48 @@ def fold_row(book: Book, depth: int, session_id, seq, ts_ns, size, price, direct
     )
 
 
+class _Columns:
+    """Folded rows as columns; nested values go straight to flat arrays with offsets."""
+
+    _LISTS = {"asks": ("price", "size"), "bids": ("price", "size"), "fills": ("price", "size", "aggressor"), "deltas": ("side", "price", "resting")}
+    _SMALL = ("aggressor", "side")
+    _PLAIN = ("session_id", "seq", "ts_ns")
+    _COUNTS = ("fill_count", "traded_size", "traded_value", "unfilled", "withdrawn")
+
+    def __init__(self):
+        self.keys, self.counts = [], []
+        self.rows = {n: [] for n in self._LISTS}
+        self.ends = {n: [0] for n in self._LISTS}
+
+    def add(self, key: tuple, book: Book, depth: int, out) -> None:
+        self.keys.append(key)
+        self.counts.append((len(out.fills), out.traded, out.value, out.unfilled, out.withdrawn))
+        for name, values in (("asks", book.levels(SELL, depth)), ("bids", book.levels(BUY, depth)), ("fills", out.fills), ("deltas", out.deltas)):
+            self.rows[name] += values
+            self.ends[name].append(len(self.rows[name]))
+
+    def _list(self, name: str) -> pa.Array:
+        fields = self._LISTS[name]
+        flat = list(zip(*self.rows[name])) or [[] for _ in fields]
+        items = pa.StructArray.from_arrays([pa.array(v, pa.int32() if f in self._SMALL else pa.int64()) for f, v in zip(fields, flat)], list(fields))
+        return pa.ListArray.from_arrays(pa.array(self.ends[name], pa.int32()), items)
+
+    def batch(self) -> pa.RecordBatch:
+        keys, counts = list(zip(*self.keys)), list(zip(*self.counts))
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in keys), *map(self._list, self._LISTS), *(pa.array(c, pa.int64()) for c in counts)], [*self._PLAIN, *self._LISTS, *self._COUNTS])
+
+
+def _check(session_id, seq, size, price, direction, kind) -> None:
+    if direction not in (BUY, SELL) or size < 0 or price < 0 or kind not in (1, 2):
+        raise ValueError(f"message {session_id}/{seq} is malformed: size {size}, price {price}, direction {direction}, kind {kind}")
+
+
+def _dealt(messages: DataFrame) -> DataFrame:
+    """Sessions dealt to a fixed number of tasks (small inputs are not put into one) and put in order."""
+    ways = int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return messages.select(*COLUMNS).repartition(ways, "session_id").sortWithinPartitions("session_id", "ts_ns", "seq")
+
+
 def fold(messages: DataFrame, depth: int, opening: dict[int, dict[int, int]] | None = None, strict: bool = False) -> DataFrame:
     """(FOLDED) one row a message: the state after it, its fills and deltas, what it traded.
 
@@ -40,19 +81,43 @@ def fold(messages: DataFrame, depth: int, opening: dict[int, dict[int, int]] | N
     """
     start = opening or {BUY: {}, SELL: {}}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         session, book = object(), None
-        for rows in batches:
-            out = []
-            for row in rows.itertuples(index=False):
-                if row.session_id != session:
-                    session, book = row.session_id, Book.of(start[BUY], start[SELL], strict)
-                out.append(fold_row(book, depth, *(int(x) for x in row)))
-            if out:
-                yield pd.DataFrame(out, columns=NAMES)
+        for batch in batches:
+            sink = _Columns()
+            for session_id, seq, ts_ns, size, price, direction, kind in zip(*(c.to_pylist() for c in batch.columns)):
+                _check(session_id, seq, size, price, direction, kind)
+                if session_id != session:
+                    session, book = session_id, Book.of(start[BUY], start[SELL], strict)
+                sink.add((session_id, seq, ts_ns), book, depth, book.apply(size, price, direction, kind))
+            if sink.keys:
+                yield sink.batch()
 
-    dealt = messages.select(*COLUMNS).repartition("session_id").sortWithinPartitions("session_id", "ts_ns", "seq")
-    return dealt.mapInPandas(run, FOLDED)
+    return _dealt(messages).mapInArrow(run, FOLDED)
+
+
+def fold_tally(messages: DataFrame, opening: dict[int, dict[int, int]] | None = None) -> DataFrame:
+    """(session_id, messages, fills, traded, withdrawals) by a fold that records no states."""
+    start = opening or {BUY: {}, SELL: {}}
+    names = ["session_id", "messages", "fills", "traded", "withdrawals"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done, now, book = [], None, None
+        for batch in batches:
+            for session_id, seq, _, size, price, direction, kind in zip(*(c.to_pylist() for c in batch.columns)):
+                _check(session_id, seq, size, price, direction, kind)
+                if now is None or session_id != now[0]:
+                    now, book = [session_id, 0, 0, 0, 0], Book.of(start[BUY], start[SELL])
+                    done.append(now)
+                out = book.apply(size, price, direction, kind)
+                now[1] += 1
+                now[2] += len(out.fills)
+                now[3] += out.traded
+                now[4] += kind == WITHDRAW
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*done)], names)
+
+    return _dealt(messages).mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def fold_table_function(depth: int):
@@ -93,12 +158,6 @@ def walked_the_book(fills: Column) -> Column:
     return F.size(F.array_distinct(F.transform(fills, lambda x: x["price"]))) > 1
 
 
-def tally(folded: DataFrame, messages: DataFrame) -> DataFrame:
-    """(session_id, messages, fills, traded, withdrawals)."""
-    kinds = messages.groupBy("session_id").agg(F.count_if(F.col("kind") == 2).alias("withdrawals"))
-    return folded.groupBy("session_id").agg(F.count("*").alias("messages"), F.sum("fill_count").alias("fills"), F.sum("traded_size").alias("traded")).join(kinds, "session_id")
-
-
 def trade_rows(folded: DataFrame, messages: DataFrame) -> DataFrame:
     """(session_id, seq, ts_ns, volume, signed, value) of what each message traded."""
     side = messages.select("session_id", "seq", "direction")

@@ -313,7 +313,8 @@ def replay(paths: DataFrame, beta: float, d: int, p: Hawkes | None = None) -> Da
             if out:
                 yield pd.DataFrame(out, columns=["path_id", "n", "t", "type", "z", "counts", "intensities", "compensators"])
 
-    ordered = paths.select("path_id", "n", "t", "type").repartition("path_id").sortWithinPartitions("path_id", "n")
+    ways = int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = paths.select("path_id", "n", "t", "type").repartition(ways, "path_id").sortWithinPartitions("path_id", "n")
     return ordered.mapInPandas(run, "path_id long, n long, t double, type int, z array<double>, counts array<double>, intensities array<double>, compensators array<double>")
 
 

@@ -377,8 +377,7 @@ def fld05(spark, sf_dir):
 
 @query("FLD06_tally", sql("SELECT session_id, CAST(count(*) AS BIGINT) AS messages, CAST(count(*) FILTER (WHERE type IN (2, 3)) AS BIGINT) AS withdrawals FROM tape GROUP BY session_id", "tape"))
 def fld06(spark, sf_dir):
-    m = messages(spark, sf_dir)
-    return fold.tally(fold.fold(m, DEPTH), m).select("session_id", "messages", "withdrawals")
+    return fold.fold_tally(messages(spark, sf_dir)).select("session_id", "messages", "withdrawals")
 
 
 @query("FLD07_session_statistics")
