@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from enum import Enum, IntEnum
+from enum import Enum
 from numbers import Integral, Real
 
 from pyspark.sql import types as T
