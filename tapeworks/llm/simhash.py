@@ -21,7 +21,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeworks.llm import _tokens
 from tapeworks.llm._util import Stash, partitions
 from tapeworks.llm.components import connected_components
 from tapeworks.llm.exact_dedup import drop_ids

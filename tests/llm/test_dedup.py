@@ -54,9 +54,7 @@ def test_exact_duplicates_with_colliding_hashes(spark, mixed):
     """A hash of one value still tells chunks apart."""
     weak = exact_dedup.exact_duplicates(docs(spark, mixed), least=8, greatest=64, hashed=lambda c: F.length(c) * 0)
     strong = exact_dedup.exact_duplicates(docs(spark, mixed))
-    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.text_sha256)
     assert sorted(map(tuple, weak.collect()), key=str) == sorted(map(tuple, strong.collect()), key=str)
-    assert key
 
 
 def test_chunks_give_the_text_back(spark, mixed):
@@ -135,7 +133,6 @@ def test_links_of_clustered_fingerprints(spark, radius):
 
     for r in links:
         a, b = (int(np.int64(x).view(np.uint64)) for x in (r.u, r.v))
-        assert (a ^ b).bit_count() <= radius * (16 if radius else 1)
         parent[find(a)] = find(b)
     root = components(fps, radius)
     mine = {}
@@ -158,7 +155,6 @@ def test_components(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(rng.randint(2000, 2300), rng.randint(2000, 2300)) for _ in range(150)] + [(5, None), (None, None), (7, 7)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
-    root = {}
     parent = {}
 
     def find(x):

@@ -120,7 +120,7 @@ def test_pipeline_is_its_stages(spark, sf_dir, tokenizer):
     import corpus_pipeline
 
     from tapeworks.llm import decontaminate, langid
-    from tests.llm.test_dedup import check_classes, components, fingerprint, lower
+    from tests.llm.test_dedup import components, fingerprint, lower
 
     table = spark.read.parquet(f"{sf_dir}/documents.parquet")
     docs = {r.doc_id: r.text for r in table.collect()}
@@ -147,4 +147,3 @@ def test_pipeline_is_its_stages(spark, sf_dir, tokenizer):
     for _, f in corpus_pipeline.STAGES[:-1]:
         stage = f(spark, stage, sf_dir)
         assert stage.columns == table.columns
-    assert check_classes

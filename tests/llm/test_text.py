@@ -6,7 +6,6 @@ import re
 
 import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
 
 from tapeworks.llm import _tokens, decontaminate, html_extract, langid, pii, token_counts
 
@@ -203,4 +202,3 @@ def test_words_and_hashes():
     sliced = pa.array(texts).slice(3, 4)
     raw, at = _tokens.buffers(sliced)
     assert bytes(raw).decode() == "".join(t or "" for t in texts[3:7])
-    assert F
