@@ -29,6 +29,9 @@ from tapeworks.llm._util import partitions, text_bytes
 BLOCK_BYTES = 8 << 20
 #: About how many windows a bucket should hold.
 BUCKET_WINDOWS = 1 << 19
+#: A first shuffle goes to 2**COARSE_BITS buckets at most; more buckets are reached by a second one, since rows of a
+#: block dealt to very many buckets would hold a window or two each.
+COARSE_BITS, REGROUP_WINDOWS, MOST_TASKS = 12, 1 << 21, 1 << 17
 #: Documents are dealt to so many bytes of text a part.
 PART_BYTES = 8 << 20
 NO_ID = -(1 << 63)
@@ -89,37 +92,59 @@ def _repeated(hashes: list[np.ndarray], ids: np.ndarray, pos: np.ndarray) -> np.
     return out
 
 
+_NAMES = ["bucket", "h", "ids", "pos", "sids", "spos"]
+
+
+def _encode(hashes: list[np.ndarray], ids: np.ndarray, pos: np.ndarray, gone: np.ndarray, bits: int, wide: bool):
+    """Windows as rows (bucket, hashes, id deltas, positions, settled ids, settled positions), many a row."""
+    bucket = (hashes[0] >> np.uint64(64 - bits)).astype(np.int64)
+    low = np.ascontiguousarray(hashes[0].view(np.uint8).reshape(-1, 8)[:, :7])  # the bucket holds the top byte
+    order = np.argsort(bucket, kind="stable")
+    new = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+    rows = []
+    for a, b in zip(new, np.append(new[1:], len(order))):
+        at = order[a:b]
+        sent, left = at[~gone[at]], at[gone[at]]
+        h = low[sent].tobytes() + (hashes[1][sent].tobytes() if wide else b"")
+        rows.append((int(bucket[at[0]]), h, _pack(_delta(ids[sent])), _pack(pos[sent].astype(np.uint32)), _pack(_delta(ids[left])), _pack(pos[left].astype(np.uint32))))
+        if len(rows) == 256:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], _NAMES)
+            rows = []
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], _NAMES)
+
+
+def _decode(rows: list[tuple], bits: int, wide: bool):
+    """The windows of rows of one bucket: hashes, ids, positions, and the settled ids and positions."""
+    top = int(rows[0][0]) >> (bits - 8)
+    parts = []
+    for _, h, i, p, si, sp in rows:
+        ids = np.cumsum(_unpack(i, np.int64))
+        n, raw = len(ids), np.frombuffer(h, np.uint8)
+        full = np.empty((n, 8), np.uint8)
+        full[:, :7] = raw[: 7 * n].reshape(n, 7)
+        full[:, 7] = top
+        parts.append((full.view(np.uint64).ravel(), raw[7 * n :].view(np.uint64), ids, _unpack(p, np.uint32), np.cumsum(_unpack(si, np.int64)), _unpack(sp, np.uint32)))
+    first, second, *rest = (np.concatenate(c) for c in zip(*parts))
+    return [first, second] if wide else [first], *rest
+
+
 def _send(size: int, wide: bool, bits: int, block_bytes: int):
-    """Stage 1: rows (bucket, hashes, id deltas, positions, settled ids, settled positions)."""
-    names = ["bucket", "h", "ids", "pos", "sids", "spos"]
+    """Stage 1: texts to rows of windows; each block of texts settles its own repeats."""
 
     def settle(column: pa.Array, ids: np.ndarray):
         hashes, doc, pos = _windows(column, size, wide)
-        gone = _repeated(hashes, ids[doc], pos)
-        bucket = (hashes[0] >> np.uint64(64 - bits)).astype(np.int64)
-        low = np.ascontiguousarray(hashes[0].view(np.uint8).reshape(-1, 8)[:, :7])  # the bucket holds the top byte
-        who = ids[doc]
-        order = np.lexsort((pos, who, bucket)) if (np.diff(ids) < 0).any() else np.argsort(bucket, kind="stable")
-        edges = np.searchsorted(bucket[order], np.arange((1 << bits) + 1))
-        rows = []
-        for b in np.flatnonzero(np.diff(edges)):
-            at = order[edges[b] : edges[b + 1]]
-            sent, left = at[~gone[at]], at[gone[at]]
-            h = low[sent].tobytes() + (hashes[1][sent].tobytes() if wide else b"")
-            rows.append((int(b), h, _pack(_delta(who[sent])), _pack(pos[sent].astype(np.uint32)), _pack(_delta(who[left])), _pack(pos[left].astype(np.uint32))))
-            if len(rows) == 256:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names)
-                rows = []
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names)
+        yield from _encode(hashes, ids[doc], pos, _repeated(hashes, ids[doc], pos), bits, wide)
 
     def run(batches):
         held, weight = [], 0
         for batch in itertools.chain(batches, [None]):
             if batch is not None:
                 for lo, hi in _tokens.slices(batch.column(1), block_bytes):
-                    piece = batch.slice(lo, hi - lo)
-                    held.append(pa.RecordBatch.from_arrays([piece.column(0).fill_null(NO_ID), pa.array(piece.column(1).to_pylist(), pa.large_string())], ["id", "text"]) if hi - lo < len(batch) else pa.RecordBatch.from_arrays([piece.column(0).fill_null(NO_ID), piece.column(1).cast(pa.large_string())], ["id", "text"]))
+                    ids, texts = batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo).cast(pa.large_string())
+                    if hi - lo < len(batch):  # a copy, so that the batch itself can go
+                        texts = pa.array(texts.to_pylist(), pa.large_string())
+                    held.append(pa.RecordBatch.from_arrays([ids.fill_null(NO_ID), texts], ["id", "text"]))
                     weight += held[-1].nbytes
             if held and (batch is None or weight >= block_bytes):
                 table = pa.Table.from_batches(held).sort_by("id").combine_chunks()
@@ -129,50 +154,58 @@ def _send(size: int, wide: bool, bits: int, block_bytes: int):
     return run
 
 
+def _by_bucket(batches):
+    """Lists of rows of one bucket each, from rows sorted by bucket."""
+    held = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if held and held[0][0] != row[0]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def _regroup(wide: bool, coarse: int, fine: int, most: int):
+    """Between two shuffles of a very large input: rows of a coarse bucket, a few windows each, become fuller rows
+    of fine buckets. At most about `most` windows are held."""
+
+    def run(batches):
+        held, weight = [], 0
+        for batch in itertools.chain(batches, [None]):
+            for row in zip(*(c.to_pylist() for c in batch.columns)) if batch is not None else [None]:
+                if held and (row is None or row[0] != held[0][0] or weight >= most):
+                    hashes, ids, pos, sids, spos = _decode(held, coarse, wide)
+                    yield from _encode(hashes, ids, pos, np.zeros(len(ids), bool), fine, wide)
+                    if len(sids):  # already settled: any bucket hands them on
+                        yield pa.RecordBatch.from_arrays([pa.array([c]) for c in (held[0][0] << (fine - coarse), b"", b"", b"", _pack(_delta(sids)), _pack(spos))], _NAMES)
+                    held, weight = [], 0
+                if row is not None:
+                    held.append(row)
+                    weight += len(row[1]) // 7 + 1
+
+    return run
+
+
 def _compare(wide: bool, bits: int, parts: int):
     """Stage 2 over rows sorted by bucket: rows (part, ids, positions) of removals."""
 
-    def flush(rows):
-        bucket = np.uint64(rows[0][0])
-        top = bucket >> np.uint64(bits - 8) if bits > 8 else bucket
-        hashes, ids, pos, sids, spos = [], [], [], [], []
-        for _, h, i, p, si, sp in rows:
-            who = np.cumsum(_unpack(i, np.int64))
-            n = len(who)
-            raw = np.frombuffer(h, np.uint8)
-            full = np.zeros((n, 8), np.uint8)
-            full[:, :7] = raw[: 7 * n].reshape(n, 7)
-            full[:, 7] = int(top)
-            hashes.append((full.view(np.uint64).ravel(), raw[7 * n :].view(np.uint64) if wide else None))
-            ids.append(who)
-            pos.append(_unpack(p, np.uint32))
-            sids.append(np.cumsum(_unpack(si, np.int64)))
-            spos.append(_unpack(sp, np.uint32))
-        ids, pos = np.concatenate(ids), np.concatenate(pos)
-        keys = [np.concatenate([h[k] for h in hashes]) for k in range(2 if wide else 1)]
-        gone = _repeated(keys, ids, pos)
-        ids, pos = np.concatenate([ids[gone], *sids]), np.concatenate([pos[gone], *spos])
-        part = _part_of(ids, parts)
-        order = np.lexsort((pos, ids, part))
-        ids, pos, part = ids[order], pos[order], part[order]
-        heads = np.flatnonzero(np.diff(part, prepend=-1))
-        if len(heads):
-            tails = np.append(heads[1:], len(part))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(part[heads]), pa.array([_pack(_delta(ids[a:b])) for a, b in zip(heads, tails)]), pa.array([_pack(pos[a:b]) for a, b in zip(heads, tails)])],
-                ["part", "ids", "pos"],
-            )
-
     def run(batches):
-        held = []
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and held[0][0] != row[0]:
-                    yield from flush(held)
-                    held = []
-                held.append(row)
-        if held:
-            yield from flush(held)
+        for rows in _by_bucket(batches):
+            keys, ids, pos, sids, spos = _decode(rows, bits, wide)
+            gone = _repeated(keys, ids, pos)
+            ids, pos = np.concatenate([ids[gone], sids]), np.concatenate([pos[gone], spos])
+            part = _part_of(ids, parts)
+            order = np.lexsort((pos, ids, part))
+            ids, pos, part = ids[order], pos[order], part[order]
+            heads = np.flatnonzero(np.diff(part, prepend=-1))
+            if len(heads):
+                tails = np.append(heads[1:], len(part))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(part[heads]), pa.array([_pack(_delta(ids[a:b])) for a, b in zip(heads, tails)]), pa.array([_pack(pos[a:b]) for a, b in zip(heads, tails)])],
+                    ["part", "ids", "pos"],
+                )
 
     return run
 
@@ -250,7 +283,7 @@ def _texts(parts: int):
     return run
 
 
-def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 13, wide: bool = False, block_bytes: int = BLOCK_BYTES, with_text: bool = True) -> DataFrame:
+def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 13, wide: bool = False, block_bytes: int = BLOCK_BYTES, with_text: bool = True, bucket_windows: int = BUCKET_WINDOWS, coarse_bits: int = COARSE_BITS) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, removed, kept_text) for every row.
 
     A word goes if a window of `size` consecutive words that covers it also starts in a document with
@@ -263,13 +296,18 @@ def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     total = text_bytes(docs, text_col)
     bits = 8
-    while (1 << bits) < total / 3 / BUCKET_WINDOWS and bits < 24:
+    while (1 << bits) < total / 3 / bucket_windows and bits < 40:
         bits += 1
+    coarse = min(bits, coarse_bits)
     ways = partitions(spark)
     parts = max(ways, int(total * 2 / PART_BYTES))
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sent = slim.mapInArrow(_send(size, wide, bits, block_bytes), "bucket long, h binary, ids binary, pos binary, sids binary, spos binary")
-    gone = sent.repartition(max(ways, (1 << bits) // 8), "bucket").sortWithinPartitions("bucket").mapInArrow(_compare(wide, bits, parts), "part int, ids binary, pos binary")
+    rows = "bucket long, h binary, ids binary, pos binary, sids binary, spos binary"
+    sent = slim.mapInArrow(_send(size, wide, coarse, block_bytes), rows)
+    if coarse < bits:
+        dealt = sent.repartition(max(ways, 1 << coarse), "bucket").sortWithinPartitions("bucket")
+        sent = dealt.mapInArrow(_regroup(wide, coarse, bits, REGROUP_WINDOWS), rows)
+    gone = sent.repartition(max(ways, min((1 << bits) // 8, MOST_TASKS)), "bucket").sortWithinPartitions("bucket").mapInArrow(_compare(wide, bits, parts), "part int, ids binary, pos binary")
     gone = gone.select("part", F.lit(0).cast("byte").alias("kind"), F.lit(None).cast("long").alias("doc_id"), "ids", F.col("pos").alias("data"))
     texts = slim.mapInArrow(_texts(parts), "part int, kind byte, doc_id long, ids binary, data binary")
     both = gone.unionByName(texts).repartition(ways, "part").sortWithinPartitions("part", "kind")

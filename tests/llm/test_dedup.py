@@ -189,14 +189,14 @@ def removed(rows, size=13):
     return out
 
 
-@pytest.mark.parametrize("wide,block", [(False, 1 << 20), (True, 700)])
-def test_repeated_passages(spark, mixed, wide, block):
+@pytest.mark.parametrize("wide,block,bucket,coarse", [(False, 1 << 20, 1 << 19, 12), (True, 700, 1 << 19, 12), (False, 700, 40, 9), (True, 4000, 40, 8)])
+def test_repeated_passages(spark, mixed, wide, block, bucket, coarse):
     rng = random.Random(9)
     passage = " ".join(rng.choices(WORDS, k=60))
     rows = [r for r in dict(mixed).items() if r[0] is not None]
     rows += [(400 + i, " ".join(rng.choices(WORDS, k=rng.randint(0, 30))) + "\n" + passage + " " + " ".join(rng.choices(WORDS, k=5))) for i in range(30)]
     rows += [(500, "a " * 200), (501, "a " * 50), (502, "x" * 3_000_000 + " tail"), (-3, passage)]
-    got = substring_dedup.remove_repeated_passages(docs(spark, rows), wide=wide, block_bytes=block).collect()
+    got = substring_dedup.remove_repeated_passages(docs(spark, rows), wide=wide, block_bytes=block, bucket_windows=bucket, coarse_bits=coarse).collect()
     want = removed(rows)
     assert len(got) == len(rows)
     for r in got:
