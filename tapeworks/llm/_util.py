@@ -11,6 +11,10 @@ ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Small intermediate tables are written to so many files at least, larger ones with so many rows a file.
+LEAST_FILES, ROWS_PER_FILE = 6, 200_000
+
+
 class Stash:
     """Intermediate tables written to the shared folder; lineage ends at each of them.
 
@@ -21,8 +25,12 @@ class Stash:
     def __init__(self, spark: SparkSession, tag: str):
         self.spark, self.tag = spark, tag
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        """Writes a table and reads it again. `rows`, a bound on its rows of a few numbers each, keeps a small one
+        in few files; the shuffle before it stays as wide as it is."""
         path = shared_path(self.spark, f"{self.tag}-{name}")
+        if rows is not None and (files := max(LEAST_FILES, rows // ROWS_PER_FILE)) < partitions(self.spark):
+            df = df.coalesce(files)
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.stash_path = path

@@ -22,21 +22,23 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
     stash = Stash(spark, "components")
     a, b = F.col(u).cast("long"), F.col(v).cast("long")
     left = stash.write(edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u <> v").distinct(), "edges")
-    labels = None
-    while not left.isEmpty():
+    labels, nodes = None, 0
+    while edges_left := left.count():
+        # An edge has two ends, so these bound the rows of everything below.
+        ends, nodes = 2 * edges_left, nodes or 2 * edges_left
         both = left.unionByName(left.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        up = stash.write(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("p")), "parents")
+        up = stash.write(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("p")), "parents", ends)
         one = up.select(F.col("u").alias("p"), F.col("p").alias("q"))
         two = up.join(one, "p").select("u", F.col("q").alias("p"))
-        roots = stash.write(two.join(one, "p").select("u", F.col("q").alias("p")), "roots")
+        roots = stash.write(two.join(one, "p").select("u", F.col("q").alias("p")), "roots", ends)
         ru, rv = roots.toDF("u", "ru"), roots.toDF("v", "rv")
         merged = left.join(ru, "u").join(rv, "v").where("ru <> rv")
-        after = stash.write(merged.select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct(), "edges")
+        after = stash.write(merged.select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct(), "edges", edges_left)
         if labels is None:
             now = roots.toDF("node", "root")
         else:
             step = roots.toDF("root", "next")
-            now = stash.write(labels.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "labels")
+            now = stash.write(labels.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "labels", nodes)
             stash.drop(labels, roots)
         stash.drop(left, up)
         labels, left = now, after

@@ -280,7 +280,7 @@ def link_fingerprints(fps: DataFrame, radius: int = 3, block_rows: int = BLOCK_R
     if n < 2:
         return spark.createDataFrame([], "u long, v long")
     rows = stash.write(probes(fps, plan(n, joint, radius)), "probes")
-    hot = stash.write(rows.groupBy("part", "key").agg(F.count("*").alias("c")).where(F.col("c") > block_rows).withColumn("blocks", F.ceil(F.col("c") / block_rows).cast("int")).drop("c"), "hot")
+    hot = stash.write(rows.groupBy("part", "key").agg(F.count("*").alias("c")).where(F.col("c") > block_rows).withColumn("blocks", F.ceil(F.col("c") / block_rows).cast("int")).drop("c"), "hot", n)
     ways = partitions(spark)
     some_hot = not hot.isEmpty()
     cold = rows.join(hot, ["part", "key"], "left_anti") if some_hot else rows
@@ -292,7 +292,7 @@ def link_fingerprints(fps: DataFrame, radius: int = 3, block_rows: int = BLOCK_R
         dealt = dealt.select("part", "key", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "fp", "own")
         dealt = dealt.repartition(ways, "part", "key", "x", "y").sortWithinPartitions("part", "key", "x", "y")
         out = out.unionByName(dealt.mapInArrow(_verify(["part", "key", "x", "y"], radius), "u long, v long"))
-    links = stash.write(out.distinct(), "links")
+    links = stash.write(out.distinct(), "links", n)
     stash.drop(rows, hot)
     return links
 
@@ -307,12 +307,13 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     spark = docs.sparkSession
     stash = Stash(spark, "simhash")
     marked = stash.write(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    reps = stash.write(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
+    n = marked.count()
+    reps = stash.write(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct", n)
     labels = connected_components(link_fingerprints(reps, radius, stash=stash))
     # Written, so that a large class or a hot fingerprint meets its name in rows that can be split between tasks.
-    rooted = stash.write(reps.join(labels.toDF("fp", "root"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")), "rooted")
-    named = stash.write(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "named")
-    classes = stash.write(rooted.join(named, "root").select("fp", "component_id"), "classes")
+    rooted = stash.write(reps.join(labels.toDF("fp", "root"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")), "rooted", n)
+    named = stash.write(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "named", n)
+    classes = stash.write(rooted.join(named, "root").select("fp", "component_id"), "classes", n)
     return marked.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
