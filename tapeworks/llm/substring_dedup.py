@@ -26,7 +26,7 @@ from tapeworks.llm import _tokens
 from tapeworks.llm._util import partitions, text_bytes
 
 #: Bytes of text that settle their own repeats before anything is sent.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: About how many windows a bucket should hold.
 BUCKET_WINDOWS = 1 << 19
 #: A first shuffle goes to 2**COARSE_BITS buckets at most; more buckets are reached by a second one, since rows of a
