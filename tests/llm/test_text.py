@@ -139,6 +139,33 @@ def test_longest_match_against_brute_force(spark):
     assert token_counts.token_counts(docs(spark, []), (first, rest)).count() == 0
 
 
+def test_longest_match_over_the_real_model(spark):
+    import sentencepiece
+
+    from tapeworks.llm.queries import tokenizer_path
+
+    path = tokenizer_path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    pieces = {model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
+
+    def brute(word):
+        word, n, i = "▁" + word, 0, 0
+        while i < len(word):
+            j = next((j for j in range(min(len(word), i + 20), i, -1) if word[i:j] in pieces), None)
+            n, i = (n + 1, j) if j else (n + len(word[i].encode()), i + 1)
+        return n
+
+    vocabulary = token_counts.piece_vocabulary(path)
+    match, rng = token_counts.LongestMatch(*vocabulary), random.Random(8)
+    known = ["2024", "123456789012", "4734663219866878$$$", "Ñandú", "ça", "ß", "the", "☃", "\U0001f9ff\U00013000x", "a▁the", "▁▁", "▁"]
+    words = known + ["".join(rng.choice("etain019.Ññçß☃▁\U00013000") for _ in range(rng.randint(1, 12))) for _ in range(4000)]
+    for w in words:
+        assert match.count(w) == brute(w), w
+    assert [match.count(w) for w in known[:2]] == [5, 13] and match.count("7" * 20_000) == 20_001
+    row = token_counts.token_counts(docs(spark, [(1, " ".join(words))]), vocabulary).first()
+    assert (row.n_words, row.n_tokens, row.n_unknown) == (len(words), sum(map(brute, words)), 0)
+
+
 def fold(s):
     s = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in s)
     return [w for w in re.split("[\x20\x09-\x0d]+", "".join(c for c in s if ord(c) >= 128 or c.isalnum() or c in " \t\n\x0b\x0c\r")) if w]
