@@ -14,9 +14,9 @@ from tapeworks.llm._util import Stash
 from tapeworks.llm.decontaminate import keep_clean
 from tapeworks.llm.exact_dedup import keep_largest
 from tapeworks.llm.langid import keep_identified
+from tapeworks.llm.near_copies import keep_distinct
 from tapeworks.llm.packing import pack_documents
 from tapeworks.llm.queries import tokenizer_path
-from tapeworks.llm.simhash import keep_representatives
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +30,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each near-duplicate class."""
-    return keep_representatives(docs)
+    """The smallest doc_id of each class of near copies: five words a shingle, similarity 0.8, verified."""
+    return keep_distinct(docs)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tapeworks.llm import exact_dedup, simhash, substring_dedup
+from tapeworks.llm import exact_dedup, near_copies, simhash, substring_dedup
 from tapeworks.llm.components import connected_components
 
 DOCS = "doc_id long, text string, lang string, keep_id long, fp long"
@@ -214,3 +214,49 @@ def test_null_ids_in_passages(spark):
     text = " ".join(WORDS[:20])
     got = substring_dedup.remove_repeated_passages(docs(spark, [(None, text), (1, text), (None, None)])).collect()
     assert sorted((r.doc_id is None, r.n_removed) for r in got) == [(False, 20), (True, 0), (True, 0)]
+
+
+def shingle_set(text, size=5):
+    words = re.findall(r"[^\x20\x09-\x0D]+", lower(text))
+    return {tuple(words[k : k + size]) for k in range(max(1, len(words) - size + 1))}
+
+
+def test_near_copies_against_brute_force(spark, mixed):
+    """The pipeline's stage leaves one document of every class of similarity 0.8, and all others."""
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    wide = [f"v{i}" for i in range(2000)]
+    rows = [r for r in dict(mixed).items() if r[0] is not None]
+    for c in range(40):
+        base = rng.choices(wide, k=rng.randint(20, 300))
+        for k in range(5):
+            words = list(base)
+            for _ in range(rng.randint(0, 1 + len(base) // 60)):
+                words[rng.randrange(len(words))] = rng.choice(wide)
+            rows.append((1000 + 10 * c + k, " ".join(words).upper() if k == 1 else "\n".join(words)))
+    # A chain, the smallest id of which is near to its neighbour only.
+    base = rng.choices(wide, k=400)
+    rows += [(2000 + k, " ".join(base[20 * k :] + base[: 20 * k])) for k in range(4)] + [(2010 + k, " ".join(base[30 * k : 30 * k + 280])) for k in range(5)]
+    sets = [(i, shingle_set(t)) for i, t in sorted(rows)]
+    parent = {i: i for i, _ in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    pairs = [(i, j, len(a & b) / len(a | b)) for k, (i, a) in enumerate(sets) for j, b in sets[k + 1 :] if a & b]
+    for i, j, s in pairs:
+        if s >= 0.8:
+            x, y = find(i), find(j)
+            parent[max(x, y)] = min(x, y)
+    frame = docs(spark, [*rows, (None, rows[-1][1]), (1000, dict(rows)[1000])])
+    kept = near_copies.keep_distinct(frame)
+    assert kept.columns == ["doc_id", "text", "lang", "keep_id", "fp"]
+    got = [r.doc_id for r in kept.collect()]
+    want = {i for i in parent if find(i) == i}
+    assert set(got) == want | {None} and len(got) == len(want) + 2
+    assert any((simhash.fingerprint(dict(rows)[i]) ^ simhash.fingerprint(dict(rows)[j])).bit_count() > 3 for i, j, s in pairs if s >= 0.8)
+    assert {r.doc_id for r in corpus_pipeline.near(spark, frame, "").collect()} == set(got)
+    assert near_copies.keep_distinct(docs(spark, [])).count() == 0
