@@ -3,7 +3,8 @@
 For every benchmark item, windows of as many words slide over a document. A window's SimHash is looked
 up in a multi-index: the 64 bits are cut into blocks, and any fingerprint within the radius differs in
 some block by few bits only, so the blocks' tables give all items within the radius. Candidates are
-verified by the exact weighted similarity of their word shingles.
+verified by the exact similarity of their word shingles: the multiset Jaccard index, or the one in which a
+shingle weighs the less the more distinct items of the whole benchmark have it, whichever is higher.
 
 A window that shares no shingle with an item has similarity zero, so windows are only fingerprinted
 where they hold a shingle of an item of their size; this drops none that could be verified.
@@ -12,12 +13,13 @@ where they hold a shingle of an item of their size; this drops none that could b
 from __future__ import annotations
 
 import itertools
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,7 +68,7 @@ class _Group:
 
     def __init__(self, size: int, items: list[tuple]):
         self.size, self.shingle = size, min(SHINGLE, size)
-        self.items = items  # (item_id, shingle counts)
+        self.items = items  # (item_id, shingles with counts, fingerprint)
         self.fps = np.array([fp for _, _, fp in items], np.uint64)
         edges = [64 * b // BLOCKS for b in range(BLOCKS + 1)]
         self.blocks = []
@@ -96,40 +98,39 @@ class _Group:
 class BenchmarkIndex:
     """The items of one slice of the benchmark, ready to be searched for."""
 
-    def __init__(self, rows: list[tuple[int, str | None]], similarity: float = SIMILARITY):
-        self.similarity = similarity
+    def __init__(self, rows: list[tuple[int, str | None]], shared: tuple[np.ndarray, np.ndarray], similarity: float = SIMILARITY):
+        self.similarity, self.shared = similarity, shared
         words, of = _words(pa.array([t for _, t in rows], pa.large_string()))
-        by_size, self.weights = defaultdict(list), Counter()
+        by_size = defaultdict(list)
         for (item_id, _), lo, hi in zip(rows, of[:-1], of[1:]):
             if hi > lo:
                 hashes = _tokens.window_hashes(words[lo:hi], min(SHINGLE, int(hi - lo)))
                 fp = int(_majority(_bits(hashes).sum(axis=0, dtype=np.int64)[None], len(hashes))[0])
-                counts = Counter(hashes.tolist())
-                by_size[int(hi - lo)].append((item_id, counts, fp))
-                self.weights.update(counts.keys())  # the number of items that have a shingle
+                by_size[int(hi - lo)].append((item_id, np.unique(hashes, return_counts=True), fp))
         self.groups = [_Group(size, items[i : i + 64]) for size, items in sorted(by_size.items()) for i in range(0, len(items), 64)]
         self.gates = {}
         for k in {g.shingle for g in self.groups}:
-            mine = [(h, n) for n, g in enumerate(self.groups) if g.shingle == k for _, counts, _ in g.items for h in counts]
+            mine = [(h, n) for n, g in enumerate(self.groups) if g.shingle == k for _, (own, _), _ in g.items for h in own.tolist()]
             pairs = np.array(mine, dtype=[("h", np.uint64), ("g", np.int64)]) if mine else np.zeros(0, [("h", np.uint64), ("g", np.int64)])
             pairs = np.unique(pairs)
             quick = np.zeros(1 << _GATE_BITS, bool)
             quick[(pairs["h"] >> np.uint64(64 - _GATE_BITS)).astype(np.int64)] = True
             self.gates[k] = (quick, pairs["h"], pairs["g"])
 
-    def _similarity(self, counts: Counter, window: np.ndarray) -> float:
-        """Weighted Jaccard; a shingle weighs the less the more items have it."""
-        mine = Counter(window.tolist())
-        both = total = 0.0
-        for h, n in counts.items():
-            w = 1 / self.weights[h]
-            m = mine.get(h, 0)
-            both += w * min(n, m)
-            total += w * max(n, m)
-        for h, m in mine.items():
-            if h not in counts:
-                total += m / max(1, self.weights.get(h, 1))
-        return both / total if total else 0.0
+    def _similarity(self, item: tuple[np.ndarray, np.ndarray], window: np.ndarray) -> float:
+        """Jaccard index of two multisets of shingles, plain or weighted, whichever is higher."""
+        mine = np.unique(window, return_counts=True)
+        every = np.union1d(item[0], mine[0])
+        n, m = np.zeros((2, len(every)), np.int64)
+        n[np.searchsorted(every, item[0])], m[np.searchsorted(every, mine[0])] = item[1], mine[1]
+        both, total = np.minimum(n, m), np.maximum(n, m)
+        plain = float(both.sum() / total.sum())
+        keys, texts = self.shared
+        if plain == 1 or not len(keys):
+            return plain
+        at = np.minimum(np.searchsorted(keys, every), len(keys) - 1)
+        weight = np.where(keys[at] == every, 1 / texts[at], 1.0)
+        return max(plain, float((weight * both).sum() / (weight * total).sum()))
 
     def _search(self, words: np.ndarray, k: int, hashes: np.ndarray, anchors: np.ndarray) -> Iterator[tuple]:
         """Verified matches of one document: (item_id, start, size, distance, similarity)."""
@@ -159,8 +160,8 @@ class BenchmarkIndex:
                     fps = _majority(sums[run - a + n] - sums[run - a], n)
                     for w, item, d in zip(*group.near(fps)):
                         start = int(run[w])
-                        item_id, counts, _ = group.items[item]
-                        score = self._similarity(counts, hashes[start : start + n])
+                        item_id, own, _ = group.items[item]
+                        score = self._similarity(own, hashes[start : start + n])
                         if score >= self.similarity:
                             yield item_id, start, size, int(d), score
 
@@ -186,6 +187,28 @@ class BenchmarkIndex:
                 yield row, item_id, start, size, d, score
 
 
+def shared_shingles(benchmark: DataFrame, text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that more than one distinct text of the whole benchmark has, sorted, with the number of texts.
+
+    Texts of the same folded words are one. About 16 bytes a shared shingle reach the driver and the executors.
+    """
+
+    def run(batches):
+        for batch in batches:
+            words, of = _words(batch.column(0))
+            for lo, hi in zip(of[:-1].tolist(), of[1:].tolist()):
+                if hi > lo:
+                    hashes = np.unique(_tokens.window_hashes(words[lo:hi], min(SHINGLE, hi - lo)))
+                    text = np.full(len(hashes), xxhash.xxh64_intdigest(words[lo:hi].tobytes()), np.uint64)
+                    yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(text.view(np.int64))], ["shingle", "item"])
+
+    pairs = benchmark.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "shingle long, item long").distinct()
+    table = pairs.groupBy("shingle").count().where("count > 1").toArrow()
+    keys = table.column(0).to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], table.column(1).to_numpy()[order]
+
+
 def benchmark_slices(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", slice_words: int = SLICE_WORDS) -> Iterator[list[tuple]]:
     """The benchmark in slices whose size is checked, so that each can be broadcast."""
     rows, weight = [], 0
@@ -211,9 +234,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, start_word long, n_words long, distance int, similarity double"
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    out = None
+    out, shared = None, shared_shingles(benchmark, item_text_col)
     for rows in benchmark_slices(benchmark, item_col, item_text_col, slice_words):
-        index = spark.sparkContext.broadcast(BenchmarkIndex(rows, similarity))
+        index = spark.sparkContext.broadcast(BenchmarkIndex(rows, shared, similarity))
 
         def run(batches, index=index):
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64()]
@@ -231,9 +254,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similarity: float = SIMILARITY, slice_words: int = SLICE_WORDS) -> DataFrame:
     """The rows that match no item, with all their columns; texts are judged where they lie."""
-    spark, out = docs.sparkSession, docs
+    spark, out, shared = docs.sparkSession, docs, shared_shingles(benchmark, item_text_col)
     for rows in benchmark_slices(benchmark, item_col, item_text_col, slice_words):
-        index = spark.sparkContext.broadcast(BenchmarkIndex(rows, similarity))
+        index = spark.sparkContext.broadcast(BenchmarkIndex(rows, shared, similarity))
         out = out.where(_clean(index)(F.col(text_col).cast("string")))
     return out
 

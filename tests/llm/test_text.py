@@ -217,6 +217,29 @@ def test_decontamination_against_brute_force(spark):
     assert decontaminate.keep_clean(docs(spark, rows), bench.limit(0)).count() == len(rows)
 
 
+def test_repeated_items_hide_no_copies(spark):
+    """Scores depend neither on how many rows repeat an item nor on the slice it falls in."""
+    rng = random.Random(7)
+    words = [f"v{i}" for i in range(900)]
+    short, longer, frame = (rng.sample(words, k=n) for n in (34, 50, 60))
+    copies = [(1, short[:-1] + ["changed"]), (2, longer[:2] + ["changed"] + longer[3:])]
+    # A template of many items: the part of its own makes an item known in another template.
+    template = [(300 + k, frame[:20] + rng.sample(words, k=40)) for k in range(60)]
+    copies += [(3, frame[20:40] + template[7][1][20:])]
+    other = [(400 + k, frame[20:40] + rng.sample(words, k=40)) for k in range(60)]
+    scores = []
+    for repeats, slice_words in ((1, 2_000_000), (8, 2_000_000), (100, 700)):
+        items = [(k, short) for k in range(repeats)] + [(100 + k, [w.upper() for w in longer] if k % 2 else longer) for k in range(repeats)] + template + other
+        bench = spark.createDataFrame([(i, " ".join(t)) for i, t in items], "item_id long, text string")
+        texts = docs(spark, [(i, " ".join(t)) for i, t in copies] + [(9, " ".join(rng.sample(words, k=80)))])
+        got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.contaminated(texts, bench, slice_words=slice_words).collect()}
+        assert {(1, k) for k in range(repeats)} | {(2, 100 + k) for k in range(repeats)} | {(3, 307)} <= set(got)
+        assert all(got[1, k] == got[1, 0] == 29 / 31 for k in range(repeats))
+        scores.append((got[1, 0], got[2, 100], got[3, 307]))
+        assert [r.doc_id for r in decontaminate.keep_clean(texts, bench, slice_words=slice_words).collect()] == [9]
+    assert scores[0] == scores[1] == scores[2]
+
+
 def test_words_and_hashes():
     texts = ["a b", None, "", " x", "y", "tail ", "é\x0bz", "q" * 3_000_000, "q" * 3_000_000 + "r", "a"]
     raw, at = _tokens.buffers(pa.array(texts))
