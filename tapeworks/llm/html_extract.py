@@ -36,9 +36,14 @@ BLOCKS = {
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 #: Elements whose end tags are commonly left out: a new one of the kind, or the parent's end, ends them.
 LOOSE = {"p", "li", "dd", "dt", "td", "th", "tr", "option", "thead", "tbody", "tfoot", "b", "i", "em", "strong", "span", "font", "u", "a"}
+_NAMES = (
+    r"(?:ad|ads|advert[^\W_]*|banner|sponsor[^\W_]*|promo[^\W_]*|nav[^\W_]*|menu[^\W_]*|breadcrumbs?|sidebar|side|widget|footer|foot|header|masthead|cookie[^\W_]*|consent|notice|popup|modal|newsletter|subscribe|"
+    r"share|sharing|social|related|recommend[^\W_]*|comments?|commentlist|disqus|respond|replies|pagination|pager|toolbar|login|signup|copyright|legal)"
+)
+#: A class or id that as a whole names furniture: names, with words before and after that do not change what it is.
 _NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar|side|widget|footer|foot|header|masthead|cookie\w*|consent|notice|popup|modal|newsletter|subscribe|"
-    r"share|sharing|social|related|recommend\w*|comments?|commentlist|disqus|respond|replies|pagination|pager|toolbar|login|signup|copyright|legal)(?=$|[\s_-])",
+    r"(?:(?:site|global|primary|secondary|top|bottom)[_-]|(?:page|post|entry|article)[_-](?!header|banner))?"
+    rf"{_NAMES}(?:[_-](?:{_NAMES}|box|block|list|items?|links?|bar|area|section|inner|form|body|slot|unit))*",
     re.I,
 )
 _ROLE = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
@@ -51,31 +56,43 @@ STOP_LOW, STOP_HIGH = 0.12, 0.22
 MAX_LINKS = 0.4
 
 
+class Verdict:
+    """An element judged by its class or id; void, with those around it, once it is found to hold the article."""
+
+    __slots__ = ("void", "around")
+
+    def __init__(self, around: Verdict | None):
+        self.void, self.around = False, around
+
+
 class Block:
-    __slots__ = ("parts", "linked", "bad", "content", "heading", "text", "label")
+    __slots__ = ("parts", "linked", "bad", "content", "heading", "named", "text", "label")
 
-    def __init__(self, bad: bool, content: bool, heading: bool):
-        self.parts, self.linked, self.bad, self.content, self.heading = [], 0, bad, content, heading
+    def __init__(self, bad: bool, content: bool, heading: bool, named: Verdict | None = None):
+        self.parts, self.linked, self.bad, self.content, self.heading, self.named = [], 0, bad, content, heading, named
         self.text, self.label = "", ""
 
 
-def _furniture(name: str, attrs: str) -> bool:
+def _furniture(name: str, attrs: str) -> tuple[bool, bool]:
+    """Whether an element is furniture by its kind or role, and whether by its class or id."""
     if name in FURNITURE:
-        return True
-    if name in CONTENT or "=" not in attrs:
-        return False
+        return True, False
+    if name in ("html", "body") or "=" not in attrs:
+        return False, False
+    hard = named = False
     for key, value in _ATTR.findall(attrs):
         value, key = value.strip("\"'"), key.lower()
-        if key in ("class", "id") and _NAMED.search(value) or key == "role" and value.lower() in _ROLE or key == "aria-hidden" and value == "true":
-            return True
-    return "hidden" in attrs.lower().split()
+        named = named or key in ("class", "id") and any(map(_NAMED.fullmatch, value.split()))
+        hard = hard or key == "role" and value.lower() in _ROLE or key == "aria-hidden" and value == "true"
+    return name not in CONTENT and (hard or "hidden" in attrs.lower().split()), named
 
 
 def split_blocks(page: str) -> list[Block]:
     """The non-empty blocks of a page, in order."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, bad, content
-    bad = content = False
+    stack: list[tuple[str, bool, bool, Verdict | None]] = []  # name, bad, content, named
+    bad = content = met = False  # met: an article has begun
+    named: Verdict | None = None
     links, at, n = 0, 0, len(page)
     last_close = page.rfind(">")
     opened: Counter[str] = Counter()
@@ -88,7 +105,7 @@ def split_blocks(page: str) -> list[Block]:
             now.text = _SPACE.sub(" ", html.unescape("".join(now.parts))).strip()
             if now.text:
                 out.append(now)
-        now = Block(bad, content, heading)
+        now = Block(bad, content, heading, named)
 
     while at < n:
         lt = page.find("<", at)
@@ -132,18 +149,28 @@ def split_blocks(page: str) -> list[Block]:
                 while stack and stack[-1][0] in LOOSE and stack[-1][0] not in ("tr", "table") and stack[-1][0] != "td":
                     gone = stack.pop()
                     opened[gone[0]] -= 1
-                    bad, content = gone[1], gone[2]
+                    bad, content, named = gone[1:]
                     if gone[0] == name:
                         break
             if name not in VOID and not m[3].endswith("/"):
-                stack.append((name, bad, content))
+                stack.append((name, bad, content, named))
                 opened[name] += 1
-                bad = bad or _furniture(name, m[3])
+                hard, by_name = _furniture(name, m[3])
+                if name in CONTENT:
+                    # Articles further inside content, as comments are, leave the verdict on what holds them.
+                    if not by_name and not (content and met):
+                        holder, named = named, None
+                        while holder and not holder.void:
+                            holder.void, holder = True, holder.around
+                    met = met or name == "article"
+                elif by_name:
+                    named = Verdict(named)
+                bad = bad or hard
                 content = content or name in CONTENT
         elif opened[name]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
-                    _, bad, content = stack[k]
+                    _, bad, content, named = stack[k]
                     opened.subtract(x[0] for x in stack[k:])
                     del stack[k:]
                     break
@@ -153,6 +180,8 @@ def split_blocks(page: str) -> list[Block]:
             links = 0 if name in ("p", "div", "li") and not ending else links
             close(not ending and re.fullmatch("h[1-6]", name) is not None)
     close()
+    for b in out:
+        b.bad = b.bad or b.named is not None and not b.named.void
     return out
 
 

@@ -28,6 +28,20 @@ def test_article():
     assert html_extract.main_text(PAGE.format()) == "Head & tail\nThe first of the paragraphs. And bold\nSecond <one> with a link.\nOk."
 
 
+def test_names_of_layout_do_not_hide_the_article():
+    want = html_extract.main_text(PAGE.format())
+    for name in ("has-sidebar", "no-sidebar", "nav-open", "hide-comments", "sidebar", "header ad"):
+        assert html_extract.main_text(PAGE.format().replace("<body>", f'<body class="{name}">')) == want
+        wrapped = PAGE.format().replace("<body>", f'<body><div class="{name}">').replace("</body>", "</div></body>")
+        assert html_extract.main_text(wrapped) == want
+    text = "The question of the day is whether it is for the people or for the few who have it, and that is not a matter of the law. " * 3
+    assert html_extract.main_text(f'<body><div class="layout-with-sidebar"><p>{text}</p></div>') == text.strip()
+    for name in ("sidebar", "site-footer", "x post-comments"):
+        assert html_extract.main_text(f'<body><div class="{name}"><p>{text}</p></div>') == ""
+    inside = f'<main><article><p>{text}</p></article><div id="comments"><article><p>No</p></article></div></main>'
+    assert html_extract.main_text(inside) == text.strip()
+
+
 def test_page_without_an_article_element():
     body = "The question of the day is whether it is for the people or for the few who have it, and that is not a matter of the law but of the will. " * 3
     page = f"<body><div><a href=a>One</a> <a href=b>Two</a></div><h2>On the matter</h2><p>{body}</p><p>It is so.</p><p>{body}</p><ul><li><a href=c>More of this</a></li></ul></body>"
