@@ -74,6 +74,18 @@ def _emails(text: str):
         at = text.find("@", max(at + 1, done))
 
 
+def _ibans(text: str):
+    """From each possible start the longest run of whole groups that the checksum confirms."""
+    m = _IBAN.search(text)
+    while m:
+        start, end = m.span()
+        ends = [e for e in range(end, start + 14, -1) if e == end or text[e] == " "]
+        good = next((e for e in ends if len(text[start:e].replace(" ", "")) >= 15 and mod97(text[start:e])), None)
+        if good:
+            yield start, good
+        m = _IBAN.search(text, good or start + 1)
+
+
 def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
@@ -96,7 +108,7 @@ def find_spans(text: str | None) -> list[tuple[str, int, int, float]]:
         if "+" in text:
             out += [("phone", m.start(), m.end()) for m in _PHONE.finditer(text) if 9 <= len(_digits(m[0])) <= 15]
         base = len(out)
-        out += [("iban", m.start(), m.end()) for m in _IBAN.finditer(text) if mod97(m[0])]
+        out += [("iban", a, b) for a, b in _ibans(text)]
         taken = sorted((a, b) for _, a, b in out[:base])
         starts, reach = [a for a, _ in taken], list(itertools.accumulate((b for _, b in taken), max))
         for m in _LOCAL_PHONE.finditer(text):

@@ -80,6 +80,12 @@ def test_added_spans_and_context():
     assert not [s for s in pii.find_spans("DE89 3704 0044 0532 0130 01") if s[0] == "iban"]
 
 
+def test_ibans_before_capitals_and_digits():
+    spaced, solid = "DE89 3704 0044 0532 0130 00", "DE89370400440532013000"
+    for text, found in ((f"IBAN {spaced} BIC COBADEFF370", [spaced]), (f"{solid} EUR 120", [solid]), (f"{spaced} {spaced} {solid}", [spaced, spaced, solid])):
+        assert [text[a:b] for k, a, b, _ in pii.find_spans(text) if k == "iban"] == found
+
+
 def test_pii_frame(spark):
     rows = [(1, "me@x.org 10.0.0.1"), (2, None), (3, ""), (None, "+1 (017) 555-7713"), (1, "me@x.org 10.0.0.1"), (5, "1" * 200_000 + "@" * 10_000)]
     got = {r.doc_id: r for r in pii.pii_spans(docs(spark, rows)).collect()}
