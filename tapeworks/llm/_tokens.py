@@ -1,21 +1,23 @@
 """Vectorised words of Arrow string columns: no Python object per word.
 
-A word is a maximal run of bytes outside 0x20 and 0x09-0x0D. A word's hash is a polynomial over its
-bytes modulo 2**64, taken from prefix sums of the whole buffer and passed through a finaliser.
+A word is a maximal run of bytes outside 0x20 and 0x09-0x0D. A word's hash chains its 8-byte lanes
+through a 64-bit finaliser, so no two words of one length up to 8 bytes share a hash; a long word is
+hashed by XXH64.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U64 = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_ROLL = 0xD6E8FEB86659FD93 | 1
+#: Odd multipliers of Rabin-Karp window hashes; two different ones for hashes that should be independent.
+_ROLLS = (0xD6E8FEB86659FD93, 0x9FB21C651E98DF23)
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-#: How many bytes of text are hashed in one go.
-BLOCK_BYTES = 1 << 20
+#: Longer words are hashed one by one.
+LANE_BYTES = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -28,20 +30,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, by doubling."""
-    out = np.ones(1, U64)
-    step = base
-    while len(out) < n:
-        out = np.concatenate([out, out * U64(step)])
-        step = step * step % (1 << 64)
-    return out[:n]
-
-
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_POW, _INV = _powers(_BASE, BLOCK_BYTES + 1), _powers(_INVERSE, BLOCK_BYTES + 1)
-
-
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string array and its n + 1 offsets; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -73,40 +61,41 @@ def word_spans(raw: np.ndarray, at: np.ndarray, space: np.ndarray = SPACE) -> tu
     return starts, ends, np.searchsorted(starts, at)
 
 
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+
+
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
-    out = np.empty(len(starts), U64)
-    i = 0
-    while i < len(starts):
-        base = int(starts[i])
-        j = int(np.searchsorted(ends, base + BLOCK_BYTES, "right"))
-        if j <= i:  # one word longer than a block
-            h = 0
-            for k in range(base, int(ends[i]), BLOCK_BYTES):
-                piece = raw[k : min(k + BLOCK_BYTES, int(ends[i]))]
-                part = int(((piece.astype(U64) + U64(1)) * _POW[: len(piece)]).sum(dtype=U64))
-                h = (h * pow(_BASE, BLOCK_BYTES, 1 << 64) + part) % (1 << 64)
-            out[i] = h
-            i += 1
-            continue
-        block = raw[base : int(ends[j - 1])]
-        total = np.zeros(len(block) + 1, U64)
-        np.cumsum((block.astype(U64) + U64(1)) * _POW[: len(block)], out=total[1:])
-        s, e = starts[i:j] - base, ends[i:j] - base
-        out[i:j] = (total[e] - total[s]) * _INV[s]
-        i = j
-    lengths = (ends - starts).astype(U64)
-    return mix(out + lengths * U64(0xFF51AFD7ED558CCD) + U64(salt))
-
-
-def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit hash of each word's bytes; another salt gives another function."""
+    lengths = ends - starts
+    out = mix(lengths.astype(U64) * U64(0xFF51AFD7ED558CCD) + U64((salt + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
+    if not len(starts):
+        return out
+    padded = np.empty(len(raw) + 8, np.uint8)
+    padded[: len(raw)], padded[len(raw) :] = raw, 0
+    lanes = np.ndarray(len(raw) + 1, "<u8", padded.data, strides=(1,))  # the 8 bytes from each position on
+    long = np.flatnonzero(lengths > LANE_BYTES)
+    live, at, left = slice(None), starts, lengths
+    if len(long):
+        live = np.flatnonzero(lengths <= LANE_BYTES)
+        at, left = starts[live], lengths[live]
+    while len(at):
+        out[live] = mix(out[live] * U64(0xC2B2AE3D27D4EB4F) ^ (lanes[at] & _KEEP[np.minimum(left, 8)]))
+        more = np.flatnonzero(left > 8)
+        live = more if isinstance(live, slice) else live[more]
+        at, left = at[more] + 8, left[more] - 8
+    for k in long.tolist():
+        out[k] = xxhash.xxh64_intdigest(raw[starts[k] : ends[k]].data, seed=salt)
+    return out
+
+
+def window_hashes(words: np.ndarray, size: int, salt: int = 0) -> np.ndarray:
     """Rabin-Karp hashes of every `size` consecutive words; entry i starts at word i."""
     n = len(words) - size + 1
     if n <= 0:
         return np.zeros(0, U64)
-    out = words[:n].copy()
+    out, roll = words[:n].copy(), U64(_ROLLS[salt])
     for k in range(1, size):
-        out *= U64(_ROLL)
+        out *= roll
         out += words[k : k + n]
     return mix(out)
 

@@ -15,6 +15,17 @@ ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 LEAST_FILES, ROWS_PER_FILE = 6, 200_000
 
 
+#: Rows cross to Python workers in Arrow batches of at most so many bytes (one row at least).
+BATCH_BYTES = 12 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches by bytes, so that long texts don't add up to large ones. A smaller bound stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 class Stash:
     """Intermediate tables written to the shared folder; lineage ends at each of them.
 

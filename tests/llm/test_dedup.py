@@ -189,14 +189,14 @@ def removed(rows, size=13):
     return out
 
 
-@pytest.mark.parametrize("wide,block,bucket,coarse", [(False, 1 << 20, 1 << 19, 12), (True, 700, 1 << 19, 12), (False, 700, 40, 9), (True, 4000, 40, 8)])
-def test_repeated_passages(spark, mixed, wide, block, bucket, coarse):
+@pytest.mark.parametrize("block,bucket,coarse,settle", [(1 << 20, 1 << 19, 12, 1 << 20), (700, 1 << 19, 12, 300), (3000, 400, 9, 1 << 20), (4000, 400, 8, 50)])
+def test_repeated_passages(spark, mixed, block, bucket, coarse, settle):
     rng = random.Random(9)
     passage = " ".join(rng.choices(WORDS, k=60))
     rows = [r for r in dict(mixed).items() if r[0] is not None]
     rows += [(400 + i, " ".join(rng.choices(WORDS, k=rng.randint(0, 30))) + "\n" + passage + " " + " ".join(rng.choices(WORDS, k=5))) for i in range(30)]
     rows += [(500, "a " * 200), (501, "a " * 50), (502, "x" * 3_000_000 + " tail"), (-3, passage)]
-    got = substring_dedup.remove_repeated_passages(docs(spark, rows), wide=wide, block_bytes=block, bucket_windows=bucket, coarse_bits=coarse).collect()
+    got = substring_dedup.remove_repeated_passages(docs(spark, rows), block_bytes=block, bucket_windows=bucket, coarse_bits=coarse, settle_windows=settle).collect()
     want = removed(rows)
     assert len(got) == len(rows)
     for r in got:
@@ -210,6 +210,38 @@ def test_empty_tables(spark, run):
     assert run(docs(spark, [])).count() == 0
 
 
+def thue_morse(n):
+    """Two different words of n bytes that polynomial hashes modulo 2**64 cannot tell apart."""
+    bits = [k.bit_count() & 1 for k in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [64, 1024, 4096])
+def test_words_that_polynomials_confuse(spark, n):
+    a, b = thue_morse(n)
+    rows = [(1, " ".join([*WORDS[:12], a])), (2, " ".join([*WORDS[:12], b])), (3, " ".join([*WORDS[:12], b]))]
+    got = substring_dedup.remove_repeated_passages(docs(spark, rows)).collect()
+    assert sorted((r.doc_id, r.n_removed) for r in got) == [(1, 0), (2, 0), (3, 13)]
+
+
+def test_word_hashes_tell_words_apart():
+    from tapeworks.llm import _tokens
+    import pyarrow as pa
+
+    words = sorted({"x" * k for k in range(1, 300)} | {f"{a}{k}" for a in ("", "word-", "a-very-long-prefix-of-a-word-") for k in range(5000)} | set(thue_morse(512)))
+    for salt in (0, 1):
+        raw, at = _tokens.buffers(pa.array([" ".join(words[:7000]), None, "", " ".join(words[7000:])]))
+        starts, ends, _ = _tokens.word_spans(raw, at)
+        hashes = _tokens.word_hashes(raw, starts, ends, salt)
+        assert len(set(hashes.tolist())) == len(words)
+        alone = [_tokens.word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w)]), salt)[0] for w in words[::997]]
+        assert hashes[::997].tolist() == [int(h) for h in alone]
+
+
+def test_key_bytes_follow_the_size():
+    assert [substring_dedup.key_bytes(n) for n in (0, 1, 1e6, 1e9, 1e12, 1e14, 1e30)] == [10, 10, 10, 10, 13, 15, 16]
+
+
 def test_null_ids_in_passages(spark):
     text = " ".join(WORDS[:20])
     got = substring_dedup.remove_repeated_passages(docs(spark, [(None, text), (1, text), (None, None)])).collect()
