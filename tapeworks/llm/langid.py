@@ -7,7 +7,8 @@ each n-gram is out of place, with a fixed penalty for one the profile lacks. The
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import unicodedata
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,64 +19,71 @@ from pyspark.sql import functions as F
 LONGEST = 5
 PROFILE = 1500
 RANKED = 400
-#: About so many distinct texts of each language are learned from (chosen by a hash of the text).
+#: About so many distinct texts of each language are learned from (chosen by a hash of the text). What reaches the
+#: driver are PROFILE n-grams a language.
 FIT_TEXTS = 3000
-#: At most so many languages (the most frequent ones) are learned.
-FIT_LANGUAGES = 400
 UNKNOWN = "und"
-#: Characters of a text whose n-grams are counted in one go.
+#: Characters of a text whose n-grams are counted in one go; the counts do not depend on it.
 BLOCK_CHARS = 1 << 20
-_LETTER = None
-
-
-def _letters() -> np.ndarray:
-    global _LETTER
-    if _LETTER is None:
-        _LETTER = np.fromiter((chr(i).isalpha() or 0x300 <= i < 0x370 for i in range(0x10000)), bool, 0x10000)
-        _LETTER[0xD800:0xE000] = False
-    return _LETTER
-
-
-def _codes(text: str) -> np.ndarray:
-    """Letters as code points, every run of anything else as one 0, padded."""
-    raw = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    ok = np.where(raw < 0x10000, _letters()[np.minimum(raw, 0xFFFF)], raw >= 0x20000)
-    if (astral := (raw >= 0x10000) & (raw < 0x20000)).any():
-        ok[astral] = [chr(c).isalpha() for c in raw[astral]]
-    if not ok.any():
-        return np.zeros(0, np.uint64)
-    first = np.concatenate([[False], ok, [False]])
-    codes = np.concatenate([[0], np.where(ok, raw, 0), [0]]).astype(np.uint64)
-    keep = first.copy()
-    keep[0] = True
-    keep[1:] |= first[:-1]
-    return codes[keep]
-
-
-def _grams(codes: np.ndarray, longest: int) -> np.ndarray:
-    """Hashed n-grams of one to `longest` characters that have no space inside."""
+_KINDS = None
+
+
+def _kinds() -> np.ndarray:
+    """By code point: 2 for a letter, 1 for a mark that combines with one, 0 for all else."""
+    global _KINDS
+    if _KINDS is None:
+        _KINDS = np.fromiter((2 if chr(c).isalpha() else unicodedata.category(chr(c))[0] == "M" for c in range(0x110000)), np.uint8, 0x110000)
+    return _KINDS
+
+
+def _codes(text: str, block: int) -> Iterator[np.ndarray]:
+    """Words as code points, everything between two words as one 0, a 0 at both ends; in blocks that follow on
+    from each other. A text without a letter has none. Marks belong to words but make none."""
+    text, kinds, met, gap = text.lower(), _kinds(), False, True
+    held = [np.zeros(1, np.uint64)]
+    for i in range(0, len(text), block):
+        raw = np.frombuffer(text[i : i + block].encode("utf-32-le", "surrogatepass"), np.uint32)
+        kind = kinds[raw]
+        met = met or bool((kind == 2).any())
+        solid = kind > 0
+        after = np.concatenate([[not gap], solid[:-1]])  # whether the character before is part of a word
+        keep = solid | after
+        held.append(np.where(solid, raw, 0)[keep].astype(np.uint64))
+        gap = not solid[-1]
+        if not gap and i + block >= len(text):
+            held.append(np.zeros(1, np.uint64))
+        if met:
+            yield np.concatenate(held)
+            held = []
+
+
+def _grams(codes: np.ndarray, longest: int, old: int = 0) -> np.ndarray:
+    """Hashed n-grams of one to `longest` characters without a space inside that end behind the first `old` codes."""
     letter = codes != 0
-    out = [codes[letter] + np.uint64(1 << 40)]
-    value, fine = codes.copy(), np.ones(len(codes), bool)
+    out = [codes[old:][letter[old:]] + np.uint64(1 << 40)]
+    digits = codes + np.uint64(1)  # a space counts too
+    value, fine = digits, np.ones(len(codes), bool)
     for n in range(2, longest + 1):
         m = len(codes) - n + 1
         if m <= 0:
             break
-        value = value[:m] * np.uint64(0x9E3779B97F4A7C15) + codes[n - 1 : n - 1 + m]
+        value = value[:m] * np.uint64(0x9E3779B97F4A7C15) + digits[n - 1 : n - 1 + m]
         fine = fine[:m] & (letter[n - 2 : n - 2 + m] if n > 2 else True)
         use = fine & (letter[:m] | letter[1 : 1 + m])
+        use[: max(0, old - n + 1)] = False
         out.append((value[use] ^ (value[use] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9))
     return np.concatenate(out)
 
 
-def count_grams(text: str, longest: int = LONGEST) -> tuple[np.ndarray, np.ndarray]:
+def count_grams(text: str, longest: int = LONGEST, block: int = BLOCK_CHARS) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-grams of a whole text with their counts."""
     keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    for i in range(0, len(text), BLOCK_CHARS):
-        codes = _codes(text[i : i + BLOCK_CHARS])
-        if not len(codes):
-            continue
-        k, c = np.unique(_grams(codes, longest), return_counts=True)
+    tail = np.zeros(0, np.uint64)
+    for codes in _codes(text, block):
+        old = len(tail)
+        codes = np.concatenate([tail, codes]) if old else codes
+        tail = codes[max(0, len(codes) - longest + 1) :]
+        k, c = np.unique(_grams(codes, longest, old), return_counts=True)
         if len(keys):
             keys, inverse = np.unique(np.concatenate([keys, k]), return_inverse=True)
             counts = np.bincount(inverse, np.concatenate([counts, c])).astype(np.int64)
@@ -117,8 +125,7 @@ class Profiles:
         at[at == len(self.grams)] = 0
         at = np.where(self.grams[at] == top, at, len(self.grams))
         found = self.rank[at]
-        place = (np.arange(len(top)) * (self.size / max(len(top), 1)) if len(top) < self.ranks else np.arange(len(top)))[:, None]
-        away = np.where(found < self.size, np.minimum(np.abs(found - place), self.size), self.size).sum(axis=0)
+        away = np.where(found < self.size, np.abs(found - np.arange(len(top))[:, None]), self.size).sum(axis=0)
         best = int(np.argmin(away))
         return self.langs[best], float(1 - away[best] / (len(top) * self.size))
 
@@ -131,12 +138,13 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", l
     languages x profile n-grams. Null languages and texts are left out.
     """
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(FIT_LANGUAGES).collect()
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("text").alias("n")).collect()
     if not counts:
         return Profiles({}, longest)
     scale = 1 << 20
-    limit = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(scale, -(-fit_texts * scale // r["count"])))])
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(scale)) < F.coalesce(limit[F.col("lang")], F.lit(0))).distinct()
+    # As many rows as there are languages, already on the driver.
+    limits = F.broadcast(labelled.sparkSession.createDataFrame([(r["lang"], min(scale, -(-fit_texts * scale // max(1, r["n"])))) for r in counts], "lang string, most long"))
+    sample = rows.join(limits, "lang").where(F.pmod(F.xxhash64("text"), F.lit(scale)) < F.col("most")).select("lang", "text").distinct()
 
     def run(batches):
         for batch in batches:
@@ -175,8 +183,9 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """(doc_id, held_out, lang_pred, score) for every row.
 
     Learns from text and lang of the rows that are not held out; predicts from text alone. A text that
-    is null or has no letter is `und` with score 0, and so is every text if no row is labelled. Repeated
-    rows repeat their result; an empty table gives an empty result; other columns are ignored.
+    is null or has no letter is `und` with score 0, and so is every text if no row is labelled. Of languages
+    at the same distance the first in the order of names wins. Repeated rows repeat their result; an empty
+    table gives an empty result; other columns are ignored.
     """
     profiles = learn(docs.where(~held_out(id_col)), text_col, lang_col)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"))

@@ -3,6 +3,7 @@
 import collections
 import random
 import re
+import unicodedata
 
 import pyarrow as pa
 import pytest
@@ -120,15 +121,95 @@ def test_language_identification(spark, labelled):
     assert {r.lang_pred for r in langid.identify(docs(spark, [(1, "the sea", None)])).collect()} == {"und"}
 
 
-def test_grams_of_blocks_add_up():
-    text = SAMPLES["en"] * 5
-    whole = dict(zip(*(a.tolist() for a in langid.count_grams(text))))
-    words = collections.Counter()
-    for w in text.split():
-        for n in range(1, 6):
-            p = f" {w} " if n > 1 else w
-            words.update(p[i : i + n] for i in range(len(p) - n + 1))
-    assert sum(whole.values()) == sum(n for g, n in words.items() if g.strip())
+def plain_grams(text):
+    """N-grams as strings: words of letters and marks, padded by a space for two characters and more."""
+    kind = lambda c: "L" if c.isalpha() else unicodedata.category(c)[0]
+    text = text.lower()
+    if not any(c.isalpha() for c in text):
+        return collections.Counter()
+    words = "".join(c if kind(c) in "LM" else " " for c in text).split(" ")
+    out = collections.Counter()
+    for w in filter(None, words):
+        out.update(w)
+        out.update(f" {w} "[i : i + n] for n in range(2, 6) for i in range(len(w) + 3 - n))
+    return out
+
+
+def key_of(gram):
+    """An n-gram's key by the formula, in whole numbers."""
+    codes, ones = [1 if c == " " else ord(c) + 1 for c in gram], (1 << 64) - 1
+    if len(codes) == 1:
+        return ord(gram) + (1 << 40)
+    value = 0
+    for c in codes:
+        value = (value * 0x9E3779B97F4A7C15 + c) & ones
+    return (value ^ (value >> 29)) * 0xBF58476D1CE4E5B9 & ones
+
+
+def plain_identify(rows):
+    """Out-of-place distance by its definition, over strings."""
+    import zlib
+
+    held = {i: i is not None and zlib.crc32(str(i).encode()) % 4 == 2 for i, _, _ in rows}
+    learned = collections.defaultdict(collections.Counter)
+    for t, g in {(t, g) for i, t, g in rows if not held[i] and t is not None and g is not None}:
+        learned[g].update(plain_grams(t))
+    signed = lambda k: k - (1 << 64) if k >> 63 else k
+    profiles = {g: {x: r for r, x in enumerate(sorted(c, key=lambda x: (-c[x], signed(key_of(x))))[: langid.PROFILE])} for g, c in learned.items()}
+    size = max(map(len, profiles.values()))
+    out = []
+    for i, t, _ in rows:
+        own = plain_grams(t or "")
+        top = sorted(own, key=lambda x: (-own[x], key_of(x)))[: langid.RANKED]
+        if not top:
+            out.append((i, held[i], "und", 0.0))
+            continue
+        away = {g: sum(abs(p[x] - r) if x in p else size for r, x in enumerate(top)) for g, p in profiles.items()}
+        best = min(sorted(away), key=away.get)
+        out.append((i, held[i], best, 1 - away[best] / (len(top) * size)))
+    return sorted(out, key=str)
+
+
+def test_language_identification_against_plain_distances(spark, labelled):
+    rng = random.Random(11)
+    rows = [(i, t, g) for i, t, g in labelled if i % 2 == 0]
+    letters = "abcdefghijklmnopqrstuvwxyzäöüßéèçñ"
+    for k in range(40):  # texts with a few and with many more n-grams than are ranked
+        rows.append((1000 + k, " ".join("".join(rng.choices(letters, k=rng.randint(1, 9))) for _ in range(10 * k)), None))
+    rows += [(2000, "", None), (2001, "\u0301\u0301", None), (2002, "\U000e0041 \U000f0000", None), (2003, "e\u0301te\u0301 et le", None), (2004, "x" * 3000, "xx"), (2005, "日本語 の", "ja"), (2006, rows[0][1], "aa"), (2006, rows[0][1], "ab")]
+    got = [(r.doc_id, r.held_out, r.lang_pred, r.score) for r in langid.identify(docs(spark, rows)).collect()]
+    want = plain_identify(rows)
+    assert [x[:3] for x in sorted(got, key=str)] == [x[:3] for x in want]
+    assert all(abs(x[3] - y[3]) < 1e-12 for x, y in zip(sorted(got, key=str), want))
+
+
+def test_ties_between_languages(spark):
+    same = "the house of the sea"
+    got = langid.identify(docs(spark, [(1, same, "zz"), (3, same, "aa"), (5, same, None)])).collect()
+    assert {r.lang_pred for r in got} == {"aa"}
+
+
+def test_copies_do_not_hide_a_language(spark):
+    """A language of many copies of few texts is learned as well as any."""
+    rows = [(k, SAMPLES["en"] + str(k), "en") for k in range(300)] + [(1000 + k, SAMPLES["fr"], "fr") for k in range(600)]
+    profiles = langid.learn(docs(spark, rows), fit_texts=50)
+    assert profiles.langs == ["en", "fr"] and profiles.predict("la mer et les gens")[0] == "fr"
+
+
+@pytest.mark.parametrize("block", [1, 2, 3, 7, 64])
+def test_blocks_change_no_count(block):
+    rng = random.Random(block)
+    texts = [SAMPLES["en"] * 5, "", " ", "a", "  a  ", "1 2 3", "\u0301 12", "ÄÖ Σσς e\u0301x\U00020000y" + "z" * 100] + ["".join(rng.choices("ab \n1\u0301é", k=rng.randint(0, 60))) for _ in range(200)]
+    for text in texts:
+        whole, parts = (dict(zip(*(a.tolist() for a in langid.count_grams(text, block=n)))) for n in (1 << 20, block))
+        assert whole == parts
+        assert whole == {key_of(g): n for g, n in plain_grams(text).items()}
+
+
+def test_text_longer_than_a_block():
+    text = "word" * 500 + " über die see " * 120_000
+    assert len(text) > langid.BLOCK_CHARS
+    assert dict(zip(*(a.tolist() for a in langid.count_grams(text)))) == {key_of(g): n for g, n in plain_grams(text).items()}
 
 
 def test_longest_match_against_brute_force(spark):
