@@ -1,7 +1,9 @@
 """Exact deduplication by content-defined chunk recipes, in DataFrame functions only.
 
-A normalised text is cut where its content says so (after a sentence or line end, between a least and
-a greatest length), so equal texts have equal chunk lists and most chunks of near copies are shared.
+A normalised text is cut where its content says so, between a least and a greatest length in bytes: after
+a sentence or line end, or, outside ASCII, after a character whose last byte is one of a few; where a
+stretch has neither, after a rare letter or digit. So equal texts have equal chunk lists and most chunks of near
+copies are shared, in any script.
 Each distinct chunk gets an identifier that is verified by content: every distinct chunk is moved once,
 combined before the shuffle, and two chunks that share a hash get different ordinals. Documents are
 then compared by their ordered identifier lists; the texts themselves never move.
@@ -26,8 +28,12 @@ def chunk_hash(chunk: Column) -> Column:
 
 def chunks(text: Column, least: int = LEAST, greatest: int = GREATEST) -> Column:
     """The chunks of a text, in order; joined they give the text. An empty text has none."""
-    pattern = f"(?s).{{{least},{greatest - 1}}}?[.!?;|\\n]|.{{1,{greatest}}}"
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    # Over bytes (as Latin-1), so that all scripts have boundaries; no cut falls inside a character.
+    whole = r"(?![\x80-\xbf])"
+    ends = [r"(?:[.!?;|\n]|[\x87\xa7]" + whole + ")", "[jqxz07]"]
+    pattern = "(?s)" + "|".join([f".{{{least},{greatest - 1}}}?{end}" for end in ends] + [f".{{1,{greatest}}}{whole}", f".{{1,{greatest}}}"])
+    cut = F.regexp_extract_all(F.decode(text.cast("binary"), "ISO-8859-1"), F.lit(pattern), F.lit(0))
+    return F.transform(cut, lambda c: F.encode(c, "ISO-8859-1").cast("string"))
 
 
 def exact_duplicates(

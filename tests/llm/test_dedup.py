@@ -63,6 +63,19 @@ def test_chunks_give_the_text_back(spark, mixed):
     assert joined.where("text <> again").isEmpty()
 
 
+@pytest.mark.parametrize("kind", ["prose", "letters", "hex", "cjk", "greek"])
+def test_chunks_meet_again_after_an_insertion(spark, kind):
+    """Cuts follow the content, with or without punctuation, in any script."""
+    rng = random.Random(kind)
+    alphabet = {"prose": "aeiou nrst. ", "letters": "abcdefghijklmnopqrstuvwxyz ", "hex": "0123456789abcdef", "cjk": "".join(map(chr, range(0x4E00, 0x5E00))), "greek": "αβγδεζηθικλμνξοπρστυφχψω "}[kind]
+    text = "".join(rng.choices(alphabet, k=60_000))
+    rows = [(1, text), (2, text[:100] + "ins" + text[100:]), (3, "é" + text)]
+    got = {r.doc_id: r.c for r in docs(spark, rows).select("doc_id", exact_dedup.chunks(F.col("text")).alias("c")).collect()}
+    assert all("".join(got[i]) == t for i, t in rows)
+    assert all(len(c.encode()) <= exact_dedup.GREATEST for c in got[1])
+    assert len(got[1]) > 10 and all(len(set(got[1]) & set(got[i])) > 0.8 * len(got[1]) for i in (2, 3))
+
+
 def test_keep_largest(spark, mixed):
     rows = [r for r in mixed if r[0] is not None]
     kept = exact_dedup.keep_largest(docs(spark, rows))
