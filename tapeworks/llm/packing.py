@@ -10,6 +10,7 @@ again, for as long as that saves sequences.
 from __future__ import annotations
 
 import itertools
+import json
 import os
 import re
 import sys
@@ -23,12 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeworks.llm._tokens import slices
-from tapeworks.llm._util import Stash, partitions
+from tapeworks.llm._util import Stash, bound_batches, partitions
 
 CAPACITY = 2048
 #: About so many pieces are packed together.
 PART_ITEMS = 1 << 16
-ROUNDS = 4
 #: Token ids remembered by a worker, as runs of letters or signs; forgotten as a whole when full.
 REMEMBERED = 300_000
 _GROUP_BYTES = 12 << 20
@@ -86,10 +86,42 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offsets, opened
 
 
+# The parts of a tokenizer file on which the short cut through distinct words rests.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
+
+def drops_white_space(path: str) -> bool:
+    """Whether a tokenizer file is one whose words between spaces have ids of their own, as `_WordIds` takes them."""
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    fine = told.get("normalizer") == _NORMALIZER and told.get("pre_tokenizer") == {"type": "Sequence", "pretokenizers": [_SPLIT, _BYTES]}
+    model = told.get("model", {})
+    plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+    # An added token is found before words are; one with a letter, digit or space could be lost in a part.
+    added = all(t["special"] and not t["normalized"] and "<" in t["content"] and " " not in t["content"] for t in told.get("added_tokens", []))
+    return fine and plain and added and not told.get("truncation") and not told.get("padding")
+
+
+class _TextIds:
+    """Token ids of whole texts by any tokenizer, as little-endian bytes."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+
+    def documents(self, texts: pa.Array) -> list[bytes]:
+        return [array("I", self.tokenizer.encode(t or "", add_special_tokens=False).ids).tobytes() for t in texts.to_pylist()]
+
+
 class _WordIds:
     """Token ids of words between spaces, as little-endian bytes, each distinct word encoded once.
 
-    The tokenizer cuts words into runs of letters, single digits and runs of other signs, and merges only
+    For tokenizers of which `drops_white_space` holds. Such a one cuts words into runs of letters, single digits and runs of other signs, and merges only
     inside such a run. A word of letters with signs around it is therefore the ids of its parts, and the
     model is asked for the folded letters alone, already mapped to the byte alphabet; every other word
     (digits, apostrophes, `<`, letters beyond Latin-1) goes through the whole tokenizer.
@@ -103,8 +135,6 @@ class _WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        if array("I").itemsize != 4 or sys.byteorder != "little":
-            raise RuntimeError("token ids are written as little-endian 32-bit numbers")
         shown = [b for b in range(256) if 33 <= b < 127 or 161 <= b < 173 or b > 173]
         self.alphabet = {b: b for b in shown} | {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(shown)))}
         self.parts = _Remembered(self._part)
@@ -159,13 +189,16 @@ class _Remembered(dict):
 def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each document's token pieces.
 
-    The tokenizer drops white space before anything else crosses it, so texts are cut at spaces and
-    line ends and each distinct word is encoded once and remembered.
+    Where the tokenizer drops white space before anything else crosses it, texts are cut at spaces and line
+    ends and each distinct word is encoded once and remembered; any other tokenizer gets whole texts.
     """
+    if array("I").itemsize != 4 or sys.byteorder != "little":
+        raise RuntimeError("token ids are written as little-endian 32-bit numbers")
+    kind = _WordIds if drops_white_space(tokenizer_path) else _TextIds
 
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        ids_of, end = _WordIds(tokenizer_path).documents, np.array([end_id], "<u4").tobytes()
+        ids_of, end = kind(tokenizer_path).documents, np.array([end_id], "<u4").tobytes()
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
         for batch in batches:
             for lo, hi in slices(batch.column(1), _GROUP_BYTES):
@@ -196,7 +229,7 @@ def _pack_parts(capacity: int, round_: int):
             # The loosest sequences, with room for a multiple of the gap, give up their documents.
             loose = np.argsort(fill, kind="stable")[: max(4 * (n - bound), n // 8)]
             free[loose[fill[loose] < capacity]] = True
-        sequence = (round_ << 58) + (part << 32) + bins
+        sequence = (round_ << 52) + (part << 32) + bins
         return pa.RecordBatch.from_arrays(
             [pa.array(uid), pa.array(length), pa.array(sequence), pa.array(offsets), pa.array(free[bins])],
             ["uid", "length", "sequence_id", "offset", "released"],
@@ -221,7 +254,7 @@ def _pack_parts(capacity: int, round_: int):
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 0, part_items: int = PART_ITEMS, rounds: int = ROUNDS
+    docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 0, part_items: int = PART_ITEMS
 ) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for every piece of every row.
 
@@ -230,6 +263,7 @@ def pack_documents(
     columns are ignored. Sequence ids are distinct numbers, nothing more.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     stash = Stash(spark, "packing")
     ways = partitions(spark)
     tokens = stash.write(token_pieces(docs, tokenizer_path, id_col, text_col, capacity, end_id), "tokens")
@@ -240,7 +274,7 @@ def pack_documents(
     full = pieces.where(F.col("length") >= capacity).select("uid", (F.col("uid") + F.lit(1 << 62)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     placed = [full]
     before = None  # sequences given up for the pool, and where their documents lie
-    for round_ in range(rounds):
+    for round_ in itertools.count():  # fewer sequences each time, so it ends
         n = pool.count()
         if not n:
             break
@@ -248,12 +282,15 @@ def pack_documents(
         dealt = pool.select(F.pmod(F.xxhash64("uid", F.lit(round_)), F.lit(parts)).alias("part"), "uid", "length")
         dealt = dealt.repartition(min(parts, ways), "part").sortWithinPartitions("part")
         packed = stash.write(dealt.mapInArrow(_pack_parts(capacity, round_), "uid long, length long, sequence_id long, offset long, released boolean"), f"round{round_}")
-        used = packed.agg(F.count_if(F.col("offset") == 0)).first()[0]
+        used, spare = packed.agg(F.count_if(F.col("offset") == 0), F.count_if("released")).first()
         if before is not None and used >= before[0]:
             placed.append(before[1])
             before = None
             break
         placed.append(packed.where("not released").select("uid", "sequence_id", "offset"))
+        before = None
+        if not spare:  # every part meets its bound
+            break
         out = packed.where("released")
         before = (out.agg(F.count_if(F.col("offset") == 0)).first()[0], out.select("uid", "sequence_id", "offset"))
         pool = out.select("uid", "length")
