@@ -87,6 +87,27 @@ def test_words_give_the_tokenizers_ids(tokenizer):
         assert np.frombuffer(ids, "<u4").tolist() == ids_of(tokenizer, text)[:-1], text
 
 
+def test_any_tokenizer(spark):
+    """Tokenizers that keep white space get whole texts."""
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    assert packing.drops_white_space(PATH) and not packing.drops_white_space(path)
+    rng = random.Random(8)
+    rows = [(i, "".join(rng.choices([" ", "  ", "\n", "word", "Word", "é", "1", "😀", "<|endoftext|>"], k=rng.randint(0, 400)))) for i in range(60)] + [(90, None), (91, "")]
+    df = spark.createDataFrame([(i, t, 1) for i, t in rows], DOCS)
+    check_packing(rows, packing.pack_documents(df, path, capacity=128, part_items=50).collect(), Tokenizer.from_file(path), 128)
+
+
+@pytest.mark.parametrize("change", [{"normalizer": None}, {"pre_tokenizer": {"type": "Whitespace"}}, {"truncation": {"max_length": 5}}])
+def test_changed_tokenizers_take_no_short_cut(tmp_path, change):
+    import json
+
+    told = json.load(open(PATH)) | change
+    (tmp_path / "t.json").write_text(json.dumps(told))
+    assert not packing.drops_white_space(str(tmp_path / "t.json"))
+
+
 def test_archives(spark):
     rows = [(i, f"http://x/{i}?q=é\n", "<p>%d</p>" % (i % 7) * (i % 50)) for i in range(400)]
     rows += [(1000 + i, None, "hot") for i in range(200)] + [(2000, "u", None), (2001, "u", ""), (None, "u", "hot"), (None, "u", "alone"), (3000, "u", "twice"), (3000, "u", "twice"), (4000, "u", "é" * 300_000)]
@@ -104,13 +125,47 @@ def test_archives(spark):
     assert warc.archive_pages(df.limit(0)).count() == 0
 
 
+def test_records_have_the_demanded_fields(spark, tmp_path):
+    """Every file is members of one record each, a warcinfo first; ids are unique and what is referred to is there."""
+    import gzip
+    import re
+    from datetime import UTC, datetime
+
+    rows = [(i, f"http://x/{i}", "same" if i % 3 else f"page {i}") for i in range(60)] + [(7, "http://x/again", "other"), (None, None, "same")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    (tmp_path / "mine").mkdir()
+    got = warc.archive_pages(df, folder=str(tmp_path / "mine"), roll_bytes=2000, date=datetime(2024, 5, 6, 7, 8, 9, tzinfo=UTC)).collect()
+    names = sorted(p.name for p in (tmp_path / "mine").iterdir())
+    assert names == sorted({r.file for r in got} | {r.file + ".idx" for r in got})  # nothing else stays
+    heads, pages = {}, 0
+    for name in (n for n in names if n.endswith(".gz")):
+        told, data, at = [], gzip.decompress((tmp_path / "mine" / name).read_bytes()), 0
+        while at < len(data):
+            head, block, at = warc.parse(data, at)
+            told.append(head)
+            assert head["WARC-Record-ID"] not in heads and re.fullmatch("<urn:uuid:[0-9a-f-]{36}>", head["WARC-Record-ID"])
+            heads[head["WARC-Record-ID"]] = head
+            assert head["WARC-Date"] == "2024-05-06T07:08:09Z" and int(head["Content-Length"]) == len(block)
+            assert {"WARC-Type", "Content-Type"} <= set(head)
+        assert [h["WARC-Type"] for h in told].index("warcinfo") == 0 and told[0]["WARC-Filename"] == name
+        assert all(h["WARC-Type"] in ("response", "revisit") for h in told[1:])
+        pages += len(told) - 1
+    assert pages == len(rows)
+    revisits = [h for h in heads.values() if h["WARC-Type"] == "revisit"]
+    assert revisits and all(heads[h["WARC-Refers-To"]]["WARC-Type"] == "response" and heads[h["WARC-Refers-To"]]["X-Page-ID"] == h["X-Refers-To-Page-ID"] == "59" for h in revisits)
+    assert all("WARC-Profile" in h for h in revisits)
+
+
 def test_a_broken_stream_is_refused(tmp_path):
     import gzip
 
-    data = b"".join(warc.record("response", i, "u", warc.digest_of(b"x"), 1, b"x") for i in range(50))
+    records = [warc.record("response", f"id{i}", "2024-01-01T00:00:00Z", i, "u", warc.digest_of(b"x"), 1, b"x") for i in range(50)]
+    data = b"".join(records)
     whole = gzip.compress(data)
     (tmp_path / "a.gz").write_bytes(whole)
     assert len(list(warc.stream_records(str(tmp_path), "a.gz"))) == 50
+    (tmp_path / "c.gz").write_bytes(b"".join(map(gzip.compress, records)))  # many members
+    assert list(warc.stream_records(str(tmp_path), "c.gz")) == list(warc.stream_records(str(tmp_path), "a.gz"))
     (tmp_path / "b.gz").write_bytes(whole[:-20])
     with pytest.raises(ValueError):
         list(warc.stream_records(str(tmp_path), "b.gz"))
@@ -120,7 +175,7 @@ def test_pipeline_is_its_stages(spark, sf_dir, tokenizer):
     import corpus_pipeline
 
     from tapeworks.llm import decontaminate, langid
-    from tests.llm.test_dedup import components, fingerprint, lower
+    from tests.llm.test_dedup import lower, shingle_set
 
     table = spark.read.parquet(f"{sf_dir}/documents.parquet")
     docs = {r.doc_id: r.text for r in table.collect()}
@@ -131,12 +186,20 @@ def test_pipeline_is_its_stages(spark, sf_dir, tokenizer):
     for i, t in left.items():
         last[lower(t)] = max(i, last.get(lower(t), i))
     left = {i: t for i, t in left.items() if i in set(last.values())}
-    root = components([fingerprint(t) for t in left.values()], 3)
-    first = {}
-    for i, t in left.items():
-        r = root[fingerprint(t)]
-        first[r] = min(i, first.get(r, i))
-    left = {i: t for i, t in left.items() if i in set(first.values())}
+    # Classes of similarity 0.8 over five-word shingles, of which the smallest id stays.
+    sets, parent = {i: shingle_set(t) for i, t in left.items()}, {i: i for i in left}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in left:
+        for j in left:
+            if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    left = {i: t for i, t in left.items() if find(i) == i}
     kept = table.where(table.doc_id.isin(list(left)))
     bad = {r.doc_id for r in decontaminate.contaminated(kept, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).collect()}
     rows = [(i, t) for i, t in left.items() if i not in bad]
