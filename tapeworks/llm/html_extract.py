@@ -3,8 +3,11 @@
 A page is cut into blocks at block-level tags. First pass: text length, link density and stop-word
 density class each block as good, bad, short or near-good; elements and attributes that name page
 furniture (navigation, footer, advert, comments, forms) make a block bad outright, and an element that
-names the article makes it good unless links dominate. Second pass: short and near-good blocks take
-the label of their nearest decided neighbours.
+names the article makes it good. A list item of links within an article is undecided, since menus and
+references look alike. Second pass: undecided blocks take the label of their nearest decided neighbours.
+
+Stop words are those of English, French, German and Spanish. A page on which nothing is good, as one in
+another language or of a single short paragraph, keeps its blocks that are neither furniture nor links.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ STOP_WORDS = frozenset(
     "als auf aus bei das dem den der die ein eine er es für ich im ist mit nach nicht sich sie um und von war wie zu zum "
     "al como con del el era ha las lo los más no para pero por se sin sus una y ya".split()
 )
-SKIPPED = {"script", "style", "noscript", "template", "svg", "math", "head", "iframe", "object", "canvas", "audio", "video", "select", "textarea", "button"}
+SKIPPED = {"script", "style", "noscript", "template", "svg", "head", "iframe", "object", "canvas", "audio", "video", "select", "textarea", "button"}
 FURNITURE = {"nav", "footer", "aside", "form", "menu", "dialog", "header", "fieldset"}
 CONTENT = {"article", "main"}
 BLOCKS = {
@@ -36,6 +39,7 @@ BLOCKS = {
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 #: Elements whose end tags are commonly left out: a new one of the kind, or the parent's end, ends them.
 LOOSE = {"p", "li", "dd", "dt", "td", "th", "tr", "option", "thead", "tbody", "tfoot", "b", "i", "em", "strong", "span", "font", "u", "a"}
+ITEMS = {"li", "dd", "dt", "td", "th"}
 _NAMES = (
     r"(?:ad|ads|advert[^\W_]*|banner|sponsor[^\W_]*|promo[^\W_]*|nav[^\W_]*|menu[^\W_]*|breadcrumbs?|sidebar|side|widget|footer|foot|header|masthead|cookie[^\W_]*|consent|notice|popup|modal|newsletter|subscribe|"
     r"share|sharing|social|related|recommend[^\W_]*|comments?|commentlist|disqus|respond|replies|pagination|pager|toolbar|login|signup|copyright|legal)"
@@ -47,8 +51,14 @@ _NAMED = re.compile(
     re.I,
 )
 _ROLE = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
-_ATTR = re.compile(r"""([a-zA-Z:_-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""")
+#: Names of furniture on these judge nothing inside an article: `<p class="legal">` there is a paragraph on law.
+TEXT = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "caption", "figcaption", "figure", "q", "cite", "b", "i", "em", "strong", "span", "font", "u", "a", "code", "mark", "small", "abbr", "time", "br"}
+_MARKUP = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?", re.S)
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_NEXT = re.compile(r"=\s*[\"']|>")
+_ATTR = re.compile(r"""(?<![a-zA-Z:_-])([a-zA-Z:_-]++)\s*+=\s*+("[^"]*"|'[^']*'|[^\s>]+)""")
+#: Character references beyond any code point, however long.
+_BEYOND = re.compile(r"&#(?:0*+[0-9]{8,}+|[xX]0*+[0-9a-fA-F]{7,}+);?")
 _SPACE, _WORD = re.compile(r"\s+"), re.compile(r"[^\W\d_]+")
 
 LENGTH_LOW, LENGTH_HIGH = 70, 200
@@ -56,6 +66,44 @@ STOP_LOW, STOP_HIGH = 0.12, 0.22
 MAX_LINKS = 0.4
 
 
+class Tags:
+    """Finds the ends of a page's tags, front to back, in time linear in the page.
+
+    A quote after `=` hides a `>` up to its closing quote. Once that reading has run to the page's end
+    without an end of a tag, quotes hide nothing any more.
+    """
+
+    __slots__ = ("page", "last", "quoted", "open")
+
+    def __init__(self, page: str):
+        self.page, self.last, self.quoted, self.open = page, page.rfind(">"), True, {}
+
+    def _closing(self, quote: str, at: int) -> int:
+        """Where a quote closes; looked for at most once a page if it never does."""
+        if at >= self.open.get(quote, len(self.page) + 1):
+            return -1
+        found = self.page.find(quote, at)
+        if found < 0:
+            self.open[quote] = at
+        return found
+
+    def end(self, at: int) -> int:
+        """Behind the `>` of a tag whose name ends at a position; -1 if there is none."""
+        if at > self.last:
+            return -1
+        now = at
+        while self.quoted:
+            m = _NEXT.search(self.page, now)
+            if m is None:
+                self.quoted = False
+            elif m[0] == ">":
+                return m.end()
+            else:
+                closing = self._closing(m[0][-1], m.end())
+                now = m.end() if closing < 0 else closing + 1
+        return self.page.find(">", at) + 1
+
+
 class Verdict:
     """An element judged by its class or id; void, with those around it, once it is found to hold the article."""
 
@@ -66,10 +114,10 @@ class Verdict:
 
 
 class Block:
-    __slots__ = ("parts", "linked", "bad", "content", "heading", "named", "text", "label")
+    __slots__ = ("parts", "linked", "bad", "content", "heading", "item", "named", "text", "label")
 
-    def __init__(self, bad: bool, content: bool, heading: bool, named: Verdict | None = None):
-        self.parts, self.linked, self.bad, self.content, self.heading, self.named = [], 0, bad, content, heading, named
+    def __init__(self, bad: bool, content: bool, heading: bool = False, item: bool = False, named: Verdict | None = None):
+        self.parts, self.linked, self.bad, self.content, self.heading, self.item, self.named = [], 0, bad, content, heading, item, named
         self.text, self.label = "", ""
 
 
@@ -93,19 +141,33 @@ def split_blocks(page: str) -> list[Block]:
     stack: list[tuple[str, bool, bool, Verdict | None]] = []  # name, bad, content, named
     bad = content = met = False  # met: an article has begun
     named: Verdict | None = None
-    links, at, n = 0, 0, len(page)
-    last_close = page.rfind(">")
+    links, items, at, n = 0, 0, 0, len(page)
+    tags = Tags(page)
+    # Open elements by name; those that LOOSE end tags may end are counted since the last other element.
     opened: Counter[str] = Counter()
+    loose: list[Counter[str]] = [Counter()]
     unclosed: set[str] = set()  # skipped elements of which no end tag follows any more
-    now = Block(False, False, False)
+    now = Block(False, False)
+
+    def leave(keep: int):
+        """Ends the open elements beyond the first `keep`."""
+        nonlocal bad, content, named, items
+        while len(stack) > keep:
+            gone, bad, content, named = stack.pop()
+            opened[gone] -= 1
+            items -= gone in ITEMS
+            if gone in LOOSE:
+                loose[-1][gone] -= 1
+            else:
+                loose.pop()
 
     def close(heading: bool = False):
         nonlocal now
         if now.parts:
-            now.text = _SPACE.sub(" ", html.unescape("".join(now.parts))).strip()
+            now.text = _SPACE.sub(" ", html.unescape(_BEYOND.sub("\ufffd", "".join(now.parts)))).strip()
             if now.text:
                 out.append(now)
-        now = Block(bad, content, heading, named)
+        now = Block(bad, content, heading, items > 0, named)
 
     while at < n:
         lt = page.find("<", at)
@@ -117,22 +179,24 @@ def split_blocks(page: str) -> list[Block]:
                 now.linked += lt - at
         if lt == n:
             break
-        m = _TAG.match(page, lt) if lt < last_close or page.startswith("<!", lt) else None
-        if not m:
-            now.parts.append("<")
-            at = lt + 1
-            continue
-        at = m.end()
-        if not m[2]:
+        if m := _MARKUP.match(page, lt):
+            at = m.end()
             if m[0].startswith("<![CDATA["):
                 now.parts.append(m[0][9:].removesuffix("]]>"))
             continue
-        name, ending = m[2].lower(), bool(m[1])
+        m = _NAME.match(page, lt) if lt < tags.last else None
+        end = tags.end(m.end()) if m else -1
+        if end < 0:
+            now.parts.append("<")
+            at = lt + 1
+            continue
+        at, attrs = end, page[m.end() : end - 1]
+        name, ending = m[1].lower(), page[lt + 1] == "/"
         if name == "br":
             now.parts.append(" ")
             continue
         if name in SKIPPED:
-            if not ending and not m[3].endswith("/"):
+            if not ending and not attrs.endswith("/"):
                 end = None if name in unclosed else re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
                 if end:
                     at = end.end()
@@ -146,16 +210,21 @@ def split_blocks(page: str) -> list[Block]:
         block = name in BLOCKS
         if not ending:
             if block and name == "p" or name in ("li", "dd", "dt", "td", "th", "tr", "option"):
-                while stack and stack[-1][0] in LOOSE and stack[-1][0] not in ("tr", "table") and stack[-1][0] != "td":
-                    gone = stack.pop()
-                    opened[gone[0]] -= 1
-                    bad, content, named = gone[1:]
-                    if gone[0] == name:
+                while stack and stack[-1][0] in LOOSE and stack[-1][0] not in ("tr", "td"):
+                    gone = stack[-1][0]
+                    leave(len(stack) - 1)
+                    if gone == name:
                         break
-            if name not in VOID and not m[3].endswith("/"):
+            if name not in VOID and not attrs.endswith("/"):
                 stack.append((name, bad, content, named))
                 opened[name] += 1
-                hard, by_name = _furniture(name, m[3])
+                items += name in ITEMS
+                if name in LOOSE:
+                    loose[-1][name] += 1
+                else:
+                    loose.append(Counter())
+                hard, by_name = _furniture(name, attrs)
+                by_name = by_name and not (content and name in TEXT)
                 if name in CONTENT:
                     # Articles further inside content, as comments are, leave the verdict on what holds them.
                     if not by_name and not (content and met):
@@ -167,15 +236,11 @@ def split_blocks(page: str) -> list[Block]:
                     named = Verdict(named)
                 bad = bad or hard
                 content = content or name in CONTENT
-        elif opened[name]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    _, bad, content, named = stack[k]
-                    opened.subtract(x[0] for x in stack[k:])
-                    del stack[k:]
-                    break
-                if stack[k][0] not in LOOSE and name in LOOSE:
-                    break
+        elif (loose[-1] if name in LOOSE else opened)[name]:
+            k = len(stack) - 1
+            while stack[k][0] != name:
+                k -= 1
+            leave(k)
         if block:
             links = 0 if name in ("p", "div", "li") and not ending else links
             close(not ending and re.fullmatch("h[1-6]", name) is not None)
@@ -186,18 +251,17 @@ def split_blocks(page: str) -> list[Block]:
 
 
 def classify(blocks: list[Block]) -> None:
-    """First pass: good, bad, short or near."""
-    structured = any(b.content and not b.bad for b in blocks)
+    """First pass: good, bad, or undecided: short, near, and links (items of links within an article)."""
     for b in blocks:
         n = len(b.text)
         words = _WORD.findall(b.text)
         stop = sum(w.lower() in STOP_WORDS for w in words) / max(1, len(words))
         links = b.linked / max(1, n)
-        if b.bad or links > MAX_LINKS and not (b.content and n < LENGTH_LOW and b.heading):
+        if b.bad:
             b.label = "bad"
         elif b.content:
-            b.label = "good"
-        elif structured and n < LENGTH_HIGH:
+            b.label = "links" if b.item and links > MAX_LINKS else "good"
+        elif links > MAX_LINKS:
             b.label = "bad"
         elif n < LENGTH_LOW:
             b.label = "bad" if links else "short"
@@ -207,11 +271,25 @@ def classify(blocks: list[Block]) -> None:
             b.label = "near"
         else:
             b.label = "bad"
+    if any(b.content and not b.bad for b in blocks):
+        # Where the page names its article, what is outside must be good by itself, or a heading before it.
+        for b in blocks:
+            if not b.content and not b.heading and b.label in ("short", "near") and len(b.text) < LENGTH_HIGH:
+                b.label = "bad"
+    elif not any(b.label in ("good", "near") for b in blocks):
+        for b in blocks:
+            if not b.bad and b.linked <= MAX_LINKS * len(b.text):
+                b.label = "good" if len(b.text) >= LENGTH_LOW else "short"
+        if not any(b.label == "good" for b in blocks):
+            for b in blocks:
+                if b.label == "short" and not b.linked:
+                    b.label = "good"
 
 
 def inherit(blocks: list[Block]) -> None:
     """Second pass: undecided blocks take the label of their nearest decided neighbours. Where both sides
-    disagree, a near-good block is good and a short one takes the nearer side; a heading looks ahead."""
+    disagree, a near-good block is good, items of links are bad, and a short one takes the nearer side; a
+    heading looks ahead."""
     n = len(blocks)
     before, after = [(None, n)] * n, [(None, n)] * n
     for order, side in ((range(n), before), (range(n - 1, -1, -1), after)):
@@ -226,7 +304,9 @@ def inherit(blocks: list[Block]) -> None:
         if b.label in ("good", "bad"):
             continue
         (x, dx), (y, dy) = before[k], after[k]
-        if x is None and y is None:
+        if b.label == "links":
+            b.label = "bad" if "bad" in (x, y) else "good"
+        elif x is None and y is None:
             b.label = "good" if b.label == "near" else "bad"
         elif x is None or y is None:
             b.label = (x or y) if b.label != "near" else "good"
@@ -236,7 +316,7 @@ def inherit(blocks: list[Block]) -> None:
             b.label = "good"
         else:
             b.label = y if b.heading or dy < dx else x
-        if b.label == "bad" and b.heading and y == "good":
+        if b.label == "bad" and b.heading and y == "good" and b.content:
             b.label = "good"
 
 

@@ -50,12 +50,77 @@ def test_page_without_an_article_element():
     assert text.split("\n") == ["On the matter", body.strip(), "It is so.", body.strip()]
 
 
+def test_articles_keep_their_text():
+    long = "The question of the day is whether it is for the people or for the few who have it. " * 4
+    main = lambda body: html_extract.main_text(f"<body><nav><a href=/>Home</a></nav>{body}<footer>The end</footer></body>")
+    assert main('<article><p class="share-price">The share price rose</p><p class="legal">On the law</p></article>') == "The share price rose\nOn the law"
+    assert main(f"<article><p>{long}</p><p><a href=x>A paragraph that is one link</a></p></article>") == f"{long.strip()}\nA paragraph that is one link"
+    assert main("<article><p>Where <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p></article>") == "Where x=1 holds"
+    assert main("<p>It is so.</p>") == "It is so."
+    assert main(f"<article><p>{long}</p><ul><li><a href=1>One</a></li><li>Two of <a href=2>it</a></li></ul><p>{long}</p></article>").split("\n")[1:3] == ["One", "Two of it"]
+    assert main(f"<h1>On the matter</h1><article><p>{long}</p></article><p>More of the same</p>") == f"On the matter\n{long.strip()}"
+    assert main(f"<article><div class=share><p>Share it with the others</p></div><p>{long}</p></article>") == long.strip()
+    other = "Kwa hakika watu wengi walikuja mjini jana kununua chakula na kuuza ngombe wao sokoni mapema. " * 3
+    assert main(f"<p>{other}</p>") == other.strip()
+    assert main(f"<div><a href=x>{other}</a></div>") == ""
+    assert main(f"<article><p>a&#{'9' * 5000};b &#x{'f' * 5000}; &#00000000065;</p></article>") == "a\ufffdb \ufffd A"
+
+
+@pytest.mark.parametrize(
+    "piece",
+    ['<a x"', '<a x="', "<a x='\">", '<a "', "<a x", "<", "<!--", "<![CDATA[", "</", "<a b=\"'>", "=", "x" * 50 + " ", "<p " + "a" * 50, "<b>", "</b>", "<i></b>", "<div><i>", "<svg>", "<svg ", "</svg", "&", "&#1", "&amp", "<li><a href=", "<td>", "<select>"],
+)
+def test_malformed_pages_take_linear_time(piece):
+    import time
+
+    for page in (piece * (2_000_000 // len(piece)), "<b>" + "<div>" + piece * (1_000_000 // len(piece)) + '">' + "</b>" * 20_000 + "end"):
+        start = time.process_time()
+        html_extract.main_text(page)
+        assert time.process_time() - start < 30
+
+
+def test_long_attribute_names_take_linear_time():
+    import time
+
+    start = time.process_time()
+    for attrs in ("a" * 2_000_000, "a " * 1_000_000, 'a="' * 700_000, "a=" * 1_000_000, "class='" + "nav-" * 500_000 + "x'"):
+        assert html_extract.main_text(f"<p {attrs}>It is so.</p>") in ("It is so.", "")
+    assert time.process_time() - start < 30
+
+
+def test_pages_made_from_known_text():
+    """Pages built around known paragraphs give just these back."""
+    import html
+
+    rng = random.Random(21)
+    common = "the of and to in is it was for on that by this with as at from".split()
+    sentence = lambda n: " ".join(rng.choice(common) if rng.random() < 0.45 else "".join(rng.choices("abcdefgh<&>é", k=rng.randint(2, 8))) for _ in range(n)) + "."
+
+    def inline(text):
+        words = [html.escape(w) if rng.random() < 0.8 else "".join(f"&#{ord(c)};" for c in w) for w in text.split(" ")]
+        for k in range(len(words)):
+            tag = rng.choice(["b", "em", "a href='/x'", "span class=x", None, None, None, None, None, None])
+            if tag:
+                words[k] = f"<{tag}>{words[k]}</{tag.split()[0]}>"
+        return rng.choice([" ", "  ", "\n ", " <!-- no --> "]).join(words)
+
+    for _ in range(150):
+        paragraphs = [sentence(rng.randint(3, 80)) for _ in range(rng.randint(1, 12))]
+        links = lambda: "".join(f"<li><a href=/{k}>{html.escape(sentence(3))}</a></li>" for k in range(rng.randint(1, 6)))
+        noise = lambda: rng.choice(["", f"<div class='{rng.choice(['ad', 'promo-box', 'site-nav'])}'>{html.escape(sentence(20))}</div>", "<script>if (a<b) '</p>'</script>", "<!-- <p>no</p> -->", f"<form><p>{html.escape(sentence(9))}</p></form>"])
+        body = "".join(f"<p>{inline(p)}{rng.choice(['', '</p>'])}{noise()}" for p in paragraphs)
+        page = f"<html><head><title>No</title><style>p {{}}</style></head><body><nav><ul>{links()}</ul></nav><header><h1>Site</h1></header>{noise()}<{'article'}>{body}</article><aside>{html.escape(sentence(30))}</aside><section id=comments><p>{html.escape(sentence(40))}</p></section><footer>{links()}</footer>"
+        assert html_extract.main_text(page) == "\n".join(paragraphs)
+
+
 def test_pages(spark):
     rows = [(1, "u", PAGE.format()), (2, None, None), (3, "v", ""), (None, "w", "plain"), (1, "u", PAGE.format()), (5, "x", "<" * 2000), (6, "y", "<p>" * 20000 + "end"), (7, "z", "<script>" + "a" * 100000)]
     got = html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert len(got) == len(rows) and all(r.n_chars == len(r.text) for r in got)
     assert [r.text for r in got if r.page_id in (2, 3)] == ["", ""]
     assert html_extract.extract_pages(spark.createDataFrame([], "page_id long, url string, html string, text string")).count() == 0
+    clash = html_extract.extract_pages(spark.createDataFrame([(1, "u", PAGE.format(), "mine", 5, "x")], "page_id long, url string, html string, text string, n_chars int, lang string"))
+    assert [tuple(r) for r in clash.collect()] == [(1, "u", html_extract.main_text(PAGE.format()), len(html_extract.main_text(PAGE.format())))]
 
 
 def brute_spans(x):
