@@ -1,7 +1,7 @@
 """Personal data: patterns propose spans, checksums confirm them, context words adjust a score.
 
 Base kinds follow fixed patterns, leftmost and non-overlapping for each kind; a failed check drops the
-match without a retry. The method adds kinds that only a checksum or a context word makes likely.
+match without a retry. The method adds kinds that only a checksum or a context word makes likely: IBANs, local phone numbers, and keys and tokens.
 All scans take time in proportion to the text.
 """
 
@@ -23,11 +23,13 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+.)-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])")
-_DIGIT, _WORD = re.compile("[0-9]"), re.compile(r"[^\W\d_]+")
+#: A long opaque value of letters and digits, as keys and tokens are.
+_SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9])")
+_DIGIT, _LATIN, _WORD = re.compile("[0-9]"), re.compile("[A-Za-z]"), re.compile(r"[^\W\d_]+")
 #: How far around a span context words count, in characters, and what one adds to a score.
 REACH, CONTEXT = 48, 0.2
 #: Score of a confirmed pattern by kind; a kind below THRESHOLD needs a context word.
-SCORES = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.7, "iban": 0.9, "local_phone": 0.4}
+SCORES = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.7, "iban": 0.9, "local_phone": 0.4, "secret": 0.4}
 THRESHOLD = 0.5
 WORDS = {
     "email": {"email", "mail", "contact", "correo", "courriel"},
@@ -36,6 +38,7 @@ WORDS = {
     "phone": {"phone", "tel", "call", "mobile", "telefon", "fax"},
     "iban": {"iban", "account", "bank", "konto", "compte", "cuenta"},
     "local_phone": {"phone", "tel", "call", "mobile", "telefon", "fax"},
+    "secret": {"token", "secret", "key", "apikey", "password", "passwd", "pwd", "passwort", "bearer", "credential", "credentials", "authorization"},
 }
 BASE = ("email", "ip", "card", "phone")
 
@@ -115,15 +118,20 @@ def find_spans(text: str | None) -> list[tuple[str, int, int, float]]:
             k = bisect_left(starts, m.end())
             if not k or reach[k - 1] <= m.start():
                 out.append(("local_phone", m.start(), m.end()))
+        for m in _SECRET.finditer(text):
+            k = bisect_left(starts, m.end())
+            if (not k or reach[k - 1] <= m.start()) and _DIGIT.search(m[0]) and _LATIN.search(m[0]):
+                out.append(("secret", m.start(), m.end()))
     scored = [(k, a, b, _score(k, text, a, b)) for k, a, b in out]
     return [x for x in scored if x[0] in BASE or x[3] >= THRESHOLD]
 
 
 def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, found) for every row.
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_found, found) for every row.
 
-    `found` has (kind, start, end, score); `spans` is kind:start:end joined by commas, base kinds
-    first; base_sha256 covers the base kinds only. Null and empty texts have no spans. Rows are
+    `found` has (kind, start, end, score) of all spans and n_found their number; `spans` is kind:start:end
+    joined by commas, base kinds first; base_sha256 covers the base kinds only. Spans of different kinds
+    may overlap; added ones do not overlap base ones, but for IBANs. Null and empty texts have no spans. Rows are
     independent, so null or repeated ids change nothing; other columns are ignored.
     """
 
@@ -135,11 +143,11 @@ def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                 base = [f"{k}:{a}:{b}" for k, a, b, _ in spans if k in BASE]
                 rows.append(
                     [sum(k == kind for k, *_ in spans) for kind in BASE]
-                    + [hashlib.sha256(",".join(base).encode()).hexdigest(), ",".join(f"{k}:{a}:{b}" for k, a, b, _ in spans), [dict(zip(("kind", "start", "end", "score"), s)) for s in spans]]
+                    + [hashlib.sha256(",".join(base).encode()).hexdigest(), ",".join(f"{k}:{a}:{b}" for k, a, b, _ in spans), len(spans), [dict(zip(("kind", "start", "end", "score"), s)) for s in spans]]
                 )
-            columns = list(zip(*rows)) if rows else [[]] * 7
-            kinds = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds))], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "found"])
+            columns = list(zip(*rows)) if rows else [[]] * 8
+            kinds = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.int64(), pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds))], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_found", "found"])
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, found array<struct<kind: string, start: long, end: long, score: double>>")
+    return slim.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_found long, found array<struct<kind: string, start: long, end: long, score: double>>")

@@ -38,7 +38,7 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii_spans(_table(spark, sf_dir, "documents")).drop("found")
+    return pii_spans(_table(spark, sf_dir, "documents"))
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
