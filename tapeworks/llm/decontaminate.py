@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeworks.llm import _tokens
+from tapeworks.llm._util import bound_batches
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -225,13 +226,15 @@ def benchmark_slices(benchmark: DataFrame, item_col: str = "item_id", text_col:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similarity: float = SIMILARITY, slice_words: int = SLICE_WORDS) -> DataFrame:
     """(doc_id, item_id, start_word, n_words, distance, similarity): one row for each document and item
-    with a window of the item's size (the whole document if it is shorter) of `similarity` or more.
+    with a window of the item's size (the whole document if it is shorter) of `similarity` or more; the
+    first of the best windows is told.
 
     Words are compared without ASCII punctuation and case, five to a shingle (all words of a shorter
     item). Null and empty texts and items match nothing. A null document id stays null; rows that repeat
     an id or an item each give their rows. Empty tables give an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     schema = "doc_id long, item_id long, start_word long, n_words long, distance int, similarity double"
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out, shared = None, shared_shingles(benchmark, item_text_col)
@@ -254,6 +257,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similarity: float = SIMILARITY, slice_words: int = SLICE_WORDS) -> DataFrame:
     """The rows that match no item, with all their columns; texts are judged where they lie."""
+    bound_batches(docs.sparkSession)
     spark, out, shared = docs.sparkSession, docs, shared_shingles(benchmark, item_text_col)
     for rows in benchmark_slices(benchmark, item_col, item_text_col, slice_words):
         index = spark.sparkContext.broadcast(BenchmarkIndex(rows, shared, similarity))

@@ -146,6 +146,28 @@ def test_added_spans_and_context():
     assert not [s for s in pii.find_spans("DE89 3704 0044 0532 0130 01") if s[0] == "iban"]
 
 
+def test_secrets_need_a_word_before_them():
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    found = lambda t: [(t[a:b], round(x, 6)) for k, a, b, x in pii.find_spans(t) if k == "secret"]
+    assert found(f'the token = "{key}" of it') == [(key, 0.6)] and found(f"API_KEY={key}") == [(key, 0.6)]
+    assert found(f"api key: {key}==") == [(key + "==", 0.6)]
+    assert found(f"commit {key} of it") == found("the token internationalisations-of-it") == found("password: 12345678901234567890") == []
+    assert found(f"mail {key}@x.org token") == []
+
+
+def test_scores_by_plain_rules(spark):
+    """A score is the kind's own, and more by a context word within reach; ties and repeats change nothing."""
+    texts = ["call +1 (017) 555-7713 now", "+1 (017) 555-7713", "me@x.org me@x.org", "mail me@x.org", "visa 4111 1111 1111 1111", "x " * 60 + "10.0.0.1" + " y" * 60]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(0, texts[0])]
+    frame = spark.createDataFrame([(i, t, 1, 2, "x") for i, t in rows], "doc_id long, text string, n_email int, found int, kind string")
+    got = pii.pii_spans(frame).collect()
+    assert len(got) == len(rows) and all(r.n_found == len(r.found) == len(r.spans.split(",")) for r in got)
+    for r in got:
+        for s in r.found:
+            near = re.findall(r"[^\W\d_]+", texts[r.doc_id][max(0, s.start - pii.REACH) : s.start]) + re.findall(r"[^\W\d_]+", texts[r.doc_id][s.end : s.end + pii.REACH])
+            assert s.score == min(1.0, pii.SCORES[s.kind] + pii.CONTEXT * bool({w.lower() for w in near} & pii.WORDS[s.kind]))
+
+
 def test_ibans_before_capitals_and_digits():
     spaced, solid = "DE89 3704 0044 0532 0130 00", "DE89370400440532013000"
     for text, found in ((f"IBAN {spaced} BIC COBADEFF370", [spaced]), (f"{solid} EUR 120", [solid]), (f"{spaced} {spaced} {solid}", [spaced, spaced, solid])):
@@ -337,19 +359,91 @@ def fold(s):
     return [w for w in re.split("[\x20\x09-\x0d]+", "".join(c for c in s if ord(c) >= 128 or c.isalnum() or c in " \t\n\x0b\x0c\r")) if w]
 
 
-def best_similarity(text, item):
+def similarities(text, item, weight=None):
+    """The best plain and the best weighted similarity over all windows of the item's size."""
     a, b = fold(text), fold(item)
     if not a or not b:
-        return 0.0
+        return 0.0, 0.0
     k, size = min(5, len(b)), min(len(b), len(a))
     if len(a) < k:
-        return 0.0
+        return 0.0, 0.0
     sh = lambda w: collections.Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
-    own, best = sh(b), 0.0
+    own, best = sh(b), [0.0, 0.0]
     for s in range(len(a) - size + 1):
         win = sh(a[s : s + size])
-        best = max(best, sum((own & win).values()) / sum((own | win).values()))
-    return best
+        for n, w in enumerate((lambda x: 1.0, weight or (lambda x: 1.0))):
+            total = lambda c: sum(w(x) * m for x, m in c.items())  # noqa: B023, E731
+            best[n] = max(best[n], total(own & win) / total(own | win))
+    return tuple(best)
+
+
+def best_similarity(text, item):
+    return similarities(text, item)[0]
+
+
+def shingle_weights(items):
+    """One over the number of distinct texts of the benchmark that have a shingle; 1 for one that none has."""
+    texts = collections.Counter()
+    for words in {tuple(fold(t)) for t in items if t and fold(t)}:
+        k = min(5, len(words))
+        texts.update({words[i : i + k] for i in range(len(words) - k + 1)})
+    return lambda x: 1 / texts.get(x, 1)
+
+
+@pytest.mark.parametrize("slice_words", [2_000_000, 150])
+def test_weighted_similarity_against_brute_force(spark, slice_words):
+    """Items of a common template are told by what is their own, whatever slice they fall in."""
+    rng = random.Random(33)
+    vocabulary = [f"v{i}" for i in range(400)]
+    frame = rng.choices(vocabulary, k=30)
+    items = [(j, " ".join(frame[: (n := rng.randint(10, 30))] + rng.choices(vocabulary, k=rng.randint(8, 40)) + frame[n:])) for j in range(30)]
+    items += [(100 + j, t) for j, t in items[:5]]  # repeated texts weigh once
+    rows = []
+    for i in range(120):
+        words = rng.choice(items)[1].split()
+        for _ in range(rng.randint(0, 3)):
+            words[rng.randrange(len(words))] = "changed"
+        rows.append((i, " ".join(rng.choices(vocabulary, k=rng.randint(0, 30)) + words + rng.choices(vocabulary, k=rng.randint(0, 30)))))
+    rows += [(500, " ".join(rng.choices(vocabulary, k=40_000)) + " " + items[3][1]), (501, rows[0][1]), (501, rows[0][1])]
+    weight = shingle_weights([t for _, t in items])
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = collections.defaultdict(list)
+    for r in decontaminate.contaminated(docs(spark, rows), bench, slice_words=slice_words).collect():
+        got[r.doc_id, r.item_id].append(r.similarity)
+    seen = {i: t for i, t in rows if i != 500}
+    scores = {(i, j): max(similarities(t, x, weight)) for i, t in seen.items() for j, x in items}
+    want = {p for p, s in scores.items() if s >= 0.8}
+    assert {p for p in got if p[0] != 500} == want
+    assert all(abs(s - scores[p]) < 1e-9 for p, found in got.items() if p[0] != 500 for s in found)
+    assert (500, 3) in got and all(len(v) == (2 if i == 501 else 1) for (i, _), v in got.items())
+    plain = {p for p in want if similarities(seen[p[0]], dict(items)[p[1]])[0] >= 0.8}
+    assert plain < want  # the weights find more than plain similarity does
+
+
+def test_ties_between_windows(spark):
+    item = " ".join(f"v{k}" for k in range(20))
+    got = decontaminate.contaminated(docs(spark, [(1, f"x {item} y {item}")]), spark.createDataFrame([(7, item), (8, item)], "item_id long, text string")).collect()
+    assert sorted((r.item_id, r.start_word, r.similarity) for r in got) == [(7, 1, 1.0), (8, 1, 1.0)]
+
+
+def test_recall_on_the_given_texts(spark, sf_dir):
+    """All windows of the given documents against all items, by exact similarity."""
+    table, bench = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("documents", "benchmark"))
+    texts, items = {r.doc_id: r.text or "" for r in table.collect()}, {r.item_id: r.text or "" for r in bench.collect()}
+    weight = shingle_weights(items.values())
+    where = collections.defaultdict(set)
+    for j, t in items.items():
+        words = fold(t)
+        for i in range(max(1, len(words) - 4)):
+            where[tuple(words[i : i + 5])].add(j)
+    want = set()
+    for i, t in texts.items():
+        words = fold(t)
+        for j in set().union(*(where.get(tuple(words[k : k + 5]), ()) for k in range(max(1, len(words) - 4)))):
+            if max(similarities(t, items[j], weight)) >= 0.8:
+                want.add((i, j))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(table, bench).collect()}
+    assert want and got == want
 
 
 def test_decontamination_against_brute_force(spark):
