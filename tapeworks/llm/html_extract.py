@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tapeworks.llm._util import bound_batches
+
 # Frequent function words of the languages served.
 STOP_WORDS = frozenset(
     "a an and are as at be by for from has he in is it its not of on only or that the their then this to was were when which will with "
@@ -341,5 +343,6 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
             text = [main_text(x) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
+    bound_batches(pages.sparkSession)
     slim = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     return slim.mapInArrow(run, "page_id long, url string, text string, n_chars long")

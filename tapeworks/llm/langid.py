@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapeworks.llm._util import bound_batches
+
 LONGEST = 5
 PROFILE = 1500
 RANKED = 400
@@ -137,6 +139,7 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", l
     count once and the choice does not depend on the order of rows. What reaches the driver are
     languages x profile n-grams. Null languages and texts are left out.
     """
+    bound_batches(labelled.sparkSession)
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
     counts = rows.groupBy("lang").agg(F.approx_count_distinct("text").alias("n")).collect()
     if not counts:

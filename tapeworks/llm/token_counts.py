@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tapeworks.llm._util import bound_batches
+
 #: Word counts remembered by a worker; forgotten as a whole when full.
 REMEMBERED = 200_000
 _UNKNOWN = 1 << 40
@@ -119,15 +121,17 @@ def token_counts(docs: DataFrame, vocabulary: tuple, id_col: str = "doc_id", tex
 
     Words are runs outside white space (0x20, 0x09-0x0D). Null and empty texts have no words. Rows are
     independent, so null and repeated ids change nothing; other columns are ignored. A vocabulary
-    has the arguments of `LongestMatch`; it is bounded by the model file and travels with the function.
+    has the arguments of `LongestMatch`; the automaton is bounded by the model file and is broadcast.
     """
-    automaton = LongestMatch(*vocabulary)
+    spark = docs.sparkSession
+    bound_batches(spark)
+    shared = spark.sparkContext.broadcast(LongestMatch(*vocabulary))
 
     class Remembered(dict):
         def __missing__(self, word):
             if len(self) >= REMEMBERED:
                 self.clear()
-            n = automaton.count(word.decode())
+            n = shared.value.count(word.decode())
             n = n if n >= 0 else 1 + _UNKNOWN
             if len(word) <= 64:
                 self[word] = n

@@ -305,3 +305,17 @@ def test_near_copies_against_brute_force(spark, mixed):
     assert any((simhash.fingerprint(dict(rows)[i]) ^ simhash.fingerprint(dict(rows)[j])).bit_count() > 3 for i, j, s in pairs if s >= 0.8)
     assert {r.doc_id for r in corpus_pipeline.near(spark, frame, "").collect()} == set(got)
     assert near_copies.keep_distinct(docs(spark, [])).count() == 0
+
+
+def test_keep_representatives(spark, mixed):
+    """The smallest id of every class stays, and rows without an id."""
+    rows = [*mixed, (310, "long " * 200_000), (311, "long " * 200_000 + "tail")]
+    root = components([fingerprint(t) for _, t in rows], 3)
+    least = {}
+    for i, t in rows:
+        if i is not None:
+            r = root[fingerprint(t)]
+            least[r] = min(i, least.get(r, i))
+    kept = simhash.keep_representatives(docs(spark, rows))
+    assert kept.columns == ["doc_id", "text", "lang", "keep_id", "fp"]
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted((i for i, t in rows if i is None or i in least.values()), key=str)
