@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,11 +12,13 @@ from pyspark.sql import SparkSession
 def shared_root(spark: SparkSession) -> str:
     """Where intermediate tables go: what the cluster names in ``spark.checkpoint.dir``.
 
-    Only where nothing is set (tests on one machine) is a temporary folder made and set as the
-    checkpoint folder.
+    Only where nothing is set and everything runs in one process (tests) is a temporary folder made and
+    set as the checkpoint folder; a cluster's executors could not see it, so there it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tapeworks-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
