@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeworks.llm import _tokens
-from tapeworks.llm._util import Stash
+from tapeworks.llm._util import Stash, partitions
 from tapeworks.llm.components import connected_components
 from tapeworks.llm.exact_dedup import drop_ids
 from tapeworks.llm.simhash import near_duplicate_classes
@@ -22,6 +22,10 @@ from tapeworks.llm.simhash import near_duplicate_classes
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
+#: Keys of so few members become pairs; larger ones are compared in blocks of about so many shingles and members.
+PAIRED, BLOCK_SHINGLES, BLOCK_ROWS = 3, 1 << 18, 1024
+#: Shared shingles that are counted in one go.
+SLICE = 4096
 #: Bytes of text, and shingles of a text, that are hashed in one go.
 TEXT_BLOCK, SHINGLE_BLOCK = 1 << 20, 1024
 
@@ -80,13 +84,84 @@ def _sets(shingle: int):
     return run
 
 
-def near_copy_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set on the left shares with each on the right."""
+    out = np.zeros((len(left), len(right)), np.float64)
+    terms, at = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    owner = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in [*left, *right]])
+    both = np.bincount(at[owner < len(left)], minlength=len(terms)) * np.bincount(at[owner >= len(left)], minlength=len(terms)) > 0
+    place = np.cumsum(both) - 1
+    owner, at = owner[both[at]], place[at[both[at]]]
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    for lo in range(0, int(both.sum()), SLICE):
+        a, b = np.searchsorted(at, [lo, lo + SLICE])
+        table = np.zeros((len(left) + len(right), SLICE), np.float32)
+        table[owner[a:b], at[a:b] - lo] = 1
+        out += table[: len(left)] @ table[len(left) :].T
+    return out
+
+
+def _forest(near: np.ndarray, us: np.ndarray, vs: np.ndarray):
+    """Links (u, v), one fewer than the members of each component of a bipartite table of near pairs."""
+    new_u, new_v = np.ones(len(us), bool), np.ones(len(vs), bool)
+    for first in np.flatnonzero(near.any(axis=1)).tolist():
+        if not new_u[first]:
+            continue
+        new_u[first], todo = False, [(first, True)]
+        while todo:
+            k, is_u = todo.pop()
+            met = np.flatnonzero(near[k] & new_v if is_u else near[:, k] & new_u)
+            (new_v if is_u else new_u)[met] = False
+            for m in met.tolist():
+                yield (us[k], vs[m]) if is_u else (us[m], vs[k])
+                todo.append((m, not is_u))
+
+
+def _linked(similarity: float):
+    """Over rows (key, x, y, doc_id, root, mine, shingles) sorted by the first three: links between near documents of
+    different roots, at most two a row. Blocks x and y of a key are compared."""
+
+    def settle(rows: list[tuple]):
+        sides = [[r for r in rows if r[5] == side] for side in (rows[0][1], rows[0][2])]
+        if not all(sides):
+            return
+        ids, roots = ([np.array([r[k] for r in side], np.int64) for side in sides] for k in (3, 4))
+        sets = [[r[6] for r in side] for side in sides]
+        sizes = [np.array([len(x) for x in side], float) for side in sets]
+        both = _common(*sets)
+        near = (both >= similarity * (sizes[0][:, None] + sizes[1] - both)) & (roots[0][:, None] != roots[1])
+        links = list(_forest(near, *ids))
+        if links:
+            u, v = zip(*links)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    def run(batches):
+        held: list[tuple] = []
+        for batch in batches:
+            flat, offsets = batch.column(6).flatten().to_numpy(zero_copy_only=False), np.asarray(batch.column(6).offsets)
+            offsets = offsets - offsets[0]
+            for k, row in enumerate(zip(*(batch.column(c).to_pylist() for c in range(6)))):
+                if held and held[0][:3] != row[:3]:
+                    yield from settle(held)
+                    held = []
+                held.append((*row, flat[offsets[k] : offsets[k + 1]].copy()))
+        if held:
+            yield from settle(held)
+
+    return run
+
+
+def near_copy_classes(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, block_shingles: int = BLOCK_SHINGLES, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
     """(node, root) for every id that has a near copy; root is the smallest id of its class, the classes
     being the connected components of near copies. Null ids are left out; rows that repeat an id are one
     document, near to all that one of them is near to. Other columns are ignored.
 
-    A key's members are first compared with its smallest one, and then with each other where that left
-    them in different classes, so that a large class does not cost all its pairs.
+    A key's members are first compared with its smallest one. Keys that this leaves with members of
+    different classes are compared in full: small ones as pairs, larger ones block by block, where a
+    block hands on no more links than it has members.
     """
     stash = Stash(docs.sparkSession, "near")
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
@@ -105,14 +180,22 @@ def near_copy_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     tried = stash.write(members.where("least < doc_id").select(F.col("least").alias("u"), F.col("doc_id").alias("v")).distinct(), "tried")
     links = verified(tried, "links")
     roots = connected_components(links).toDF("doc_id", "root")
-    placed = stash.write(members.join(roots, "doc_id", "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root")), "placed")
-    split = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
-    open_ = stash.write(placed.join(split, "key"), "open")
-    left, right = open_.toDF("key", "u", "ru"), open_.toDF("key", "v", "rv")
-    rest = left.join(right, "key").where("u < v and ru <> rv").select("u", "v").distinct().join(tried, ["u", "v"], "left_anti")
-    more = verified(rest, "more")
+    placed = stash.write(members.distinct().join(roots, "doc_id", "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root")), "placed")
+    sizes = sets.select("doc_id", F.size("shingles").alias("n"))
+    split = placed.join(sizes, "doc_id").groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("c"), F.sum("n").alias("n")).where("x < y")
+    blocks = F.greatest(F.ceil(F.col("n") / block_shingles), F.ceil(F.col("c") / block_rows)).cast("int")
+    open_ = stash.write(placed.join(split.select("key", "c", blocks.alias("blocks")), "key"), "open")
+
+    few = open_.where(F.col("c") <= PAIRED)  # at most as many pairs as members
+    left, right = few.select("key", F.col("doc_id").alias("u"), F.col("root").alias("ru")), few.select("key", F.col("doc_id").alias("v"), F.col("root").alias("rv"))
+    more = verified(left.join(right, "key").where("u < v and ru <> rv").select("u", "v").distinct().join(tried, ["u", "v"], "left_anti"), "more")
+    mine = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    dealt = open_.where(F.col("c") > PAIRED).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "doc_id", "root", "mine").join(sets, "doc_id")
+    dealt = dealt.select("key", "x", "y", "doc_id", "root", "mine", "shingles").repartition(partitions(docs.sparkSession), "key", "x", "y").sortWithinPartitions("key", "x", "y")
+    most = stash.write(dealt.mapInArrow(_linked(similarity), "u long, v long").distinct(), "most")
     stash.drop(members, placed, open_, sets, tried)
-    return connected_components(links.unionByName(more))
+    return connected_components(links.unionByName(more).unionByName(most))
 
 
 def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:

@@ -307,6 +307,45 @@ def test_near_copies_against_brute_force(spark, mixed):
     assert near_copies.keep_distinct(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("block_shingles,block_rows", [(1 << 18, 1024), (400, 1024), (1 << 18, 5), (300, 3)])
+def test_large_keys_are_compared_in_full(spark, block_shingles, block_rows):
+    """Families of borderline copies: no link is lost, however keys are cut into blocks."""
+    rng = random.Random(block_rows)
+    wide = [f"v{i}" for i in range(3000)]
+    rows = []
+    for c in range(4):
+        base = rng.choices(wide, k=120)
+        for k in range(40):
+            words = list(base)
+            for _ in range(rng.randint(0, 4)):
+                words[rng.randrange(len(words))] = rng.choice(wide)
+            rows.append((100 * c + k, " ".join(words)))
+    sets = {i: shingle_set(t) for i, t in rows}
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in sets.items():
+        for j, b in sets.items():
+            if i < j and len(a & b) >= 0.8 * len(a | b):
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    got = {r.node: r.root for r in near_copies.near_copy_classes(docs(spark, rows), block_shingles=block_shingles, block_rows=block_rows).collect()}
+    assert {i: got.get(i, i) for i in sets} == {i: find(i) for i in sets}
+    assert len(set(map(find, sets))) > 8  # families fall into several classes
+
+
+def test_common_shingles_of_many(monkeypatch):
+    monkeypatch.setattr(near_copies, "SLICE", 7)
+    rng = random.Random(2)
+    sets = [np.array(sorted(rng.sample(range(60), rng.randint(0, 40))), np.int64) for _ in range(30)]
+    got = near_copies._common(sets[:12], sets[12:])
+    assert got.tolist() == [[len(set(a) & set(b)) for b in map(np.ndarray.tolist, sets[12:])] for a in map(np.ndarray.tolist, sets[:12])]
+
+
 def test_keep_representatives(spark, mixed):
     """The smallest id of every class stays, and rows without an id."""
     rows = [*mixed, (310, "long " * 200_000), (311, "long " * 200_000 + "tail")]
