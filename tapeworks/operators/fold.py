@@ -145,6 +145,14 @@ def levels_frame(folded: DataFrame) -> DataFrame:
     return folded.select("session_id", "seq", "ts_ns", F.explode("deltas").alias("d")).select("session_id", "seq", "ts_ns", "d.side", "d.price", "d.resting")
 
 
+def resting_frame(folded: DataFrame, messages: DataFrame) -> DataFrame:
+    """(session_id, seq, price, resting) of every order of which something came to rest: its own side's delta."""
+    side = messages.where(F.col("kind") != WITHDRAW).select("session_id", "seq", "direction")
+    own = F.element_at("deltas", -1)
+    rows = folded.where(F.size("deltas") > 0).select("session_id", "seq", own.alias("d")).join(side, ["session_id", "seq"])
+    return rows.where(F.col("d.side") == F.col("direction")).select("session_id", "seq", "d.price", F.col("d.resting").alias("resting"))
+
+
 def fills_frame(folded: DataFrame) -> DataFrame:
     return folded.select("session_id", "seq", "ts_ns", F.posexplode("fills").alias("fill", "f")).select("session_id", "seq", "ts_ns", "fill", "f.price", "f.size", "f.aggressor")
 

@@ -11,7 +11,7 @@ from tapeworks.operators import flow as fl
 from tapeworks.operators import fold
 from tapeworks.operators import hawkes as hk
 from tapeworks.operators.matching import Book
-from tapeworks.plans.models import messages
+from tapeworks.plans.models import folded_sql, messages
 from tapeworks.plans.registry import query
 from tapeworks.schema import BUY, SELL, SessionStatistics
 from tapeworks.sources import files
@@ -96,12 +96,12 @@ def mark_parameters(spark, sf_dir):
     return out
 
 
-@query("SRC17_price_units")
+@query("SRC17_price_units", "SELECT CAST(t AS DOUBLE) AS tick_size, CAST(round(t * 10000) AS BIGINT) AS unit FROM (VALUES (0.0001), (0.01), (0.05), (1.0)) v(t)")
 def price_units(spark, sf_dir):
     return spark.createDataFrame([(t, files.price_unit(t)) for t in (0.0001, 0.01, 0.05, 1.0)], "tick_size double, unit long")
 
 
-@query("PRJ10_checked_declarations")
+@query("PRJ10_checked_declarations", "SELECT * FROM (VALUES ('(1, 2)', FALSE), ('(0,)', TRUE), ('(1.5,)', TRUE), ('(True,)', TRUE)) v(levels, refused)")
 def checked(spark, sf_dir):
     """Which declarations are refused."""
     rows = []
@@ -114,7 +114,7 @@ def checked(spark, sf_dir):
     return spark.createDataFrame(rows, "levels string, refused boolean")
 
 
-@query("FLD16_constructors")
+@query("FLD16_constructors", "SELECT book, CAST(price AS BIGINT) AS price, CAST(size AS BIGINT) AS size FROM (VALUES ('book', 1000, 5), ('book', 999, 7), ('book', 1002, 4), ('copy', 999, 7), ('copy', 1002, 4)) v(book, price, size)")
 def constructors(spark, sf_dir):
     """A book built from levels, copied, and a level set to nothing in the copy."""
     book = Book.of({1000: 5, 999: 7}, {1002: 4})
@@ -187,7 +187,7 @@ def results(spark, sf_dir):
     return spark.createDataFrame([values], schema.REGRESSION)
 
 
-@query("STR01_stream_fold")
+@query("STR01_stream_fold", folded_sql("SELECT session_id, seq, fill_count, traded_size, traded_value FROM fb"))
 def stream_fold(spark, sf_dir):
     """The fold as a stream: two arrivals of messages, state kept between them; equal to the batch fold."""
     from tapeworks.streaming.fold import fold_stream
@@ -203,7 +203,7 @@ def stream_fold(spark, sf_dir):
     return got.select("session_id", "seq", "fill_count", "traded_size", "traded_value")
 
 
-@query("FLD03_withdrawals")
+@query("FLD03_withdrawals", folded_sql("SELECT session_id, CAST(sum(took) AS BIGINT) AS withdrawn, CAST(sum(unfilled) AS BIGINT) AS unfilled FROM fb GROUP BY session_id"))
 def withdrawals(spark, sf_dir):
     f = fold.fold(messages(spark, sf_dir), DEPTH)
     return f.groupBy("session_id").agg(F.sum("withdrawn").alias("withdrawn"), F.sum("unfilled").alias("unfilled"))

