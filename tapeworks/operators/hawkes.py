@@ -7,11 +7,12 @@ rate beta and gains one at an event of its own type; the intensity is mu + A Z.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapeworks import schema
@@ -319,41 +320,46 @@ def replay(paths: DataFrame, beta: float, d: int, p: Hawkes | None = None) -> Da
 
 
 def state_before(paths: DataFrame, beta: float, d: int) -> DataFrame:
-    """The decayed counts just before each event, inside the JVM: for paths short enough for one array."""
-    event = F.struct("n", "t", "type")
-    grouped = paths.groupBy("path_id").agg(F.array_sort(F.collect_list(event)).alias("es"))
-    zeros = F.array(*(F.lit(0.0) for _ in range(d)))
-    start = F.struct(F.lit(0.0).alias("last"), zeros.alias("z"), F.array().cast("array<array<double>>").alias("out"))
+    """(path_id, n, z0..): the decayed counts just before each event, streamed path by path."""
+    return replay(paths, beta, d).select("path_id", "n", *(F.get("z", F.lit(k)).alias(f"z{k}") for k in range(d)))
 
-    def step(s, e):
-        faded = F.transform(s["z"], lambda x: x * F.exp(-beta * (e["t"] - s["last"])))
-        jumped = F.transform(faded, lambda x, k: x + F.when(k == e["type"], 1.0).otherwise(0.0))
-        return F.struct(e["t"].alias("last"), jumped.alias("z"), F.concat(s["out"], F.array(faded)).alias("out"))
 
-    folded = grouped.select("path_id", "es", F.aggregate("es", start, step)["out"].alias("zs"))
-    zipped = folded.select("path_id", F.explode(F.arrays_zip("es", "zs")).alias("x"))
-    return zipped.select("path_id", "x.es.n", *(F.get("x.zs", F.lit(k)).alias(f"z{k}") for k in range(d)))
+def _by_tick(paths: DataFrame, clock: list[float], counted: Callable[[Column, Column], Column], sums: Callable[[Column], dict[str, Column]]) -> DataFrame:
+    """(path_id, ticks): for every path an array over the clock of the sums of its events since the tick before, an
+    event going to the first tick at which it is counted. One row an event; events after the clock give none."""
+    times = F.array(*(F.lit(float(x)) for x in clock))
+    at = F.array_position(F.transform(times, lambda x: counted(F.col("t"), x)), F.lit(True)).cast("int") - 1
+    rows = paths.select("path_id", "t", "type", F.when(at >= 0, at).alias("tick"))
+    cells = sums(F.get(times, F.col("tick")))
+    some = rows.groupBy("path_id", "tick").agg(*(c.alias(name) for name, c in cells.items()))
+    return some.groupBy("path_id").agg(F.map_from_entries(F.collect_list(F.when(F.col("tick").isNotNull(), F.struct("tick", F.array(*cells))))).alias("ticks"))
 
 
 def state_on_clock(paths: DataFrame, beta: float, d: int, clock: list[float], opening=None) -> DataFrame:
-    """(path_id, t, z) at clock times, an event at a clock time not yet counted: a sum per path and time."""
+    """(path_id, t, z) at clock times, an event at a clock time not yet counted.
+
+    Events are summed up to their next tick; from tick to tick the sums fade.
+    """
     times = sorted(clock)
     z0 = np.zeros(d) if opening is None else np.asarray(opening, float)
-    ticks = F.explode(F.array(*(F.lit(float(x)) for x in times)))
-    rows = paths.select("path_id", "t", "type", ticks.alias("at")).where("t < at")
-    sums = rows.groupBy("path_id", "at").agg(*(F.sum(F.when(F.col("type") == k, F.exp(-beta * (F.col("at") - F.col("t"))))).alias(f"s{k}") for k in range(d)))
-    grid = paths.select("path_id").distinct().withColumn("at", ticks)
-    out = grid.join(sums, ["path_id", "at"], "left")
-    return out.select("path_id", F.col("at").alias("t"), *((F.coalesce(F.col(f"s{k}"), F.lit(0.0)) + F.lit(float(z0[k])) * F.exp(-beta * F.col("at"))).alias(f"z{k}") for k in range(d)))
+    ticks = _by_tick(paths, times, lambda t, x: t < x, lambda at: {f"s{k}": F.sum(F.when(F.col("type") == k, F.exp(-beta * (at - F.col("t")))).otherwise(0.0)) for k in range(d)})
+    gaps = [b - a for a, b in zip([0.0, *times], times)]
+    steps = F.array(*(F.struct(F.lit(i).alias("tick"), F.lit(float(t)).alias("t"), F.lit(math.exp(-beta * g)).alias("fade")) for i, (t, g) in enumerate(zip(times, gaps))))
+    none = F.array(*(F.lit(0.0) for _ in range(d)))
+    start = F.array(F.array(*(F.lit(float(x)) for x in z0)))
+    step = lambda out, x: F.concat(out, F.array(F.zip_with(F.element_at(out, -1), F.coalesce(F.element_at("ticks", x["tick"]), none), lambda z, s: z * x["fade"] + s)))
+    states = ticks.select("path_id", F.slice(F.aggregate(steps, start, step), 2, len(times)).alias("zs"))
+    at = states.select("path_id", F.posexplode("zs").alias("i", "z"))
+    return at.select("path_id", F.get(F.array(*(F.lit(float(t)) for t in times)), F.col("i")).alias("t"), *(F.get("z", F.lit(k)).alias(f"z{k}") for k in range(d)))
 
 
 def counts_on_clock(paths: DataFrame, d: int, clock: list[float]) -> DataFrame:
     """(path_id, t, n0..): events of each type at or before each clock time."""
-    ticks = F.explode(F.array(*(F.lit(float(x)) for x in sorted(clock))))
-    rows = paths.select("path_id", "t", "type", ticks.alias("at")).where("t <= at")
-    sums = rows.groupBy("path_id", "at").agg(*(F.count_if(F.col("type") == k).alias(f"n{k}") for k in range(d)))
-    grid = paths.select("path_id").distinct().withColumn("at", ticks)
-    return grid.join(sums, ["path_id", "at"], "left").select("path_id", F.col("at").alias("t"), *(F.coalesce(f"n{k}", F.lit(0)).alias(f"n{k}") for k in range(d)))
+    times = sorted(clock)
+    ticks = _by_tick(paths, times, lambda t, x: t <= x, lambda _: {f"c{k}": F.count_if(F.col("type") == k) for k in range(d)})
+    grid = F.posexplode(F.array(*(F.lit(float(t)) for t in times))).alias("i", "t")
+    upto = lambda k: F.aggregate(F.sequence(F.lit(0), F.col("i")), F.lit(0).cast("long"), lambda n, j: n + F.coalesce(F.get(F.element_at("ticks", j), F.lit(k)), F.lit(0).cast("long")))
+    return ticks.select("path_id", "ticks", grid).select("path_id", "t", *(upto(k).alias(f"n{k}") for k in range(d)))
 
 
 def residuals(replayed: DataFrame) -> DataFrame:

@@ -157,11 +157,19 @@ def est04(spark, sf_dir):
     return one_row(spark, rows=n, block_length=round(length, 9))
 
 
-@query("EST05_bootstrap_means")
+_BOOT = f"""dl AS (SELECT ts_ns, CAST(sum(size) AS DOUBLE) AS size, CAST(count(*) AS DOUBLE) AS events, row_number() OVER (ORDER BY ts_ns) - 1 AS pos FROM tape GROUP BY ts_ns),
+    nn AS (SELECT count(*) AS n FROM dl),
+    bl AS (SELECT a.pos, count(*) AS len FROM dl a JOIN dl b ON b.ts_ns >= a.ts_ns AND b.ts_ns <= a.ts_ns + {W24} GROUP BY 1),
+    dr AS (SELECT r, k, CAST('0x' || substr(md5('7:' || r || ':' || k), 1, 15) AS BIGINT) % n AS pos FROM range(20) t(r), (SELECT n, unnest(range(n)) AS k FROM nn)),
+    ru AS (SELECT r, pos, least(len, n - (sum(len) OVER (PARTITION BY r ORDER BY k) - len)) AS take FROM dr JOIN bl USING (pos), nn)"""
+
+
+@query("EST05_bootstrap_means", sql("SELECT r AS replicate, round(sum(size) / any_value(n), 6) AS size, round(sum(events) / any_value(n), 6) AS events FROM ru JOIN dl ON dl.pos >= ru.pos AND dl.pos < ru.pos + take, nn WHERE take > 0 GROUP BY r", "tape", more=_BOOT))
 def est05(spark, sf_dir):
     """Twenty replicates of a block bootstrap of daily volumes."""
     daily = tape(spark, sf_dir).groupBy(F.col("ts_ns")).agg(F.sum("size").cast("double").alias("size"), F.count("*").cast("double").alias("events"))
-    return est.bootstrap_means(daily, ["size", "events"], W24, 20, 7)
+    got = est.bootstrap_means(daily, ["size", "events"], W24, 20, 7)
+    return got.select("replicate", *(F.round(c, 6).alias(c) for c in ("size", "events")))
 
 
 @query("EST06_kendall_tau_b", sql("SELECT round(sum(sign(CAST(a.size - b.size AS DOUBLE)) * sign(CAST(a.price - b.price AS DOUBLE))) / sqrt(CAST(count(*) FILTER (WHERE a.size <> b.size) AS DOUBLE) * count(*) FILTER (WHERE a.price <> b.price)), 9) AS tau FROM tape a, tape b", "tape"))
@@ -323,12 +331,14 @@ _MODEL5 = hk.Hawkes(np.full(5, 0.01), np.full((5, 5), 0.008), BETA)
 
 @query(
     "HWK12_compensators",
-    sql(f"SELECT a.path_id, a.n, round(0.01 * a.t + 0.008 / {BETA} * (count(b.n) - coalesce(sum(exp(-{BETA} * (a.t - b.t))), 0)), 6) AS compensator, round(0.01 + 0.008 * coalesce(sum(exp(-{BETA} * (a.t - b.t))), 0), 6) AS intensity FROM paths a LEFT JOIN paths b ON b.path_id = a.path_id AND b.n < a.n GROUP BY a.path_id, a.n, a.t", "paths"),
+    sql(f"SELECT path_id, n, k AS component, round(0.01 * (k + 1) * t + 0.008 / {BETA} * c, 6) AS compensator, round(0.01 * (k + 1) + 0.008 * s, 6) AS intensity FROM (SELECT a.path_id, a.n, a.t, count(b.n) - coalesce(sum(exp(-{BETA} * (a.t - b.t))), 0) AS c, coalesce(sum(exp(-{BETA} * (a.t - b.t))), 0) AS s FROM paths a LEFT JOIN paths b ON b.path_id = a.path_id AND b.n < a.n GROUP BY a.path_id, a.n, a.t), (SELECT CAST(unnest(range(5)) AS INTEGER) AS k)", "paths"),
 )
 def hwk12(spark, sf_dir):
-    """The first component's compensator and intensity just before each event, streamed path by path."""
-    got = hk.replay(paths(spark, sf_dir), BETA, 5, _MODEL5)
-    return got.select("path_id", "n", F.round(F.get("compensators", F.lit(0)), 6).alias("compensator"), F.round(F.get("intensities", F.lit(0)), 6).alias("intensity"))
+    """Every component's compensator and intensity just before each event, streamed path by path; baselines differ."""
+    rising = hk.Hawkes(0.01 * np.arange(1, 6), _MODEL5.a, BETA)
+    got = hk.replay(paths(spark, sf_dir), BETA, 5, rising)
+    got = got.select("path_id", "n", F.posexplode(F.arrays_zip("compensators", "intensities")).alias("component", "x"))
+    return got.select("path_id", "n", "component", F.round("x.compensators", 6).alias("compensator"), F.round("x.intensities", 6).alias("intensity"))
 
 
 @query("HWK13_state_on_a_clock", sql("SELECT g.path_id, g.tau AS t, " + ", ".join(f"round(coalesce(sum(exp(-{BETA} * (g.tau - b.t))) FILTER (WHERE b.type = {k}), 0), 6) AS z{k}" for k in range(5)) + " FROM (SELECT DISTINCT path_id, tau FROM paths, (VALUES (CAST(50.0 AS DOUBLE)), (200.0), (700.0)) v(tau)) g LEFT JOIN paths b ON b.path_id = g.path_id AND b.t < g.tau GROUP BY g.path_id, g.tau", "paths"))

@@ -188,6 +188,13 @@ def test_estimators_against_numpy(spark):
     a, b = (np.array([r[c] for r in small.collect()]) for c in ("a", "b"))
     da, db = np.sign(a[:, None] - a), np.sign(b[:, None] - b)
     assert est.kendall_tau_b(small, "a", "b") == pytest.approx((da * db).sum() / math.sqrt((da**2).sum() * (db**2).sum()))
+    # Continuous values, of which all pairs are distinct, and NULLs.
+    pairs = df.where("seq < 300").select(F.when(F.col("seq") != 7, F.col("x")).alias("x"), "y")
+    a, b = (np.array([r[c] for r in pairs.dropna().collect()]) for c in ("x", "y"))
+    assert est.kendall_tau_b(pairs, "x", "y") == pytest.approx((np.sign(a[:, None] - a) * np.sign(b[:, None] - b)).sum() / (len(a) * (len(a) - 1)))
+    assert math.isnan(est.kendall_tau_b(pairs.withColumn("y", F.lit(1)), "x", "y")) and math.isnan(est.kendall_tau_b(pairs.limit(0), "x", "y"))
+    ranks, count = est.dense_ranks(pairs.dropna(), "x", 8)
+    assert count == len(a) and [r["rank"] for r in ranks.orderBy("x").collect()] == list(range(len(a)))
     means = est.bootstrap_means(df, ["x"], 20, 50, 3).agg(F.avg("x")).first()[0]
     assert abs(means - x.mean()) < 0.2
 
