@@ -145,6 +145,13 @@ def levels_frame(folded: DataFrame) -> DataFrame:
     return folded.select("session_id", "seq", "ts_ns", F.explode("deltas").alias("d")).select("session_id", "seq", "ts_ns", "d.side", "d.price", "d.resting")
 
 
+def book_of_deltas(deltas: DataFrame) -> DataFrame:
+    """(session_id, side, price, resting): the levels that a log of changes leaves. Changes carry absolute sizes, so
+    one that is delivered again changes nothing."""
+    last = F.max_by("resting", F.struct("ts_ns", "seq")).alias("resting")
+    return deltas.groupBy("session_id", "side", "price").agg(last).where("resting > 0")
+
+
 def resting_frame(folded: DataFrame, messages: DataFrame) -> DataFrame:
     """(session_id, seq, price, resting) of every order of which something came to rest: its own side's delta."""
     side = messages.where(F.col("kind") != WITHDRAW).select("session_id", "seq", "direction")

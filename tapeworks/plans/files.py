@@ -4,6 +4,7 @@ process tables, and the fold of a stream."""
 from __future__ import annotations
 
 import numpy as np
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from tapeworks import schema
@@ -17,7 +18,9 @@ from tapeworks.schema import BUY, SELL, SessionStatistics
 from tapeworks.sources import files
 from tapeworks.sources import parameters as par
 from tapeworks.sources.shared import shared_path
-from tapeworks.sources.tape import DEPTH, sql, tape_with_book
+from tapeworks.sources.tape import DEPTH, sql, tape, tape_with_book
+from tapeworks.streaming import fold as stf
+from tapeworks.streaming import windows as stw
 
 DAY_NS = 86_400_000_000_000
 #: A file's clock counts from midnight; the tape's days become thousands of seconds.
@@ -87,7 +90,7 @@ def json_round_trip(spark, sf_dir):
     return out
 
 
-@query("SRC13_mark_parameters")
+@query("SRC13_mark_parameters", "SELECT CAST(a AS DOUBLE) AS " + schema.MARKS[0].name + ", CAST(b AS DOUBLE) AS " + schema.MARKS[1].name + ", CAST(c AS DOUBLE) AS " + schema.MARKS[2].name + ", CAST(d AS BIGINT) AS " + schema.MARKS[3].name + ", name FROM (VALUES " + ", ".join(f"{(n, *v)}" for n, v in par.MARKS.items()) + ") v(name, a, b, c, d)")
 def mark_parameters(spark, sf_dir):
     out = None
     for name in par.MARKS:
@@ -187,22 +190,66 @@ def results(spark, sf_dir):
     return spark.createDataFrame([values], schema.REGRESSION)
 
 
+def _halves(spark, rows):
+    """Rows before and from the middle of their time."""
+    low, high = rows.agg(F.min("ts_ns"), F.max("ts_ns")).first()
+    middle = ((low or 0) + (high or 0)) // 2
+    return [rows.where(F.col("ts_ns") < middle), rows.where(F.col("ts_ns") >= middle)]
+
+
 @query("STR01_stream_fold", folded_sql("SELECT session_id, seq, fill_count, traded_size, traded_value FROM fb"))
 def stream_fold(spark, sf_dir):
-    """The fold as a stream: two arrivals of messages, state kept between them; equal to the batch fold."""
-    from tapeworks.streaming.fold import fold_stream
-
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    base = shared_path(spark, "stream")
-    m = messages(spark, sf_dir)
-    for part in (m.where("seq <= 70"), m.where("seq > 70")):
-        part.coalesce(1).write.mode("append").parquet(f"{base}/in")
-        stream = fold_stream(spark.readStream.schema(m.schema).parquet(f"{base}/in"), DEPTH)
-        stream.writeStream.format("parquet").option("checkpointLocation", f"{base}/check").outputMode("append").trigger(availableNow=True).start(f"{base}/out").awaitTermination()
-    got = spark.read.schema(schema.FOLDED).parquet(f"{base}/out")
+    """The fold as a stream: two arrivals of messages, state kept between them."""
+    got = stw.run_in_parts(spark, _halves(spark, messages(spark, sf_dir)), lambda rows: stf.fold_stream(rows, DEPTH))
     return got.select("session_id", "seq", "fill_count", "traded_size", "traded_value")
 
 
+@query("STR02_tumbling_buckets", sql("SELECT session_id, epoch_us(w) AS bucket_us, arg_max(price, seq) AS price FROM (SELECT *, date_trunc('day', make_timestamp(ts_ns // 1000)) + INTERVAL 1 DAY AS w FROM tape) GROUP BY session_id, w", "tape"))
+def stream_buckets(spark, sf_dir):
+    """Daily buckets of a stream; a bucket that both arrivals touch is updated."""
+    rows = tape(spark, sf_dir).select("session_id", "seq", "ts_ns", F.timestamp_micros((F.col("ts_ns") / 1000).cast("long")).alias("ts"), "price")
+    got = stw.run_in_parts(spark, _halves(spark, rows), lambda s: stf.bucket_stream(s, "ts", "price", "1 day", "2 days", order="seq"), ["session_id", "ts"])
+    return got.select("session_id", F.unix_micros("ts").alias("bucket_us"), "price")
+
+
+def _valued(spark, sf_dir, value: str):
+    return tape(spark, sf_dir).select("session_id", "seq", "ts_ns", F.col(value).cast("long").alias("value"))
+
+
+@query("STR03_rolling_sums", sql(f"SELECT a.session_id, a.seq, CAST(sum(b.size) AS BIGINT) AS total, CAST(count(*) AS BIGINT) AS events FROM tape a JOIN tape b ON b.session_id = a.session_id AND b.ts_ns > a.ts_ns - {DAY_NS} AND b.ts_ns <= a.ts_ns AND b.seq <= a.seq GROUP BY ALL", "tape"))
+def stream_rolling(spark, sf_dir):
+    """Sums over (t - 24 h, t] of every row of a stream."""
+    got = stw.run_in_parts(spark, _halves(spark, _valued(spark, sf_dir, "size")), lambda s: stw.rolling_stream(s, DAY_NS))
+    return got.select("session_id", "seq", "total", "events")
+
+
+@query("STR04_islands", sql("SELECT session_id, seq, CAST(sum(fresh) OVER (PARTITION BY session_id ORDER BY ts_ns, seq) AS BIGINT) AS island FROM (SELECT *, CASE WHEN direction IS NOT DISTINCT FROM lag(direction) OVER (PARTITION BY session_id ORDER BY ts_ns, seq) THEN 0 ELSE 1 END AS fresh FROM tape)", "tape"))
+def stream_islands(spark, sf_dir):
+    """Stretches of one direction in a stream."""
+    return stw.run_in_parts(spark, _halves(spark, _valued(spark, sf_dir, "direction")), stw.island_stream).select("session_id", "seq", "island")
+
+
+@query("STR05_late_rows", "SELECT * FROM (VALUES ('in order', FALSE), ('late', TRUE), ('again', TRUE)) v(arrival, refused)")
+def stream_late(spark, sf_dir):
+    """Whether a second arrival is refused: rows in order, rows before those already answered, the same rows again."""
+    first, second = _halves(spark, _valued(spark, sf_dir, "size"))
+    rows = []
+    for name, parts in (("in order", [first, second]), ("late", [second, first]), ("again", [first, first])):
+        try:
+            stw.run_in_parts(spark, parts, lambda s: stw.rolling_stream(s, DAY_NS))
+            rows.append((name, False))
+        except StreamingQueryException:
+            rows.append((name, True))
+    return spark.createDataFrame(rows, "arrival string, refused boolean")
+
+
+@query("STR06_repeated_deltas", folded_sql("SELECT session_id, CAST(side AS INTEGER) AS side, CAST(999 + i AS BIGINT) AS price, resting FROM (SELECT session_id, unnest(range(1, 21)) AS i, 1 AS side, unnest(bids) AS resting FROM (SELECT * FROM fb QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) = 1) UNION ALL SELECT session_id, unnest(range(1, 21)), -1, unnest(asks) FROM (SELECT * FROM fb QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) = 1)) WHERE resting > 0"))
+def stream_deltas(spark, sf_dir):
+    """The books that a log of changes leaves, every change delivered twice."""
+    deltas = fold.levels_frame(fold.fold(messages(spark, sf_dir), 1))
+    return fold.book_of_deltas(deltas.unionByName(deltas))
+
+
 @query("FLD03_withdrawals", folded_sql("SELECT session_id, CAST(sum(took) AS BIGINT) AS withdrawn, CAST(sum(unfilled) AS BIGINT) AS unfilled FROM fb GROUP BY session_id"))
 def withdrawals(spark, sf_dir):
     f = fold.fold(messages(spark, sf_dir), DEPTH)

@@ -77,12 +77,24 @@ def _fit(spark, sf_dir):
     return rows, est.ols(rows, ["one", "x", "depth"], "y")
 
 
-@query("REG06_nested_fit")
+def _normal(names: list[str]) -> str:
+    """Normal equations of a fit of y on centred columns, their inverse as V, residuals and scores, in CTEs."""
+    x, z = names
+    return f"""ce AS (SELECT *, {x} - (SELECT avg({x}) FROM st) AS a, {z} - (SELECT avg({z}) FROM st) AS b, y - (SELECT avg(y) FROM st) AS c FROM st),
+    sm AS (SELECT count(*) AS n, sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb, sum(a * c) AS ac, sum(b * c) AS bc, sum(c * c) AS cc FROM ce),
+    iv AS (SELECT *, bb / (aa * bb - ab * ab) AS v11, -ab / (aa * bb - ab * ab) AS v12, aa / (aa * bb - ab * ab) AS v22 FROM sm),
+    sl AS (SELECT *, v11 * ac + v12 * bc AS b1, v12 * ac + v22 * bc AS b2 FROM iv),
+    sc AS (SELECT session_id, ts_ns, seq, c - b1 * a - b2 * b AS e, a * (c - b1 * a - b2 * b) AS s1, b * (c - b1 * a - b2 * b) AS s2, row_number() OVER (PARTITION BY session_id ORDER BY ts_ns, seq) AS r FROM ce, sl),
+    hc AS (SELECT sum(w * p.s1 * q.s1) AS h11, sum(w * (p.s1 * q.s2 + p.s2 * q.s1) / 2) AS h12, sum(w * p.s2 * q.s2) AS h22 FROM sc p JOIN sc q ON q.session_id = p.session_id AND q.r BETWEEN p.r - 10 AND p.r + 10, LATERAL (SELECT 1 - abs(p.r - q.r) / 11.0 AS w)),
+    hv AS (SELECT *, v11 * v11 * h11 + 2 * v11 * v12 * h12 + v12 * v12 * h22 AS o11, v11 * v12 * h11 + (v11 * v22 + v12 * v12) * h12 + v12 * v22 * h22 AS o12, v12 * v12 * h11 + 2 * v12 * v22 * h12 + v22 * v22 * h22 AS o22, (SELECT sum(e * e) FROM sc) AS ss FROM sl, hc)"""
+
+
+@query("REG06_nested_fit", sql("SELECT round(b1, 9) AS slope_x, round(b2, 9) AS slope_depth, round((o22 * b1 * b1 - 2 * o12 * b1 * b2 + o11 * b2 * b2) / (o11 * o22 - o12 * o12) / 2, 5) AS joint_f, round(1 - ss / cc, 9) AS r_squared, round(n * ss / (n - 3) * v11 / o11, 5) AS effective_sample FROM hv", "bk", more=STUDY + ", " + _normal(["x", "depth"])))
 def reg06(spark, sf_dir):
     """Both slopes, the joint F of the block on HAC variances, and the effective sample."""
     rows, fit = _fit(spark, sf_dir)
     hac = est.hac_variance(rows, fit, "y", 10, ORDER, ["session_id"])
-    out = one_row(spark, slope_x=fit.coefficients[1], slope_depth=fit.coefficients[2], joint_f=est.joint_f(fit, hac, [1, 2]), r_squared=fit.r_squared, effective_sample=est.effective_sample(fit, hac, 1))
+    out = one_row(spark, slope_x=round(fit.coefficients[1], 9), slope_depth=round(fit.coefficients[2], 9), joint_f=round(est.joint_f(fit, hac, [1, 2]), 5), r_squared=round(fit.r_squared, 9), effective_sample=round(est.effective_sample(fit, hac, 1), 5))
     rows.unpersist()
     return out
 
@@ -588,11 +600,3 @@ def cpl01(spark, sf_dir):
     p = paths(spark, sf_dir).where("t <= 300")
     return p.groupBy("path_id", "type").agg(F.round(F.sum(F.exp(-BETA * (300 - F.col("t")))), 6).alias("state"))
 
-
-@query("STR02_tumbling_buckets", sql("SELECT session_id, epoch_us(w) AS bucket_us, arg_max(price, seq) AS price FROM (SELECT *, date_trunc('day', make_timestamp(ts_ns // 1000)) + INTERVAL 1 DAY AS w FROM tape) GROUP BY session_id, w", "tape"))
-def str02(spark, sf_dir):
-    """The tumbling bucket of the stream operator, here over the table."""
-    day = F.floor(F.col("ts_ns") / W24)
-    return tape(spark, sf_dir).groupBy("session_id", ((day + 1) * 86_400_000_000).cast("long").alias("bucket_us")).agg(F.max_by("price", "seq").alias("price"))
-
-

@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: How many sessions the events are dealt to, and how deep the synthetic book is.
-SESSIONS, DEPTH = 64, 3
+#: How many users make a session, so that sessions grow in number with the data and not in length, and how deep
+#: the synthetic book is.
+USERS, DEPTH = 3, 3
 HOUR_NS = 3_600_000_000_000
 
 
@@ -37,7 +38,7 @@ def tape(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(1)
     )
     # The session comes first, so that numbering and every later window share one partitioning.
-    e = e.withColumn("session_id", F.col("user_id") % SESSIONS)
+    e = e.withColumn("session_id", F.expr(f"user_id div {USERS}"))
     return e.select(
         "session_id",
         F.row_number().over(Window.partitionBy("session_id").orderBy("ts", "event_id")).cast("long").alias("seq"),
@@ -121,7 +122,7 @@ def _bk() -> str:
 
 CTES = {
     "tape": f"""tape AS (
-        SELECT user_id % {SESSIONS} AS session_id, row_number() OVER (PARTITION BY user_id % {SESSIONS} ORDER BY ts, event_id) AS seq,
+        SELECT user_id // {USERS} AS session_id, row_number() OVER (PARTITION BY user_id // {USERS} ORDER BY ts, event_id) AS seq,
             (epoch_us(ts) // 3600000000) * {HOUR_NS} AS ts_ns, event_id AS e,
             CAST(CASE event_type WHEN 'click' THEN 2 WHEN 'error' THEN 3 WHEN 'purchase' THEN CASE WHEN event_id % 7 = 0 THEN 5 ELSE 4 END ELSE 1 END AS INTEGER) AS type,
             10 * (1 + event_id % 30) AS size, 100 * (1000 + CAST(floor(value) AS BIGINT) % 20) AS price,

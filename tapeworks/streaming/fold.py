@@ -55,8 +55,9 @@ def fold_stream(messages: DataFrame, depth: int) -> DataFrame:
     return messages.groupBy("session_id").transformWithStateInPandas(statefulProcessor=BookProcessor(depth), outputStructType=FOLDED, outputMode="Append", timeMode="None")
 
 
-def bucket_stream(rows: DataFrame, ts: str, value: str, bucket: str, watermark: str, start: str = "0 seconds") -> DataFrame:
-    """The last value of each tumbling bucket of each session, stamped with the bucket's right edge."""
+def bucket_stream(rows: DataFrame, ts: str, value: str, bucket: str, watermark: str, start: str = "0 seconds", order: str | None = None) -> DataFrame:
+    """The last value of each tumbling bucket of each session, stamped with the bucket's right edge; rows at one
+    time are in the order of the column `order`."""
     late = rows.withWatermark(ts, watermark)
     groups = late.groupBy("session_id", F.window(ts, bucket, startTime=start).alias("w"))
-    return groups.agg(F.max_by(value, F.col(ts)).alias(value)).select("session_id", F.col("w.end").alias(ts), value)
+    return groups.agg(F.max_by(value, F.struct(ts, order) if order else F.col(ts)).alias(value)).select("session_id", F.col("w.end").alias(ts), value)
