@@ -334,8 +334,8 @@ def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col:
     if coarse < bits:
         dealt = sent.repartition(max(ways, 1 << coarse), "bucket").sortWithinPartitions("bucket")
         sent = dealt.mapInArrow(_regroup(width, coarse, bits, REGROUP_WINDOWS), rows)
-    gone = sent.repartition(max(ways, min((1 << bits) // 8, MOST_TASKS)), "bucket").sortWithinPartitions("bucket").mapInArrow(_compare(width, bits, parts, settle_windows), "part int, ids binary, pos binary")
+    gone = sent.repartition(max(ways, min((1 << bits) // 2, MOST_TASKS)), "bucket").sortWithinPartitions("bucket").mapInArrow(_compare(width, bits, parts, settle_windows), "part int, ids binary, pos binary")
     gone = gone.select("part", F.lit(0).cast("byte").alias("kind"), F.lit(None).cast("long").alias("doc_id"), "ids", F.col("pos").alias("data"))
     texts = slim.mapInArrow(_texts(parts), "part int, kind byte, doc_id long, ids binary, data binary")
-    both = gone.unionByName(texts).repartition(ways, "part").sortWithinPartitions("part", "kind")
+    both = gone.unionByName(texts).repartition(max(ways, min(parts // 4, MOST_TASKS)), "part").sortWithinPartitions("part", "kind")
     return both.mapInArrow(_remove(size, with_text), _SCHEMA)
