@@ -254,3 +254,46 @@ def stream_deltas(spark, sf_dir):
 def withdrawals(spark, sf_dir):
     f = fold.fold(messages(spark, sf_dir), DEPTH)
     return f.groupBy("session_id").agg(F.sum("withdrawn").alias("withdrawn"), F.sum("unfilled").alias("unfilled"))
+
+
+@query("SRC14_example_flows", "SELECT name, CAST(type AS INTEGER) AS type, CAST(cause AS INTEGER) AS cause, CAST(baseline AS DOUBLE) AS baseline, CAST(kernel AS DOUBLE) AS kernel FROM (VALUES " + ", ".join(f"('{n}', {i}, {j}, {mu[i]}, {x})" for n, (mu, a) in (par.FLOWS | par.PAIRS).items() for i, row in enumerate(a) for j, x in enumerate(row)) + ") v(name, type, cause, baseline, kernel)")
+def example_flows(spark, sf_dir):
+    """The example processes, one row a kernel entry."""
+    rows = [(n, i, j, float(p.mu[i]), float(p.a[i, j])) for n in (*par.FLOWS, *par.PAIRS) for p in [par.flow(n)] for i in range(p.d) for j in range(p.d)]
+    return spark.createDataFrame(rows, "name string, type int, cause int, baseline double, kernel double")
+
+
+@query("HWK01_refused_parameters", "SELECT * FROM (VALUES ('plain', FALSE), ('shapes', TRUE), ('no decay', TRUE), ('negative baseline', TRUE), ('negative kernel', TRUE), ('no baseline', TRUE), ('not stationary', TRUE), ('not finite', TRUE)) v(parameters, refused)")
+def refused_parameters(spark, sf_dir):
+    """Which parameters make no process."""
+    cases = {
+        "plain": ([0.1, 0.2], [[0.5, 0.1], [0.0, 0.5]], 1.0),
+        "shapes": ([0.1, 0.2], [[0.5]], 1.0),
+        "no decay": ([0.1], [[0.0]], 0.0),
+        "negative baseline": ([0.3, -0.1], [[0.0, 0.0], [0.0, 0.0]], 1.0),
+        "negative kernel": ([0.1], [[-0.1]], 1.0),
+        "no baseline": ([0.0], [[0.1]], 1.0),
+        "not stationary": ([0.1], [[1.0]], 1.0),
+        "not finite": ([float("inf")], [[0.1]], 1.0),
+    }
+    rows = []
+    for name, values in cases.items():
+        try:
+            hk.Hawkes(*values)
+            rows.append((name, False))
+        except ValueError:
+            rows.append((name, True))
+    return spark.createDataFrame(rows, "parameters string, refused boolean")
+
+
+@query(
+    "HWK04_fractions_of_pairs",
+    f"SELECT name, round(1 - (m1 + m2) / (r1 + r2), 9) AS endogenous_fraction, round((r1 + r2) / (m1 + m2), 9) AS cluster_size, round(((g11 - g21) * r1 + (g22 - g12) * r2) / (r1 + r2), 9) AS signed_fraction FROM (SELECT *, ((1 - g22) * m1 + g12 * m2) / ((1 - g11) * (1 - g22) - g12 * g21) AS r1, (g21 * m1 + (1 - g11) * m2) / ((1 - g11) * (1 - g22) - g12 * g21) AS r2 FROM (SELECT name, CAST(m1 AS DOUBLE) AS m1, CAST(m2 AS DOUBLE) AS m2, a11 / {par.DECAY} :: DOUBLE AS g11, a12 / {par.DECAY} :: DOUBLE AS g12, a21 / {par.DECAY} :: DOUBLE AS g21, a22 / {par.DECAY} :: DOUBLE AS g22 FROM (VALUES "
+    + ", ".join(f"{(n, *mu, *a[0], *a[1])}" for n, (mu, a) in par.PAIRS.items())
+    + ") v(name, m1, m2, a11, a12, a21, a22)))",
+)
+def fractions(spark, sf_dir):
+    """How much of the two-type processes is their own doing, and how much of it pushes one way."""
+    signs = np.array([1.0, -1.0])
+    rows = [(n, *(round(float(x), 9) for x in (p.endogenous_fraction(), p.mean_cluster_size(), p.signed_endogenous_fraction(signs)))) for n in par.PAIRS for p in [par.flow(n)]]
+    return spark.createDataFrame(rows, "name string, endogenous_fraction double, cluster_size double, signed_fraction double")
