@@ -136,7 +136,6 @@ def place_idealised(book: Book, kind: int, depth: int) -> tuple[int, int, int, i
 
 
 _PAIR = "path_id long, mark_seed long, n long, t double, type int, " + ", ".join(f"{b}_{c} {k}" for b in ("cks", "haw") for c, k in (("bid", "long"), ("bid_size", "double"), ("ask", "long"), ("ask_size", "double"))) + ", breach string"
-_PAIR_NAMES = [c.split()[0] for c in _PAIR.split(", ")]
 
 
 def coupled(paths: DataFrame, m: Marks, unit: int, depth: int, touches: dict[int, tuple[int, int]], levels: int, seed: int, mark_seeds: int = 1) -> DataFrame:
@@ -146,41 +145,123 @@ def coupled(paths: DataFrame, m: Marks, unit: int, depth: int, touches: dict[int
     stops before the first event that would empty a side, and its last row then names the breach.
     """
 
-    def one(path, mark_seed, rows) -> Iterator[tuple]:
-        rng = np.random.default_rng(np.random.SeedSequence(seed, spawn_key=(int(path), int(mark_seed))))
-        cks, haw = idealised(depth, touches, levels), idealised(depth, touches, levels, unit)
+    class Pair:
+        """One path under one mark seed, an event at a time; a row is given when the next event is known to follow."""
 
-        def state(n, t, kind, breach=None):
-            b, nb, a, na = cks.touch()
-            hb, hnb, ha, hna = haw.touch()
-            return (path, mark_seed, n, t, kind, b, float(nb), a, float(na), hb, hnb / unit, ha, hna / unit, breach)
+        def __init__(self, path, mark_seed):
+            self.key, self.n = (path, mark_seed), 0
+            self.rng = np.random.default_rng(np.random.SeedSequence(seed, spawn_key=(int(path), int(mark_seed))))
+            self.cks, self.haw = idealised(depth, touches, levels), idealised(depth, touches, levels, unit)
+            self.last = self.state(0.0, -1)
 
-        last = state(0, 0.0, -1)
-        for n, (t, kind) in enumerate(rows, 1):
+        def state(self, t, kind):
+            b, nb, a, na = self.cks.touch()
+            hb, hnb, ha, hna = self.haw.touch()
+            return (*self.key, self.n, t, kind, b, float(nb), a, float(na), hb, hnb / unit, ha, hna / unit)
+
+        def event(self, t, kind) -> Iterator[tuple]:
+            if self.last is None:
+                return
             breach = None
             try:
-                cks.apply(*place_idealised(cks, kind, depth))
-            except Breach as e:
-                breach = f"cks: {e}"
-            if breach is None:
-                message = place_by_marks(haw, kind, m, touches[BUY][0], rng)
+                self.cks.apply(*place_idealised(self.cks, kind, depth))
+                message = place_by_marks(self.haw, kind, m, touches[BUY][0], self.rng)
                 if message:
-                    haw.apply(*message)
-                if haw.touch() is None:
+                    self.haw.apply(*message)
+                if self.haw.touch() is None:
                     breach = "haw: a side empties"
-            if breach is not None:
-                yield (*last[:-1], breach)
-                return
-            yield last
-            last = state(n, t, kind)
-        yield last
+            except Breach as e:
+                breach = f"cks: {e}"
+            yield (*self.last, breach)
+            self.n += 1
+            self.last = None if breach else self.state(t, kind)
+
+        def end(self) -> Iterator[tuple]:
+            if self.last is not None:
+                yield (*self.last, None)
+
+    return _by_path(paths, lambda path: [Pair(int(path), s) for s in range(mark_seeds)], _PAIR)
+
+
+def _by_path(paths: DataFrame, start, form: str) -> DataFrame:
+    """Rows of `form` from paths streamed in order: `start(path)` gives readers with `event(t, type)` and `end()`."""
+    names = [c.split()[0] for c in form.split(", ")]
+
+    def run(batches):
+        path, readers = None, []
+        for rows in batches:
+            out = []
+            for p, t, kind in zip(rows["path_id"].tolist(), rows["t"].tolist(), rows["type"].tolist()):
+                if p != path:
+                    out += [row for r in readers for row in r.end()]
+                    path, readers = p, start(p)
+                for r in readers:
+                    out += r.event(t, kind)
+            if out:
+                yield pd.DataFrame(out, columns=names)
+        out = [row for r in readers for row in r.end()]
+        if out:
+            yield pd.DataFrame(out, columns=names)
+
+    ways = int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = paths.select("path_id", "n", "t", "type").repartition(ways, "path_id").sortWithinPartitions("path_id", "n")
+    return ordered.mapInPandas(run, form)
+
+
+_IDEAL = "path_id long, n long, t double, type int, bid long, bid_size long, ask long, ask_size long, breach string"
+
+
+def idealised_flow(paths: DataFrame, depth: int, touches: dict[int, tuple[int, int]], levels: int) -> DataFrame:
+    """(path_id, n, t, type, bid, bid_size, ask, ask_size, breach): the unit orders of a path in the idealised book.
 
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        events = list(zip(group.sort_values("n")["t"], group.sort_values("n")["type"]))
-        out = [row for s in range(mark_seeds) for row in one(int(key[0]), s, events)]
-        return pd.DataFrame(out, columns=_PAIR_NAMES)
+    n = 0 is the opening; a path stops before the first event that would empty a side, which its last row names.
+    """
+
+    class Walk:
+        def __init__(self, path):
+            self.path, self.n, self.book = path, 0, idealised(depth, touches, levels)
+            self.last = (path, 0, 0.0, -1, *self.book.touch())
 
-    return paths.select("path_id", "n", "t", "type").groupBy("path_id").applyInPandas(run, _PAIR)
+        def event(self, t, kind) -> Iterator[tuple]:
+            if self.last is None:
+                return
+            breach = None
+            try:
+                self.book.apply(*place_idealised(self.book, kind, depth))
+            except Breach as e:
+                breach = str(e)
+            yield (*self.last, breach)
+            self.n += 1
+            self.last = None if breach else (self.path, self.n, t, kind, *self.book.touch())
+
+        def end(self) -> Iterator[tuple]:
+            if self.last is not None:
+                yield (*self.last, None)
+
+    return _by_path(paths, lambda path: [Walk(path)], _IDEAL)
+
+
+def flow_identity(rows: DataFrame, depth: int) -> DataFrame:
+    """(path_id, rows, flow, moved, violations) of idealised flows: twice the depth times the mid's move from the opening
+    is the order flow so far less the gain of the bid and plus that of the ask; `violations` counts rows where not."""
+    w = Window.partitionBy("path_id").orderBy("n")
+    opening = {c: F.first(c).over(w) for c in ("bid", "bid_size", "ask", "ask_size")}
+    was = {c: F.lag(c).over(w) for c in opening}
+    bid = F.when(F.col("bid") >= was["bid"], F.col("bid_size")).otherwise(0) - F.when(F.col("bid") <= was["bid"], was["bid_size"]).otherwise(0)
+    ask = F.when(F.col("ask") <= was["ask"], F.col("ask_size")).otherwise(0) - F.when(F.col("ask") >= was["ask"], was["ask_size"]).otherwise(0)
+    moved = F.col("bid") + F.col("ask") - opening["bid"] - opening["ask"]
+    gained = F.col("bid_size") - opening["bid_size"] - F.col("ask_size") + opening["ask_size"]
+    rows = rows.select("path_id", "n", moved.alias("moved"), gained.alias("gained"), F.coalesce(bid - ask, F.lit(0)).alias("e"))
+    rows = rows.withColumn("flow", F.sum("e").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.groupBy("path_id").agg(F.count("*").alias("rows"), F.sum("e").alias("flow"), (F.max_by("moved", "n") / F.lit(2.0)).alias("moved"), F.count_if(depth * F.col("moved") != F.col("flow") - F.col("gained")).alias("violations"))
+
+
+def weighted_level(levels: Column, u: Column) -> Column:
+    """The price of the level that a draw `u` from [0, 1) picks in proportion to size, best first; NULL of an empty side."""
+    total = F.aggregate(levels, F.lit(0).cast("long"), lambda s, x: s + x["size"])
+    start = F.struct(F.lit(0).cast("long").alias("upto"), F.lit(None).cast("long").alias("price"))
+    step = lambda s, x: F.struct((s["upto"] + x["size"]).alias("upto"), F.coalesce(s["price"], F.when(s["upto"] + x["size"] > u * total, x["price"])).alias("price"))
+    return F.aggregate(levels, start, step, lambda s: s["price"])
 
 
 PAIR_KEYS = ["path_id", "mark_seed"]

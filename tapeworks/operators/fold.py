@@ -7,6 +7,7 @@ memory. Everything that a state determines is left to column expressions afterwa
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -74,10 +75,11 @@ def _dealt(messages: DataFrame) -> DataFrame:
     return messages.select(*COLUMNS).repartition(ways, "session_id").sortWithinPartitions("session_id", "ts_ns", "seq")
 
 
-def fold(messages: DataFrame, depth: int, opening: dict[int, dict[int, int]] | None = None, strict: bool = False) -> DataFrame:
+def fold(messages: DataFrame, depth: int, opening: dict[int, dict[int, int]] | None = None, strict: bool = False, storage: str = "sorted", band: tuple[int, int] | None = None) -> DataFrame:
     """(FOLDED) one row a message: the state after it, its fills and deltas, what it traded.
 
-    `opening` maps BUY and SELL to {price: size} and opens every session; it is a parameter, not data.
+    `opening` maps BUY and SELL to {price: size} and opens every session; it is a parameter, not data. `storage` and
+    `band` are those of the books and change no result.
     """
     start = opening or {BUY: {}, SELL: {}}
 
@@ -88,7 +90,7 @@ def fold(messages: DataFrame, depth: int, opening: dict[int, dict[int, int]] | N
             for session_id, seq, ts_ns, size, price, direction, kind in zip(*(c.to_pylist() for c in batch.columns)):
                 _check(session_id, seq, size, price, direction, kind)
                 if session_id != session:
-                    session, book = session_id, Book.of(start[BUY], start[SELL], strict)
+                    session, book = session_id, Book.of(start[BUY], start[SELL], strict, storage, band)
                 sink.add((session_id, seq, ts_ns), book, depth, book.apply(size, price, direction, kind))
             if sink.keys:
                 yield sink.batch()
@@ -134,10 +136,10 @@ def fold_table_function(depth: int):
 
 
 def fold_by_table_function(messages: DataFrame, depth: int) -> DataFrame:
-    spark = messages.sparkSession
-    spark.udtf.register("fold_book", fold_table_function(depth))
-    messages.select(*COLUMNS).createOrReplaceTempView("fold_book_messages")
-    return spark.sql("SELECT * FROM fold_book(TABLE(fold_book_messages) PARTITION BY session_id ORDER BY (ts_ns, seq))")
+    """The fold by the table function, under a name of this call's own, so that folds side by side do not meet."""
+    spark, name = messages.sparkSession, f"fold_book_{uuid.uuid4().hex}"
+    spark.udtf.register(name, fold_table_function(depth))
+    return spark.sql(f"SELECT * FROM {name}(TABLE({{rows}}) PARTITION BY session_id ORDER BY (ts_ns, seq))", rows=messages.select(*COLUMNS))
 
 
 def levels_frame(folded: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """Registered queries of the order-book engine."""
 
-from tapeworks.plans import census, files, models, statistics, windows
+from tapeworks.plans import census, closed_forms, files, models, statistics, windows
 from tapeworks.plans.registry import QUERIES, SQL
 
 
@@ -17,4 +17,4 @@ def flagship(spark, sf_dir):
     return QUERIES["WIN06_rolling_vwap"](spark, sf_dir)
 
 
-__all__ = ["census", "files", "flagship", "models", "oracle_sql", "queries", "statistics", "windows"]
+__all__ = ["census", "closed_forms", "files", "flagship", "models", "oracle_sql", "queries", "statistics", "windows"]

@@ -451,7 +451,10 @@ def est11(spark, sf_dir):
     return tape(spark, sf_dir).groupBy("session_id").agg(F.round(est.participation_ratio(F.col("size").cast("double")), 6).alias("ratio"))
 
 
-@query("SCH01_statistics_schema")
+_DECLARED = "Spread MidPrice MicroPrice QueueImbalance1 QueueImbalance1Covered QueueImbalance2 QueueImbalance2Covered QueueImbalance5 QueueImbalance5Covered SweepCostBuy100 SweepCostBuy100Covered SweepCostSell100 SweepCostSell100Covered SweepCostBuy400 SweepCostBuy400Covered SweepCostSell400 SweepCostSell400Covered OrderFlowContribution TouchDepth BidOccupiedLevels BidGapCount BidLargestGap BidFirstGapDistance BidFirstGapSize BidLargestGapDistance AskOccupiedLevels AskGapCount AskLargestGap AskFirstGapDistance AskFirstGapSize AskLargestGapDistance OrderFlowImbalance1 OrderFlowImbalance1Covered AverageDepth1 OrderFlowImbalance10 OrderFlowImbalance10Covered AverageDepth10"
+
+
+@query("SCH01_statistics_schema", f"SELECT CAST(i - 1 AS INTEGER) AS position, n AS name, CASE WHEN n LIKE 'OrderFlowImbalance%' OR n LIKE 'AverageDepth%' THEN 'window' WHEN n = 'OrderFlowContribution' THEN 'increment' ELSE 'configuration' END AS dependence, n LIKE '%Covered' AS covered FROM (SELECT unnest(string_split('{_DECLARED}', ' ')) AS n, unnest(range(1, 38)) AS i)")
 def declared(spark, sf_dir):
     """The declared columns of a session's statistics, in order."""
     rows = [(k, n, d.value, flag) for k, (n, d, flag) in enumerate(SessionStatistics().declaration())]

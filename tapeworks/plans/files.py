@@ -12,7 +12,7 @@ from tapeworks.operators import flow as fl
 from tapeworks.operators import fold
 from tapeworks.operators import hawkes as hk
 from tapeworks.operators.matching import Book
-from tapeworks.plans.models import folded_sql, messages
+from tapeworks.plans.models import ORDER, STUDY, folded_sql, messages, study
 from tapeworks.plans.registry import query
 from tapeworks.schema import BUY, SELL, SessionStatistics
 from tapeworks.sources import files
@@ -80,7 +80,7 @@ def file_census(spark, sf_dir):
     return got.groupBy("ticker", F.col("date").cast("string").alias("date"), "depth").agg(F.sum("rows").alias("rows"))
 
 
-@query("SRC11_json_round_trip")
+@query("SRC11_json_round_trip", "SELECT CAST(type AS BIGINT) AS Component, CAST(cause AS BIGINT) AS Cause, CASE WHEN type = cause THEN CAST(baseline AS DOUBLE) END AS BaseIntensity, CAST(kernel AS DOUBLE) AS Kernel, CAST(" + str(par.DECAY) + " AS DOUBLE) AS Decay, name FROM (VALUES " + ", ".join(f"('{n}', {i}, {j}, {mu[i]}, {x})" for n, (mu, a) in (par.FLOWS | par.PAIRS).items() for i, row in enumerate(a) for j, x in enumerate(row)) + ") v(name, type, cause, baseline, kernel)")
 def json_round_trip(spark, sf_dir):
     """The example processes written as JSON records and read back."""
     out = None
@@ -127,32 +127,6 @@ def constructors(spark, sf_dir):
     return spark.createDataFrame(rows, "book string, price long, size long")
 
 
-@query("HWK03_built_from_rates")
-def from_rates(spark, sf_dir):
-    """A ladder of branching ratios at the same stationary rates."""
-    p, rows = par.flow("balanced"), []
-    for ratio in (0.1, 0.3, 0.5):
-        q = hk.Hawkes.from_rates(p.rates, hk.cross_pressure_scaled(p.a, fl.PRESSURE, 0.5), p.beta, ratio)
-        rows += [(ratio, k, float(q.mu[k]), float(q.rates[k])) for k in range(q.d)]
-    return spark.createDataFrame(rows, "branching_ratio double, type int, baseline double, rate double")
-
-
-@query("HWK05_stationary_moments")
-def moments(spark, sf_dir):
-    p = par.flow("resilient")
-    v, c, m = p.state_covariance(), p.count_covariance_rate(), p.state_mean()
-    return spark.createDataFrame([(i, j, float(m[i]), float(v[i, j]), float(c[i, j])) for i in range(6) for j in range(6)], "type int, other int, state_mean double, state_covariance double, count_covariance_rate double")
-
-
-@query("HWK06_mean_response")
-def response(spark, sf_dir):
-    p, rows = par.flow("resilient"), []
-    for h in (0.1, 1.0, 5.0):
-        e, phi = p.response(h), p.response_integral(h)
-        rows += [(h, i, j, float(e[i, j]), float(phi[i, j])) for i in range(6) for j in range(6)]
-    return spark.createDataFrame(rows, "horizon double, type int, cause int, response double, integral double")
-
-
 @query("HWK10_continued_paths")
 def continued(spark, sf_dir):
     """Paths that start from a given state."""
@@ -177,16 +151,28 @@ def offsets(spark, sf_dir):
     return rows.where("emitted and type >= 2").groupBy("type").agg(F.count("*").alias("orders"), F.avg("size").alias("mean_size"), F.stddev_samp("price").alias("price_spread"))
 
 
-@query("REG08_result_table")
+@query(
+    "REG08_result_table",
+    sql(
+        "SELECT 'tape' AS Configuration, 'order flow imbalance' AS Predictor, CAST(86400 AS DOUBLE) AS Window, CAST(86400 AS DOUBLE) AS Horizon, CAST(0 AS BIGINT) AS Seed, CAST(n AS BIGINT) AS Rows, round(i0, 9) AS Intercept, round(s1, 9) AS Slope, round(see / (n - 2) / sxx, 9) AS SlopeVariance, round(hac, 9) AS HacVariance, round(r2, 9) AS RSquared, round(see / (n - 2) / sxx * n / hac, 6) AS EffectiveSample "
+        "FROM (SELECT any_value(n) AS n, any_value(i0) AS i0, any_value(s1) AS s1, any_value(r2) AS r2, any_value(sxx) AS sxx, sum(e * e) AS see, (sum(u * u) + 2 * ("
+        + " + ".join(f"{6 - k} / 6 :: DOUBLE * sum(u * u{k})" for k in range(1, 6))
+        + ")) / power(any_value(sxx), 2) AS hac FROM (SELECT *, "
+        + ", ".join(f"lag(u, {k}) OVER o AS u{k}" for k in range(1, 6))
+        + " FROM (SELECT session_id, ts_ns, seq, f.*, y - i0 - s1 * x AS e, (x - mx) * (y - i0 - s1 * x) AS u FROM st, (SELECT count(*) AS n, avg(x) AS mx, regr_sxx(y, x) AS sxx, regr_slope(y, x) AS s1, regr_intercept(y, x) AS i0, regr_r2(y, x) AS r2 FROM st) f) WINDOW o AS (PARTITION BY session_id ORDER BY ts_ns, seq)))",
+        "bk",
+        more=STUDY,
+    ),
+)
 def results(spark, sf_dir):
     """One row of a fit in the declared result schema."""
     from tapeworks.operators import estimation as est
-    from tapeworks.plans.models import ORDER, study
 
     rows = study(spark, sf_dir).withColumn("one", F.lit(1.0))
     fit = est.ols(rows, ["one", "x"], "y")
     hac = est.hac_variance(rows, fit, "y", 5, ORDER, ["session_id"])
     values = ("tape", "order flow imbalance", 86400.0, 86400.0, 0, fit.rows, float(fit.coefficients[0]), float(fit.coefficients[1]), float(fit.variance()[1, 1]), float(hac[1, 1]), fit.r_squared, est.effective_sample(fit, hac, 1))
+    values = (*values[:6], *(round(float(v), 9) for v in values[6:11]), round(float(values[11]), 6))
     return spark.createDataFrame([values], schema.REGRESSION)
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -14,6 +13,7 @@ from tapeworks.operators import fold
 from tapeworks.operators import hawkes as hk
 from tapeworks.operators import windows as win
 from tapeworks.operators import worked_examples as we
+from tapeworks.operators.matching import STORAGES
 from tapeworks.plans.registry import query
 from tapeworks.plans.statistics import FLOW, sides
 from tapeworks.plans.windows import _AHEAD, flow_rows, mid_series
@@ -298,27 +298,6 @@ def est16(spark, sf_dir):
 BETA = 0.05
 
 
-@query("HWK02_closed_forms")
-def hwk02(spark, sf_dir):
-    """Branching ratios, rates, times and signed measures of every example process."""
-    rows = []
-    for name in (*par.FLOWS, *par.PAIRS):
-        p = par.flow(name)
-        signs = fl.PRESSURE if p.d == 6 else np.array([1.0, -1.0])
-        rows.append((name, p.branching_ratio, float(p.rates.sum()), p.endogenous_fraction(), p.mean_cluster_size(), p.signed_endogenous_fraction(signs), p.signed_descendants(signs), p.relaxation_time(), float(np.trace(p.state_covariance())), float(np.trace(p.count_covariance_rate()))))
-    return spark.createDataFrame([tuple(float(x) if not isinstance(x, str) else x for x in r) for r in rows], "name string, branching_ratio double, total_rate double, endogenous_fraction double, cluster_size double, signed_endogenous_fraction double, signed_descendants double, relaxation_time double, state_variance double, count_variance_rate double")
-
-
-@query("HWK07_forward_means")
-def hwk07(spark, sf_dir):
-    p = par.flow("resilient")
-    rows = []
-    for h in (0.1, 1.0, 10.0):
-        s, c = p.forward_state(np.ones(6), h), p.forward_counts(np.ones(6), h)
-        rows += [(h, k, float(s["total"][k]), float(c["total"][k]), float(c["stationary"][k] + c["deviation"][k])) for k in range(6)]
-    return spark.createDataFrame(rows, "horizon double, type int, mean_state double, mean_count double, mean_count_about_the_mean double")
-
-
 @query("HWK08_simulated_paths")
 def hwk08(spark, sf_dir):
     return hk.simulate(spark, par.flow("balanced"), 16, 60.0, 11)
@@ -508,6 +487,23 @@ def fld15(spark, sf_dir):
     return spark.createDataFrame(rows, "example string, agrees boolean")
 
 
+#: Prices of the tape's orders.
+BAND = (1000, 1019)
+
+
+@query("FLD15_storage_variants", folded_sql("SELECT storage, session_id, seq, bid, bids[bid - 999] AS bid_size, ask, asks[ask - 999] AS ask_size, traded_value, took AS withdrawn FROM fb, (VALUES " + ", ".join(f"('{n}')" for n in STORAGES) + ") v(storage)"))
+def fld15b(spark, sf_dir):
+    """The same fold with every way to store a book."""
+    a, b = sides()
+    out = None
+    for name in STORAGES:
+        f = fold.fold(messages(spark, sf_dir), 1, storage=name, band=BAND)
+        f = f.select(F.lit(name).alias("storage"), *KEYS, lv.best(b).alias("b"), lv.best(a).alias("a"), "traded_value", "withdrawn")
+        f = f.select("storage", *KEYS, F.col("b.price").alias("bid"), F.col("b.size").alias("bid_size"), F.col("a.price").alias("ask"), F.col("a.size").alias("ask_size"), "traded_value", "withdrawn")
+        out = f if out is None else out.unionByName(f)
+    return out
+
+
 @query("SIM01_event_types", sql("SELECT session_id, seq, CAST((type + 1) % 6 AS INTEGER) AS event, CASE WHEN (type + 1) % 6 % 2 = 0 THEN 1 ELSE -1 END AS direction, CASE WHEN (type + 1) % 6 % 2 = 0 THEN 1 ELSE -1 END * CASE WHEN (type + 1) % 6 < 4 THEN 1 ELSE -1 END AS pressure FROM tape", "tape"))
 def sim01(spark, sf_dir):
     kind = (F.col("type") + 1) % 6
@@ -537,16 +533,47 @@ def coupled(spark, mark_seeds=2):
     return fl.coupled(hk.simulate(spark, par.flow("balanced"), 8, 20.0, 17), par.marks("unit"), 1, 5, TOUCHES, 60, 23, mark_seeds)
 
 
-@query("SIM07_idealised_flow")
+#: What unit orders do to the idealised book: `ev` is the side a unit goes from (-1, 1), or comes to (-2, 2: 2 the bid).
+_IDEAL = """iw AS (
+        SELECT DISTINCT path_id, CAST(0 AS BIGINT) AS n, CAST(0 AS DOUBLE) AS t, CAST(-1 AS INTEGER) AS type, CAST(1000 AS BIGINT) AS b, CAST(2 AS BIGINT) AS nb, CAST(1001 AS BIGINT) AS a, CAST(2 AS BIGINT) AS na, 0 AS dead FROM paths
+        UNION ALL
+        SELECT path_id, n, t, type, CASE WHEN ev = 1 AND nb = 1 THEN b - 1 WHEN ev = 2 AND nb = 3 THEN b + 1 ELSE b END, CASE WHEN ev = 1 THEN CASE WHEN nb = 1 THEN 3 ELSE nb - 1 END WHEN ev = 2 THEN CASE WHEN nb = 3 THEN 1 ELSE nb + 1 END ELSE nb END,
+            CASE WHEN ev = -1 AND na = 1 THEN a + 1 WHEN ev = -2 AND na = 3 THEN a - 1 ELSE a END, CASE WHEN ev = -1 THEN CASE WHEN na = 1 THEN 3 ELSE na - 1 END WHEN ev = -2 THEN CASE WHEN na = 3 THEN 1 ELSE na + 1 END ELSE na END,
+            CASE WHEN ev = 1 AND nb = 1 AND b = 995 THEN 1 WHEN ev = -1 AND na = 1 AND a = 1006 THEN -1 ELSE 0 END
+        FROM (
+            SELECT w.path_id, p.n, p.t, p.type, b, nb, a, na, CASE p.type WHEN 0 THEN -1 WHEN 1 THEN 1 WHEN 4 THEN 1 WHEN 5 THEN -1 WHEN 2 THEN CASE WHEN nb = 3 AND b + 1 = a THEN -1 ELSE 2 END ELSE CASE WHEN na = 3 AND b + 1 = a THEN 1 ELSE -2 END END AS ev
+            FROM iw w JOIN paths p ON p.path_id = w.path_id AND p.n = w.n + 1 WHERE dead = 0
+        )
+    ),
+    il AS (SELECT *, lead(dead) OVER (PARTITION BY path_id ORDER BY n) AS ends FROM iw)"""
+
+#: Touches, depth and levels of the idealised book that the events of the tables are placed in.
+SMALL = {"depth": 3, "touches": {BUY: (1000, 2), SELL: (1001, 2)}, "levels": 6}
+
+
+def ideal_sql(body: str) -> str:
+    return sql(body, "paths", more=_IDEAL).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("SIM07_idealised_flow", ideal_sql("SELECT path_id, n, round(t, 6) AS t, type, b AS bid, nb AS bid_size, a AS ask, na AS ask_size, CASE ends WHEN 1 THEN 'the bid side would empty' WHEN -1 THEN 'the ask side would empty' END AS breach FROM il WHERE dead = 0"))
 def sim07(spark, sf_dir):
-    return coupled(spark, 1).select("path_id", "n", "t", "cks_bid", "cks_bid_size", "cks_ask", "cks_ask_size", "breach")
+    """Each user's events as unit orders that keep the idealised book."""
+    return fl.idealised_flow(paths(spark, sf_dir), **SMALL).withColumn("t", F.round("t", 6))
 
 
-@query("SIM08_flow_identity")
+@query("SIM08_flow_identity", ideal_sql("SELECT path_id, CAST(count(*) AS BIGINT) AS rows, CAST(sum(e) AS BIGINT) AS flow, arg_max(b + a, n) / 2 - 1000.5 AS moved, CAST(count(*) FILTER (WHERE 3 * (b + a - 2001) <> flow - nb + na) AS BIGINT) AS violations FROM (SELECT *, sum(e) OVER (PARTITION BY path_id ORDER BY n) AS flow FROM (SELECT *, coalesce(CASE WHEN b >= lag(b) OVER o THEN nb ELSE 0 END - CASE WHEN b <= lag(b) OVER o THEN lag(nb) OVER o ELSE 0 END - CASE WHEN a <= lag(a) OVER o THEN na ELSE 0 END + CASE WHEN a >= lag(a) OVER o THEN lag(na) OVER o ELSE 0 END, 0) AS e FROM iw WHERE dead = 0 WINDOW o AS (PARTITION BY path_id ORDER BY n))) GROUP BY path_id"))
 def sim08(spark, sf_dir):
     """In the idealised book the mid's move follows from the flow: rows where it does not (none)."""
-    d = fl.distance_terms(coupled(spark, 1), 5)
-    return d.groupBy("path_id").agg(F.count_if(F.abs("cks_depth_mismatch") > 1e-9).alias("violations"), F.count("*").alias("rows"))
+    return fl.flow_identity(fl.idealised_flow(paths(spark, sf_dir), **SMALL), SMALL["depth"])
+
+
+_CUMULATED = [" + ".join(f"coalesce(bs{j}, 0)" for j in range(1, k + 1)) for k in range(1, DEPTH + 1)]
+
+
+@query("SIM04_withdrawal_levels", sql("SELECT session_id, seq, CASE " + " ".join(f"WHEN 101 * ({c}) > (seq * 37) % 101 * ({_CUMULATED[-1]}) THEN bp{k}" for k, c in enumerate(_CUMULATED, 1)) + " END AS price FROM bk", "bk"))
+def sim04(spark, sf_dir):
+    """The bid that a withdrawal picks in proportion to size; none where there is no bid."""
+    return book(spark, sf_dir).select(*KEYS, fl.weighted_level(F.col("bids"), (F.col("seq") * 37 % 101) / F.lit(101.0)).alias("price"))
 
 
 @query("CPL02_coupled_books")
@@ -587,14 +614,6 @@ def cpl07(spark, sf_dir):
     return fl.distance_terms(coupled(spark), 5)
 
 
-@query("CPL08_closed_forms")
-def cpl08(spark, sf_dir):
-    p, m = par.flow("balanced"), par.marks("unit")
-    rates = fl.closed_form_rates(p, 5, np.full(6, 0.5), 4.0, 0.0)
-    empty = fl.fluid_emptying_time(p, m, 60, 1.0)
-    return one_row(spark, fluid_touch=float(fl.fluid_touch(p, m, 60, 1.0, np.array([1.0]))[0]), emptying_time=None if math.isinf(empty) else empty, diffusive_scale=fl.diffusive_scale(p, 5), second_regime_rate=fl.second_regime_rate(p, 5), **rates)
-
-
 @query("CPL01_state_after", sql(f"SELECT path_id, type, round(sum(exp(-{BETA} * (300 - t))), 6) AS state FROM paths WHERE t <= 300 GROUP BY ALL", "paths"))
 def cpl01(spark, sf_dir):
     p = paths(spark, sf_dir).where("t <= 300")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tapeworks.functions import levels as lv
 from tapeworks.operators import fold, replay
 from tapeworks.operators import worked_examples as we
-from tapeworks.operators.matching import Book
+from tapeworks.operators.matching import STORAGES, Book
 from tapeworks.operators.session import MarketSession, statistics_frame
 from tapeworks.schema import BUY, MARKET_BUY_PRICE, MARKET_SELL_PRICE, SELL, SUBMIT, WITHDRAW, SessionStatistics
 
@@ -52,6 +52,38 @@ def test_strict_withdrawal_and_crossed_books():
         Book.of({1002: 5}, {1001: 5})
 
 
+@pytest.mark.parametrize("storage", STORAGES)
+def test_storages_agree(storage):
+    """Every way to store a book does the same, level by level, over messages that empty and refill sides."""
+    for seed in range(5):
+        books = Book(), Book(storage=storage, band=(990, 1010))
+        for _, _, _, size, price, d, kind in random_messages(1, 400, seed):
+            a, b = (book.apply(size, price, d, kind) for book in books)
+            assert a == b
+            assert all(x.levels(side) == y.levels(side) and x.best(side) == y.best(side) for x, y in [books] for side in (BUY, SELL))
+        assert books[1].copy().levels(BUY, 2) == books[0].levels(BUY, 2)
+
+
+def test_storages_refuse_what_they_cannot_hold():
+    with pytest.raises(ValueError, match="band"):
+        Book(storage="ticks")
+    with pytest.raises(ValueError, match="outside the band"):
+        Book(storage="ticks", band=(990, 1010)).submit(5, 1011, BUY)
+    assert Book(storage="ticks", band=(990, 1010)).withdraw(5, 1011, BUY).withdrawn == 0
+    book = Book(storage="bitmap")
+    book.submit(5, 1000, BUY)
+    with pytest.raises(ValueError, match="bitmap"):
+        book.submit(5, 1000 + (1 << 30), BUY)
+
+
+def test_a_heap_sheds_stale_ranks():
+    book = Book(storage="heap")
+    for k in range(2000):
+        book.submit(1, 1000 - k % 200, BUY)
+        book.withdraw(1, 1000 - k % 200, BUY)
+    assert book.sides[BUY].stale() <= 66 and book.best(BUY) is None
+
+
 def brute(rows, depth):
     out, books = [], {}
     for s, k, t, size, price, d, kind in rows:

@@ -301,3 +301,24 @@ def test_prices_and_units(spark):
     with pytest.raises(Exception, match="off the tick grid"):
         spark.createDataFrame([(100.013,)], "p double").select(files.to_ticks(F.col("p"), 0.01)).collect()
     assert lv.BUY == 1
+
+
+@pytest.mark.parametrize("blocks", [1, 7, 64])
+def test_exact_quantiles(spark, blocks):
+    rng = np.random.default_rng(4)
+    values = np.concatenate([rng.normal(size=2000), np.full(900, 0.25), rng.integers(0, 5, 300)])
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double")
+    at = [0.0, 0.1, 1 / 3, 0.5, 0.75, 0.999, 1.0]
+    assert est.exact_quantiles(df, "v", at, blocks) == pytest.approx(np.quantile(values, at).tolist(), abs=1e-12)
+    assert est.exact_quantiles(df.where("v is null"), "v", at) == []
+    assert est.exact_quantiles(df.where("v = 0.25"), "v", at) == [0.25] * len(at)
+
+
+def test_idealised_flow_is_the_coupled_books(spark, pair):
+    """The unit orders by themselves are those beside the marked ones, as far as the pair goes."""
+    paths, both = pair
+    alone = fl.idealised_flow(paths, 5, TOUCHES, 60).alias("a")
+    b = both.where("mark_seed = 0").alias("b")
+    same = alone.join(b, ["path_id", "n"]).select((F.struct("bid", F.col("bid_size").cast("double"), "ask", F.col("ask_size").cast("double")) == F.struct("cks_bid", "cks_bid_size", "cks_ask", "cks_ask_size")).alias("same"))
+    got = same.groupBy("same").count().collect()
+    assert [r["same"] for r in got] == [True] and got[0]["count"] == b.count()
