@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeworks.functions import levels as lv
+from tapeworks.operators.hawkes import exponential_ranks
 
 
 def book_snapshots(book: DataFrame, seqs: list[int]) -> DataFrame:
@@ -19,7 +20,8 @@ def depth_profile(book: DataFrame) -> DataFrame:
     """Cumulative size by ticks from the touch, averaged over a session's states."""
     rows = []
     for name in ("asks", "bids"):
-        off = F.explode(F.transform(name, lambda x, n=name: F.struct(F.abs(x["price"] - lv.best(F.col(n))["price"]).alias("ticks"), x["size"].alias("size"))))
+        touch = lv.best(F.col(name))["price"]
+        off = F.explode(F.transform(name, lambda x: F.struct(F.abs(x["price"] - touch).alias("ticks"), x["size"].alias("size"))))  # noqa: B023
         rows.append(book.select("session_id", "seq", F.lit(name).alias("side"), off.alias("x")).select("session_id", "seq", "side", "x.*"))
     per = rows[0].unionByName(rows[1]).groupBy("session_id", "side", "ticks").agg(F.sum("size").alias("size"))
     total = Window.partitionBy("session_id", "side").orderBy("ticks").rowsBetween(Window.unboundedPreceding, 0)
@@ -41,9 +43,8 @@ def counting(paths: DataFrame) -> DataFrame:
 
 def exponential_qq(residuals: DataFrame, by: list[str]) -> DataFrame:
     """(by, theoretical, observed): quantiles of residuals against the unit exponential law."""
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy("residual"))
-    n = F.count("*").over(Window.partitionBy(*by))
-    return residuals.select(*by, (-F.ln(1 - (rank - F.lit(0.5)) / n)).alias("theoretical"), F.col("residual").alias("observed"))
+    ranked = exponential_ranks(residuals, "residual", by)
+    return ranked.select(*by, (-F.ln(1 - (F.col("rank") - F.lit(0.5)) / F.col("n"))).alias("theoretical"), F.col("value").alias("observed"))
 
 
 def size_bins(df: DataFrame, value: str, edges: list[float], by: list[str]) -> DataFrame:

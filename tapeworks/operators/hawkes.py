@@ -374,21 +374,26 @@ def residuals(replayed: DataFrame) -> DataFrame:
 RANK_BLOCKS = 64
 
 
-def ks_exponential(df: DataFrame, value: str, by: list[str], blocks: int = RANK_BLOCKS) -> DataFrame:
-    """(by, n, ks): the Kolmogorov-Smirnov distance to the unit exponential law.
+def exponential_ranks(df: DataFrame, value: str, by: list[str], blocks: int = RANK_BLOCKS) -> DataFrame:
+    """(by, value, law, rank, n) of every value that is not NULL: the unit exponential law at it, its rank from 1 in its
+    group and the size of the group.
 
     Rows are ranked within ranges of values, after the numbers of rows in the ranges before, so that a group
     is sorted by many tasks. The ranges are of equal probability under the law.
     """
     u = 1 - F.exp(-F.col(value))
-    rows = df.select(*by, F.col(value).alias("_v"), u.alias("_f"), F.greatest(F.lit(0), F.least(F.floor(u * blocks), F.lit(blocks))).alias("_block")).where("_v is not null")
+    rows = df.select(*by, F.col(value).alias("value"), u.alias("law"), F.greatest(F.lit(0), F.least(F.floor(u * blocks), F.lit(blocks))).alias("_block")).where("value is not null")
     ranges = rows.groupBy(*by, "_block").agg(F.count("*").alias("_c"))
     before = F.coalesce(F.sum("_c").over(Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranges = ranges.select(*by, "_block", before.alias("_before"), F.sum("_c").over(Window.partitionBy(*by)).alias("_n"))
-    ranked = rows.withColumn("_i", F.row_number().over(Window.partitionBy(*by, "_block").orderBy("_v"))).join(ranges, [*by, "_block"])
-    i = F.col("_before") + F.col("_i")
-    d = F.greatest(i / F.col("_n") - F.col("_f"), F.col("_f") - (i - 1) / F.col("_n"))
-    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.max(d).alias("ks"))
+    ranges = ranges.select(*by, "_block", before.alias("_before"), F.sum("_c").over(Window.partitionBy(*by)).alias("n"))
+    ranked = rows.withColumn("_i", F.row_number().over(Window.partitionBy(*by, "_block").orderBy("value"))).join(ranges, [*by, "_block"])
+    return ranked.select(*by, "value", "law", (F.col("_before") + F.col("_i")).alias("rank"), "n")
+
+
+def ks_exponential(df: DataFrame, value: str, by: list[str], blocks: int = RANK_BLOCKS) -> DataFrame:
+    """(by, n, ks): the Kolmogorov-Smirnov distance to the unit exponential law."""
+    d = F.greatest(F.col("rank") / F.col("n") - F.col("law"), F.col("law") - (F.col("rank") - 1) / F.col("n"))
+    return exponential_ranks(df, value, by, blocks).groupBy(*by).agg(F.count("*").alias("n"), F.max(d).alias("ks"))
 
 
 def sample_mean(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:

@@ -14,8 +14,9 @@ from tapeworks.operators import hawkes as hk
 from tapeworks.operators import windows as win
 from tapeworks.operators import worked_examples as we
 from tapeworks.operators.matching import STORAGES
+from tapeworks.operators.session import statistics_frame
 from tapeworks.plans.registry import query
-from tapeworks.plans.statistics import FLOW, sides
+from tapeworks.plans.statistics import FLOW, FRAME, FRAME_CTES, FRAME_SQL, TRUNCATED, sides
 from tapeworks.plans.windows import _AHEAD, flow_rows, mid_series
 from tapeworks.schema import BUY, SELL
 from tapeworks.sources import parameters as par
@@ -436,13 +437,14 @@ def fld06(spark, sf_dir):
     return fold.fold_tally(messages(spark, sf_dir))
 
 
-@query("FLD07_session_statistics")
+_BEST3 = ", ".join(f"{s}l[{k}] + 999 AS {s}p{k}, {n}[{s}l[{k}]] AS {s}s{k}" for s, n in (("a", "asks"), ("b", "bids")) for k in range(1, DEPTH + 1))
+_FOLDED_BOOK = f"bi AS (SELECT session_id, seq, ts_ns, bids, asks, list_reverse(list_filter(range(1, 21), lambda i: bids[i] > 0)) AS bl, list_filter(range(1, 21), lambda i: asks[i] > 0) AS al FROM fb), bk AS (SELECT session_id, seq, ts_ns, {_BEST3} FROM bi), "
+
+
+@query("FLD07_session_statistics", sql(FRAME_SQL, "tape", more=_FOLD + ", " + _FOLDED_BOOK + FRAME_CTES).replace("WITH ", "WITH RECURSIVE ", 1))
 def fld07(spark, sf_dir):
     """Every declared statistic over folded states: the fold is Python, all else column expressions."""
-    from tapeworks.operators.session import statistics_frame
-    from tapeworks.schema import SessionStatistics
-
-    return statistics_frame(fold.fold(messages(spark, sf_dir), DEPTH), SessionStatistics(windows=(7200, 86400)), DEPTH, True)
+    return statistics_frame(fold.fold(messages(spark, sf_dir), DEPTH), FRAME, DEPTH, TRUNCATED)
 
 
 @query("FLD08_top_of_book", folded_sql("SELECT session_id, seq, bid AS price, bids[bid - 999] AS bid_size, ask AS ask_price, asks[ask - 999] AS ask_size FROM fb"))

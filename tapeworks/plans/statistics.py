@@ -18,10 +18,10 @@ KEYS = ["session_id", "seq"]
 LEVELS, SWEEPS, TRUNCATED = (1, 2, 5), (100, 400), True
 
 #: The touches before each row, the order flow contribution, the mid and its segments, in SQL.
-FLOW = """fl AS (SELECT *, lag(bp1) OVER o AS pbp, lag(bs1) OVER o AS pbs, lag(ap1) OVER o AS pap, lag(as1) OVER o AS pas FROM bk WINDOW o AS (PARTITION BY session_id ORDER BY ts_ns, seq)),
+FLOW = """lb AS (SELECT *, lag(bp1) OVER o AS pbp, lag(bs1) OVER o AS pbs, lag(ap1) OVER o AS pap, lag(as1) OVER o AS pas FROM bk WINDOW o AS (PARTITION BY session_id ORDER BY ts_ns, seq)),
     fw AS (SELECT *, CASE WHEN bp1 IS NOT NULL AND pbp IS NOT NULL AND ap1 IS NOT NULL AND pap IS NOT NULL THEN
         (CASE WHEN bp1 >= pbp THEN bs1 ELSE 0 END) - (CASE WHEN bp1 <= pbp THEN pbs ELSE 0 END) - (CASE WHEN ap1 <= pap THEN as1 ELSE 0 END) + (CASE WHEN ap1 >= pap THEN pas ELSE 0 END) END AS flow,
-        (ap1 + bp1) / 2.0 AS mid, as1 + bs1 AS depth FROM fl),
+        (ap1 + bp1) / 2.0 AS mid, as1 + bs1 AS depth FROM lb),
     sg AS (SELECT *, CAST(sum(CASE WHEN mid IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY ts_ns, seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS segment FROM fw)"""
 
 
@@ -186,14 +186,11 @@ _SUMS = ", ".join(
 )
 
 
-@query(
-    "STA19_statistics_frame",
-    sql(
-        "SELECT fw.session_id, fw.seq, fw.ts_ns, " + ", ".join(f'{x} AS "{n}"' for n, x in _frame_columns(FRAME).items()) + " FROM fw " + " ".join(f"JOIN w{w} ON w{w}.session_id = fw.session_id AND w{w}.seq = fw.seq" for w in FRAME.windows),
-        "bk",
-        more=FLOW + ", " + _SUMS,
-    ),
-)
+FRAME_SQL = "SELECT fw.session_id, fw.seq, fw.ts_ns, " + ", ".join(f'{x} AS "{n}"' for n, x in _frame_columns(FRAME).items()) + " FROM fw " + " ".join(f"JOIN w{w} ON w{w}.session_id = fw.session_id AND w{w}.seq = fw.seq" for w in FRAME.windows)
+FRAME_CTES = FLOW + ", " + _SUMS
+
+
+@query("STA19_statistics_frame", sql(FRAME_SQL, "bk", more=FRAME_CTES))
 def statistics(spark, sf_dir):
     """Every declared statistic of a session, by the same functions as the single queries."""
     return statistics_frame(book(spark, sf_dir), FRAME, DEPTH, TRUNCATED)

@@ -192,7 +192,7 @@ def last_of_bucket(spark, sf_dir):
 @query(
     "WIN20_still_quotes",
     sql(
-        "SELECT session_id, island, CAST(count(*) AS BIGINT) AS events, min(seq) AS first_seq, max(ts_ns) - min(ts_ns) AS length_ns FROM (SELECT *, CAST(sum(CASE WHEN bp1 IS NOT DISTINCT FROM pbp AND ap1 IS NOT DISTINCT FROM pap AND seq > 1 THEN 0 ELSE 1 END) OVER (PARTITION BY session_id ORDER BY ts_ns, seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS island FROM fl) GROUP BY session_id, island",
+        "SELECT session_id, island, CAST(count(*) AS BIGINT) AS events, min(seq) AS first_seq, max(ts_ns) - min(ts_ns) AS length_ns FROM (SELECT *, CAST(sum(CASE WHEN bp1 IS NOT DISTINCT FROM pbp AND ap1 IS NOT DISTINCT FROM pap AND seq > 1 THEN 0 ELSE 1 END) OVER (PARTITION BY session_id ORDER BY ts_ns, seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS island FROM lb) GROUP BY session_id, island",
         "bk",
         more=FLOW,
     ),
