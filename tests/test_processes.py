@@ -322,3 +322,23 @@ def test_idealised_flow_is_the_coupled_books(spark, pair):
     same = alone.join(b, ["path_id", "n"]).select((F.struct("bid", F.col("bid_size").cast("double"), "ask", F.col("ask_size").cast("double")) == F.struct("cks_bid", "cks_bid_size", "cks_ask", "cks_ask_size")).alias("same"))
     got = same.groupBy("same").count().collect()
     assert [r["same"] for r in got] == [True] and got[0]["count"] == b.count()
+
+
+@pytest.mark.parametrize("lag", [0, 1, 6, 40])
+def test_hac_variance_of_short_groups(spark, lag):
+    """Groups of 1 to 12 rows, shorter and longer than the lag."""
+    rng = np.random.default_rng(lag)
+    rows = [(g, k, k, float(a), float(b)) for g in range(1, 13) for k, (a, b) in enumerate(rng.normal(size=(g, 2)))]
+    df = spark.createDataFrame(rows, "session_id long, seq long, ts_ns long, x double, y double").withColumn("one", F.lit(1.0))
+    fit = est.ols(df, ["one", "x"], "y")
+    middle = np.zeros((2, 2))
+    for g in range(1, 13):
+        own = np.array([(x, y) for s, _, _, x, y in rows if s == g])
+        design = np.column_stack([np.ones(g), own[:, 0]])
+        s = design * (own[:, 1] - design @ fit.coefficients)[:, None]
+        middle += s.T @ s
+        for k in range(1, min(lag, g - 1) + 1):
+            c = s[k:].T @ s[:-k]
+            middle += (1 - k / (lag + 1)) * (c + c.T)
+    want = fit.gram_inverse @ middle @ fit.gram_inverse
+    assert np.allclose(est.hac_variance(df, fit, "y", lag, ["ts_ns", "seq"], ["session_id"]), want)
