@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tapeworks.llm.decontaminate import contaminated
 from tapeworks.llm.exact_dedup import exact_duplicates
+from tapeworks.llm.filter_audit import audit_filters
 from tapeworks.llm.html_extract import extract_pages
 from tapeworks.llm.langid import identify
 from tapeworks.llm.packing import pack_documents
@@ -15,6 +17,7 @@ from tapeworks.llm.pii import pii_spans
 from tapeworks.llm.simhash import near_duplicate_classes
 from tapeworks.llm.substring_dedup import remove_repeated_passages
 from tapeworks.llm.token_counts import piece_vocabulary, token_counts
+from tapeworks.llm.topk_search import top_k
 from tapeworks.llm.warc import archive_pages
 
 
@@ -69,8 +72,16 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = [op1_html_extraction, op2_simhash_near_dedup, op3_pii, op4_best_fit_packing, op5_language_id, op6_substring_dedup, op7_token_counts, op8_benchmark_decontamination, op9_exact_dedup, op10_warc]
+    every = [op1_html_extraction, op2_simhash_near_dedup, op3_pii, op4_best_fit_packing, op5_language_id, op6_substring_dedup, op7_token_counts, op8_benchmark_decontamination, op9_exact_dedup, op10_warc, op11_topk_search, op12_filter_audit]
     return {f.__name__: f for f in every}
 
 
@@ -119,4 +130,54 @@ def oracle_sql() -> dict[str, str]:
                 CASE WHEN page_id = keep THEN NULL ELSE keep END AS refers_to
             FROM x
         """,
+        "op11_topk_search": """
+            WITH v AS (
+                SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS k
+                FROM embeddings
+                WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+            ), scored AS (
+                SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.k AS DOUBLE[]), CAST(c.k AS DOUBLE[])) AS BIGINT) AS score
+                FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+            ), ranked AS (
+                SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+            )
+            SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
+        """,
+        "op12_filter_audit": r"""
+            WITH d AS (
+                SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+            ), firsts AS (
+                SELECT t, min(doc_id) AS m FROM d GROUP BY t
+            ), l AS (
+                SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS good, max(CAST(toxic = 1 AS INTEGER)) AS toxic FROM labels GROUP BY doc_id
+            ), fails AS (
+                SELECT d.part, coalesce(l.good, 0) AS good, coalesce(l.toxic, 0) AS toxic,
+                    CAST(len(w) < 50 AS INTEGER) + 2 * CAST(100 * len(list_distinct(w)) < 65 * len(w) AS INTEGER)
+                    + 4 * CAST(100 * length(regexp_replace(d.t, '[^A-Z]', '', 'g')) > 5 * length(d.t) AS INTEGER)
+                    + 8 * CAST(regexp_matches(d.t, '[#$%&*|]') AS INTEGER) + 16 * CAST(coalesce(firsts.m < d.doc_id, false) AS INTEGER) AS mask
+                FROM d JOIN firsts USING (t) LEFT JOIN l USING (doc_id)
+            ), cells AS (
+                SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM fails GROUP BY ALL
+            ), f AS (
+                SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) AS x(name, bit)
+            ), orders AS (
+                SELECT a.name || b.name || c.name || d.name || e.name AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+                FROM f a, f b, f c, f d, f e WHERE (a.bit | b.bit | c.bit | d.bit | e.bit) = 31
+            ), steps AS (
+                SELECT filter_order, CAST(i AS INTEGER) AS step, bits[i] AS bit, CAST(coalesce(list_sum(bits[1:i - 1]), 0) AS INTEGER) AS before
+                FROM orders, range(1, 6) AS r(i)
+            ), counted AS (
+                SELECT part, filter_order, step, bit, sum(CASE WHEN mask & (before | bit) = 0 THEN n ELSE 0 END) AS kept,
+                    sum(CASE WHEN mask & before = 0 AND mask & bit > 0 THEN n ELSE 0 END) AS removed,
+                    sum(CASE WHEN mask & before > 0 AND mask & bit > 0 THEN n ELSE 0 END) AS redundant,
+                    sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+                    sum(CASE WHEN mask & before = 0 AND mask & bit > 0 THEN good ELSE 0 END) AS good_lost,
+                    sum(CASE WHEN mask & before = 0 AND mask & bit > 0 THEN toxic ELSE 0 END) AS toxic_lost
+                FROM cells, steps GROUP BY part, filter_order, step, bit
+            )
+            SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+                CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+                CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+            FROM counted
+        """,
     }
