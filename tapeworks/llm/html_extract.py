@@ -1,10 +1,15 @@
 """Main text of web pages by two-pass block rules.
 
 A page is cut into blocks at block-level tags. First pass: text length, link density and stop-word
-density class each block as good, bad, short or near-good; elements and attributes that name page
-furniture (navigation, footer, advert, comments, forms) make a block bad outright, and an element that
-names the article makes it good. A list item of links within an article is undecided, since menus and
-references look alike. Second pass: undecided blocks take the label of their nearest decided neighbours.
+density class each block as good, bad, or undecided: short, near-good, or plain (long, with few stop words, as
+figures or an unknown language are); elements and attributes that name page furniture (navigation, footer,
+advert, comments, forms) make a block bad outright, and an element that names the article makes it good. Of an
+article's own header only the headings stay. A list item of links within an article is undecided, since menus
+and references look alike. Second pass: undecided blocks take the label of their nearest decided neighbours.
+
+A name of furniture on what holds the whole article (`<div class="widget"><article>`) says nothing, so the first
+article voids it, where the page has no article outside such names. A later article, as of a reader's comment or a
+teaser, voids nothing. Link density counts characters as they are in the text that comes out.
 
 Stop words are those of English, French, German and Spanish. A page on which nothing is good, as one in
 another language or of a single short paragraph, keeps its blocks that are neither furniture nor links.
@@ -107,7 +112,7 @@ class Tags:
 
 
 class Verdict:
-    """An element judged by its class or id; void, with those around it, once it is found to hold the article."""
+    """An element judged by its class or id; may be void, with those around it, if it holds the first article."""
 
     __slots__ = ("void", "around")
 
@@ -116,20 +121,19 @@ class Verdict:
 
 
 class Block:
-    __slots__ = ("parts", "linked", "bad", "content", "heading", "item", "named", "text", "label")
+    __slots__ = ("parts", "links", "linked", "bad", "content", "heading", "item", "named", "text", "label")
 
     def __init__(self, bad: bool, content: bool, heading: bool = False, item: bool = False, named: Verdict | None = None):
-        self.parts, self.linked, self.bad, self.content, self.heading, self.item, self.named = [], 0, bad, content, heading, item, named
-        self.text, self.label = "", ""
+        self.parts, self.links, self.bad, self.content, self.heading, self.item, self.named = [], [], bad, content, heading, item, named
+        self.text, self.linked, self.label = "", 0, ""
 
 
 def _furniture(name: str, attrs: str) -> tuple[bool, bool]:
     """Whether an element is furniture by its kind or role, and whether by its class or id."""
-    if name in FURNITURE:
-        return True, False
-    if name in ("html", "body") or "=" not in attrs:
-        return False, False
-    hard = named = False
+    hard = name in FURNITURE
+    if hard and name != "header" or name in ("html", "body") or "=" not in attrs:
+        return hard, False
+    named = False
     for key, value in _ATTR.findall(attrs):
         value, key = value.strip("\"'"), key.lower()
         named = named or key in ("class", "id") and any(map(_NAMED.fullmatch, value.split()))
@@ -137,13 +141,20 @@ def _furniture(name: str, attrs: str) -> tuple[bool, bool]:
     return name not in CONTENT and (hard or "hidden" in attrs.lower().split()), named
 
 
+def _folded(parts: list[str]) -> str:
+    """Pieces of a page as text: references decoded, white space folded and trimmed."""
+    return _SPACE.sub(" ", html.unescape(_BEYOND.sub("\ufffd", "".join(parts)))).strip()
+
+
 def split_blocks(page: str) -> list[Block]:
     """The non-empty blocks of a page, in order."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, Verdict | None]] = []  # name, bad, content, named
-    bad = content = met = False  # met: an article has begun
+    stack: list[tuple[str, int, bool, Verdict | None]] = []  # name, bad, content, named
+    bad = 0  # 1: in an article's header, where headings stay; 2: in furniture
+    content = met = False  # met: an article has begun
     named: Verdict | None = None
     links, items, at, n = 0, 0, 0, len(page)
+    fresh = True  # a link has begun or ended since the last linked piece
     tags = Tags(page)
     # Open elements by name; those that LOOSE end tags may end are counted since the last other element.
     opened: Counter[str] = Counter()
@@ -166,10 +177,11 @@ def split_blocks(page: str) -> list[Block]:
     def close(heading: bool = False):
         nonlocal now
         if now.parts:
-            now.text = _SPACE.sub(" ", html.unescape(_BEYOND.sub("\ufffd", "".join(now.parts)))).strip()
+            now.text = _folded(now.parts)
             if now.text:
+                now.linked = sum(len(_folded(run)) for run in now.links)
                 out.append(now)
-        now = Block(bad, content, heading, items > 0, named)
+        now = Block(bad > 1 or bad == 1 and not heading, content, heading, items > 0, named)
 
     while at < n:
         lt = page.find("<", at)
@@ -178,7 +190,10 @@ def split_blocks(page: str) -> list[Block]:
         if lt > at:
             now.parts.append(page[at:lt])
             if links:
-                now.linked += lt - at
+                if fresh or not now.links:
+                    now.links.append([])
+                now.links[-1].append(page[at:lt])
+                fresh = False
         if lt == n:
             break
         if m := _MARKUP.match(page, lt):
@@ -208,7 +223,7 @@ def split_blocks(page: str) -> list[Block]:
                     unclosed.add(name)
             continue
         if name == "a":
-            links = max(0, links + (-1 if ending else 1 - links))
+            links, fresh = max(0, links + (-1 if ending else 1 - links)), True
         block = name in BLOCKS
         if not ending:
             if block and name == "p" or name in ("li", "dd", "dt", "td", "th", "tr", "option"):
@@ -227,16 +242,16 @@ def split_blocks(page: str) -> list[Block]:
                     loose.append(Counter())
                 hard, by_name = _furniture(name, attrs)
                 by_name = by_name and not (content and name in TEXT)
-                if name in CONTENT:
-                    # Articles further inside content, as comments are, leave the verdict on what holds them.
-                    if not by_name and not (content and met):
-                        holder, named = named, None
-                        while holder and not holder.void:
-                            holder.void, holder = True, holder.around
-                    met = met or name == "article"
-                elif by_name:
+                # The first article is not judged by its own name. Later ones, as of comments and teasers, are, and
+                # leave the verdict on what holds them.
+                if by_name and (met or name not in CONTENT):
                     named = Verdict(named)
-                bad = bad or hard
+                elif name in CONTENT and not by_name and not met:
+                    holder = named
+                    while holder and not holder.void:
+                        holder.void, holder = True, holder.around
+                met = met or name == "article"
+                bad = max(bad, 1 if name == "header" and content else 2 if hard else 0)
                 content = content or name in CONTENT
         elif (loose[-1] if name in LOOSE else opened)[name]:
             k = len(stack) - 1
@@ -247,13 +262,14 @@ def split_blocks(page: str) -> list[Block]:
             links = 0 if name in ("p", "div", "li") and not ending else links
             close(not ending and re.fullmatch("h[1-6]", name) is not None)
     close()
+    plainly = any(b.content and b.named is None and not b.bad for b in out)  # an article outside all names
     for b in out:
-        b.bad = b.bad or b.named is not None and not b.named.void
+        b.bad = b.bad or b.named is not None and (plainly or not b.named.void)
     return out
 
 
 def classify(blocks: list[Block]) -> None:
-    """First pass: good, bad, or undecided: short, near, and links (items of links within an article)."""
+    """First pass: good, bad, or undecided: short, near, plain, and links (items of links within an article)."""
     for b in blocks:
         n = len(b.text)
         words = _WORD.findall(b.text)
@@ -266,17 +282,17 @@ def classify(blocks: list[Block]) -> None:
         elif links > MAX_LINKS:
             b.label = "bad"
         elif n < LENGTH_LOW:
-            b.label = "bad" if links else "short"
+            b.label = "short"
         elif stop >= STOP_HIGH:
             b.label = "good" if n > LENGTH_HIGH else "near"
         elif stop >= STOP_LOW:
             b.label = "near"
         else:
-            b.label = "bad"
+            b.label = "plain"
     if any(b.content and not b.bad for b in blocks):
         # Where the page names its article, what is outside must be good by itself, or a heading before it.
         for b in blocks:
-            if not b.content and not b.heading and b.label in ("short", "near") and len(b.text) < LENGTH_HIGH:
+            if not b.content and not b.heading and (b.label in ("short", "plain") or b.label == "near" and len(b.text) < LENGTH_HIGH):
                 b.label = "bad"
     elif not any(b.label in ("good", "near") for b in blocks):
         for b in blocks:
@@ -290,8 +306,8 @@ def classify(blocks: list[Block]) -> None:
 
 def inherit(blocks: list[Block]) -> None:
     """Second pass: undecided blocks take the label of their nearest decided neighbours. Where both sides
-    disagree, a near-good block is good, items of links are bad, and a short one takes the nearer side; a
-    heading looks ahead."""
+    disagree, a near-good block is good, items of links are bad, and a short or plain one takes the nearer side, at
+    equal distance that before it, or the bad one if much of it is linked; a heading looks ahead."""
     n = len(blocks)
     before, after = [(None, n)] * n, [(None, n)] * n
     for order, side in ((range(n), before), (range(n - 1, -1, -1), after)):
@@ -316,6 +332,8 @@ def inherit(blocks: list[Block]) -> None:
             b.label = x
         elif b.label == "near":
             b.label = "good"
+        elif dx == dy and not b.heading and b.linked > MAX_LINKS / 2 * len(b.text):
+            b.label = "bad"
         else:
             b.label = y if b.heading or dy < dx else x
         if b.label == "bad" and b.heading and y == "good" and b.content:
