@@ -217,6 +217,20 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     return slim.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
+#: A sequence's number has fields for its round, part and place in the part; pieces that fill one begin at FULL.
+ROUND_BITS, PART_BITS, BIN_BITS, FULL = 12, 29, 20, 1 << 62
+#: Rounds of exchange at most. Each round uses fewer sequences than the one before or is the last; what a last round
+#: would have given up stays packed as it is.
+MOST_ROUNDS = 64
+
+
+def sequence_base(round_: int, part: int, bins: int) -> int:
+    """The number of a part's first sequence; distinct for all rounds and parts, or an error."""
+    if round_ >= 1 << ROUND_BITS or part >= 1 << PART_BITS or bins > 1 << BIN_BITS:
+        raise OverflowError(f"round {round_}, part {part} of {bins} sequences is out of the range of sequence ids")
+    return ((round_ << PART_BITS) + part) << BIN_BITS
+
+
 def _pack_parts(capacity: int, round_: int):
     """Packs each part of rows (part, uid, length), sorted by part; tells bounds and what is released."""
 
@@ -229,7 +243,7 @@ def _pack_parts(capacity: int, round_: int):
             # The loosest sequences, with room for a multiple of the gap, give up their documents.
             loose = np.argsort(fill, kind="stable")[: max(4 * (n - bound), n // 8)]
             free[loose[fill[loose] < capacity]] = True
-        sequence = (round_ << 52) + (part << 32) + bins
+        sequence = sequence_base(round_, part, n) + bins
         return pa.RecordBatch.from_arrays(
             [pa.array(uid), pa.array(length), pa.array(sequence), pa.array(offsets), pa.array(free[bins])],
             ["uid", "length", "sequence_id", "offset", "released"],
@@ -270,14 +284,15 @@ def pack_documents(
     pieces = stash.write(tokens.withColumn("uid", F.monotonically_increasing_id()), "pieces")
     stash.drop(tokens)
     pool = pieces.where(F.col("length") < capacity).select("uid", "length")
-    full = pieces.where(F.col("length") >= capacity).select("uid", (F.col("uid") + F.lit(1 << 62)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    full = pieces.where(F.col("length") >= capacity).select("uid", (F.col("uid") + F.lit(FULL)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     placed = [full]
     before = None  # sequences given up for the pool, and where their documents lie
-    for round_ in itertools.count():  # fewer sequences each time, so it ends
+    for round_ in range(MOST_ROUNDS):
         n = pool.count()
         if not n:
             break
         parts = max(1, -(-n // part_items))
+        sequence_base(round_, parts - 1, 0)
         dealt = pool.select(F.pmod(F.xxhash64("uid", F.lit(round_)), F.lit(parts)).alias("part"), "uid", "length")
         dealt = dealt.repartition(min(parts, ways), "part").sortWithinPartitions("part")
         packed = stash.write(dealt.mapInArrow(_pack_parts(capacity, round_), "uid long, length long, sequence_id long, offset long, released boolean"), f"round{round_}")
