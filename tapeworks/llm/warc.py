@@ -28,6 +28,8 @@ from tapeworks.sources.shared import delete_path, shared_path
 
 #: A file is closed when its records reach this many bytes before compression.
 ROLL_BYTES = 8 << 20
+#: Tasks of a stage at most; a task takes as many files as come to it, one after the other.
+MOST_TASKS = 1 << 14
 READ_BYTES = 1 << 18
 LEVEL_RAW, LEVEL_KEPT = 1, 6
 #: Where files lie while they are written; deleted when all are whole.
@@ -267,7 +269,7 @@ def archive_pages(pages: DataFrame, folder: str | None = None, id_col: str = "pa
     again = places.join(groups, key).where("keep is not null and not (page_id <=> keep)")
     per_file = again.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("ordinal", "keep", F.col("kept_record").alias("record_id")))).alias("revisits"))
     files = places.select("file").distinct()
-    ways = max(1, files.count())
+    ways = max(1, min(files.count(), MOST_TASKS))
     files = files.join(per_file, "file", "left").repartition(ways)
     archives = stash.write(files.mapInArrow(_normalise(raw, kept, stamp), "file string, records long"), "archives")
     delete_path(spark, raw)
