@@ -55,11 +55,8 @@ class Stash:
 
 
 def text_bytes(df: DataFrame, text_col: str) -> int:
-    """About how many bytes of text a frame holds: the optimizer's estimate where it has one (files), else
-    one aggregate over the column."""
-    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if known < 1 << 55:
-        return known
+    """How many bytes of text a frame holds, by one aggregate over the column. The optimizer's estimate is the size on
+    disk for a scan and a product for a join, so it is no measure of work."""
     return int(df.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0)
 
 
