@@ -6,6 +6,10 @@ some block by few bits only, so the blocks' tables give all items within the rad
 verified by the exact similarity of their word shingles: the multiset Jaccard index, or the one in which a
 shingle weighs the less the more distinct items of the whole benchmark have it, whichever is higher.
 
+Weights of shingles that benchmark texts share are broadcast up to a checked number of them; beyond it, windows within
+the radius hand on their shingles and meet the weights in a join. Items come in slices of a checked size. Where there
+are several, each slice's result is written and its index released before the next.
+
 A window that shares no shingle with an item has similarity zero, so windows are only fingerprinted
 where they hold a shingle of an item of their size; this drops none that could be verified.
 """
@@ -13,6 +17,7 @@ where they hold a shingle of an item of their size; this drops none that could b
 from __future__ import annotations
 
 import itertools
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -24,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeworks.llm import _tokens
-from tapeworks.llm._util import bound_batches
+from tapeworks.llm._util import Stash, bound_batches
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -32,6 +37,8 @@ SIMILARITY = 0.8
 RADIUS, BLOCKS, BLOCK_RADIUS = 20, 7, 2
 #: Items are broadcast in slices of at most so many words; a larger benchmark takes more passes.
 SLICE_WORDS = 2_000_000
+#: Shared shingles (16 bytes each) that are broadcast at most.
+SHARED_SHINGLES = 4_000_000
 #: Windows fingerprinted in one go.
 WINDOW_BLOCK = 4096
 TEXT_BLOCK = 4 << 20
@@ -118,13 +125,18 @@ class BenchmarkIndex:
             quick[(pairs["h"] >> np.uint64(64 - _GATE_BITS)).astype(np.int64)] = True
             self.gates[k] = (quick, pairs["h"], pairs["g"])
 
-    def _similarity(self, item: tuple[np.ndarray, np.ndarray], window: np.ndarray) -> float:
-        """Jaccard index of two multisets of shingles, plain or weighted, whichever is higher."""
+    @staticmethod
+    def _common(item: tuple[np.ndarray, np.ndarray], window: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The shingles of an item and a window with the least and the greatest of their counts."""
         mine = np.unique(window, return_counts=True)
         every = np.union1d(item[0], mine[0])
         n, m = np.zeros((2, len(every)), np.int64)
         n[np.searchsorted(every, item[0])], m[np.searchsorted(every, mine[0])] = item[1], mine[1]
-        both, total = np.minimum(n, m), np.maximum(n, m)
+        return every, np.minimum(n, m), np.maximum(n, m)
+
+    def _similarity(self, item: tuple[np.ndarray, np.ndarray], window: np.ndarray) -> float:
+        """Jaccard index of two multisets of shingles, plain or weighted, whichever is higher."""
+        every, both, total = self._common(item, window)
         plain = float(both.sum() / total.sum())
         keys, texts = self.shared
         if plain == 1 or not len(keys):
@@ -134,7 +146,7 @@ class BenchmarkIndex:
         return max(plain, float((weight * both).sum() / (weight * total).sum()))
 
     def _search(self, words: np.ndarray, k: int, hashes: np.ndarray, anchors: np.ndarray) -> Iterator[tuple]:
-        """Verified matches of one document: (item_id, start, size, distance, similarity)."""
+        """Windows of one document within the radius of an item: (item_id, its shingles, start, size, distance, the window's)."""
         _, keys, owners = self.gates[k]
         lo, hi = np.searchsorted(keys, hashes[anchors], "left"), np.searchsorted(keys, hashes[anchors], "right")
         where = defaultdict(list)
@@ -162,36 +174,49 @@ class BenchmarkIndex:
                     for w, item, d in zip(*group.near(fps)):
                         start = int(run[w])
                         item_id, own, _ = group.items[item]
-                        score = self._similarity(own, hashes[start : start + n])
-                        if score >= self.similarity:
-                            yield item_id, start, size, int(d), score
+                        yield item_id, own, start, size, int(d), hashes[start : start + n]
 
     def matches(self, column: pa.Array) -> Iterator[tuple]:
         """(row, item_id, start, size, distance, similarity): the best window of each item in each text."""
-        for lo, hi in _tokens.slices(column, TEXT_BLOCK):
-            words, of = _words(column.slice(lo, hi - lo))
+        for near in self._blocks(column):
             best: dict[tuple, tuple] = {}
-            for k, (quick, keys, _) in self.gates.items():
-                hashes = _tokens.window_hashes(words, k)
-                hit = np.flatnonzero(quick[(hashes >> np.uint64(64 - _GATE_BITS)).astype(np.int64)])
-                hit = hit[keys[np.minimum(np.searchsorted(keys, hashes[hit]), len(keys) - 1)] == hashes[hit]] if len(keys) else hit[:0]
-                row = np.searchsorted(of, hit, "right") - 1
-                inside = hit + k <= of[row + 1]
-                hit, row = hit[inside], row[inside]
-                for r in np.unique(row).tolist():
-                    a, b = int(of[r]), int(of[r + 1])
-                    for item_id, start, size, d, score in self._search(words[a:b], k, hashes[a : b - k + 1], hit[row == r] - a):
-                        key = (lo + r, item_id)
-                        if key not in best or (-score, start) < (-best[key][3], best[key][0]):
-                            best[key] = (start, size, d, score)
-            for (row, item_id), (start, size, d, score) in best.items():
-                yield row, item_id, start, size, d, score
-
-
-def shared_shingles(benchmark: DataFrame, text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """The shingles that more than one distinct text of the whole benchmark has, sorted, with the number of texts.
-
-    Texts of the same folded words are one. About 16 bytes a shared shingle reach the driver and the executors.
+            for row, item_id, own, start, size, d, window in near:
+                score = self._similarity(own, window)
+                key = (row, item_id)
+                if score >= self.similarity and (key not in best or (-score, start) < (-best[key][3], best[key][0])):
+                    best[key] = (start, size, d, score)
+            for (row, item_id), found in best.items():
+                yield row, item_id, *found
+
+    def candidates(self, column: pa.Array) -> Iterator[tuple]:
+        """(row, item_id, start, size, distance, shingles, least counts, greatest counts) of every window within the radius."""
+        for near in self._blocks(column):
+            for row, item_id, own, start, size, d, window in near:
+                yield row, item_id, start, size, d, *self._common(own, window)
+
+    def _blocks(self, column: pa.Array) -> Iterator[Iterator[tuple]]:
+        """For each block of texts, its windows within the radius, with the text's row before them."""
+        for lo, hi in _tokens.slices(column, TEXT_BLOCK):
+            yield self._near(lo, *_words(column.slice(lo, hi - lo)))
+
+    def _near(self, first: int, words: np.ndarray, of: np.ndarray) -> Iterator[tuple]:
+        for k, (quick, keys, _) in self.gates.items():
+            hashes = _tokens.window_hashes(words, k)
+            hit = np.flatnonzero(quick[(hashes >> np.uint64(64 - _GATE_BITS)).astype(np.int64)])
+            hit = hit[keys[np.minimum(np.searchsorted(keys, hashes[hit]), len(keys) - 1)] == hashes[hit]] if len(keys) else hit[:0]
+            row = np.searchsorted(of, hit, "right") - 1
+            inside = hit + k <= of[row + 1]
+            hit, row = hit[inside], row[inside]
+            for r in np.unique(row).tolist():
+                a, b = int(of[r]), int(of[r + 1])
+                for found in self._search(words[a:b], k, hashes[a : b - k + 1], hit[row == r] - a):
+                    yield first + r, *found
+
+
+def shared_shingles(benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """(shingle, texts): the shingles that more than one distinct text of the whole benchmark has, as a written table.
+
+    Texts of the same folded words are one.
     """
 
     def run(batches):
@@ -204,7 +229,15 @@ def shared_shingles(benchmark: DataFrame, text_col: str = "text") -> tuple[np.nd
                     yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(text.view(np.int64))], ["shingle", "item"])
 
     pairs = benchmark.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "shingle long, item long").distinct()
-    table = pairs.groupBy("shingle").count().where("count > 1").toArrow()
+    counted = pairs.groupBy("shingle").agg(F.count("*").alias("texts")).where("texts > 1")
+    return Stash(benchmark.sparkSession, "benchmark").write(counted, "shared")
+
+
+def small_enough(shared: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """The shared shingles, sorted, with the number of texts; None if there are more than may be broadcast."""
+    if shared.count() > most:
+        return None
+    table = shared.toArrow()
     keys = table.column(0).to_numpy().view(np.uint64)
     order = np.argsort(keys)
     return keys[order], table.column(1).to_numpy()[order]
@@ -224,7 +257,52 @@ def benchmark_slices(benchmark: DataFrame, item_col: str = "item_id", text_col:
         yield rows
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similarity: float = SIMILARITY, slice_words: int = SLICE_WORDS) -> DataFrame:
+SCHEMA = "doc_id long, item_id long, start_word long, n_words long, distance int, similarity double"
+CANDIDATES = "uid string, doc_id long, item_id long, start_word long, n_words long, distance int, shingles array<struct<shingle: long, both: long, total: long>>"
+
+
+def _matched(slim: DataFrame, index) -> DataFrame:
+    """Documents against a slice whose weights are at hand."""
+
+    def run(batches):
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64()]
+        names = ["doc_id", "item_id", "start_word", "n_words", "distance", "similarity"]
+        for batch in batches:
+            found = list(index.value.matches(batch.column(1)))
+            if found:
+                row, *rest = zip(*found)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), *(pa.array(c, t) for c, t in zip(rest, kinds[1:]))], names)
+
+    return slim.mapInArrow(run, SCHEMA)
+
+
+def _joined(slim: DataFrame, index, shared: DataFrame, similarity: float, stash: Stash) -> DataFrame:
+    """The same where the weights are a table: windows within the radius meet it shingle by shingle."""
+
+    def run(batches):
+        kind = pa.list_(pa.struct([("shingle", pa.int64()), ("both", pa.int64()), ("total", pa.int64())]))
+        for batch in batches:
+            ids, uid = batch.column(0).to_pylist(), uuid.uuid4().hex
+            for row, item_id, start, size, d, keys, both, total in index.value.candidates(batch.column(1)):
+                shingles = [{"shingle": int(k), "both": int(x), "total": int(y)} for k, x, y in zip(keys.view(np.int64), both, total)]
+                columns = [pa.array([f"{uid}-{row}"]), *(pa.array([x], t) for x, t in zip((ids[row], item_id, start, size, d), [pa.int64()] * 4 + [pa.int32()])), pa.array([shingles], kind)]
+                yield pa.RecordBatch.from_arrays(columns, ["uid", "doc_id", "item_id", "start_word", "n_words", "distance", "shingles"])
+
+    # Written, so that a row's name, made anew by each run of a task, is one in all that follows.
+    found = stash.write(slim.mapInArrow(run, CANDIDATES), "windows")
+    window = ["uid", "doc_id", "item_id", "start_word", "n_words", "distance"]
+    each = found.select(*window, F.explode("shingles").alias("s")).select(*window, "s.*").join(shared, "shingle", "left")
+    weight = 1 / F.coalesce("texts", F.lit(1))
+    plain, weighted = F.sum("both") / F.sum("total"), F.sum(weight * F.col("both")) / F.sum(weight * F.col("total"))
+    scored = each.groupBy(*window).agg(F.greatest(plain, weighted).alias("similarity")).where(F.col("similarity") >= similarity)
+    best = scored.groupBy("uid", "item_id").agg(F.min(F.struct((-F.col("similarity")).alias("worse"), "start_word", "doc_id", "n_words", "distance", "similarity")).alias("b"))
+    return best.select("b.doc_id", "item_id", "b.start_word", "b.n_words", "b.distance", "b.similarity")
+
+
+def contaminated(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+    similarity: float = SIMILARITY, slice_words: int = SLICE_WORDS, most_shared: int = SHARED_SHINGLES,
+) -> DataFrame:
     """(doc_id, item_id, start_word, n_words, distance, similarity): one row for each document and item
     with a window of the item's size (the whole document if it is shorter) of `similarity` or more; the
     first of the best windows is told.
@@ -234,34 +312,54 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     an id or an item each give their rows. Empty tables give an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
-    bound_batches(spark)
-    schema = "doc_id long, item_id long, start_word long, n_words long, distance int, similarity double"
+    stash = Stash(spark, "leaks")
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    out, shared = None, shared_shingles(benchmark, item_text_col)
+    out, before, shared = None, None, shared_shingles(benchmark, item_text_col)
+    weights = small_enough(shared, most_shared)
     for rows in benchmark_slices(benchmark, item_col, item_text_col, slice_words):
-        index = spark.sparkContext.broadcast(BenchmarkIndex(rows, shared, similarity))
-
-        def run(batches, index=index):
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64()]
-            names = ["doc_id", "item_id", "start_word", "n_words", "distance", "similarity"]
-            for batch in batches:
-                found = list(index.value.matches(batch.column(1)))
-                if found:
-                    row, *rest = zip(*found)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), *(pa.array(c, t) for c, t in zip(rest, kinds[1:]))], names)
-
-        part = slim.mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], schema)
-
-
-def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similarity: float = SIMILARITY, slice_words: int = SLICE_WORDS) -> DataFrame:
-    """The rows that match no item, with all their columns; texts are judged where they lie."""
-    bound_batches(docs.sparkSession)
-    spark, out, shared = docs.sparkSession, docs, shared_shingles(benchmark, item_text_col)
+        if before is not None:  # more than one slice: the last one's result is written and its index given up
+            out, before = _written(out, before, stash), None
+        index = spark.sparkContext.broadcast(BenchmarkIndex(rows, weights, similarity))
+        before = (_matched(slim, index) if weights is not None else _joined(slim, index, shared, similarity, stash), index)
+    if before is None:
+        return spark.createDataFrame([], SCHEMA)
+    return before[0] if out is None else out.unionByName(before[0])
+
+
+def _written(out: DataFrame | None, part: tuple, stash: Stash) -> DataFrame:
+    found, index = part
+    found = stash.write(found, "slice")
+    index.destroy()
+    return found if out is None else out.unionByName(found)
+
+
+def keep_clean(
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+    similarity: float = SIMILARITY, slice_words: int = SLICE_WORDS, most_shared: int = SHARED_SHINGLES,
+) -> DataFrame:
+    """The rows that match no item, with all their columns; texts are judged where they lie.
+
+    A benchmark of several slices takes a pass for each, over what the ones before kept. Where weights are joined, rows
+    are numbered in a written table first.
+    """
+    spark = docs.sparkSession
+    stash = Stash(spark, "clean")
+    shared = shared_shingles(benchmark, item_text_col)
+    weights = small_enough(shared, most_shared)
+    if weights is None:
+        row = f"_row_{uuid.uuid4().hex}"
+        numbered = stash.write(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+        leaks = contaminated(numbered, benchmark, row, text_col, item_col, item_text_col, similarity, slice_words, most_shared)
+        return numbered.join(leaks.select(F.col("doc_id").alias(row)).distinct(), row, "left_anti").select(*docs.columns)
+    out, before, kept = docs, None, []
     for rows in benchmark_slices(benchmark, item_col, item_text_col, slice_words):
-        index = spark.sparkContext.broadcast(BenchmarkIndex(rows, shared, similarity))
-        out = out.where(_clean(index)(F.col(text_col).cast("string")))
+        if before is not None:
+            out = stash.write(out, "pass")
+            before.destroy()
+            stash.drop(*kept)
+            kept = [out]
+        before = spark.sparkContext.broadcast(BenchmarkIndex(rows, weights, similarity))
+        out = out.where(_clean(before)(F.col(text_col).cast("string")))
     return out
 
 

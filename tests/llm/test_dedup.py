@@ -255,6 +255,20 @@ def test_key_bytes_follow_the_size():
     assert [substring_dedup.key_bytes(n) for n in (0, 1, 1e6, 1e9, 1e12, 1e14, 1e30)] == [10, 10, 10, 10, 13, 15, 16]
 
 
+def test_sizes_are_of_the_text_and_not_of_an_estimate(spark, sf_dir):
+    """A join's estimate is a product; the work is dealt by what the texts hold."""
+    from tapeworks.llm._util import text_bytes
+
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    held = sum(len((r.text or "").encode()) for r in table.select("text").collect())
+    labelled = table.join(spark.read.parquet(f"{sf_dir}/labels.parquet").hint("merge"), "doc_id", "left").drop("quality", "toxic")
+    assert text_bytes(table, "text") == text_bytes(labelled, "text") == held
+    whole = sorted(map(tuple, substring_dedup.remove_repeated_passages(table, with_text=False).select("doc_id", "n_removed", "kept_sha256").collect()))
+    joined = substring_dedup.remove_repeated_passages(labelled, with_text=False).select("doc_id", "n_removed", "kept_sha256")
+    assert joined.rdd.getNumPartitions() <= 256
+    assert sorted(map(tuple, joined.collect())) == whole
+
+
 def test_null_ids_in_passages(spark):
     text = " ".join(WORDS[:20])
     got = substring_dedup.remove_repeated_passages(docs(spark, [(None, text), (1, text), (None, None)])).collect()

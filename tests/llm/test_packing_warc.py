@@ -61,6 +61,25 @@ def test_packing(spark, tokenizer):
     assert packing.pack_documents(df.limit(0), PATH).count() == 0
 
 
+def test_sequence_ids_cannot_collide():
+    """Fields of round, part and place do not run into each other nor into the ids of full pieces; beyond them is an error."""
+    last = [(1 << b) - 1 for b in (packing.ROUND_BITS, packing.PART_BITS, packing.BIN_BITS)]
+    base = packing.sequence_base
+    assert base(0, 0, 1) == 0 and base(0, 1, 1) == 1 << packing.BIN_BITS
+    assert base(0, last[1], 1) + last[2] < base(1, 0, 1) and base(last[0], last[1], 1) + last[2] < packing.FULL
+    assert packing.PART_ITEMS * 2 <= last[2] and packing.MOST_ROUNDS <= last[0]
+    for beyond in ((last[0] + 1, 0, 1), (0, last[1] + 1, 1), (0, 0, last[2] + 2)):
+        with pytest.raises(OverflowError):
+            base(*beyond)
+
+
+def test_rounds_are_bounded(spark, tokenizer, monkeypatch):
+    rows = [(i, "word " * (600 + 37 * i % 900)) for i in range(60)]
+    df = spark.createDataFrame([(i, t, 1) for i, t in rows], DOCS)
+    monkeypatch.setattr(packing, "MOST_ROUNDS", 1)
+    check_packing(rows, packing.pack_documents(df, PATH, part_items=8).collect(), tokenizer, 2048)
+
+
 def test_lower_bound_and_best_fit():
     rng = np.random.default_rng(0)
     for _ in range(50):
@@ -125,6 +144,15 @@ def test_archives(spark):
     assert warc.archive_pages(df.limit(0)).count() == 0
 
 
+def test_tasks_are_bounded_whatever_the_number_of_files(spark, monkeypatch):
+    monkeypatch.setattr(warc, "MOST_TASKS", 3)
+    pages = spark.createDataFrame([(i, f"u{i}", f"<p>{i % 20}" * 50) for i in range(60)], "page_id long, url string, html string").repartition(6)
+    got = warc.archive_pages(pages, roll_bytes=500)
+    assert got.rdd.getNumPartitions() == 3
+    rows = got.collect()
+    assert len(rows) == 60 and len({r.file for r in rows}) > 20 and sum(r.record_type == "response" for r in rows) == 20
+
+
 def test_records_have_the_demanded_fields(spark, tmp_path):
     """Every file is members of one record each, a warcinfo first; ids are unique and what is referred to is there."""
     import gzip

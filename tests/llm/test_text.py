@@ -477,6 +477,27 @@ def test_decontamination_against_brute_force(spark):
     assert decontaminate.keep_clean(docs(spark, rows), bench.limit(0)).count() == len(rows)
 
 
+@pytest.mark.parametrize("slice_words", [2_000_000, 200])
+def test_weights_by_a_join_equal_broadcast_ones(spark, slice_words):
+    """Beyond the number of shared shingles that may be broadcast, the same rows come from the table of them."""
+    rng = random.Random(12)
+    vocabulary = [f"v{i}" for i in range(200)]
+    frame = rng.choices(vocabulary, k=20)
+    items = [(j, " ".join(frame + rng.choices(vocabulary, k=rng.randint(8, 30)))) for j in range(25)]
+    rows = []
+    for i in range(80):
+        words = rng.choice(items)[1].split()
+        for _ in range(rng.randint(0, 3)):
+            words[rng.randrange(len(words))] = "changed"
+        rows.append((i, " ".join(rng.choices(vocabulary, k=rng.randint(0, 30)) + words)))
+    rows += [(None, items[0][1]), (5, items[1][1]), (5, items[1][1]), (900, None), (901, "")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    told = lambda most: sorted(((r.doc_id, r.item_id, r.start_word, r.n_words, r.distance, round(r.similarity, 9)) for r in decontaminate.contaminated(docs(spark, rows), bench, slice_words=slice_words, most_shared=most).collect()), key=str)
+    assert told(0) == told(4_000_000) and len(told(0)) > 20
+    clean = [sorted((tuple(r) for r in decontaminate.keep_clean(docs(spark, rows), bench, slice_words=slice_words, most_shared=most).collect()), key=str) for most in (0, 4_000_000)]
+    assert clean[0] == clean[1] and len(clean[0]) < len(rows)
+
+
 def test_repeated_items_hide_no_copies(spark):
     """Scores depend neither on how many rows repeat an item nor on the slice it falls in."""
     rng = random.Random(7)
