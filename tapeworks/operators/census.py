@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tapeworks.functions import levels as lv
 from tapeworks.operators import windows as win
+from tapeworks.operators.distributions import medians
 from tapeworks.schema import EVENT_TYPES
 
 BY = "session_id"
@@ -64,11 +65,12 @@ def describe_messages(messages: DataFrame) -> DataFrame:
     """Counts by type, withdrawal rate, length, median gap and share of zero gaps of each session."""
     rows = messages.select(BY, "type", "ts_ns", (F.col("ts_ns") - F.lag("ts_ns").over(win.by_row())).alias("gap"))
     n = {k: F.count_if(F.col("type") == k) for k in (1, 2, 3)}
-    return rows.groupBy(BY).agg(
+    got = rows.groupBy(BY).agg(
         F.count("*").alias("messages"), *(n[k].alias(f"type_{k}") for k in n), F.try_divide((n[2] + n[3]).cast("double"), n[1].cast("double")).alias("withdrawal_rate"),
-        ((F.max("ts_ns") - F.min("ts_ns")) / F.lit(1e9)).alias("seconds"), F.expr("percentile(gap, 0.5)").alias("median_gap"),
+        ((F.max("ts_ns") - F.min("ts_ns")) / F.lit(1e9)).alias("seconds"),
         F.try_divide(F.count_if(F.col("gap") == 0).cast("double"), F.count("gap").cast("double")).alias("zero_gaps"),
     )
+    return got.join(medians(rows, "gap", [BY], "median_gap"), BY, "left")
 
 
 def describe_orderbook(book: DataFrame, tick: int = 1) -> DataFrame:
@@ -76,11 +78,12 @@ def describe_orderbook(book: DataFrame, tick: int = 1) -> DataFrame:
     a, b = F.col("asks"), F.col("bids")
     rows = book.select(BY, "seq", lv.spread(a, b).alias("s"), (2 * lv.mid_price(a, b)).cast("long").alias("m2"), lv.queue_imbalance(F.slice(a, 1, 1), F.slice(b, 1, 1), 1).alias("i"))
     quoted = F.when(F.col("s").isNotNull(), F.col("seq"))
-    return rows.groupBy(BY).agg(
-        F.count("*").alias("rows"), F.avg("s").alias("mean_spread"), F.expr("percentile(s, 0.5)").alias("median_spread"),
+    got = rows.groupBy(BY).agg(
+        F.count("*").alias("rows"), F.avg("s").alias("mean_spread"),
         (F.count_if(F.col("s") <= tick) / F.count("*")).alias("one_tick_share"), (F.min_by("m2", quoted) / F.lit(2.0)).alias("first_mid"),
         (F.max_by("m2", quoted) / F.lit(2.0)).alias("last_mid"), F.round(F.avg("i"), 9).alias("mean_imbalance"), F.count_if(F.col("s") <= 0).alias("crossed_or_locked"),
     )
+    return got.join(medians(rows, "s", [BY], "median_spread"), BY, "left")
 
 
 def lit_trades(unit: int = 1) -> dict[str, Column]:

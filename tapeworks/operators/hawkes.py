@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -290,33 +291,136 @@ def simulate(spark: SparkSession, p: Hawkes, paths: int, horizon: float, seed: i
     return spark.range(paths).repartition(min(paths, spark.sparkContext.defaultParallelism * 4)).mapInPandas(run, schema.PATHS)
 
 
-def replay(paths: DataFrame, beta: float, d: int, p: Hawkes | None = None) -> DataFrame:
+#: A path is replayed in blocks of so many events.
+BLOCK_EVENTS = 1 << 16
+_PLACED = "path_id long, block long, n long, t double, type int, z array<double>, counts array<double>"
+
+
+def affine_scan(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """All x_i = a_i x_(i-1) + b_i with x before the first being 0; `a` has one entry a row, `b` a vector.
+
+    Steps compose to steps, (a, b) after (c, d) being (a c, a d + b), so spans of 1, 2, 4 ... rows are composed at once.
+    """
+    a, b, span = a.copy(), b.copy(), 1
+    while span < len(a):
+        b[span:] += a[span:, None] * b[:-span]
+        a[span:] *= a[:-span]
+        span *= 2
+    return b
+
+
+class _Scan:
+    """Sums of a stream of events in order of path, block and n; what a batch leaves goes on in the next.
+
+    A row of type -1 gives the sums and the time that its block begins with; a block without one begins with none at 0.
+    """
+
+    def __init__(self, beta: float, d: int):
+        self.beta, self.d = beta, d
+        self.key, self.t, self.z, self.counts = None, 0.0, np.zeros(d), np.zeros(d)
+
+    def batch(self, path: np.ndarray, block: np.ndarray, t: np.ndarray, kind: np.ndarray, z0: np.ndarray, n0: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(sums, counts) just before each row; a carry's row has its own."""
+        n, carry = len(t), kind < 0
+        if not n:
+            return np.zeros((0, self.d)), np.zeros((0, self.d))
+        new = np.ones(n, bool)
+        new[1:] = (path[1:] != path[:-1]) | (block[1:] != block[:-1])
+        new[0] = self.key != (path[0], block[0])
+        hot = np.zeros((n, self.d))
+        hot[np.flatnonzero(~carry), kind[~carry]] = 1
+        before, last = np.empty(n), np.vstack([np.zeros(self.d), hot[:-1]])
+        before[1:], before[0] = t[:-1], self.t
+        before[new] = 0.0
+        fade = np.where(new, 0.0, np.exp(-self.beta * np.maximum(t - before, 0.0)))
+        add, step = fade[:, None] * last, np.where(new[:, None], 0.0, last)
+        if not new[0]:
+            add[0] = fade[0] * self.z
+            step[0] = self.counts
+        # A block's first row starts anew, from its carry if it is one.
+        add[new] = step[new] = 0.0
+        add[carry], step[carry] = z0[carry], n0[carry]
+        z = affine_scan(fade, add)
+        start = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+        total = np.cumsum(step, axis=0)
+        counts = total - np.where((start > 0)[:, None], total[start - 1], 0.0)
+        self.key, self.t, self.z, self.counts = (path[-1], block[-1]), float(t[-1]), z[-1] + hot[-1], counts[-1] + hot[-1]
+        return z, counts
+
+
+def _vectors(column: pa.Array, d: int) -> np.ndarray:
+    """A column of arrays as a matrix, NULL as zeros."""
+    out = np.zeros((len(column), d))
+    some = np.asarray(column.is_valid())
+    if some.any():
+        out[some] = column.drop_null().flatten().to_numpy().reshape(-1, d)
+    return out
+
+
+def _scanned(scan: _Scan, rows: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    path, block, n, t, kind = (c.to_numpy(zero_copy_only=False) for c in rows.columns[:5])
+    return path, block, n, t, kind, *scan.batch(path, block, t, kind, _vectors(rows.column(5), scan.d), _vectors(rows.column(6), scan.d))
+
+
+def _lists(m: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, m.shape[1] or 1, dtype=np.int32)), pa.array(np.ascontiguousarray(m).ravel()))
+
+
+def _ends(beta: float, d: int, size: int):
+    """(path_id, block, t, z, counts): what each full block leaves by its own events; only a full one has another after it."""
+
+    def run(batches):
+        scan = _Scan(beta, d)
+        for rows in batches:
+            path, block, n, t, kind, z, counts = _scanned(scan, rows)
+            at = np.flatnonzero(n % size == size - 1)
+            hot = np.zeros((len(at), d))
+            hot[np.arange(len(at)), kind[at]] = 1
+            yield pa.RecordBatch.from_arrays([pa.array(path[at]), pa.array(block[at]), pa.array(t[at]), _lists(z[at] + hot), _lists(counts[at] + hot)], ["path_id", "block", "t", "z", "counts"])
+
+    return run
+
+
+def _carried(beta: float):
+    """What each block of one path begins with: the ends of the blocks before it, faded and added up."""
+
+    def run(ends: pa.Table) -> pa.Table:
+        ends = ends.sort_by("block").combine_chunks()
+        t, z, counts = ends["t"].to_numpy(), np.array(ends["z"].to_pylist()), np.array(ends["counts"].to_pylist())
+        z = affine_scan(np.exp(-beta * np.diff(t, prepend=t[:1])), z)
+        block = ends["block"].to_numpy() + 1
+        one = lambda x, kind: pa.array(np.full(len(t), x), kind)
+        return pa.table([ends["path_id"], pa.array(block), one(-1, pa.int64()), pa.array(t), one(-1, pa.int32()), _lists(z), _lists(np.cumsum(counts, axis=0))], names=["path_id", "block", "n", "t", "type", "z", "counts"])
+
+    return run
+
+
+def replay(paths: DataFrame, beta: float, d: int, p: Hawkes | None = None, block: int = BLOCK_EVENTS) -> DataFrame:
     """(path_id, n, t, type, z, counts, intensities, compensators) just before each event.
 
-    Paths are sorted and streamed; only one path's d sums are in memory. Without `p` the last two are NULL.
+    `n` numbers a path's events without a gap, from 0 or 1. A path is cut into blocks that are scanned side by side: first
+    each by itself, for what it leaves; these ends are composed along the path (a row a block); then each again from what
+    it begins with. Without `p` the last two columns are NULL.
     """
 
     def run(batches):
-        path = None
+        scan = _Scan(beta, d)
         for rows in batches:
-            out = []
-            for r in rows.itertuples(index=False):
-                if r.path_id != path:
-                    path, last, z, counts = r.path_id, 0.0, np.zeros(d), np.zeros(d)
-                z = z * math.exp(-beta * (r.t - last))
-                last = r.t
-                lam = comp = None
-                if p is not None:
-                    lam, comp = (p.mu + p.a @ z).tolist(), (p.mu * r.t + p.a @ (counts - z) / beta).tolist()
-                out.append((r.path_id, r.n, r.t, r.type, z.tolist(), counts.tolist(), lam, comp))
-                z[r.type] += 1
-                counts[r.type] += 1
-            if out:
-                yield pd.DataFrame(out, columns=["path_id", "n", "t", "type", "z", "counts", "intensities", "compensators"])
+            path, _, n, t, kind, z, counts = _scanned(scan, rows)
+            keep = kind >= 0
+            path, n, t, kind, z, counts = (x[keep] for x in (path, n, t, kind, z, counts))
+            lam = comp = pa.nulls(len(t), pa.list_(pa.float64()))
+            if p is not None:
+                lam, comp = _lists(p.mu + z @ p.a.T), _lists(np.outer(t, p.mu) + (counts - z) @ p.a.T / beta)
+            yield pa.RecordBatch.from_arrays([pa.array(path), pa.array(n), pa.array(t), pa.array(kind), _lists(z), _lists(counts), lam, comp], ["path_id", "n", "t", "type", "z", "counts", "intensities", "compensators"])
 
     ways = int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = paths.select("path_id", "n", "t", "type").repartition(ways, "path_id").sortWithinPartitions("path_id", "n")
-    return ordered.mapInPandas(run, "path_id long, n long, t double, type int, z array<double>, counts array<double>, intensities array<double>, compensators array<double>")
+    dealt = lambda df: df.repartition(ways, "path_id", "block").sortWithinPartitions("path_id", "block", "n")
+    none = F.lit(None).cast("array<double>")
+    rows = paths.select(F.col("path_id").cast("long").alias("path_id"), F.floor(F.col("n") / block).alias("block"), F.col("n").cast("long").alias("n"), F.col("t").cast("double").alias("t"), F.col("type").cast("int").alias("type"), none.alias("z"), none.alias("counts"))
+    ends = dealt(rows).mapInArrow(_ends(beta, d, block), "path_id long, block long, t double, z array<double>, counts array<double>")
+    carried = ends.groupBy("path_id").applyInArrow(_carried(beta), _PLACED)
+    return dealt(rows.unionByName(carried)).mapInArrow(run, "path_id long, n long, t double, type int, z array<double>, counts array<double>, intensities array<double>, compensators array<double>")
 
 
 def state_before(paths: DataFrame, beta: float, d: int) -> DataFrame:
@@ -362,6 +466,48 @@ def counts_on_clock(paths: DataFrame, d: int, clock: list[float]) -> DataFrame:
     return ticks.select("path_id", "ticks", grid).select("path_id", "t", *(upto(k).alias(f"n{k}") for k in range(d)))
 
 
+def compensators_on_clock(paths: DataFrame, p: Hawkes, clock: list[float]) -> DataFrame:
+    """(path_id, t, type, n, compensator): events of each type at or before each clock time, and the compensator there.
+
+    Every event is added to its first tick once, faded to it; from tick to tick state and counts are carried in closed
+    form, so a path costs a row a tick however many events it has.
+    """
+    times, beta, d = sorted(clock), p.beta, p.d
+    cells = lambda at: {f"s{k}": F.sum(F.when(F.col("type") == k, F.exp(-beta * (at - F.col("t")))).otherwise(0.0)) for k in range(d)} | {f"c{k}": F.count_if(F.col("type") == k).cast("double") for k in range(d)}
+    ticks = _by_tick(paths, times, lambda t, x: t <= x, cells)
+    fades = [math.exp(-beta * (b - a)) for a, b in zip([0.0, *times], times)]
+    steps = F.array(*(F.struct(F.lit(i).alias("tick"), F.array(*(F.lit(f) for f in [fade] * d + [1.0] * d)).alias("fade")) for i, fade in enumerate(fades)))
+    none = F.array(*(F.lit(0.0) for _ in range(2 * d)))
+    faded = lambda z, x: F.zip_with(F.zip_with(z, x["fade"], lambda a, b: a * b), F.coalesce(F.element_at("ticks", x["tick"]), none), lambda a, b: a + b)
+    states = ticks.select("path_id", F.slice(F.aggregate(steps, F.array(none), lambda out, x: F.concat(out, F.array(faded(F.element_at(out, -1), x)))), 2, len(times)).alias("zs"))
+    at = states.select("path_id", F.posexplode("zs").alias("i", "z")).withColumn("t", F.get(F.array(*(F.lit(float(t)) for t in times)), F.col("i")))
+    gone = [F.get("z", F.lit(d + k)) - F.get("z", F.lit(k)) for k in range(d)]
+    comp = lambda k: F.lit(float(p.mu[k])) * F.col("t") + sum((F.lit(float(p.a[k, j] / beta)) * gone[j] for j in range(d)), F.lit(0.0))
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("type"), F.get("z", F.lit(d + k)).cast("long").alias("n"), comp(k).alias("compensator")) for k in range(d))))
+    return at.select("path_id", "t", each.alias("x")).select("path_id", "t", "x.*")
+
+
+def martingale_increments(on_clock: DataFrame) -> DataFrame:
+    """(path_id, t, type, counted, increment): what each type gains from the tick before, and that less its compensator."""
+    w = Window.partitionBy("path_id", "type").orderBy("t")
+    gain = lambda c: F.col(c) - F.lag(c).over(w)
+    rows = on_clock.withColumns({"counted": gain("n"), "increment": (F.col("n") - F.col("compensator")) - F.lag(F.col("n") - F.col("compensator")).over(w)})
+    return rows.where("increment is not null").select("path_id", "t", "type", "counted", "increment")
+
+
+def increment_correlations(increments: DataFrame, d: int, value: str = "increment") -> DataFrame:
+    """(first, second, windows, correlation, error): of the increments of two types over the same windows, all paths
+    together; the error is that of a sum of martingale differences. NULL where a type never varies."""
+    wide = increments.groupBy("path_id", "t").agg(*(F.max(F.when(F.col("type") == k, F.col(value))).cast("double").alias(f"x{k}") for k in range(d)))
+    pairs = [(i, j) for i in range(d) for j in range(i + 1, d)]
+    means = wide.agg(*(F.avg(f"x{k}") for k in range(d))).first()  # d numbers
+    c = [F.col(f"x{k}") - F.lit(m) for k, m in enumerate(means)]
+    sums = wide.agg(F.count("*").alias("windows"), *(F.sum(c[i] * c[j]).alias(f"s{i}_{j}") for i in range(d) for j in range(i, d)), *(F.sum(c[i] * c[j] * c[i] * c[j]).alias(f"q{i}_{j}") for i, j in pairs))
+    norm = lambda i, j: F.sqrt(F.col(f"s{i}_{i}") * F.col(f"s{j}_{j}"))
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("first"), F.lit(j).alias("second"), F.try_divide(F.col(f"s{i}_{j}"), norm(i, j)).alias("correlation"), F.try_divide(F.sqrt(f"q{i}_{j}"), norm(i, j)).alias("error")) for i, j in pairs)))
+    return sums.select("windows", each.alias("x")).select("x.first", "x.second", "windows", "x.correlation", "x.error")
+
+
 def residuals(replayed: DataFrame) -> DataFrame:
     """(path_id, type, n, residual): the compensator between successive events of a type; unit exponential under
     the model."""

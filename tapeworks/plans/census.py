@@ -248,10 +248,10 @@ def agg06(spark, sf_dir):
     return census.clock_census(e.withColumn("Time", text), row="event_id")
 
 
-@query("AGG07_clock_origins", "SELECT o AS offset_s, CAST(count(DISTINCT ns) AS BIGINT) AS exact, CAST(count(DISTINCT t) AS BIGINT) AS as_doubles, CAST(count(*) FILTER (WHERE was_ns <> ns AND was_t = t) AS BIGINT) AS collisions, power(2.0, floor(log2(max(t))) - 52) AS spacing FROM (SELECT *, lag(ns) OVER w AS was_ns, lag(t) OVER w AS was_t FROM (SELECT event_id % 16 AS s, event_id AS e, event_id * 37 AS ns, o, CAST(o AS DOUBLE) + event_id * 37 / 1e9 AS t FROM events, (VALUES (CAST(0 AS BIGINT)), (1700000000)) v(o)) WINDOW w AS (PARTITION BY s, o ORDER BY ns, e)) GROUP BY o")
+@query("AGG07_clock_origins", sql("SELECT o AS offset_s, CAST(count(DISTINCT ns) AS BIGINT) AS exact, CAST(count(DISTINCT t) AS BIGINT) AS as_doubles, CAST(count(*) FILTER (WHERE was_ns <> ns AND was_t = t) AS BIGINT) AS collisions, power(2.0, floor(log2(max(t))) - 52) AS spacing FROM (SELECT *, lag(ns) OVER w AS was_ns, lag(t) OVER w AS was_t FROM (SELECT session_id AS s, e, e * 37 AS ns, o, CAST(o AS DOUBLE) + e * 37 / 1e9 AS t FROM tape, (VALUES (CAST(0 AS BIGINT)), (1700000000)) v(o)) WINDOW w AS (PARTITION BY s, o ORDER BY ns, e)) GROUP BY o", "tape"))
 def agg07(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").select(F.lit(0).alias("session_id"), F.col("event_id").alias("seq"), (F.col("event_id") * 37).alias("ts_ns"))
-    return census.clock_origin_census(rows.withColumn("session_id", F.col("seq") % 16), [0, 1_700_000_000])
+    rows = tape(spark, sf_dir).select("session_id", F.col("event_id").alias("seq"), (F.col("event_id") * 37).alias("ts_ns"))
+    return census.clock_origin_census(rows, [0, 1_700_000_000])
 
 
 @query(

@@ -342,3 +342,91 @@ def test_hac_variance_of_short_groups(spark, lag):
             middle += (1 - k / (lag + 1)) * (c + c.T)
     want = fit.gram_inverse @ middle @ fit.gram_inverse
     assert np.allclose(est.hac_variance(df, fit, "y", lag, ["ts_ns", "seq"], ["session_id"]), want)
+
+
+def plain_replay(rows, beta, d):
+    """The recursion event by event."""
+    out, path = [], None
+    for p, n, t, k in sorted(rows):
+        if p != path:
+            path, last, z, counts = p, 0.0, np.zeros(d), np.zeros(d)
+        z = z * np.exp(-beta * (t - last))
+        last = t
+        out.append((p, n, z.copy(), counts.copy()))
+        z[k] += 1
+        counts[k] += 1
+    return out
+
+
+@pytest.mark.parametrize("block", [1, 7, 64, 1 << 16])
+def test_blocks_of_a_path_change_nothing(spark, block):
+    """Paths of many lengths, one long; ties in time; blocks cut anywhere; batches that end within a block."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for p, n in enumerate([1, 6, 7, 8, 14, 500, 63, 64, 65]):
+        t = np.sort(np.round(rng.exponential(1, n).cumsum(), 1))
+        rows += [(p, i + 1, float(x), int(k)) for i, (x, k) in enumerate(zip(t, rng.integers(0, 3, n)))]
+    beta, model = 0.7, hk.Hawkes(np.full(3, 0.2), np.full((3, 3), 0.1), 0.7)
+    df = spark.createDataFrame(rows, "path_id long, n long, t double, type int")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    try:
+        got = sorted(map(tuple, hk.replay(df, beta, 3, model, block=block).collect()))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    want = plain_replay(rows, beta, 3)
+    assert len(got) == len(want)
+    for g, (p, n, z, counts) in zip(got, want):
+        assert g[:2] == (p, n) and g[4] == pytest.approx(z, abs=1e-9) and g[5] == list(counts)
+        assert g[6] == pytest.approx(model.mu + model.a @ z, abs=1e-9)
+        assert g[7] == pytest.approx(model.mu * g[2] + model.a @ (counts - z) / beta, abs=1e-8)
+    assert hk.replay(df.limit(0), beta, 3, model, block=block).count() == 0
+
+
+def test_a_long_path_is_many_tasks(spark):
+    """Blocks of one path are dealt to tasks; none of them reads the path."""
+    df = spark.range(40_000).select(F.lit(0).alias("path_id"), F.col("id").alias("n"), (F.col("id") / 10).alias("t"), (F.col("id") % 3).cast("int").alias("type"))
+    got = hk.replay(df, 0.5, 3, block=1000)
+    sizes = got.withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+    assert sum(r["count"] for r in sizes) == 40_000 and len(sizes) >= 6 and max(r["count"] for r in sizes) <= 12_000
+    z = got.where("n = 39999").first().z
+    assert sum(z) == pytest.approx(sum(np.exp(-0.5 * k / 10) for k in range(1, 2000)), abs=1e-9)
+
+
+def test_affine_scan():
+    rng = np.random.default_rng(1)
+    a, b = rng.uniform(0, 1, 50), rng.normal(size=(50, 3))
+    x, want = np.zeros(3), []
+    for i in range(50):
+        x = a[i] * x + b[i]
+        want.append(x)
+    assert np.allclose(hk.affine_scan(a, b), want)
+    assert hk.affine_scan(a[:0], b[:0]).shape == (0, 3)
+
+
+def test_compensators_on_a_clock_against_the_replay(spark):
+    """At a tick, the compensator is what the sum over all events says; increments are per tick; errors are those of products."""
+    rng = np.random.default_rng(5)
+    rows = [(p, i, float(t), int(k)) for p in range(6) for i, (t, k) in enumerate(zip(np.sort(rng.uniform(0, 20, 40)), rng.integers(0, 2, 40)))]
+    rows += [(9, 0, 25.0, 1)]  # nothing within the clock
+    model = hk.Hawkes(np.array([0.3, 0.5]), np.array([[0.2, 0.1], [0.05, 0.3]]), 1.1)
+    clock = [0.0, 2.5, 5.0, 12.0, 20.0]
+    df = spark.createDataFrame(rows, "path_id long, n long, t double, type int")
+    at = hk.compensators_on_clock(df, model, clock)
+    got = {(r.path_id, r.t, r.type): (r.n, r.compensator) for r in at.collect()}
+    for p in (*range(6), 9):
+        mine = [(t, k) for q, _, t, k in rows if q == p]
+        for tau in clock:
+            gone = np.array([sum(1 - np.exp(-1.1 * (tau - t)) for t, k in mine if k == j and t <= tau) for j in (0, 1)])
+            for j in (0, 1):
+                n, c = got[p, tau, j]
+                assert n == sum(k == j and t <= tau for t, k in mine)
+                assert c == pytest.approx(model.mu[j] * tau + (model.a @ gone / 1.1)[j], abs=1e-9)
+    inc = hk.martingale_increments(at)
+    rows = {(r.path_id, r.t, r.type): r.increment for r in inc.collect()}
+    assert len(rows) == 7 * 4 * 2
+    a, b = (np.array([rows[p, tau, j] for p in (*range(6), 9) for tau in clock[1:]]) for j in (0, 1))
+    a, b = a - a.mean(), b - b.mean()
+    r = hk.increment_correlations(inc, 2).first()
+    norm = np.sqrt((a @ a) * (b @ b))
+    assert (r.windows, r.correlation, r.error) == (28, pytest.approx(a @ b / norm), pytest.approx(np.sqrt(((a * b) ** 2).sum()) / norm))
