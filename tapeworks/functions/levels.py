@@ -1,6 +1,8 @@
 """Book statistics as column expressions over a side: ARRAY<STRUCT<price, size>>, best level first.
 
-Everything here stays in generated JVM code; an undefined value is NULL.
+All of them run on the JVM; an undefined value is NULL. Those that walk an array with a function (filter, transform,
+aggregate) are interpreted by Spark and not part of generated code. A `Ladder` has the same statistics of a side of a known
+depth written out level by level, which are.
 """
 
 from __future__ import annotations
@@ -204,3 +206,58 @@ def from_wide(side: str, depth: int, unit: int = 1) -> Column:
 
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
+
+
+#: Sides of more levels are walked, not written out: the expressions grow with the square of the levels.
+WRITTEN_OUT = 6
+
+
+class Ladder:
+    """A side of at most `depth` levels, one plain expression a level; statistics as those of the functions above."""
+
+    def __init__(self, side: Column, depth: int):
+        levels = [F.get(side, F.lit(k)) for k in range(depth)]
+        self.prices, self.sizes, self.count = [x["price"] for x in levels], [x["size"] for x in levels], F.size(side)
+        self.away = [F.abs(p - self.prices[0]) for p in self.prices]
+        self.gaps = [F.abs(b - a) - 1 for a, b in zip(self.prices, self.prices[1:])]
+
+    def total_within(self, n: int) -> Column:
+        return self._sum(F.when(d <= n - 1, s) for d, s in zip(self.away, self.sizes))
+
+    @staticmethod
+    def _sum(terms) -> Column:
+        return reduce(lambda a, b: a + b, (F.coalesce(t, F.lit(0).cast("long")) for t in terms))
+
+    def span(self) -> Column:
+        return F.coalesce(*(d + 1 for d in reversed(self.away)), F.lit(0).cast("long"))
+
+    def covers(self, n: int, depth: int, truncated: bool) -> Column:
+        known = (self.count == 0) | (self.span() >= n)
+        return known if truncated else known | (self.count < depth)
+
+    def sweep(self, size: int) -> tuple[Column, Column]:
+        """What taking `size` fills and pays: of each level what the ones before it leave to take."""
+        zero = F.lit(0).cast("long")
+        held = [F.coalesce(s, zero) for s in self.sizes]
+        before = [reduce(lambda a, b: a + b, held[:k], zero) for k in range(len(held) + 1)]
+        taken = [F.greatest(zero, F.least(s, F.lit(size).cast("long") - x)) for s, x in zip(held, before)]
+        return F.least(before[-1], F.lit(size).cast("long")), self._sum(t * p for t, p in zip(taken, self.prices))
+
+    def gap_count(self) -> Column:
+        return reduce(lambda a, b: a + b, (F.when(g > 0, 1).otherwise(0) for g in self.gaps), F.lit(0))
+
+    def largest_gap(self) -> Column:
+        return F.greatest(F.lit(0).cast("long"), *self.gaps) if self.gaps else F.lit(0).cast("long")
+
+    def _first(self, wanted, value) -> Column:
+        return F.coalesce(*(F.when(wanted(g), value(g, d)) for g, d in zip(self.gaps, self.away)), F.lit(None).cast("long"))
+
+    def first_gap_distance(self) -> Column:
+        return self._first(lambda g: g > 0, lambda g, d: d + 1)
+
+    def first_gap_size(self) -> Column:
+        return F.coalesce(self._first(lambda g: g > 0, lambda g, d: g), F.lit(0).cast("long"))
+
+    def largest_gap_distance(self) -> Column:
+        largest = self.largest_gap()
+        return self._first(lambda g: (g > 0) & (g == largest), lambda g, d: d + 1)

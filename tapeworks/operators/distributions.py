@@ -154,3 +154,13 @@ def holm(df: DataFrame, p: str, by: list[str], order: list[str]) -> DataFrame:
     step = df.withColumn("_step", F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), (m - k + 1) * F.col(p))))
     upto = Window.partitionBy(*family).orderBy(*ranked).rowsBetween(Window.unboundedPreceding, 0)
     return step.withColumn("adjusted", F.max("_step").over(upto)).drop("_step")
+
+
+def group_information(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
+    """(by, rows, plug_in, miller_madow): how much two discrete columns tell of each other in every group, in nats."""
+    joint = df.groupBy(*by, F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count("*").cast("double").alias("_n"))
+    part = lambda *c: F.sum("_n").over(Window.partitionBy(*by, *c))
+    rows = joint.withColumns({"_nx": part("_x"), "_ny": part("_y"), "_t": part()})
+    term = F.col("_n") / F.col("_t") * F.ln(F.col("_n") * F.col("_t") / (F.col("_nx") * F.col("_ny")))
+    got = rows.groupBy(*by).agg(F.sum(term).alias("plug_in"), F.count("*").alias("_cells"), F.count_distinct("_x").alias("_bx"), F.count_distinct("_y").alias("_by"), F.max("_t").cast("long").alias("rows"))
+    return got.select(*by, "rows", "plug_in", (F.col("plug_in") - (F.col("_cells") - F.col("_bx") - F.col("_by") + 1) / (2 * F.col("rows"))).alias("miller_madow"))

@@ -20,7 +20,34 @@ def _flag(x: Column) -> Column:
 
 
 def row_statistics(spec: SessionStatistics, depth: int, truncated: bool) -> dict[str, Column]:
-    """The statistics that a single book state determines, over columns `asks` and `bids`."""
+    """The statistics that a single book state determines, over columns `asks` and `bids` of at most `depth` levels."""
+    if depth > lv.WRITTEN_OUT:
+        return walked_statistics(spec, depth, truncated)
+    a, b = F.col("asks"), F.col("bids")
+    ask, bid, mid = lv.Ladder(a, depth), lv.Ladder(b, depth), lv.mid_price(a, b)
+    out = {"Spread": lv.spread(a, b), "MidPrice": mid, "MicroPrice": lv.micro_price(a, b)}
+    for n in spec.imbalance_levels:
+        covered = ask.covers(n, depth, truncated) & bid.covers(n, depth, truncated)
+        x, y = ask.total_within(n), bid.total_within(n)
+        out[f"QueueImbalance{n}"] = F.when(covered, F.try_divide((y - x).cast("double"), (y + x).cast("double")))
+        out[f"QueueImbalance{n}Covered"] = _flag(covered)
+    for q in spec.sweep_sizes:
+        for side, d, ladder in (("Buy", BUY, ask), ("Sell", SELL, bid)):
+            filled, value = ladder.sweep(q)
+            known = filled >= q if truncated else (filled >= q) | (ladder.count < depth)
+            out[f"SweepCost{side}{q}"] = F.when(filled >= q, F.lit(float(d)) * (value / F.lit(float(q)) - mid))
+            out[f"SweepCost{side}{q}Covered"] = _flag(mid.isNotNull() & known)
+    out["TouchDepth"] = lv.touch_depth(a, b)
+    for name, side in (("Bid", bid), ("Ask", ask)):
+        out |= {
+            f"{name}OccupiedLevels": side.count, f"{name}GapCount": side.gap_count(), f"{name}LargestGap": side.largest_gap(),
+            f"{name}FirstGapDistance": side.first_gap_distance(), f"{name}FirstGapSize": side.first_gap_size(), f"{name}LargestGapDistance": side.largest_gap_distance(),
+        }
+    return {k: v.cast("double") for k, v in out.items()}
+
+
+def walked_statistics(spec: SessionStatistics, depth: int, truncated: bool) -> dict[str, Column]:
+    """The same by walks over the arrays, for books of any depth."""
     a, b = F.col("asks"), F.col("bids")
     out = {"Spread": lv.spread(a, b), "MidPrice": lv.mid_price(a, b), "MicroPrice": lv.micro_price(a, b)}
     for n in spec.imbalance_levels:

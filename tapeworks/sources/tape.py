@@ -28,9 +28,8 @@ def micros(ts: Column) -> Column:
     return seconds * 1_000_000 + F.round(F.extract(F.lit("SECOND"), i) * 1_000_000).cast("long")
 
 
-def tape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(session_id, seq, ts_ns, event_id, type, size, price, direction) of file-style messages."""
-    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+def messages_of(events: DataFrame, session: Column, *keep: Column | str) -> DataFrame:
+    """(session_id, seq, ts_ns, event_id, type, size, price, direction) of file-style messages, with the columns to keep."""
     kind = (
         F.when(F.col("event_type") == "click", 2)
         .when(F.col("event_type") == "error", 3)
@@ -38,8 +37,7 @@ def tape(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(1)
     )
     # The session comes first, so that numbering and every later window share one partitioning.
-    e = e.withColumn("session_id", F.expr(f"user_id div {USERS}"))
-    return e.select(
+    return events.withColumn("session_id", session).select(
         "session_id",
         F.row_number().over(Window.partitionBy("session_id").orderBy("ts", "event_id")).cast("long").alias("seq"),
         (F.floor(micros(F.col("ts")) / 3_600_000_000).cast("long") * HOUR_NS).alias("ts_ns"),
@@ -48,9 +46,16 @@ def tape(spark: SparkSession, sf_dir: str) -> DataFrame:
         (10 * (1 + F.col("event_id") % 30)).alias("size"),
         (100 * (1000 + F.floor("value").cast("long") % 20)).alias("price"),
         F.when(F.col("event_id") % 2 == 0, 1).otherwise(-1).alias("direction"),
+        *keep,
     )
 
 
+def tape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The messages of all events, some users a session."""
+    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    return messages_of(e, F.expr(f"user_id div {USERS}"))
+
+
 def with_book(rows: DataFrame) -> DataFrame:
     """Adds the synthetic book (asks, bids) that belongs to each event id."""
     e = F.col("event_id")

@@ -1,58 +1,62 @@
 """The book fold and event-time windows over Structured Streaming.
 
-A session's book is the value state of a stateful operator; a message that arrives out of order within
-its session is refused, since a fold cannot be undone. Deltas carry absolute sizes, so a sink that sees
-one twice is still right.
+A session's book is a map state of its levels, of which a micro-batch writes those that it changed; a message that
+arrives out of order within its session is refused, since a fold cannot be undone. Deltas carry absolute sizes, so a
+sink that sees one twice is still right.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessorHandle
 
 from tapeworks.operators.fold import COLUMNS, NAMES, fold_row
 from tapeworks.operators.matching import Book
 from tapeworks.schema import BUY, FOLDED, SELL
-
-STATE = "bids array<struct<price: long, size: long>>, asks array<struct<price: long, size: long>>, ts_ns long, seq long"
+from tapeworks.streaming.windows import Ordered, by_session
 
 
-class BookProcessor(StatefulProcessor):
+class BookProcessor(Ordered):
     """Keeps one session's book between micro-batches."""
 
-    def __init__(self, depth: int):
+    names = NAMES
+
+    def __init__(self, depth: int, idle_ns: int | None = None):
+        super().__init__(idle_ns)
         self.depth = depth
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("book", STATE)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        book, last = Book(), (-1, -1)
-        if self.state.exists():
-            bids, asks, *last = self.state.get()
-            book, last = Book.of({x[0]: x[1] for x in bids}, {x[0]: x[1] for x in asks}), tuple(last)
-        frame = pd.concat(list(rows)).sort_values(["ts_ns", "seq"])
-        out = []
-        for row in frame[COLUMNS].itertuples(index=False):
-            now = (int(row.ts_ns), int(row.seq))
-            if now <= last:
-                raise ValueError(f"session {key[0]}: message {now} after {last}")
-            last = now
-            out.append(fold_row(book, self.depth, *(int(x) for x in row)))
-        self.state.update(([(p, q) for p, q in book.levels(BUY)], [(p, q) for p, q in book.levels(SELL)], *last))
-        yield pd.DataFrame(out, columns=NAMES)
-
-    def close(self) -> None:
-        pass
-
-
-def fold_stream(messages: DataFrame, depth: int) -> DataFrame:
-    """The fold of a stream of messages; needs the RocksDB state store."""
-    return messages.groupBy("session_id").transformWithStateInPandas(statefulProcessor=BookProcessor(depth), outputStructType=FOLDED, outputMode="Append", timeMode="None")
+        super().init(handle)
+        self.levels = handle.getMapState("levels", "side int, price long", "size long")
+
+    def load(self) -> tuple[Book, dict]:
+        sides = {BUY: {}, SELL: {}}
+        for (side, price), (size,) in self.levels.iterator() if self.levels.exists() else ():
+            sides[int(side)][int(price)] = int(size)
+        return Book.of(sides[BUY], sides[SELL]), {}
+
+    def step(self, held, row):
+        book, changed = held
+        out = fold_row(book, self.depth, *(int(getattr(row, c)) for c in COLUMNS))
+        changed.update({(d["side"], d["price"]): d["resting"] for d in out[NAMES.index("deltas")]})
+        return out
+
+    def save(self, held) -> None:
+        for level, size in held[1].items():
+            if size:
+                self.levels.updateValue(level, (size,))
+            elif self.levels.containsKey(level):
+                self.levels.removeKey(level)
+
+    def forget(self) -> None:
+        self.levels.clear()
+
+
+def fold_stream(messages: DataFrame, depth: int, idle_ns: int | None = None, late: str = "0 seconds") -> DataFrame:
+    """The fold of a stream of messages; needs the RocksDB state store. A session idle for `idle_ns` closes: its book goes,
+    and messages that come after open a new one."""
+    return by_session(messages.select(*COLUMNS), BookProcessor(depth, idle_ns), FOLDED, late)
 
 
 def bucket_stream(rows: DataFrame, ts: str, value: str, bucket: str, watermark: str, start: str = "0 seconds", order: str | None = None) -> DataFrame:

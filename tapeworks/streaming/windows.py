@@ -1,8 +1,9 @@
 """Per-row windows and islands over Structured Streaming, and a runner for streams that arrive in parts.
 
-State is kept by session: the rows still inside a window, or the last row's mark. Rows are put in order
-within a micro-batch; one that comes before a row already answered is refused, as the batch forms never
-look ahead either.
+State is kept by session. Rows are put in order within a micro-batch; one that comes before a row already answered is
+refused, as the batch forms never look ahead either. A window's rows are a list that a batch appends to and that is written
+anew only when most of it has left the window, so a batch writes about as much as it brings. With `idle` a session that
+has had no row for so long is forgotten, by an event-time timer, once the watermark has passed it.
 """
 
 from __future__ import annotations
@@ -19,97 +20,147 @@ from tapeworks.sources.shared import shared_path
 
 ROLLING = "session_id long, seq long, ts_ns long, total long, events long"
 ISLANDS = "session_id long, seq long, ts_ns long, island long"
+MS = 1_000_000
 
 
-class _Ordered(StatefulProcessor):
-    """A session's rows in order; `state_schema` begins with the last row's ts_ns and seq."""
+class Ordered(StatefulProcessor):
+    """A session's rows in order, with the place of the last one and, if sessions can go idle, the timer that ends them."""
 
-    state_schema, names = "", []
+    names: list[str] = []
+
+    def __init__(self, idle_ns: int | None = None):
+        self.idle_ns = idle_ns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("session", self.state_schema)
+        self.handle = handle
+        self.last = handle.getValueState("last", "ts_ns long, seq long, timer long")
+
+    def load(self):
+        """What is held of the session, from the state."""
+        raise NotImplementedError
 
-    def load(self, stored: list | None) -> list:
-        """What is held of a session, from the state but for the last row's place; None for a new session."""
+    def save(self, held) -> None:
+        """Writes back what has changed."""
         raise NotImplementedError
 
-    def store(self, held: list) -> tuple:
-        """What goes back to the state."""
-        return tuple(held)
+    def forget(self) -> None:
+        """Clears what is held of the session."""
+        raise NotImplementedError
 
-    def step(self, held: list, ts_ns: int, seq: int, value: int) -> tuple:
-        """What a row adds to its place; changes the state."""
+    def step(self, held, row) -> tuple:
+        """The result of a row; changes what is held."""
         raise NotImplementedError
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last, stored = (-1, -1), None
-        if self.state.exists():
-            ts_ns, seq, *stored = self.state.get()
-            last = (ts_ns, seq)
-        held = self.load(stored)
-        out = []
+        *last, timer = self.last.get() if self.last.exists() else (-1, -1, None)
+        held, last, out = self.load(), tuple(last), []
         for r in pd.concat(list(rows)).sort_values(["ts_ns", "seq"]).itertuples(index=False):
             now = (int(r.ts_ns), int(r.seq))
             if now <= last:
                 raise ValueError(f"session {key[0]}: row {now} after {last}")
             last = now
-            out.append((int(key[0]), now[1], now[0], *self.step(held, *now, int(r.value))))
-        self.state.update((*last, *self.store(held)))
+            out.append(self.step(held, r))
+        self.save(held)
+        if self.idle_ns is not None:
+            end = -(-(last[0] + self.idle_ns) // MS)
+            if timer is not None and timer != end:
+                self.handle.deleteTimer(timer)
+            if timer != end:
+                self.handle.registerTimer(end)
+            timer = end
+        self.last.update((*last, timer))
         yield pd.DataFrame(out, columns=self.names)
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.forget()
+        self.last.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 
 
-class _Rolling(_Ordered):
-    state_schema = "ts_ns long, seq long, times array<long>, sizes array<long>"
+class _Rolling(Ordered):
     names = ["session_id", "seq", "ts_ns", "total", "events"]
 
-    def __init__(self, window_ns: int):
+    def __init__(self, window_ns: int, idle_ns: int | None = None):
+        super().__init__(idle_ns)
         self.window_ns = window_ns
 
-    def load(self, stored: list | None) -> list:
-        times, sizes = stored or ((), ())
-        return [deque(times), deque(sizes), sum(sizes)]
-
-    def store(self, held: list) -> tuple:
-        return list(held[0]), list(held[1])
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.rows = handle.getListState("rows", "ts_ns long, value long")
+        self.gone = handle.getValueState("gone", "rows long")  # how many at the list's head have left the window
+
+    def load(self) -> dict:
+        gone = self.gone.get()[0] if self.gone.exists() else 0
+        stored = [tuple(map(int, r)) for r in self.rows.get()][gone:] if self.rows.exists() else []
+        return {"window": deque(stored), "total": sum(v for _, v in stored), "stored": len(stored), "gone": gone}
+
+    def step(self, held, row):
+        t, window = int(row.ts_ns), held["window"]
+        while window and window[0][0] <= t - self.window_ns:
+            held["total"] -= window.popleft()[1]
+            if held["stored"]:
+                held["stored"], held["gone"] = held["stored"] - 1, held["gone"] + 1
+        window.append((t, int(row.value)))
+        held["total"] += int(row.value)
+        return int(row.session_id), int(row.seq), t, held["total"], len(window)
+
+    def save(self, held) -> None:
+        window, stored, gone = list(held["window"]), held["stored"], held["gone"]
+        if gone > len(window):
+            self.rows.put(window)
+            gone = 0
+        elif window[stored:]:
+            self.rows.appendList(window[stored:])
+        self.gone.update((gone,))
+
+    def forget(self) -> None:
+        self.rows.clear()
+        self.gone.clear()
+
+
+class _Islands(Ordered):
+    names = ["session_id", "seq", "ts_ns", "island"]
 
-    def step(self, held, ts_ns, seq, value):
-        times, sizes, total = held
-        while times and times[0] <= ts_ns - self.window_ns:
-            times.popleft()
-            total -= sizes.popleft()
-        times.append(ts_ns)
-        sizes.append(value)
-        held[2] = total + value
-        return held[2], len(times)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.island = handle.getValueState("island", "mark long, island long")
 
+    def load(self) -> list:
+        return list(self.island.get()) if self.island.exists() else [None, 0]
 
-class _Islands(_Ordered):
-    state_schema = "ts_ns long, seq long, mark long, island long"
-    names = ["session_id", "seq", "ts_ns", "island"]
+    def step(self, held, row):
+        value = int(row.value)
+        held[:] = value, held[1] + (held[0] != value)
+        return int(row.session_id), int(row.seq), int(row.ts_ns), held[1]
 
-    def load(self, stored: list | None) -> list:
-        return stored or [None, 0]
+    def save(self, held) -> None:
+        self.island.update(tuple(held))
 
-    def step(self, held, ts_ns, seq, value):
-        held[:] = value, held[1] + (held[0] != value)
-        return (held[1],)
+    def forget(self) -> None:
+        self.island.clear()
 
 
-def _by_session(rows: DataFrame, processor: StatefulProcessor, schema: str) -> DataFrame:
-    return rows.groupBy("session_id").transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="None")
+def by_session(rows: DataFrame, processor: Ordered, schema: str, late: str = "0 seconds") -> DataFrame:
+    """Runs a processor over the sessions of a stream. Where sessions can go idle, `late` is how far rows of other
+    sessions may lag behind the latest one; rows later than that are dropped by the watermark."""
+    mode = "None"
+    if processor.idle_ns is not None:
+        mode = "EventTime"
+        rows = rows.withColumn("event_time", F.timestamp_micros(F.floor(F.col("ts_ns") / 1000))).withWatermark("event_time", late)
+    return rows.groupBy("session_id").transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode=mode)
 
 
-def rolling_stream(rows: DataFrame, window_ns: int) -> DataFrame:
+def rolling_stream(rows: DataFrame, window_ns: int, idle_ns: int | None = None, late: str = "0 seconds") -> DataFrame:
     """(ROLLING) the sum and number of `value` over (t - w, t] up to each row of (session_id, seq, ts_ns, value)."""
-    return _by_session(rows, _Rolling(window_ns), ROLLING)
+    return by_session(rows, _Rolling(window_ns, idle_ns), ROLLING, late)
 
 
-def island_stream(rows: DataFrame) -> DataFrame:
+def island_stream(rows: DataFrame, idle_ns: int | None = None, late: str = "0 seconds") -> DataFrame:
     """(ISLANDS) numbers the maximal stretches of rows of equal `value`, from 1."""
-    return _by_session(rows, _Islands(), ISLANDS)
+    return by_session(rows, _Islands(idle_ns), ISLANDS, late)
 
 
 def run_in_parts(spark: SparkSession, parts: list[DataFrame], operator: Callable[[DataFrame], DataFrame], latest_by: list[str] | None = None) -> DataFrame:

@@ -237,3 +237,58 @@ def test_ladder_and_markdown():
     text = we.ladder(we.book_of(we.BASE))
     assert "1002" in text.splitlines()[1] and "1000" in text
     assert we.as_markdown().count("\n") == len(we.EXAMPLES) + 1
+
+
+@pytest.mark.parametrize(("depth", "truncated"), [(1, True), (3, False), (6, True)])
+def test_written_out_statistics_are_the_walked_ones(spark, depth, truncated):
+    """Level by level or by walks over arrays, every statistic is the same; empty, short, full and gapped sides."""
+    from tapeworks.operators.session import row_statistics, walked_statistics
+
+    rng = np.random.default_rng(depth)
+
+    def side(base, sign):
+        n = int(rng.integers(0, depth + 1))
+        steps = np.concatenate([[0], np.cumsum(rng.integers(1, 5, max(0, n - 1)))])[:n]
+        return [(int(base + sign * s), int(rng.integers(1, 60)) * 10) for s in steps]
+
+    kind = "array<struct<price: long, size: long>>"
+    books = spark.createDataFrame([(k, side(1002, 1), side(1000, -1)) for k in range(300)], f"k long, asks {kind}, bids {kind}")
+    spec = SessionStatistics((1, 2, 5), (50, 100, 400), (1,))
+    new, old = (books.select("k", *(c.alias(n) for n, c in f(spec, depth, truncated).items())).orderBy("k").collect() for f in (row_statistics, walked_statistics))
+    assert new == old and new[0].__fields__ == old[0].__fields__
+    plan = books.select(*(c.alias(n) for n, c in row_statistics(spec, depth, truncated).items()))._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan
+
+
+@pytest.mark.parametrize("fan", [2, 8])
+def test_covers_are_whole_and_small(spark, fan):
+    """The nodes of a cover hold each block once and no other; every block finds its node; their number is logarithmic."""
+    rng = np.random.default_rng(fan)
+    spans = [(0, 1), (0, 0), (5, 5), (0, 1000), (1, 1000), (7, 8), (63, 65), (511, 513), (0, 512)] + [tuple(sorted(map(int, rng.integers(0, 5000, 2)))) for _ in range(60)]
+    got = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(spans)], "i long, a long, b long").select("i", replay.cover(F.col("a"), F.col("b"), fan).alias("nodes")).collect()
+    above = {r.block: {(x.level, x.at) for x in r.nodes} for r in spark.range(5000).select(F.col("id").alias("block"), replay.nodes_above(F.col("id"), F.lit(4999), fan).alias("nodes")).collect()}
+    for r in got:
+        a, b = spans[r.i]
+        nodes = {(x.level, x.at) for x in r.nodes}
+        assert len(nodes) == len(r.nodes) <= 2 * (fan - 1) * max(1, int(np.ceil(np.log(max(b - a, 2)) / np.log(fan))) + 1)
+        for block in (*range(max(0, a - 3), min(a + 40, 5000)), *range(max(0, b - 40), min(b + 3, 5000)), (a + b) // 2):
+            assert len(nodes & above[block]) == (a <= block < b)
+
+
+def test_a_quiet_level_costs_few_rows(spark):
+    """One level that never changes over a session of two million rows, beside one that changes at every hundredth."""
+    top = spark.createDataFrame([(1, 2_000_000)], "session_id long, top long")
+    quiet = spark.createDataFrame([(1, 3, 1, 1000, 5)], "session_id long, seq long, side int, price long, resting long")
+    busy = spark.range(0, 2_000_000, 100).select(F.lit(1).cast("long").alias("session_id"), F.col("id").alias("seq"), F.lit(-1).alias("side"), F.lit(1001).cast("long").alias("price"), (F.col("id") % 7 + 1).alias("resting"))
+    assert replay.intervals(quiet, top).count() <= 2 * 7 * 5
+    assert replay.intervals(quiet.unionByName(busy), top).count() <= 2 * 7 * 5 + 2 * 20_000
+
+
+@pytest.mark.parametrize(("block", "fan"), [(1, 2), (4, 2), (4, 8), (256, 8)])
+def test_blocks_and_fans_change_nothing(spark, messages, block, fan):
+    folded = fold.fold(messages, 50)
+    deltas = fold.levels_frame(folded)
+    live = replay.live_levels(deltas, messages.select("session_id", "seq"), block, fan)
+    got = {(r.session_id, r.seq, r.side, r.price): r.resting for r in live.collect()}
+    want = {(r.session_id, r.seq, d, x.price): x["size"] for r in folded.collect() for d, side in ((-1, r.asks), (1, r.bids)) for x in side}
+    assert got == want
