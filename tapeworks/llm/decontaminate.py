@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeworks.llm import _tokens
-from tapeworks.llm._util import Stash, bound_batches
+from tapeworks.llm._util import Stash, bound_batches, give_back, lean
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -273,7 +273,7 @@ def _matched(slim: DataFrame, index) -> DataFrame:
                 row, *rest = zip(*found)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), *(pa.array(c, t) for c, t in zip(rest, kinds[1:]))], names)
 
-    return slim.mapInArrow(run, SCHEMA)
+    return slim.mapInArrow(lean(run), SCHEMA)
 
 
 def _joined(slim: DataFrame, index, shared: DataFrame, similarity: float, stash: Stash) -> DataFrame:
@@ -368,6 +368,7 @@ def _clean(index):
     def clean(texts: pd.Series) -> pd.Series:
         fine = np.ones(len(texts), bool)
         fine[[m[0] for m in index.value.matches(pa.array(texts, pa.large_string()))]] = False
+        give_back()
         return pd.Series(fine)
 
     return clean

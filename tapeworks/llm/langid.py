@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeworks.llm._util import bound_batches
+from tapeworks.llm._util import bound_batches, give_back, lean
 
 LONGEST = 5
 PROFILE = 1500
@@ -159,7 +159,7 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", l
                 sums = np.bincount(inverse, np.concatenate([c for _, c in parts]), len(keys)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(sums)], ["lang", "gram", "n"])
 
-    grams = sample.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    grams = sample.mapInArrow(lean(run), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     ranked: dict[str, list] = {}
     for r in grams.withColumn("place", place).where(F.col("place") <= profile).select("lang", "gram", "place").collect():
@@ -172,7 +172,9 @@ def predictor(profiles: Profiles) -> Callable[[Column], Column]:
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([profiles.predict(t) for t in texts], columns=["lang_pred", "score"])
+        out = pd.DataFrame([profiles.predict(t) for t in texts], columns=["lang_pred", "score"])
+        give_back()
+        return out
 
     return predict
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeworks.llm import _tokens
-from tapeworks.llm._util import Stash, partitions
+from tapeworks.llm._util import Stash, lean, partitions
 from tapeworks.llm.components import connected_components
 from tapeworks.llm.exact_dedup import drop_ids
 from tapeworks.llm.simhash import near_duplicate_classes
@@ -166,12 +166,12 @@ def near_copy_classes(
     stash = Stash(docs.sparkSession, "near")
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
     classes = near_duplicate_classes(slim, shingle=shingle).select(F.col("component_id").alias("key"), "doc_id")
-    rows = stash.write(slim.mapInArrow(_bands(shingle), "key long, doc_id long").unionByName(classes), "keys")
+    rows = stash.write(slim.mapInArrow(lean(_bands(shingle)), "key long, doc_id long").unionByName(classes), "keys")
     shared = rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
     members = stash.write(rows.join(shared, "key"), "members")
     stash.drop(rows)
     some = members.select("doc_id").distinct()
-    sets = stash.write(slim.join(some, "doc_id", "left_semi").mapInArrow(_sets(shingle), "doc_id long, shingles array<long>"), "sets")
+    sets = stash.write(slim.join(some, "doc_id", "left_semi").mapInArrow(lean(_sets(shingle)), "doc_id long, shingles array<long>"), "sets")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         met = pairs.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v").withColumn("both", F.size(F.array_intersect("a", "b")))
@@ -193,7 +193,7 @@ def near_copy_classes(
     dealt = open_.where(F.col("c") > PAIRED).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("key", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "doc_id", "root", "mine").join(sets, "doc_id")
     dealt = dealt.select("key", "x", "y", "doc_id", "root", "mine", "shingles").repartition(partitions(docs.sparkSession), "key", "x", "y").sortWithinPartitions("key", "x", "y")
-    most = stash.write(dealt.mapInArrow(_linked(similarity), "u long, v long").distinct(), "most")
+    most = stash.write(dealt.mapInArrow(lean(_linked(similarity)), "u long, v long").distinct(), "most")
     stash.drop(members, placed, open_, sets, tried)
     return connected_components(links.unionByName(more).unionByName(most))
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeworks.llm._tokens import slices
-from tapeworks.llm._util import Stash, partitions
+from tapeworks.llm._util import Stash, lean, partitions
 
 CAPACITY = 2048
 #: About so many pieces are packed together.
@@ -214,7 +214,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return slim.mapInArrow(lean(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 #: A sequence's number has fields for its round, part and place in the part; pieces that fill one begin at FULL.
