@@ -154,12 +154,14 @@ def book_of_deltas(deltas: DataFrame) -> DataFrame:
     return deltas.groupBy("session_id", "side", "price").agg(last).where("resting > 0")
 
 
-def resting_frame(folded: DataFrame, messages: DataFrame) -> DataFrame:
-    """(session_id, seq, price, resting) of every order of which something came to rest: its own side's delta."""
-    side = messages.where(F.col("kind") != WITHDRAW).select("session_id", "seq", "direction")
-    own = F.element_at("deltas", -1)
-    rows = folded.where(F.size("deltas") > 0).select("session_id", "seq", own.alias("d")).join(side, ["session_id", "seq"])
-    return rows.where(F.col("d.side") == F.col("direction")).select("session_id", "seq", "d.price", F.col("d.resting").alias("resting"))
+def resting_frame(folded: DataFrame) -> DataFrame:
+    """(session_id, seq, price, resting) of every order of which something came to rest: its own side's delta, the last one.
+
+    A withdrawal is known by what it withdrew, and an order's side by its fills; one without fills rests as a whole.
+    """
+    last, side = F.element_at("deltas", -1), F.get("fills", F.lit(0))["aggressor"]
+    rests = (F.col("withdrawn") == 0) & (F.size("deltas") > 0) & (side.isNull() | (last["side"] == side))
+    return folded.where(rests).select("session_id", "seq", last["price"].alias("price"), last["resting"].alias("resting"))
 
 
 def fills_frame(folded: DataFrame) -> DataFrame:
@@ -175,7 +177,7 @@ def walked_the_book(fills: Column) -> Column:
     return F.size(F.array_distinct(F.transform(fills, lambda x: x["price"]))) > 1
 
 
-def trade_rows(folded: DataFrame, messages: DataFrame) -> DataFrame:
-    """(session_id, seq, ts_ns, volume, signed, value) of what each message traded."""
-    side = messages.select("session_id", "seq", "direction")
-    return folded.join(side, ["session_id", "seq"]).select("session_id", "seq", "ts_ns", F.col("traded_size").alias("volume"), (F.col("direction") * F.col("traded_size")).alias("signed"), F.col("traded_value").alias("value"))
+def trade_rows(folded: DataFrame) -> DataFrame:
+    """(session_id, seq, ts_ns, volume, signed, value) of what each message traded; its fills tell the direction."""
+    side = F.coalesce(F.get("fills", F.lit(0))["aggressor"], F.lit(0))
+    return folded.select("session_id", "seq", "ts_ns", F.col("traded_size").alias("volume"), (side * F.col("traded_size")).alias("signed"), F.col("traded_value").alias("value"))

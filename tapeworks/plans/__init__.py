@@ -1,6 +1,6 @@
 """Registered queries of the order-book engine."""
 
-from tapeworks.plans import census, closed_forms, figures, files, models, residuals, statistics, windows
+from tapeworks.plans import census, closed_forms, figures, files, fits, models, residuals, statistics, windows
 from tapeworks.plans.registry import QUERIES, SQL
 
 
@@ -17,4 +17,4 @@ def flagship(spark, sf_dir):
     return QUERIES["WIN06_rolling_vwap"](spark, sf_dir)
 
 
-__all__ = ["census", "closed_forms", "figures", "files", "flagship", "models", "oracle_sql", "queries", "residuals", "statistics", "windows"]
+__all__ = ["census", "closed_forms", "figures", "files", "fits", "flagship", "models", "oracle_sql", "queries", "residuals", "statistics", "windows"]

@@ -13,7 +13,6 @@ from tapeworks.operators import flow as fl
 from tapeworks.operators import fold
 from tapeworks.operators import hawkes as hk
 from tapeworks.operators import windows as win
-from tapeworks.operators import worked_examples as we
 from tapeworks.operators.matching import STORAGES
 from tapeworks.operators.session import statistics_frame
 from tapeworks.plans.registry import query
@@ -186,6 +185,13 @@ def est05(spark, sf_dir):
     return got.select("replicate", *(F.round(c, 6).alias(c) for c in ("size", "events")))
 
 
+@query("EST05_bootstrap_slopes", sql("SELECT r AS replicate, round(regr_slope(size, events), 6) AS slope FROM ru JOIN dl ON dl.pos >= ru.pos AND dl.pos < ru.pos + take, nn WHERE take > 0 GROUP BY r", "tape", more=_BOOT))
+def est05b(spark, sf_dir):
+    """The slope of daily volume on the number of events, in the same replicates."""
+    daily = tape(spark, sf_dir).groupBy(F.col("ts_ns")).agg(F.sum("size").cast("double").alias("size"), F.count("*").cast("double").alias("events"))
+    return est.bootstrap_slopes(daily, "events", "size", W24, 20, 7).select("replicate", F.round("slope", 6).alias("slope"))
+
+
 @query("EST06_kendall_tau_b", sql("SELECT round(sum(sign(CAST(a.size - b.size AS DOUBLE)) * sign(CAST(a.price - b.price AS DOUBLE))) / sqrt(CAST(count(*) FILTER (WHERE a.size <> b.size) AS DOUBLE) * count(*) FILTER (WHERE a.price <> b.price)), 9) AS tau FROM tape a, tape b", "tape"))
 def est06(spark, sf_dir):
     """Pairs are compared between distinct values, not between rows."""
@@ -457,7 +463,7 @@ def fld08(spark, sf_dir):
 @query("FLD02_resting_prices", folded_sql("SELECT session_id, seq, CAST(stays AS BIGINT) AS price, own[stays - 999] AS resting FROM fb WHERE stays IS NOT NULL AND NOT gone"))
 def fld02(spark, sf_dir):
     """Where what is left of an order comes to rest: at its limit, or the last price a market order traded at."""
-    return fold.resting_frame(fold.fold(messages(spark, sf_dir), 1), messages(spark, sf_dir))
+    return fold.resting_frame(fold.fold(messages(spark, sf_dir), 1))
 
 
 @query("FLD04_dispatched_kinds", folded_sql("SELECT CAST(CASE WHEN gone THEN 2 ELSE 1 END AS INTEGER) AS kind, CAST(count(*) AS BIGINT) AS messages, CAST(count(*) FILTER (WHERE fill_count > 0) AS BIGINT) AS trading, CAST(sum(traded_size) AS BIGINT) AS traded, CAST(sum(took) AS BIGINT) AS withdrawn FROM fb GROUP BY 1"))
@@ -479,17 +485,6 @@ def fld01b(spark, sf_dir):
     return f.select(*KEYS, "fill_count", "traded_size", "traded_value")
 
 
-@query("FLD15_worked_examples", "SELECT name || turn AS example, TRUE AS agrees FROM (VALUES " + ", ".join(f"('{e[0]}')" for e in we.EXAMPLES) + ") v(name), (VALUES (''), (', mirrored')) m(turn)")
-def fld15(spark, sf_dir):
-    """The update rule's examples and their mirrors: expected and folded states."""
-    rows = []
-    for name, start, message, after, unfilled in we.all_examples():
-        b = we.book_of(start)
-        out = b.apply(*message)
-        rows.append((name, we.signed_state(b) == after and out.unfilled == unfilled))
-    return spark.createDataFrame(rows, "example string, agrees boolean")
-
-
 #: Prices of the tape's orders.
 BAND = (1000, 1019)
 

@@ -164,3 +164,25 @@ def test_t_tests_and_holm(spark):
             worst = max(worst, min(1.0, (5 - place) * p))
             assert got[f, k].adjusted == pytest.approx(worst, rel=1e-12)
     assert got["a", 9].p is None and got["a", 9].adjusted is None and got["b", 8].t is None
+
+
+def test_nested_fits(spark):
+    """Groups by plain least squares; dependent predictors, a constant outcome, too few rows, and NULLs."""
+    from tapeworks.operators.fits import nested_fits
+
+    rng = np.random.default_rng(8)
+    rows = [(g, *map(float, x), float(x @ [1.0, -2.0, 0.5] + 3 + e)) for g in range(4) for x, e in zip(rng.normal(size=(60, 3)), rng.normal(size=60))]
+    rows += [(9, float(x), 2 * float(x), 0.0, 4 * float(x) + 1) for x in range(10)] + [(10, float(x), 1.0, 0.0, 5.0) for x in range(5)] + [(11, 1.0, 2.0, 3.0, 4.0), (None, 1.0, None, 2.0, 3.0), (0, None, 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "g long, a double, b double, c double, y double")
+    got = {r.g: r for r in nested_fits(df, ["g"], ["a"], ["b", "c"], "y").collect()}
+    for g in range(4):
+        data = np.array([r[1:] for r in rows if r[0] == g and None not in r])
+        design = np.column_stack([np.ones(len(data)), data[:, :3]])
+        beta, rss, *_ = np.linalg.lstsq(design, data[:, 3], rcond=None)
+        base = np.linalg.lstsq(design[:, :2], data[:, 3], rcond=None)[1]
+        tss = ((data[:, 3] - data[:, 3].mean()) ** 2).sum()
+        assert [got[g].intercept, *got[g].slopes] == pytest.approx(list(beta), abs=1e-9)
+        assert (got[g].n, got[g].r_squared, got[g].base_r_squared) == (60, pytest.approx(1 - rss[0] / tss), pytest.approx(1 - base[0] / tss))
+        assert got[g].f == pytest.approx((base[0] - rss[0]) / 2 / (rss[0] / 56))
+    assert got[9].slopes == pytest.approx([0.8, 1.6, 0.0]) and got[9].r_squared == pytest.approx(1)
+    assert got[10].r_squared is None and got[10].f is None and got[11].f is None and None not in got

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from tapeworks.functions import levels as lv
 from tapeworks.operators import fold, replay
-from tapeworks.operators import worked_examples as we
 from tapeworks.operators.matching import STORAGES, Book
 from tapeworks.operators.session import MarketSession, statistics_frame
 from tapeworks.schema import BUY, MARKET_BUY_PRICE, MARKET_SELL_PRICE, SELL, SUBMIT, WITHDRAW, SessionStatistics
@@ -36,12 +35,57 @@ def messages(spark):
     return spark.createDataFrame(random_messages(), COLUMNS)
 
 
-@pytest.mark.parametrize("example", we.all_examples(), ids=lambda e: e[0])
-def test_worked_examples(example):
-    _, start, message, after, unfilled = example
-    book = we.book_of(start)
+#: A book with a gap on each side, and what single messages (size, price, direction, kind) leave of it: levels that
+#: differ, a size of 0 for one that is gone, and what stays unfilled.
+BIDS, ASKS = {50: 30, 49: 20, 46: 10}, {53: 15, 54: 25, 58: 5}
+CASES = {
+    "rests between the touches": ((5, 51, BUY, SUBMIT), {51: 5}, {}, 0),
+    "joins a level": ((7, 58, SELL, SUBMIT), {}, {58: 12}, 0),
+    "opens a level in a gap": ((9, 48, BUY, SUBMIT), {48: 9}, {}, 0),
+    "takes part of the touch": ((10, 60, BUY, SUBMIT), {}, {53: 5}, 0),
+    "takes the touch and stops at its limit": ((40, 50, SELL, SUBMIT), {50: 0}, {50: 10}, 0),
+    "takes two levels and rests": ((50, 55, BUY, SUBMIT), {55: 10}, {53: 0, 54: 0}, 0),
+    "takes no more than asked across a gap": ((51, 46, SELL, SUBMIT), {50: 0, 49: 0, 46: 9}, {}, 0),
+    "market order empties a side and rests where it last traded": ((70, MARKET_SELL_PRICE, SELL, SUBMIT), {50: 0, 49: 0, 46: 0}, {46: 10}, 0),
+    "market order within a level": ((12, MARKET_BUY_PRICE, BUY, SUBMIT), {}, {53: 3}, 0),
+    "withdraws a part": ((5, 49, BUY, WITHDRAW), {49: 15}, {}, 0),
+    "withdraws a level": ((25, 54, SELL, WITHDRAW), {}, {54: 0}, 0),
+    "withdraws more than rests": ((99, 46, BUY, WITHDRAW), {46: 0}, {}, 0),
+    "withdraws where nothing rests": ((5, 47, BUY, WITHDRAW), {}, {}, 0),
+}
+
+
+@pytest.mark.parametrize("name", CASES)
+def test_single_messages(name):
+    message, bids, asks, unfilled = CASES[name]
+    book = Book.of(BIDS, ASKS)
     out = book.apply(*message)
-    assert we.signed_state(book) == after and out.unfilled == unfilled
+    kept = lambda now: {p: q for p, q in now.items() if q}
+    assert (dict(book.levels(BUY)), dict(book.levels(SELL)), out.unfilled) == (kept(BIDS | bids), kept(ASKS | asks), unfilled)
+    assert out.deltas == [(s, p, q) for s, p, q in out.deltas if (bids if s == BUY else asks)[p] == q] and len(out.deltas) == len(bids) + len(asks)
+    other, gone = (ASKS, asks) if message[2] == BUY else (BIDS, bids)
+    assert out.traded == sum(q - gone.get(p, q) for p, q in other.items()) * (message[3] == SUBMIT)
+
+
+def test_market_order_without_an_other_side():
+    book = Book.of({50: 30}, {})
+    assert book.apply(60, MARKET_BUY_PRICE, BUY, SUBMIT).unfilled == 60 and dict(book.levels(BUY)) == {50: 30}
+
+
+def test_rested_and_traded_rows_need_no_messages(spark, messages):
+    """Direction and kind are read off the fold's own columns."""
+    folded = fold.fold(messages, 3)
+    kinds = {(r.session_id, r.seq): (r.direction, r.kind) for r in messages.collect()}
+    rows = folded.collect()
+    rested = {(r.session_id, r.seq): (r.price, r.resting) for r in fold.resting_frame(folded).collect()}
+    traded = {(r.session_id, r.seq): (r.volume, r.signed, r.value) for r in fold.trade_rows(folded).collect()}
+    assert len(traded) == len(rows)
+    for r in rows:
+        direction, kind = kinds[r.session_id, r.seq]
+        own = [d for d in r.deltas if d.side == direction]
+        want = (own[-1].price, own[-1].resting) if kind == SUBMIT and own else None
+        assert rested.get((r.session_id, r.seq)) == want
+        assert traded[r.session_id, r.seq] == (r.traded_size, direction * r.traded_size, r.traded_value)
 
 
 def test_strict_withdrawal_and_crossed_books():
@@ -233,12 +277,6 @@ def test_declaration_is_sorted_and_whole():
     assert SELL == -1
 
 
-def test_ladder_and_markdown():
-    text = we.ladder(we.book_of(we.BASE))
-    assert "1002" in text.splitlines()[1] and "1000" in text
-    assert we.as_markdown().count("\n") == len(we.EXAMPLES) + 1
-
-
 @pytest.mark.parametrize(("depth", "truncated"), [(1, True), (3, False), (6, True)])
 def test_written_out_statistics_are_the_walked_ones(spark, depth, truncated):
     """Level by level or by walks over arrays, every statistic is the same; empty, short, full and gapped sides."""
