@@ -26,13 +26,15 @@ def cover(low: Column, stop: Column, fan: int = FAN, levels: int = LEVELS) -> Co
         (a, b), (up, down) = at_level(k), at_level(k + 1)
         more = (up < down) if k + 1 < levels else F.lit(False)
         out += [nodes(k, a, F.when(more, up * fan).otherwise(b)), nodes(k, F.when(more, down * fan).otherwise(b), b)]
-    return F.flatten(F.array(*out))
+    # Most intervals are a few blocks long and are those blocks.
+    return F.when(stop - low <= fan, nodes(0, low, stop)).otherwise(F.flatten(F.array(*out)))
 
 
 def nodes_above(block: Column, top: Column, fan: int = FAN, levels: int = LEVELS) -> Column:
     """The nodes that hold a block, from its own up to the highest level that a cover within [0, top] can use."""
     highest = reduce(lambda a, b: a + b, (F.when(top + 1 >= fan**k, 1).otherwise(0) for k in range(1, levels)), F.lit(0))
-    return F.transform(F.sequence(F.lit(0), highest), lambda k: F.struct(k.alias("level"), F.floor(block / F.pow(F.lit(float(fan)), k)).alias("at")))
+    every = F.transform(F.sequence(F.lit(0), highest), lambda k: F.struct(k.alias("level"), F.floor(block / F.pow(F.lit(float(fan)), k)).alias("at")))
+    return F.when(top + 1 < fan, F.array(F.struct(F.lit(0).alias("level"), block.alias("at")))).otherwise(every)
 
 
 def intervals(deltas: DataFrame, top: DataFrame, block: int = BLOCK, fan: int = FAN) -> DataFrame:
