@@ -16,12 +16,13 @@ from tapeworks.operators.matching import Book
 from tapeworks.schema import BUY, FOLDED, SELL
 from tapeworks.streaming.windows import Ordered, by_session
 
+_DELTAS = NAMES.index("deltas")
+FIELDS = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in FOLDED.fields)
+
 
 class BookProcessor(Ordered):
     """Keeps one session's book between micro-batches."""
 
-    names = NAMES
-
     def __init__(self, depth: int, idle_ns: int | None = None):
         super().__init__(idle_ns)
         self.depth = depth
@@ -30,23 +31,25 @@ class BookProcessor(Ordered):
         super().init(handle)
         self.levels = handle.getMapState("levels", "side int, price long", "size long")
 
-    def load(self) -> tuple[Book, dict]:
+    def load(self, known: bool) -> tuple[Book, dict, dict]:
+        stored = {(int(side), int(price)): int(size) for (side, price), (size,) in self.levels.iterator()} if known else {}
         sides = {BUY: {}, SELL: {}}
-        for (side, price), (size,) in self.levels.iterator() if self.levels.exists() else ():
-            sides[int(side)][int(price)] = int(size)
-        return Book.of(sides[BUY], sides[SELL]), {}
-
-    def step(self, held, row):
-        book, changed = held
-        out = fold_row(book, self.depth, *(int(getattr(row, c)) for c in COLUMNS))
-        changed.update({(d["side"], d["price"]): d["resting"] for d in out[NAMES.index("deltas")]})
+        for (side, price), size in stored.items():
+            sides[side][price] = size
+        return Book.of(sides[BUY], sides[SELL]), {}, stored
+
+    def step(self, held, *row):
+        book, changed, _ = held
+        out = fold_row(book, self.depth, *map(int, row))
+        changed.update({(d["side"], d["price"]): d["resting"] for d in out[_DELTAS]})
         return out
 
     def save(self, held) -> None:
-        for level, size in held[1].items():
-            if size:
+        _, changed, stored = held
+        for level, size in changed.items():
+            if size and size != stored.get(level):
                 self.levels.updateValue(level, (size,))
-            elif self.levels.containsKey(level):
+            elif not size and level in stored:
                 self.levels.removeKey(level)
 
     def forget(self) -> None:
@@ -56,7 +59,7 @@ class BookProcessor(Ordered):
 def fold_stream(messages: DataFrame, depth: int, idle_ns: int | None = None, late: str = "0 seconds") -> DataFrame:
     """The fold of a stream of messages; needs the RocksDB state store. A session idle for `idle_ns` closes: its book goes,
     and messages that come after open a new one."""
-    return by_session(messages.select(*COLUMNS), BookProcessor(depth, idle_ns), FOLDED, late)
+    return by_session(messages.select(*COLUMNS), BookProcessor(depth, idle_ns), FIELDS, late)
 
 
 def bucket_stream(rows: DataFrame, ts: str, value: str, bucket: str, watermark: str, start: str = "0 seconds", order: str | None = None) -> DataFrame:

@@ -1,6 +1,7 @@
 """What grows with the input: sorts a task holds, passes over the input, and state of streams."""
 
 from tapeworks import plans
+from tapeworks.streaming import windows as stw
 
 QUERIES = plans.queries()
 
@@ -13,3 +14,74 @@ def test_merged_streams_are_sorted_in_one_pass(spark, sf_dir):
     """One sort numbers the tape, one merges it; a sort a stream would all be held by one task."""
     plan = plan_of(QUERIES["SRT02_merged_streams"](spark, sf_dir))
     assert plan.count("Sort [") == 2 and plan.count("Exchange hashpartitioning") == 1 and "Union" not in plan
+
+
+class Calls:
+    """State variables that count what is asked of them; `values` is what they hold."""
+
+    def __init__(self, value=None):
+        self.count, self.value = 0, value
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.count += 1
+            if name == "get":
+                return self.value
+            if name == "iterator":
+                return iter(self.value.items())
+            if name in ("update", "put"):
+                self.value = args[0]
+            elif name == "appendList":
+                self.value = (self.value or []) + args[0]
+            elif name == "updateValue":
+                self.value[args[0]] = args[1]
+            elif name == "removeKey":
+                del self.value[args[0]]
+
+        return call
+
+
+class Handle:
+    def __init__(self):
+        self.states = {}
+
+    def getValueState(self, name, *_):
+        return self.states.setdefault(name, Calls())
+
+    def getListState(self, name, *_):
+        return self.states.setdefault(name, Calls([]))
+
+    def getMapState(self, name, *_):
+        return self.states.setdefault(name, Calls({}))
+
+    def asked(self):
+        out = {n: s.count for n, s in self.states.items() if s.count}
+        for s in self.states.values():
+            s.count = 0
+        return out
+
+
+def fed(processor, handle, key, *columns):
+    """The results of one arrival, its rows packed."""
+    processor.init(handle)
+    processor.packed = len(columns)
+    return [x for r in processor.handleInputRows((key,), iter([(key, *columns)]), None) for x in r["rows"]]
+
+
+def test_a_session_asks_for_its_state_in_few_calls():
+    """Each call goes from a Python worker to the executor and back, so they decide what a session costs."""
+    handle = Handle()
+    got = fed(stw._Rolling(5), handle, 1, list(range(50)), list(range(50)), [1] * 50)
+    assert [r[3] for r in got] == [min(k + 1, 5) for k in range(50)]
+    assert handle.asked() == {"last": 2, "rows": 1}
+    got = fed(stw._Rolling(5), handle, 1, [51, 50], [51, 50], [1, 1])
+    assert [r[1:] for r in got] == [(50, 50, 5, 5), (51, 51, 5, 5)]
+    assert sum(handle.asked().values()) <= 6
+
+
+def test_rows_of_a_session_travel_as_one(spark):
+    """A batch of rows goes to the sessions as a row of arrays each; nothing is lost or mixed up."""
+    rows = [(s, k, 10 * k, None if k == 7 else (s or 0) + k) for k in range(20) for s in (3, 1, None)]
+    got = stw.packed(spark.createDataFrame(rows, "session_id long, seq long, ts_ns long, value long").coalesce(1)).collect()
+    assert len(got) == 3
+    assert sorted(((r[0], *v) for r in got for v in zip(*r[1:])), key=str) == sorted(rows, key=str)
