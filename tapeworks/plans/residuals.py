@@ -11,15 +11,19 @@ from tapeworks.operators import windows as win
 from tapeworks.plans.models import _COMP, _MODEL5, BETA, W24
 from tapeworks.plans.registry import query
 from tapeworks.plans.statistics import FLOW, sides
+from tapeworks.sources.shared import shared_path
 from tapeworks.sources.tape import HOUR_NS, book, paths, sql, tape
 
 CLOCK = [24.0 * k for k in range(31)]
 
 
 def residuals(spark, sf_dir):
-    """Rescaled waiting times under a model, rounded so that ties are ties in any engine."""
-    got = hk.residuals(hk.replay(paths(spark, sf_dir), BETA, 5, _MODEL5))
-    return got.select("path_id", "type", "n", F.round("residual", 9).alias("residual"))
+    """Rescaled waiting times under a model, rounded so that ties are ties in any engine. Written once, for laws and
+    sequences pass over them several times and a replay costs more than they do."""
+    got = hk.residuals(hk.replay(paths(spark, sf_dir), BETA, 5, _MODEL5)).select("path_id", "type", "n", F.round("residual", 9).alias("residual"))
+    path = shared_path(spark, "residuals")
+    got.write.parquet(path)
+    return spark.read.schema(got.schema).parquet(path)
 
 
 _ROUNDED = _COMP + ", rr AS (SELECT path_id, type, n, round(r, 9) AS r FROM rs)"

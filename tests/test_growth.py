@@ -1,6 +1,7 @@
 """What grows with the input: sorts a task holds, passes over the input, and state of streams."""
 
 from tapeworks import plans
+from tapeworks.operators import hawkes as hk
 from tapeworks.streaming import windows as stw
 
 QUERIES = plans.queries()
@@ -85,3 +86,35 @@ def test_rows_of_a_session_travel_as_one(spark):
     got = stw.packed(spark.createDataFrame(rows, "session_id long, seq long, ts_ns long, value long").coalesce(1)).collect()
     assert len(got) == 3
     assert sorted(((r[0], *v) for r in got for v in zip(*r[1:])), key=str) == sorted(rows, key=str)
+
+
+def test_residuals_are_replayed_once(spark, sf_dir):
+    """The passes of a law read what one replay wrote."""
+    assert "MapInArrow" not in plan_of(QUERIES["HWK15_two_sample_ks"](spark, sf_dir))
+
+
+def test_blocks_that_leave_nothing_are_not_scanned_twice(spark):
+    """A path of less than a block has no end to hand on, so its rows are scanned once."""
+    seen = spark.sparkContext.accumulator(0)
+    plain = hk._ends
+
+    def counted(*args):
+        run = plain(*args)
+
+        def scan(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield from run([batch])
+
+        return scan
+
+    rows = [(p, n, float(n), n % 2) for p, size in ((1, 9), (2, 3), (3, 4)) for n in range(size)]
+    hk._ends = counted
+    try:
+        got = hk.replay(spark.createDataFrame(rows, "path_id long, n long, t double, type int"), 1.0, 2, block=4)
+        whole = hk.replay(spark.createDataFrame(rows, "path_id long, n long, t double, type int"), 1.0, 2)
+        key = lambda df: {(r.path_id, r.n): ([round(x, 9) for x in r.z], r.counts) for r in df.collect()}
+        assert key(got) == key(whole)
+    finally:
+        hk._ends = plain
+    assert seen.value == 12  # two full blocks of the first path and one of the third
