@@ -36,7 +36,10 @@ def written_pair(spark, sf_dir) -> files.FilePair:
         F.col("event_id").alias("row_no"), clock.alias("TimeNanoseconds"), F.col("type").cast("long").alias("Type"), F.col("event_id").alias("OrderID"), F.col("size").alias("Size"),
         F.col("price").alias("Price"), F.col("direction").cast("long").alias("Direction"), "asks", "bids",
     )
-    files.write_pair(out, pair.messages_path, pair.orderbook_path, DEPTH, 100)
+    # Two files, and the edges of their ranges, are made of the rows; the tape is computed once for all.
+    path = shared_path(spark, "rows")
+    out.write.parquet(path)
+    files.write_pair(spark.read.schema(out.schema).parquet(path), pair.messages_path, pair.orderbook_path, DEPTH, 100)
     return pair
 
 

@@ -10,7 +10,7 @@ import re
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapeworks import schema
@@ -92,17 +92,21 @@ def _read(spark: SparkSession, path: str | list[str], kind) -> DataFrame:
 
 
 def numbered(rows: DataFrame) -> DataFrame:
-    """Adds `row_no`, 0-based within each file or folder. One small row a split is aggregated and joined back."""
+    """Adds `row_no`, 0-based within each file or folder. One small row a split is aggregated and sent to the rows, which stay
+    where they were read."""
     splits = rows.groupBy("file", "_block").agg(F.min("_id").alias("_first"), F.count("*").alias("_rows"))
     before = F.coalesce(F.sum("_rows").over(Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = splits.select("file", "_block", "_first", before.alias("_before"))
-    return rows.join(offsets, ["file", "_block"]).withColumn("row_no", F.col("_before") + F.col("_id") - F.col("_first")).drop("_block", "_id", "_first", "_before")
+    return rows.join(F.broadcast(offsets), ["file", "_block"]).withColumn("row_no", F.col("_before") + F.col("_id") - F.col("_first")).drop("_block", "_id", "_first", "_before")
 
 
 def read_messages(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, row_no, Time, TimeNanoseconds, Type, OrderID, Size, Price, Direction)."""
-    rows = numbered(_read(spark, path, schema.FILE_MESSAGES))
-    return rows.select("file", "row_no", F.col("Time").cast("double").alias("Time"), clock_ns(F.col("Time")).alias("TimeNanoseconds"), "Type", "OrderID", "Size", "Price", "Direction")
+    return _message_columns(numbered(_read(spark, path, schema.FILE_MESSAGES)), "file", "row_no")
+
+
+def _message_columns(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.select(*keys, F.col("Time").cast("double").alias("Time"), clock_ns(F.col("Time")).alias("TimeNanoseconds"), "Type", "OrderID", "Size", "Price", "Direction")
 
 
 def read_orderbook(spark: SparkSession, path: str | list[str], depth: int) -> DataFrame:
@@ -121,11 +125,18 @@ MESSAGE_RULES = {
 
 def validate(df: DataFrame, rules: dict) -> DataFrame:
     """The frame itself if every row meets every rule; else a ValueError that counts the offenders. One pass."""
-    got = df.agg(*(F.count_if(~F.coalesce(rule(), F.lit(False))).alias(f"r{k}") for k, rule in enumerate(rules.values()))).first()
+    _refuse(df.agg(*_broken(rules)).first(), rules)
+    return df
+
+
+def _broken(rules: dict) -> list[Column]:
+    return [F.count_if(~F.coalesce(rule(), F.lit(False))).alias(f"r{k}") for k, rule in enumerate(rules.values())]
+
+
+def _refuse(got: Row, rules: dict) -> None:
     broken = [f"{name}: {got[f'r{k}']} rows" for k, name in enumerate(rules) if got[f"r{k}"]]
     if broken:
         raise ValueError("; ".join(broken))
-    return df
 
 
 def prices_on_grid(book: DataFrame, depth: int, unit: int) -> DataFrame:
@@ -155,15 +166,16 @@ def load_aligned(spark: SparkSession, pair: FilePair, opens: float | None = None
     if opens < lo or closes > hi or opens > closes:
         raise ValueError(f"the window {opens}-{closes} is not inside {lo}-{hi}")
     messages, book = read_messages(spark, pair.messages_path).drop("file"), read_orderbook(spark, pair.orderbook_path, pair.depth).drop("file")
-    n, m = messages.count(), book.count()
+    # What is told of the files needs no row numbers: one pass over each.
+    seen = _message_columns(_read(spark, pair.messages_path, schema.FILE_MESSAGES)).agg(F.count("*").alias("n"), F.count_if(in_window(opens, closes)).alias("inside"), *_broken(MESSAGE_RULES)).first()
+    n, m = seen["n"], _read(spark, pair.orderbook_path, schema.book_file(pair.depth)).count()
     if n != m:
         raise ValueError(f"{n} messages and {m} book states")
-    validate(messages, MESSAGE_RULES)
-    sides = book.select("row_no", lv.from_wide("Ask", pair.depth).alias("asks"), lv.from_wide("Bid", pair.depth).alias("bids"))
-    out = messages.where(in_window(opens, closes)).join(sides, "row_no")
-    if out.isEmpty():
+    _refuse(seen, MESSAGE_RULES)
+    if not seen["inside"]:
         raise ValueError(f"no message lies in {opens}-{closes}")
-    return out
+    sides = book.select("row_no", lv.from_wide("Ask", pair.depth).alias("asks"), lv.from_wide("Bid", pair.depth).alias("bids"))
+    return messages.where(in_window(opens, closes)).join(sides, "row_no")
 
 
 def session_rows(aligned: DataFrame, unit: int, session_id: int = 0) -> DataFrame:

@@ -1,7 +1,10 @@
 """What grows with the input: sorts a task holds, passes over the input, and state of streams."""
 
+from pyspark.sql import functions as F
+
 from tapeworks import plans
 from tapeworks.operators import hawkes as hk
+from tapeworks.sources import files
 from tapeworks.streaming import windows as stw
 
 QUERIES = plans.queries()
@@ -118,3 +121,23 @@ def test_blocks_that_leave_nothing_are_not_scanned_twice(spark):
     finally:
         hk._ends = plain
     assert seen.value == 12  # two full blocks of the first path and one of the third
+
+
+def test_a_pair_is_read_in_few_passes(spark, tmp_path):
+    """One pass over each file for what is told of it, then two for the rows and their numbers; each scan reads every row."""
+    pair = files.FilePair(str(tmp_path), "T", "2024-01-01", 0, 10**9, 1)
+    price = lambda p: F.array(F.struct(p.alias("price"), F.lit(5).cast("long").alias("size")))
+    i = F.col("id")
+    rows = spark.range(200).select(i.alias("row_no"), (i * 10**9).alias("TimeNanoseconds"), F.lit(1).cast("long").alias("Type"), i.alias("OrderID"), i.alias("Size"), (i + 100).alias("Price"), F.lit(1).cast("long").alias("Direction"), price(i + 2).alias("asks"), price(i + 1).alias("bids"))
+    files.write_pair(rows, pair.messages_path, pair.orderbook_path, 1)
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup("aligned"))
+    spark.sparkContext.setJobGroup("aligned", "loads a pair")
+    try:
+        got = files.load_aligned(spark, pair)
+        told = jobs()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    plan = plan_of(got)
+    assert plan.count("FileScan csv") == 4 and plan.count("BroadcastHashJoin") >= 2
+    assert told <= 4  # two aggregates, each of two jobs at most
+    assert [(r.row_no, r.Size, r.asks[0].price) for r in got.orderBy("row_no").collect()] == [(k, k, k + 2) for k in range(200)]
