@@ -21,6 +21,7 @@ import os
 import sys
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,15 +58,15 @@ class Config:
 def features(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """One row a document. Texts are read once; only numbers go on."""
     text = F.coalesce("text", F.lit(""))
-    words = F.array_remove(F.split(F.translate(text, "\t\n\x0b\x0c\r", "     "), " "), "")
-    without = lambda chars: F.length(text) - F.length(F.translate(text, chars, ""))
+    words = F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
+    among = lambda chars: F.regexp_count(text, F.lit(chars))
     named = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) == "", NONE).otherwise(F.col(c))
     share = lambda x, n: F.try_divide(x.cast("double"), n.cast("double"))
     n, chars = F.size(words).cast("long"), F.length(text).cast("long")
     rows = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"), named("lang").alias("lang"), chars.alias("chars"), n.alias("words"),
-        share(F.size(F.array_distinct(words)), n).alias("distinct_share"), share(without("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), chars).alias("capital_share"),
-        share(without("0123456789"), chars).alias("digit_share"), share(F.length(F.array_join(words, "")), n).alias("mean_word"),
+        share(F.size(F.array_distinct(words)), n).alias("distinct_share"), share(among("[A-Z]"), chars).alias("capital_share"),
+        share(among("[0-9]"), chars).alias("digit_share"), share(F.length(F.array_join(words, "")), n).alias("mean_word"),
         F.col("n_chars").eqNullSafe(F.length(F.col("text"))).alias("n_chars_fits"), named("source").alias("source"),
     )
     judged = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.coalesce(F.max(F.col("quality") == 1), F.lit(False)).alias("good"))
@@ -113,8 +114,13 @@ def run(spark: SparkSession, config: Config) -> Done:
     documents = spark.read.parquet(config.documents).select("doc_id", "text", "lang", "source", "n_chars")
     labels = spark.read.parquet(config.labels).select("doc_id", "quality")
     # By ranges of source and id: a large source is many tasks and files, and few tasks write to a small one.
-    dealt = features(documents, labels).repartitionByRange("source", "doc_id")
-    dealt.write.mode("overwrite").partitionBy("source").parquet(f"{out}/features")
+    # The edges of the ranges are drawn from the rows themselves, so these are kept on disk: texts are measured once.
+    measured = features(documents, labels).persist(StorageLevel.DISK_ONLY)
+    try:
+        dealt = measured.repartitionByRange("source", "doc_id")
+        dealt.write.mode("overwrite").partitionBy("source").parquet(f"{out}/features")
+    finally:
+        measured.unpersist()
     rows = read_or_empty(spark, FEATURES, f"{out}/features")
     n = rows.count()
     Done(n, n, rows.select("source").distinct().count(), f"{out}/features").told("text_profile")

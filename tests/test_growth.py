@@ -1,7 +1,10 @@
 """What grows with the input: sorts a task holds, passes over the input, and state of streams."""
 
+import re
+
 from pyspark.sql import functions as F
 
+from jobs import text_profile
 from tapeworks import plans
 from tapeworks.operators import hawkes as hk
 from tapeworks.sources import files
@@ -141,3 +144,34 @@ def test_a_pair_is_read_in_few_passes(spark, tmp_path):
     assert plan.count("FileScan csv") == 4 and plan.count("BroadcastHashJoin") >= 2
     assert told <= 4  # two aggregates, each of two jobs at most
     assert [(r.row_no, r.Size, r.asks[0].price) for r in got.orderBy("row_no").collect()] == [(k, k, k + 2) for k in range(200)]
+
+
+def test_a_profile_measures_every_text_once(spark, sf_dir, tmp_path, monkeypatch):
+    """The ranges by which features are dealt are drawn from rows already measured."""
+    seen, plain = spark.sparkContext.accumulator(0), text_profile.features
+
+    def counted(documents, labels):
+        def run(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        return plain(documents.mapInArrow(run, documents.schema), labels)
+
+    monkeypatch.setattr(text_profile, "features", counted)
+    text_profile.run(spark, text_profile.Config(f"{sf_dir}/documents.parquet", f"{sf_dir}/labels.parquet", str(tmp_path)))
+    assert seen.value == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
+
+
+def test_odd_texts_are_measured_as_before(spark):
+    """Words end at the six white characters only; letters and digits are those of ASCII, counted by code points."""
+    texts = ["", " ", None, "a", "\ta  b\n", "A\x0bB\x0cC\r1", "x\x85y z\x1cq", "\U0001f600 Ä9٣ AÁ", " ", "a a A"]
+    rows = [(k, t, "en", "s", len(t) if t is not None else None) for k, t in enumerate(texts)]
+    got = text_profile.features(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), spark.createDataFrame([], "doc_id long, quality int")).collect()
+    for r in got:
+        t = texts[r.doc_id] or ""
+        words = [w for w in re.split("[ \t\n\x0b\x0c\r]", t) if w]
+        share = lambda x, n: x / n if n else None
+        assert (r.chars, r.words, r.distinct_share, r.mean_word) == (len(t), len(words), share(len(set(words)), len(words)), share(len("".join(words)), len(words)))
+        assert (r.capital_share, r.digit_share) == (share(len(re.findall("[A-Z]", t)), len(t)), share(len(re.findall("[0-9]", t)), len(t)))
