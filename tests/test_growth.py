@@ -8,6 +8,7 @@ from jobs import text_profile
 from tapeworks import plans
 from tapeworks.operators import hawkes as hk
 from tapeworks.sources import files
+from tapeworks.streaming import fold as stf
 from tapeworks.streaming import windows as stw
 
 QUERIES = plans.queries()
@@ -175,3 +176,15 @@ def test_odd_texts_are_measured_as_before(spark):
         share = lambda x, n: x / n if n else None
         assert (r.chars, r.words, r.distinct_share, r.mean_word) == (len(t), len(words), share(len(set(words)), len(words)), share(len("".join(words)), len(words)))
         assert (r.capital_share, r.digit_share) == (share(len(re.findall("[A-Z]", t)), len(t)), share(len(re.findall("[0-9]", t)), len(t)))
+
+
+def test_a_folded_session_writes_only_what_differs():
+    """A level that an arrival made and unmade was never stored, so the state is not asked for it; nor for one as it was."""
+    handle = Handle()
+    arrive = lambda *columns: fed(stf.BookProcessor(5), handle, 1, *columns)  # noqa: E731  seq, ts_ns, size, price, direction, kind
+    arrive([0, 1, 2], [0, 1, 2], [10, 20, 20], [1000, 1003, 1003], [1, -1, -1], [1, 1, 2])
+    assert handle.states["levels"].value == {(1, 1000): (10,)}
+    assert handle.asked() == {"last": 2, "levels": 1}
+    arrive([3, 4, 5], [3, 4, 5], [5, 5, 7], [1000, 1000, 999], [1, 1, 1], [1, 2, 1])
+    assert handle.states["levels"].value == {(1, 1000): (10,), (1, 999): (7,)}
+    assert handle.asked() == {"last": 2, "levels": 2}
