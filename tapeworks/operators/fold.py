@@ -8,29 +8,54 @@ memory. Everything that a state determines is left to column expressions afterwa
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeworks.operators.matching import Book
+from tapeworks.operators.matching import Book, Outcome
 from tapeworks.schema import BUY, FOLDED, SELL, WITHDRAW
 
 COLUMNS = ["session_id", "seq", "ts_ns", "size", "price", "direction", "kind"]
 NAMES = FOLDED.fieldNames()
 
 
+#: How a column of FOLDED is made of a message's key, the book after it, the depth of states and what the message did.
+_MADE = {
+    "session_id": lambda key, book, depth, out: key[0],
+    "seq": lambda key, book, depth, out: key[1],
+    "ts_ns": lambda key, book, depth, out: key[2],
+    "asks": lambda key, book, depth, out: book.levels(SELL, depth),
+    "bids": lambda key, book, depth, out: book.levels(BUY, depth),
+    "fills": lambda key, book, depth, out: out.fills,
+    "deltas": lambda key, book, depth, out: out.deltas,
+    "fill_count": lambda key, book, depth, out: len(out.fills),
+    "traded_size": lambda key, book, depth, out: out.traded,
+    "traded_value": lambda key, book, depth, out: out.value,
+    "unfilled": lambda key, book, depth, out: out.unfilled,
+    "withdrawn": lambda key, book, depth, out: out.withdrawn,
+}
+
+
+def row_maker(columns: list[str]) -> Callable[[tuple, Book, int, Outcome], tuple]:
+    """Makes the named columns of FOLDED, and no others; nested values are tuples in the order of their fields."""
+    makers = [_MADE[c] for c in columns]
+    return lambda key, book, depth, out: tuple([make(key, book, depth, out) for make in makers])
+
+
+_whole = row_maker(NAMES)
+
+
+def applied(book: Book, session_id, seq, size, price, direction, kind) -> Outcome:
+    """Applies a message unless it is malformed."""
+    _check(session_id, seq, size, price, direction, kind)
+    return book.apply(size, price, direction, kind)
+
+
 def fold_row(book: Book, depth: int, session_id, seq, ts_ns, size, price, direction, kind) -> tuple:
     """Applies a message and gives the row that FOLDED describes."""
-    _check(session_id, seq, size, price, direction, kind)
-    out = book.apply(size, price, direction, kind)
-    level = lambda xs: [{"price": p, "size": q} for p, q in xs]
-    return (
-        session_id, seq, ts_ns, level(book.levels(SELL, depth)), level(book.levels(BUY, depth)),
-        [{"price": p, "size": q, "aggressor": a} for p, q, a in out.fills], [{"side": s, "price": p, "resting": r} for s, p, r in out.deltas],
-        len(out.fills), out.traded, out.value, out.unfilled, out.withdrawn,
-    )
+    return _whole((session_id, seq, ts_ns), book, depth, applied(book, session_id, seq, size, price, direction, kind))
 
 
 class _Columns:

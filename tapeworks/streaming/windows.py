@@ -30,21 +30,27 @@ HANDED = 4096
 
 
 class Ordered(StatefulProcessor):
-    """A session's rows in order, with the place of the last one and, if sessions can go idle, the timer that ends them."""
+    """A session's rows in order, with the place of the last one and, if sessions can go idle, the timer that ends them.
+
+    Each call to the state goes to the executor and back. What is small and written by every batch can be declared in
+    `kept` and travels with the place of the last row.
+    """
+
+    kept = ""
 
     def __init__(self, idle_ns: int | None = None):
         self.idle_ns = idle_ns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "ts_ns long, seq long, timer long")
+        self.last = handle.getValueState("last", "ts_ns long, seq long, timer long" + self.kept)
 
-    def load(self, known: bool):
-        """What is held of the session, from the state if it is known."""
+    def load(self, known: bool, *kept):
+        """What is held of the session, from the state if it is known, and from what was kept with its last row."""
         raise NotImplementedError
 
-    def save(self, held) -> None:
-        """Writes back what has changed."""
+    def save(self, held) -> tuple | None:
+        """Writes back what has changed; gives what is to be kept with the last row."""
         raise NotImplementedError
 
     def forget(self) -> None:
@@ -57,8 +63,8 @@ class Ordered(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         stored = self.last.get()
-        *last, timer = stored or (-1, -1, None)
-        held, last, out = self.load(stored is not None), tuple(last), []
+        *last, timer = (stored or (-1, -1, None))[:3]
+        held, last, out = self.load(stored is not None, *(stored or ())[3:]), tuple(last), []
         unpacked = [values for r in rows for values in zip(*r[1 : self.packed + 1])]
         for seq, ts_ns, *values in sorted(unpacked, key=lambda r: (r[1], r[0])):
             now = (int(ts_ns), int(seq))
@@ -66,7 +72,7 @@ class Ordered(StatefulProcessor):
                 raise ValueError(f"session {key[0]}: row {now} after {last}")
             last = now
             out.append(self.step(held, key[0], now[1], now[0], *values))
-        self.save(held)
+        kept = self.save(held) or ()
         if self.idle_ns is not None:
             end = -(-(last[0] + self.idle_ns) // MS)
             if timer is not None and timer != end:
@@ -74,7 +80,7 @@ class Ordered(StatefulProcessor):
             if timer != end:
                 self.handle.registerTimer(end)
             timer = end
-        self.last.update((*last, timer))
+        self.last.update((*last, timer, *kept))
         for k in range(0, len(out), HANDED):
             yield Row(rows=out[k : k + HANDED])
 

@@ -188,3 +188,46 @@ def test_a_folded_session_writes_only_what_differs():
     arrive([3, 4, 5], [3, 4, 5], [5, 5, 7], [1000, 1000, 999], [1, 1, 1], [1, 2, 1])
     assert handle.states["levels"].value == {(1, 1000): (10,), (1, 999): (7,)}
     assert handle.asked() == {"last": 2, "levels": 2}
+
+
+def test_a_shallow_book_costs_two_calls():
+    """However many levels an arrival changes; what comes out is what levels kept one by one give."""
+    arrivals = [
+        ([0, 1, 2, 3], [0, 1, 2, 3], [10, 20, 20, 5], [1000, 1003, 1003, 1004], [1, -1, -1, -1], [1, 1, 2, 1]),
+        ([5, 4], [5, 4], [7, 7], [0, 999], [-1, 1], [1, 1]),
+        ([6, 7], [6, 7], [9, 1], [(1 << 63) - 1, 1000], [1, -1], [1, 1]),
+    ]
+    handle, other = Handle(), Handle()
+    for columns in arrivals:
+        got = fed(stf.ShallowBookProcessor(5), handle, 1, *columns)
+        assert handle.asked() == {"last": 2}
+        assert got == fed(stf.BookProcessor(5), other, 1, *columns)
+    book = handle.states["last"].value
+    assert book[:2] == (7, 7) and {(d, p): (s,) for d, side in ((1, book[3]), (-1, book[4])) for p, s in side} == other.states["levels"].value
+
+
+def test_a_shallow_fold_over_many_arrivals(spark, tmp_path):
+    """Books kept as a whole go on where they were and are forgotten with idle sessions; only the named columns are made."""
+    s = 1_000_000_000
+    names = "session_id long, seq long, ts_ns long, size long, price long, direction int, kind int"
+    first = [(1, 0, s, 10, 1000, 1, 1), (1, 1, s, 20, 1003, -1, 1), (2, 0, s, 5, 999, 1, 1)]
+    parts = [first, [(1, 2, 2 * s, 15, 1003, 1, 1)], [(2, 1, 500 * s, 9, 999, -1, 1)], [(2, 2, 501 * s, 1, 997, 1, 1)], [(1, 3, 502 * s, 7, 1000, -1, 1)]]
+    for idle, want in ((None, {(1, 2): 15, (2, 1): 5, (1, 3): 7}), (60 * s, {(1, 2): 15, (2, 1): 5})):
+        frames = [spark.createDataFrame(p, names) for p in parts]
+        got = stw.run_in_parts(spark, frames, lambda m: stf.fold_stream(m, 5, idle_ns=idle, columns=["seq", "session_id", "traded_size"], shallow=True))  # noqa: B023
+        assert got.columns == ["seq", "session_id", "traded_size"]
+        rows = {(r.session_id, r.seq): r.traded_size for r in got.collect()}
+        assert len(rows) == 7 and {k: v for k, v in rows.items() if v} == want
+
+
+def test_the_fold_of_a_stream_makes_what_is_asked(spark, sf_dir, monkeypatch):
+    """States, fills and deltas of every message would cost several times the fold itself."""
+    made = []
+
+    def run(spark, parts, operator):
+        made.append(operator(parts[0]).columns)
+        return operator(parts[0])
+
+    monkeypatch.setattr(stw, "run_in_parts", run)
+    got = QUERIES["STR01_stream_fold"](spark, sf_dir)
+    assert made == [got.columns] == [["session_id", "seq", "fill_count", "traded_size", "traded_value"]]
